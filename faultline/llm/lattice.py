@@ -108,18 +108,17 @@ class Lattice:
             out[places] = self.forward(x, self.arcs(x))[:, -1]
         return out
 
-    def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """Expected uses of each piece over words with their counts."""
+    def expected(self, words: list[bytes]) -> np.ndarray:
+        """Expected uses of each piece over the words' segmentations."""
         out = np.zeros(len(self.pieces))
-        for places, x in self.groups(words):
+        for _, x in self.groups(words):
             arcs = self.arcs(x)
             alpha, beta = self.forward(x, arcs), self.backward(x, arcs)
             for size, a in arcs.items():
-                m = a.shape[1]
                 row, col = np.nonzero(a >= 0)
                 k = a[row, col]
-                use = np.exp(alpha[row, col] + self.log_p[k] + beta[row, col + size] - beta[row, 0]) * counts[places][row]
-                out += np.bincount(k, use, len(out)) if m else 0
+                use = np.exp(alpha[row, col] + self.log_p[k] + beta[row, col + size] - beta[row, 0])
+                out += np.bincount(k, use, len(out))
         return out
 
 
@@ -171,8 +170,12 @@ def count_words(docs: DataFrame, training: Column, text_col: str = "text") -> Da
 
 
 def estimate(words: DataFrame, lattice: Lattice, rounds: int = 2) -> Lattice:
-    """Re-weights the pieces by their expected uses in the training words. What reaches the driver is a number a piece."""
-    train = words.where("n_train > 0 and word <> X''").select("word", "n_train")
+    """Re-weights the pieces by their expected uses in the distinct training words.
+
+    Each word counts once, whatever its frequency: frequent words have arcs of their own, and the segmentations are there for
+    words not seen before, which are made as rare words are. What reaches the driver is a number a piece.
+    """
+    train = words.where("n_train > 0 and word <> X''").select("word")
     sc = words.sparkSession.sparkContext
     for _ in range(rounds):
         held = sc.broadcast((lattice.pieces, lattice.log_p))
@@ -182,7 +185,7 @@ def estimate(words: DataFrame, lattice: Lattice, rounds: int = 2) -> Lattice:
             for batch in batches:
                 for i in range(0, batch.num_rows, 50_000):
                     part = batch.slice(i, 50_000)
-                    total = total + own.expected(part.column(0).to_pylist(), part.column(1).to_numpy(zero_copy_only=False).astype(float))
+                    total = total + own.expected(part.column(0).to_pylist())
             if np.ndim(total):
                 used = np.flatnonzero(total)
                 yield pa.record_batch([pa.array(used, pa.int32()), pa.array(total[used])], names=["piece", "uses"])
@@ -190,7 +193,6 @@ def estimate(words: DataFrame, lattice: Lattice, rounds: int = 2) -> Lattice:
         uses = np.full(len(lattice.pieces), 1e-3)
         for r in train.mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
             uses[r.piece] += r.uses
-        # uses of pieces, with one end of word in place of a stop: the weights of what may follow sum to 1
         lattice = Lattice(lattice.pieces, np.log(uses / uses.sum()))
         held.unpersist()
     return lattice
@@ -209,7 +211,7 @@ def score(docs: DataFrame, model_path: str, training: Column, id_col: str = "doc
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(training, F.lit(False)).alias("train"))
     words = materialize(count_words(source, F.col("train")), "words")
-    total = words.agg(F.sum("n_train").alias("n"), F.count_if("n_train > 0").alias("v"), F.count_if("n_train = 1 and word <> X''").alias("once")).first()
+    total = words.agg(F.sum("n_train").alias("n"), F.count_if(F.expr("n_train > 0")).alias("v"), F.count_if(F.expr("n_train = 1 and word <> X''")).alias("once")).first()
     n, v = total.n or 0, total.v or 0
     new = (total.once + 1) / (n + 1) if n else 1.0
     lattice = estimate(words, existing_vocabulary(model_path), rounds)
