@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import langid, lattice, packing, pieces, rules
+from faultline.llm import langid, lattice, minhash, packing, pieces, quality, rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,16 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2(F.concat("begins", "ends"), 256).alias("spans_sha256"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return rows.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return rows.select("doc_id", "n_symbols", "log10_p", F.when(F.col("n_symbols") > 0, F.pow(F.lit(10.0), -F.col("log10_p") / F.col("n_symbols"))).alias("perplexity"), F.pow(F.lit(10.0), "kn_limit").alias("threshold"), F.col("kn_kept").alias("kept"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rules.apply_policy(rules.ledger(table(spark, sf_dir, "documents")), "v1")
     base = F.col("fail_bits").bitwiseAND(F.lit(rules.mask("base")).cast("bigint")) != 0
@@ -56,6 +66,8 @@ def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
+    "op4_near_duplicates": op4_near_duplicates,
+    "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
     "op8_packing": op8_packing,
     "op10_lattice_scores": op10_lattice_scores,
