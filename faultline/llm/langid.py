@@ -7,14 +7,12 @@ margin. Narrow margins are rejected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from faultline.llm.pieces import by_chars
+from faultline.llm.pieces import map_texts
 
 UNKNOWN = "und"
 #: Bytes of text in one compression; each block starts from the dictionary alone, so long texts keep their margin.
@@ -95,27 +93,28 @@ class Classifier:
         return lang, min(1.0, 3 * margin), margin
 
 
-def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), min_margin: float = 0.002, min_letters: int = 64) -> DataFrame:
-    """``docs`` to ``(doc_id, lang_pred, score, margin, rejected)``, one row per row.
+def label(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", min_margin: float = 0.002, min_letters: int = 64) -> DataFrame:
+    """``docs`` with ``lang_pred, score, margin, rejected`` added, one row per row.
 
     Whole texts are compressed, of any length. Null texts and texts without a letter are ``und`` with score 0, and rejected.
-    Ties go to the language with most training texts. ``rejected`` holds for texts of ``min_letters`` bytes of letters or more
+    Ties go to the language with most training texts. ``rejected`` also holds for texts of ``min_letters`` characters or more
     whose margin is below ``min_margin`` (shorter ones differ by single bytes, so a narrow margin says nothing there).
-    Repeated rows are judged each; columns other than id and text take no part. ``keep`` names columns to pass on.
-    Without dictionaries every text is ``und``. The dictionaries, whose size ``fit`` bounds, are broadcast.
+    Repeated rows are judged each; columns of the added names are replaced, all others pass. Without dictionaries every text
+    is ``und``. The dictionaries, whose size ``fit`` bounds, are broadcast.
     """
     held = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    source = docs.select(F.col(text_col).cast("string").alias("__text"), F.col(id_col).alias("doc_id"), *[F.col(c) for c in keep])
-    names = source.columns[1:]
-    fields = ", ".join(f"`{n}` {source.schema[n].dataType.simpleString()}" for n in names)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Classifier(held.value)
-        for batch in batches:
-            for part in by_chars(batch, 0):
-                texts = part.column(0).to_pylist()
-                found = [judge(t) for t in texts]
-                narrow = [lang == UNKNOWN or (m < min_margin and len(t) >= min_letters) for (lang, _, m), t in zip(found, texts, strict=True)]
-                yield pa.record_batch([*part.columns[1:], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64()), pa.array(narrow, pa.bool_())], names=[*names, "lang_pred", "score", "margin", "rejected"])
-
-    return source.mapInArrow(run, f"{fields}, lang_pred string, score double, margin double, rejected boolean")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score", "margin", "rejected")])
+
+    def make(texts: list[str], own: dict) -> list[tuple[str, pa.Array]]:
+        if "judge" not in own:
+            own["judge"] = Classifier(held.value)
+        found = [own["judge"](t) for t in texts]
+        narrow = [lang == UNKNOWN or (m < min_margin and len(t) >= min_letters) for (lang, _, m), t in zip(found, texts, strict=True)]
+        return [("lang_pred", pa.array([f[0] for f in found], pa.string())), ("score", pa.array([f[1] for f in found], pa.float64())), ("margin", pa.array([f[2] for f in found], pa.float64())), ("rejected", pa.array(narrow, pa.bool_()))]
+
+    return map_texts(docs, text_col, "lang_pred string, score double, margin double, rejected boolean", make)
+
+
+def predict(docs: DataFrame, dictionaries: dict[str, bytes], id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """``(doc_id, lang_pred, score, margin, rejected)`` of ``docs``, from id and text alone; see :func:`label`."""
+    return label(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), dictionaries, **settings).drop("text")

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from faultline.llm.linking import link_buckets
 from faultline.llm.pieces import by_chars
 from faultline.plans.components import connected_components
 from faultline.plans.runtime import materialize
@@ -190,7 +191,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     that id differ by 1 - threshold at most; those not yet in one group are verified too. No pair of a bucket is left out but
     by that bound, and pairs within a group already connected are never formed.
     """
-    gap = 1 - threshold
     texts = docs.where(F.col(id_col).isNotNull())
     marks = materialize(sketch(texts, id_col, text_col, width, bands, rows), "sketch")
     classes = marks.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("rep"))
@@ -199,25 +199,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(members, "members")
     keyed = marks.where("n > 0").join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
     buckets = keyed.select("doc_id", F.posexplode("band_keys").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("bucket")).distinct()
-    buckets = materialize(buckets, "buckets")
-    low = buckets.groupBy("bucket").agg(F.min("doc_id").alias("low"), F.count("*").alias("size")).where("size > 1").select("bucket", "low")
-    shared = materialize(buckets.join(low, "bucket"), "shared")
-    # star links: everyone in a bucket with its smallest id
-    star = shared.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
-    star = materialize(verify(star, texts, id_col, text_col, width), "star")
+    buckets = materialize(buckets.withColumnRenamed("doc_id", "id"), "buckets")
+    links, groups = link_buckets(buckets, lambda pairs: verify(pairs, texts, id_col, text_col, width), threshold, metric=True)
     copies = members.where("doc_id <> rep").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst"))
-    first = materialize(connected_components(star.where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))), "first")
-    # rows of a bucket with their group so far and their distance to its smallest id
-    placed = shared.join(star.select(F.col("a").alias("low"), F.col("b").alias("doc_id"), (1 - F.col("sim")).alias("d")), ["low", "doc_id"], "left").join(first.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = materialize(placed.select("bucket", "low", "doc_id", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "doc_id").alias("group")), "placed")
-    # texts outside the group of their bucket's smallest id: few, for a bucket is made of similar texts
-    other = placed.join(placed.where("doc_id = low").select("bucket", F.col("group").alias("main")), "bucket").where("group <> main")
-    left, right = other.select("bucket", F.col("doc_id").alias("x"), F.col("d").alias("dx"), F.col("group").alias("gx"), "main"), placed.where("doc_id <> low").select("bucket", F.col("doc_id").alias("y"), F.col("d").alias("dy"), F.col("group").alias("gy"))
-    near = left.join(right, "bucket").where((F.col("gx") != F.col("gy")) & (F.abs(F.col("dx") - F.col("dy")) <= gap + 1e-9) & ((F.col("gy") == F.col("main")) | (F.col("x") < F.col("y"))))
-    rest = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    rest = materialize(verify(rest, texts, id_col, text_col, width), "rest")
-    links = star.unionByName(rest).where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    final = connected_components(first.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(links.join(star.select(F.col("a").alias("src"), F.col("b").alias("dst")), ["src", "dst"], "left_anti")).unionByName(copies))
+    final = connected_components(groups.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(copies))
     degree = links.select("src").unionByName(links.select(F.col("dst").alias("src"))).groupBy(F.col("src").alias("rep")).agg(F.count("*").alias("links"))
     every = marks.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
     rep = members.groupBy("doc_id").agg(F.min("rep").alias("rep"))

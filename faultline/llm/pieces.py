@@ -7,7 +7,7 @@ give each piece's span in the original UTF-8 bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -197,3 +197,19 @@ def by_chars(batch: pa.RecordBatch, column: int, limit: int = BATCH_CHARS) -> It
     cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:], strict=False):
         yield batch.slice(a, b - a)
+
+
+def map_texts(docs: DataFrame, text_col: str, extra: str, make: Callable[[list[str], dict], list[tuple[str, pa.Array]]]) -> DataFrame:
+    """``docs`` with the columns ``extra`` that ``make`` gives for a list of texts (null as empty) and what its task holds."""
+    source = docs.select(*[F.col(f"`{c}`") for c in docs.columns])
+    at = docs.columns.index(text_col)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            for part in by_chars(batch, at):
+                made = make([t or "" for t in part.column(at).to_pylist()], held)
+                yield pa.record_batch([*part.columns, *(a for _, a in made)], names=[*part.schema.names, *(n for n, _ in made)])
+
+    return source.mapInArrow(run, f"{fields}, {extra}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.llm import langid, lattice, minhash, packing, pieces, quality, rules
+from faultline.llm import langid, lattice, linededup, minhash, packing, pieces, quality, rules, topk, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), F.sha2(F.concat("begins", "ends"), 256).alias("spans_sha256"))
 
 
+def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", topk.quantised(F.col("embedding")).alias("v")).where("v is not null")
+    return topk.search(rows, rows.where("vec_id % 50 = 0"))
+
+
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = minhash.near_duplicates(table(spark, sf_dir, "documents"))
     return rows.withColumn("kept", F.col("doc_id") == F.col("class_id"))
@@ -51,11 +56,20 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & F.col("kept")).alias("kept"), "fail_bits", "n_lines", "n_letters", "n_upper")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "ld_lines", "ld_removed")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = packing.pack(table(spark, sf_dir, "documents"), model_path("word_bpe_49k.json"))
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "boundary")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = warc.round_trip(table(spark, sf_dir, "pages"))
+    return rows.where("kind <> 'gap'").select("page_id", F.col("payload_length").alias("payload_bytes"), F.coalesce(F.sha1("payload"), "digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "url")
+
+
 def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = fold(F.col("doc_id"), 10) == 0
@@ -66,14 +80,29 @@ def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_exact_topk": op3_exact_topk,
     "op4_near_duplicates": op4_near_duplicates,
     "op5_quality_classifier": op5_quality_classifier,
     "op6_quality_rules": op6_quality_rules,
+    "op7_line_dedup": op7_line_dedup,
     "op8_packing": op8_packing,
+    "op9_warc": op9_warc,
     "op10_lattice_scores": op10_lattice_scores,
 }
 
 ORACLES = {
+    "op3_exact_topk": """
+        with e as (select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        s as (select q.vec_id as query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score from e q join e c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
+        r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+        select query_id, rank, vec_id, score from r where rank <= 5
+    """,
+    "op9_warc": """
+        with p as (select page_id, url, coalesce(html, '') as h from pages),
+        d as (select page_id, url, strlen(h)::bigint as payload_bytes, sha1(h) as payload_digest from p),
+        m as (select *, case when payload_bytes >= 1000 then max(page_id) over (partition by payload_digest) end as original from d)
+        select page_id, payload_bytes, payload_digest, case when original > page_id then 'revisit' else 'response' end as record_type, case when original > page_id then original end as refers_to, coalesce(url, '') as url from m
+    """,
     "op6_quality_rules": r"""
         with d as (select doc_id, coalesce(text, '') as t from documents),
         w as (select doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as ws, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as ls from d),
