@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from faultline.plans.runtime import drop, scratch
 
 
-def _mark(edges: DataFrame) -> tuple:
-    """A digest of an edge set: its size and an order-free hash sum."""
-    row = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return row.n, row.h
+def _write(edges: DataFrame, label: str) -> tuple[DataFrame, str, tuple]:
+    """Writes an edge set; its table, path, and a digest taken on the way: its size and an order-free hash sum."""
+    seen = Observation()
+    table, path = scratch(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")), label)
+    return table, path, (seen.get["n"], seen.get["h"])
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -24,8 +25,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     spark = edges.sparkSession
     a, b = F.col(src), F.col(dst)
     start = edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct()
-    now, path = scratch(start, "components")
-    mark = _mark(now)
+    now, path, mark = _write(start, "components")
     for _ in range(max_rounds):
         if not mark[0]:
             break
@@ -34,8 +34,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        nxt, nxt_path = scratch(small, "components")
-        new = _mark(nxt)
+        nxt, nxt_path, new = _write(small, "components")
         drop(spark, path)
         now, path, same = nxt, nxt_path, new == mark
         mark = new
