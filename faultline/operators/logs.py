@@ -88,7 +88,7 @@ def parse_frames(lines: DataFrame) -> DataFrame:
     """Stack lines to ``(log_id, line_no, frame_number, address, module, function, file, line, offset)``, formats in order:
     ``#NN pc``, numbered with address and symbol, ``at class.method(file:line)``."""
     t = F.col("text")
-    android = r"^\s*#(\d+)\s+pc\s+([0-9a-fA-F]+)\s+(\S+)(?:\s+\((?:offset [^)]*\)\s*\()?([^)+]*)(?:\+(\d+))?\))?"
+    android = r"^\s*#(\d+)\s+pc\s+([0-9a-fA-F]+)\s+(\S+)(?:\s+\(offset [^)]*\))?(?:\s+\((.+?)(?:\+(\d+))?\)\s*)?$"
     apple = r"^\s*(?:#)?(\d+)\s+(?:0x([0-9a-fA-F]+)\s+\d+\s+)?(\S+)\s+0x([0-9a-fA-F]+)\s+(.+?)(?:\s\+\s(\d+))?$"
     java = r"^\s*at\s+([\w.$<>]+)\(([^:)]+)(?::(\d+))?\)"
     g = lambda p, i: F.nullif(F.regexp_extract(t, p, i), F.lit(""))
@@ -262,7 +262,7 @@ def parse_wait_edges(logs: DataFrame) -> DataFrame:
 def parse_mem_samples(lines: DataFrame) -> DataFrame:
     """Sample tables to ``(log_id, line_no, metric, value, is_trigger)``: columns by the header line, ``*`` marks the trigger row."""
     w = Window.partitionBy("log_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    cells = F.split(F.trim("text"), r"\s{2,}|\t|,\s*")
+    cells = F.split(F.trim("text"), r"\s{2,}|\t|,(?!\d{3}\b)\s*")
     rows = lines.withColumn("_h", F.when(F.col("text").contains("RSS(KB)"), cells)).withColumn("head", F.last("_h", ignorenulls=True).over(w)).where("head is not null and _h is null").withColumn("cells", cells).where(F.size("cells") == F.size("head"))
     long = rows.select("log_id", "line_no", F.col("text").contains("*").alias("is_trigger"), F.explode(F.arrays_zip("head", "cells")).alias("c"))
     return long.select("log_id", "line_no", F.col("c.head").alias("metric"), lenient_number(F.col("c.cells")).alias("value"), "is_trigger")

@@ -17,7 +17,7 @@ VENDOR_FRAME = "array<struct<function: string, method: string, symbol: string, f
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """A row for each file: ``(log_id, path, content, sha256)``."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    rows = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     return rows.select(F.sha2("path", 256).alias("log_id"), "path", "content", F.sha2("content", 256).alias("sha256"))
 
 
@@ -54,12 +54,12 @@ def classify_artifacts(files: DataFrame) -> DataFrame:
 
 def read_perf_rows(spark: SparkSession, path: str) -> DataFrame:
     """Frame reports: CSV with a header, or JSON as a list or under frames, jank_events, events, rows or data (the first list)."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("content"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("content"))
     v = F.try_parse_json("content")
     lists = [F.try_variant_get(v, p, "array<map<string,string>>") for p in ("$", "$.frames", "$.jank_events", "$.events", "$.rows", "$.data")]
     json = files.where("path like '%.json'").select("path", F.posexplode(F.coalesce(*lists)).alias("ord", "row"))
-    lines = files.where("path like '%.csv'").select("path", F.split(F.trim("content"), r"\r?\n").alias("l"))
-    head = F.transform(F.split(F.get("l", F.lit(0)), ","), F.trim)
+    lines = files.where("path like '%.csv'").select("path", F.filter(F.split("content", r"\r?\n"), lambda x: F.trim(x) != "").alias("l"))
+    head = F.transform(F.split(F.get("l", F.lit(0)), ","), lambda x: F.trim(x))
     csv = lines.select("path", head.alias("head"), F.posexplode(F.slice("l", 2, 1 << 30)).alias("ord", "line")).select("path", "ord", F.map_from_arrays("head", F.slice(F.concat(F.split("line", ","), F.array_repeat(F.lit(""), F.size("head"))), F.lit(1), F.size("head"))).alias("row"))
     return json.unionByName(csv)
 

@@ -14,7 +14,7 @@ from faultline.operators.retrieval import upsert
 
 def triage(spark: SparkSession, path: str) -> DataFrame:
     """A stream of ``(log_id, os, log_kind, confidence)`` for the files that arrive in a directory."""
-    raw = spark.readStream.option("wholetext", True).text(path)
+    raw = spark.readStream.text(path, wholetext=True)
     logs = raw.select(F.sha2("value", 256).alias("log_id"), F.col("value").alias("content"))
     return classify_log_kind(logs.withColumn("os", detect_os(F.col("content"))).select("log_id", "content"))
 
