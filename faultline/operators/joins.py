@@ -43,7 +43,7 @@ def map_addresses(points: DataFrame, maps: DataFrame, keys: Sequence[str] = ("lo
     """``points(log_id, point_id, va)`` with the mapping ``maps(log_id, ord, start, end, executable, file_offset, path)`` that
     holds each: executable ones first, then the first in file order. Points without a mapping keep nulls."""
     hits = range_join(points, maps, keys, "va", "start", "end")
-    best = hits.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, point_id).orderBy(F.desc("executable"), "ord"))).where("_r = 1").drop("_r", "va")
+    best = hits.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, point_id).orderBy(F.desc("executable"), "ord"))).where("_r = 1").select(*keys, point_id, *[c for c in maps.columns if c not in keys])
     return points.join(best, [*keys, point_id], "left")
 
 
