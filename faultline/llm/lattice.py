@@ -237,7 +237,7 @@ def score(docs: DataFrame, model_path: str, training: Column, id_col: str = "doc
                 yield pa.record_batch([pa.array([_hash(xxhash, t) for t in texts], pa.int64()), part.column(0), part.column(1), pa.array(c > 0), pa.array(base), pa.array(long)], names=["h", "word", "n", "known", "base", "score"])
 
     weighed = materialize(words.mapInArrow(weigh, "h long, word binary, n long, known boolean, base double, score double"), "weighed")
-    top = weighed.orderBy(F.desc("n"), "word").limit(FREQUENT).select("word", "known", "base", "score").toPandas()
+    top = _most_frequent(weighed).select("word", "known", "base", "score").toPandas()
     frequent = spark.sparkContext.broadcast((top["word"].map(bytes).tolist(), top[["known", "base", "score"]].to_numpy(np.float64)))
     id_type = source.schema["doc_id"].dataType.simpleString()
 
@@ -286,6 +286,22 @@ def score(docs: DataFrame, model_path: str, training: Column, id_col: str = "doc
     return joined.groupBy("row").agg(F.max(F.when(~F.col("rare"), F.col("doc_id"))).alias("doc_id"), F.max("tokens").alias("n_tokens"), own("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), own("base").alias("base_score"), own("score").alias("score")).drop("row")
 
 
+def _most_frequent(words: DataFrame) -> DataFrame:
+    """The words above the count that FREQUENT of them at most reach.
+
+    The cut comes from a histogram of counts, 16 bins an octave, so no task sends more rows than there are in all.
+    """
+    step = F.floor(F.log2("n") * 16).cast("int")
+    bins = {r.bin: r.words for r in words.groupBy(step.alias("bin")).agg(F.count("*").alias("words")).collect()}
+    cut, held = max(bins, default=0) + 1, 0
+    for b in sorted(bins, reverse=True):
+        held += bins[b]
+        if held > FREQUENT:
+            break
+        cut = b
+    return words.where(step >= cut)
+
+
 def _hash(xxhash, data: bytes) -> int:
     h = xxhash.xxh64_intdigest(data)
     return h - (1 << 64) if h >> 63 else h
