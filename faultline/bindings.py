@@ -360,26 +360,30 @@ def replay_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    with recursive c as (select c_custkey as n, (c_custkey * 7 + 3) % (select count(*) from customer) as m from customer where c_custkey % 5 <> 0),
+    with recursive c as (select c_custkey as n, (c_custkey * 7 + 3) % (select count(*) from customer) as m from customer where c_mktsegment <> 'BUILDING'),
     walk as (select n as start, n, 0 as hops from c union all select start, m, hops + 1 from walk join c using (n) where hops < 64)
     select start, count(*) - 1 as steps, arg_max(n, hops) as last_node from walk group by 1 having count(*) between 1 and 40
 """)
 def root_blocker(spark: SparkSession, d: str) -> DataFrame:
     c = _t(spark, d, "customer")
     n = c.count()
-    edges = c.where("c_custkey % 5 <> 0").select(F.lit(0).alias("log_id"), F.col("c_custkey").alias("src"), F.expr(f"(c_custkey * 7 + 3) % {n}").alias("dst"), F.lit(0).alias("ord"))
+    edges = c.where("c_mktsegment <> 'BUILDING'").select(F.lit(0).alias("log_id"), F.col("c_custkey").alias("src"), F.expr(f"(c_custkey * 7 + 3) % {n}").alias("dst"), F.lit(0).alias("ord"))
     rows = graphs.root_blocker(edges, edges.select("log_id", F.col("src").alias("start")))
     return rows.join(edges.select(F.col("src").alias("blocker")), "blocker", "left_anti").select("start", (F.size("path") - 1).cast("long").alias("steps"), F.col("blocker").alias("last_node")).where("steps <= 39")
 
 
+def _next_customer(spark, d):
+    c = _t(spark, d, "customer")
+    return c.select(F.lit(0).alias("log_id"), F.col("c_custkey").alias("src"), F.expr(f"(c_custkey * 7 + 3) % {c.count()}").alias("dst"))
+
+
 @query("""
-    with recursive e as (select distinct c_nationkey as s, (c_custkey * 7 + 3) % 25 as t from customer where c_custkey < 40),
-    p as (select s as start, t as node, [s] as path from e where t >= s union all select start, e.t, list_append(path, node) from p join e on e.s = p.node where node > start and not list_contains(path, node) and len(path) < 4 and e.t >= start)
+    with recursive e as (select c_custkey as s, (c_custkey * 7 + 3) % (select count(*) from customer) as t from customer),
+    p as (select s as start, t as node, [s] as path from e where t >= s union all select start, e.t, list_append(path, node) from p join e on e.s = p.node where node > start and not list_contains(path, node) and len(path) < 20 and e.t >= start)
     select array_to_string(list_append(path, start), '>') as cycle from p where node = start
 """)
 def wait_cycles(spark: SparkSession, d: str) -> DataFrame:
-    edges = _t(spark, d, "customer").where("c_custkey < 40").select(F.lit(0).alias("log_id"), F.col("c_nationkey").cast("long").alias("src"), F.expr("(c_custkey * 7 + 3) % 25").alias("dst"))
-    return graphs.dependency_cycles(edges, 4).select(F.array_join("cycle", ">").alias("cycle"))
+    return graphs.dependency_cycles(_next_customer(spark, d), 20).select(F.array_join("cycle", ">").alias("cycle"))
 
 
 def _tree(spark, d):
@@ -420,13 +424,12 @@ def heap_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    with recursive e as (select o_custkey as a, o_orderkey % 977 + 1000000 as b from orders where o_orderkey % 5 = 0),
-    u as (select a, b from e union select b, a from e), l as (select a as node, a as root from u union select u.b, l.root from l join u on u.a = l.node where u.b > 0)
+    with recursive u as (select c_custkey as a, (c_custkey * 7 + 3) % (select count(*) from customer) as b from customer), w as (select a, b from u where a <> b union select b, a from u where a <> b),
+    l as (select a as node, a as root from w union select w.b, l.root from l join w on w.a = l.node)
     select node, min(root) as component from l group by 1
 """)
 def incident_components(spark: SparkSession, d: str) -> DataFrame:
-    e = _t(spark, d, "orders").where("o_orderkey % 5 = 0").select(F.col("o_custkey").alias("src"), F.expr("o_orderkey % 977 + 1000000").alias("dst"))
-    return connected_components(e)
+    return connected_components(_next_customer(spark, d))
 
 
 @query("""
@@ -493,20 +496,20 @@ def diagnosis_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    with q as (select vec_id as query_id, embedding as e from embeddings where vec_id < 10),
+    with q as (select vec_id as query_id, embedding as e from embeddings where vec_id % 20 = 0),
     s as (select query_id, vec_id as pattern_id, round(list_sum(list_transform(list_zip(e, embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double))), 6) as distance from embeddings, q)
     select *, (row_number() over (partition by query_id order by distance, pattern_id))::int as rank from s qualify rank <= 5
 """)
 def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     e = _t(spark, d, "embeddings")
-    return retrieval.vector_topk(e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("pattern_id"), "embedding"))
+    return retrieval.vector_topk(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("pattern_id"), "embedding"))
 
 
 @query()
 def fuse_hits(spark: SparkSession, d: str) -> DataFrame:
     """Vector hits with labels fused under budgets; the fold has no counterpart in SQL, tests hold it against a loop."""
     e = _t(spark, d, "embeddings")
-    near = retrieval.vector_topk(e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("pattern_id"), "embedding"), 12)
+    near = retrieval.vector_topk(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("pattern_id"), "embedding"), 12)
     rows = near.join(e.select(F.col("vec_id").alias("pattern_id"), "label"), "pattern_id")
     layer = F.element_at(F.array(F.lit("code"), F.lit("crash"), F.lit("concept")), F.pmod(F.col("label"), F.lit(3)) + 1)
     text = lambda c: F.lit(c).cast("string")
@@ -514,13 +517,12 @@ def fuse_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-    with c as (select doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as t from documents where not regexp_matches(text, '(?m)^#{1,4}[ \t]+.+')),
+    with c as (select doc_id, trim(text, ' ' || chr(9) || chr(10) || chr(13)) as t from documents),
     w as (select doc_id, t, unnest(range(0, (length(t) - 1) // 1800 + 1)) as window_no from c where t <> '')
     select doc_id, window_no::int as window_no, substring(t, window_no * 1800 + 1, 1800) as chunk from w
 """)
 def chunk_docs(spark: SparkSession, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").where(~F.col("text").rlike(r"(?m)^#{1,4}[ \t]+.+"))
-    return retrieval.chunk_docs(docs).select("doc_id", "window_no", "chunk")
+    return retrieval.chunk_docs(_t(spark, d, "documents")).select("doc_id", "window_no", "chunk")
 
 
 @query("""

@@ -23,16 +23,18 @@ def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, n: int = 5, where: Column | None = None, max_queries: int = 1000) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, n: int = 5, where: Column | None = None, max_queries: int = 100_000, pack_rows: int = 500) -> DataFrame:
     """The ``n`` nearest of ``vectors(pattern_id, embedding)`` for each of ``queries(query_id, embedding)``: ``(query_id, pattern_id,
     distance, rank)``.
 
-    The queries, ``max_queries`` at most, are one array that is broadcast; each task of the vector table keeps its n best a
-    query before anything is shuffled. Larger query sets belong to a blocked search. Ties go to the smaller id.
+    The queries, ``max_queries`` at most, lie in packs of ``pack_rows`` that are broadcast; each task of the vector table keeps
+    its n best a query before anything is shuffled. Ties go to the smaller id.
     """
-    if queries.limit(max_queries + 1).count() > max_queries:
+    count = queries.limit(max_queries + 1).count()
+    if count > max_queries:
         raise ValueError(f"more than {max_queries} queries")
-    pack = F.broadcast(queries.groupBy().agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("q"))).alias("pack")))
+    packs = max(1, -(-count // pack_rows))
+    pack = F.broadcast(queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(packs)).alias("p")).agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("q"))).alias("pack")))
     kept = vectors.where(where) if where is not None else vectors
     rows = kept.join(pack, F.lit(True)).select("pattern_id", "embedding", F.explode("pack").alias("p"))
     rows = rows.select(F.col("p.query_id").alias("query_id"), "pattern_id", F.round(squared_distance(F.col("embedding"), F.col("p.q")), 6).alias("distance"))
