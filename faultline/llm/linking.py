@@ -11,32 +11,38 @@ from faultline.plans.components import connected_components
 from faultline.plans.runtime import materialize
 
 
-def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, metric: bool) -> tuple[DataFrame, DataFrame]:
-    """``buckets(bucket, id)`` to ``links(src, dst)`` and ``groups(node, component)`` of links with similarity >= threshold.
+def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, rest: Callable[[DataFrame], DataFrame], more: DataFrame | None = None) -> DataFrame:
+    """``buckets(bucket, id)`` to ``groups(node, component)``, connected by links with similarity >= threshold.
 
     ``verify`` takes pairs ``(a, b)``, a < b, and adds ``sim``. Each row of a bucket is first verified against the bucket's
-    smallest id; then rows that are not in that id's group yet are verified against the rows of other groups in the bucket,
-    in the end by all pairs that could join two groups. Where 1 - sim is a ``metric``, a pair whose distances to the
-    smallest id differ by more than 1 - threshold cannot be linked and is left out.
+    smallest id. ``rest`` then gets ``(bucket, id, group, main)``, the buckets in which a row's group so far is not that of the
+    smallest id (``main``), and gives the links ``(src, dst)`` that these rows still have. ``more`` are links known beforehand.
     """
     low = buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.count("*").alias("size")).where("size > 1").select("bucket", "low")
     shared = materialize(buckets.join(low, "bucket"), "shared")
     star = shared.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
-    star = materialize(verify(star), "star")
-    linked = star.where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    first = materialize(connected_components(linked), "first")
-    away = shared.join(star.select(F.col("a").alias("low"), F.col("b").alias("id"), (1 - F.col("sim")).alias("d")), ["low", "id"], "left")
-    placed = away.join(first.withColumnRenamed("node", "id"), "id", "left")
-    placed = materialize(placed.select("bucket", "low", "id", F.coalesce("d", F.lit(0.0)).alias("d"), F.coalesce("component", "id").alias("group")), "placed")
-    # rows outside the group of their bucket's smallest id: few, for a bucket is made of similar rows
-    other = placed.join(placed.where("id = low").select("bucket", F.col("group").alias("main")), "bucket").where("group <> main")
-    left = other.select("bucket", F.col("id").alias("x"), F.col("d").alias("dx"), F.col("group").alias("gx"), "main")
-    right = placed.where("id <> low").select("bucket", F.col("id").alias("y"), F.col("d").alias("dy"), F.col("group").alias("gy"))
-    could = (F.col("gx") != F.col("gy")) & ((F.col("gy") == F.col("main")) | (F.col("x") < F.col("y")))
-    if metric:
-        could &= F.abs(F.col("dx") - F.col("dy")) <= 1 - threshold + 1e-9
-    near = left.join(right, "bucket").where(could)
-    rest = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star.select("a", "b"), ["a", "b"], "left_anti")
-    rest = materialize(verify(rest), "rest").where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-    groups = connected_components(first.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(rest))
-    return linked.unionByName(rest), groups
+    links = verify(star).where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    if more is not None:
+        links = links.unionByName(more)
+    first = materialize(connected_components(links), "first")
+    groups = first.select(F.col("node").alias("id"), F.col("component").alias("group"))
+    mains = first.select(F.col("node").alias("low"), F.col("component").alias("main"))
+    placed = shared.join(groups, "id", "left").join(mains, "low", "left").select("bucket", "id", F.coalesce("group", "id").alias("group"), F.coalesce("main", "low").alias("main"))
+    placed = materialize(placed, "placed")
+    mixed = placed.where("group <> main").select("bucket").distinct()
+    found = rest(materialize(placed.join(mixed, "bucket", "left_semi"), "mixed"))
+    known = first.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
+    return connected_components(known.unionByName(found))
+
+
+def pairs_between_groups(verify: Callable[[DataFrame], DataFrame], threshold: float) -> Callable[[DataFrame], DataFrame]:
+    """A ``rest`` for buckets whose rows mostly are in one group: the others are verified against every row of other groups."""
+
+    def rest(mixed: DataFrame) -> DataFrame:
+        left = mixed.where("group <> main").select("bucket", F.col("id").alias("x"), F.col("group").alias("gx"), "main")
+        right = mixed.select("bucket", F.col("id").alias("y"), F.col("group").alias("gy"))
+        near = left.join(right, "bucket").where((F.col("gx") != F.col("gy")) & ((F.col("gy") == F.col("main")) | (F.col("x") < F.col("y"))))
+        pairs = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        return verify(pairs).where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+    return rest

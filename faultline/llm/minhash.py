@@ -175,40 +175,85 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width:
     return full.mapInArrow(run, f"a {kind}, b {kind}, sim double")
 
 
+#: Rows of a family that meet in one task.
+BLOCK_ROWS = 1024
+
+
+def family_links(mixed: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float, size: int) -> DataFrame:
+    """The links that rows outside their bucket's main group have, for :func:`link_buckets`.
+
+    A main group and all rows that share a bucket with it are a family. Each row outside the main group is held against its
+    whole family, which lies in blocks of bounded size; inside a block signatures rule out most rows (at 4.5 standard deviations
+    under the threshold), the bags decide on the others, the most similar first, and one link to each group is enough. What
+    is passed on are links, not pairs.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    cut = threshold - 4.5 * math.sqrt(threshold * (1 - threshold) / size)
+    outer = mixed.where("group <> main").select("main", "id").distinct()
+    inner = mixed.select("main", "id", "group").distinct()
+    inner = materialize(inner, "families")
+    ids = inner.select("id").distinct()
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            for part in by_chars(batch, 1):
+                runs = [shingles(t, width, hashes) for t in part.column(1).to_pylist()]
+                sig = signatures(runs, size).astype(np.uint16)
+                yield pa.record_batch([part.column(0), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([bag(x).tobytes() for x in runs], pa.binary())], names=["id", "sig", "bag"])
+
+    held = materialize(source.mapInArrow(bags, f"id {kind}, sig binary, bag binary"), "bags")
+    blocks = inner.groupBy("main").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
+    full = materialize(inner.join(outer.withColumn("asks", F.lit(True)), ["main", "id"], "left").join(blocks, "main").join(held, "id"), "family-rows")
+    members = full.select("main", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id", "group", "sig", "bag")
+    asked = full.where("asks").select(F.col("main").alias("qmain"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("qblock"), F.col("id").alias("qid"), F.col("group").alias("qgroup"), F.col("sig").alias("qsig"), F.col("bag").alias("qbag"))
+
+    def meet(rows: pa.Table, queries: pa.Table) -> pa.Table:
+        src, dst = [], []
+        if rows.num_rows:
+            ids, groups, bags_ = (rows[c].to_pylist() for c in ("id", "group", "bag"))
+            sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint16).reshape(-1, size)
+            decoded: dict[int, np.ndarray] = {}
+            for x, gx, sx, bx in zip(*(queries[c].to_pylist() for c in ("qid", "qgroup", "qsig", "qbag")), strict=True):
+                alike = (sig == np.frombuffer(sx, np.uint16)).mean(1)
+                near = np.flatnonzero(alike >= cut)
+                done, own = {gx}, np.frombuffer(bx, U64)
+                for k in near[np.argsort(-alike[near])].tolist():
+                    if groups[k] not in done:
+                        other = decoded.setdefault(k, np.frombuffer(bags_[k], U64))
+                        if min(len(own), len(other)) >= threshold * max(len(own), len(other)) and similarity(own, other) >= threshold:
+                            done.add(groups[k])
+                            src.append(x)
+                            dst.append(ids[k])
+        return pa.table({"src": pa.array(src, rows.schema.field("id").type), "dst": pa.array(dst, rows.schema.field("id").type)})
+
+    return materialize(members.groupBy("main", "block").cogroup(asked.groupBy("qmain", "qblock")).applyInArrow(meet, f"src {kind}, dst {kind}"), "family-links")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 25, rows: int = 5) -> DataFrame:
-    """``docs`` to ``(doc_id, class_id, n_shingles, links)``, one row for each distinct non-null id.
+    """``docs`` to ``(doc_id, class_id, n_shingles)``, one row for each distinct non-null id.
 
     ``class_id`` is the smallest id of the connected group under "weighted Jaccard similarity of ``width``-word shingles of
-    ``threshold`` or more"; ``links`` counts the verified links that a text's representative has to other texts. Copies (equal
-    bags) share a class and are represented by their smallest id, so groups of copies of any size cost one row each. Texts
-    shorter than ``width`` words are one shingle; null texts, empty texts and texts without a word each stand alone. A text
-    of any length is shingled whole. Rows that repeat an id count once where their texts are equal; where they differ, the
-    id's texts are joined in one class. Rows with a null id are left out. An empty table gives an empty table. Other
-    columns are not read.
+    ``threshold`` or more". Copies (equal bags) share a class and are represented by their smallest id, so groups of copies of
+    any size cost one row each. Texts shorter than ``width`` words are one shingle; null texts, empty texts and texts without a
+    word each stand alone. A text of any length is shingled whole. Rows that repeat an id count once where their texts are
+    equal; where they differ, the id's texts are joined in one class. Rows with a null id are left out. An empty table
+    gives an empty table. Other columns are not read.
 
     Candidates share a band (at similarity 0.8 all but 5 in 100,000 pairs do). Within a bucket each text is first verified
-    against the smallest id. As 1 - similarity is a metric, two texts of a bucket can only be linked if their distances to
-    that id differ by 1 - threshold at most; those not yet in one group are verified too. No pair of a bucket is left out but
-    by that bound, and pairs within a group already connected are never formed.
+    against the smallest id; texts that this leaves outside are held against their whole family, see :func:`family_links`.
     """
     texts = docs.where(F.col(id_col).isNotNull())
     marks = materialize(sketch(texts, id_col, text_col, width, bands, rows), "sketch")
-    classes = marks.where("n > 0").groupBy("same").agg(F.min("doc_id").alias("rep"))
-    # (doc_id, rep): copies to their representative; a third of all rows may share one key, hence min first and then a join
-    members = marks.where("n > 0").select("doc_id", "same", "n").join(classes, "same").select("doc_id", "rep", "n")
-    members = materialize(members, "members")
+    some = marks.where("n > 0").select("doc_id", "same")
+    # copies to their representative: the least id of each key first, then a join, for a third of all rows may share one key
+    members = materialize(some.join(some.groupBy("same").agg(F.min("doc_id").alias("rep")), "same").select("doc_id", "rep"), "members")
     keyed = marks.where("n > 0").join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
-    buckets = keyed.select("doc_id", F.posexplode("band_keys").alias("band", "key")).select("doc_id", F.xxhash64("band", "key").alias("bucket")).distinct()
-    buckets = materialize(buckets.withColumnRenamed("doc_id", "id"), "buckets")
-    links, groups = link_buckets(buckets, lambda pairs: verify(pairs, texts, id_col, text_col, width), threshold, metric=True)
-    copies = members.where("doc_id <> rep").select(F.col("rep").alias("src"), F.col("doc_id").alias("dst"))
-    final = connected_components(groups.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(copies))
-    degree = links.select("src").unionByName(links.select(F.col("dst").alias("src"))).groupBy(F.col("src").alias("rep")).agg(F.count("*").alias("links"))
-    every = marks.groupBy("doc_id").agg(F.max("n").alias("n_shingles"))
-    rep = members.groupBy("doc_id").agg(F.min("rep").alias("rep"))
-    return (
-        every.join(rep, "doc_id", "left")
-        .join(degree, "rep", "left")
-        .join(final.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
-        .select("doc_id", F.coalesce("component", "doc_id").alias("class_id"), "n_shingles", F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-    )
+    band = F.transform("band_keys", lambda k, i: F.xxhash64(i, k))
+    buckets = materialize(keyed.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(band)).alias("bucket")), "buckets")
+    # an id with several texts ties their classes together
+    tied = members.groupBy("doc_id").agg(F.min("rep").alias("src"), F.max("rep").alias("dst")).where("src <> dst").select("src", "dst")
+    groups = link_buckets(buckets, lambda pairs: verify(pairs, texts, id_col, text_col, width), threshold, lambda mixed: family_links(mixed, texts, id_col, text_col, width, threshold, bands * rows), tied)
+    rep = members.groupBy("doc_id").agg(F.min("rep").alias("rep")).join(groups.select(F.col("node").alias("rep"), "component"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("class_id"))
+    return marks.groupBy("doc_id").agg(F.max("n").alias("n_shingles")).join(rep, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_shingles")
