@@ -9,6 +9,8 @@ from itertools import combinations
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from faultline.llm import langid, lattice, linededup, minhash, quality, queries, rules, topk, warc
@@ -193,13 +195,40 @@ def test_line_dedup_keeps_one_of_each_group(spark):
     want = [(None, b, 1, 0), (1, f"{a}\nshort one", 3, 1), (2, "short one", 2, 1), (4, None, 0, 0), (5, "", 1, 0), (6, "", 2, 2)]
     assert [g for g in got if g[0] not in (3, 7)] == sorted(want, key=str)
     assert [g[1:] for g in got if g[0] == 7] == [("x y z w v " * 4000, 1, 0)] * 2
-    h = minhash.WordHashes()
-    s = linededup.simhashes([linededup.normalise(t).encode().split() for t in (a, near)], h).view(np.uint32).reshape(2, 4)
-    shared = (s[0] == s[1]).any()
+    prints = linededup.fingerprints([a, near], 5)[3].view(np.uint32).reshape(2, 4)
+    shared = (prints[0] == prints[1]).any()
     assert [g for g in got if g[0] == 3] == [(3, "" if shared else near, 1, int(shared))]
     assert linededup.dedup_lines(table(spark, []).limit(0)).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab c", max_size=14), st.text(alphabet="ab c", max_size=14))
+def test_edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    assert linededup.edit_distance(a, b) == row[-1]
+
+
+def test_fingerprints_equal_a_loop():
+    texts = ["", "One two three four five 11 2234\n\nshort\n", "ONE, two; three four five: 3 44", "x " * 700 + "\na b c d e", "\n\n", "é à ü ö ñ", "a b c d f"]
+    text, line, keys, prints = linededup.fingerprints(texts, 5)
+    want = [(i, n, linededup.normalise(x)) for i, t in enumerate(texts) for n, x in enumerate(t.split("\n")) if len(linededup.normalise(x).split()) >= 5]
+    assert list(zip(text.tolist(), line.tolist())) == [w[:2] for w in want]
+    by_key = {}
+    for k, w in zip(map(tuple, keys.tolist()), want):
+        assert by_key.setdefault(k, w[2]) == w[2]
+    assert len(by_key) == len({w[2] for w in want})
+    # a pair alone has its own bits; a line has its pairs' majority
+    pair = lambda a, b: np.unpackbits(linededup.fingerprints([f"{a} {b}"], 2)[3].view(np.uint8)).astype(int)
+    for p, (_, _, t) in zip(prints, want):
+        w = t.split()
+        bits = sum(pair(a, b) for a, b in zip(w, w[1:]))
+        assert (np.packbits(2 * bits > len(w) - 1) == p.view(np.uint8)).all()
+
+
 def test_line_dedup_leaves_no_equal_lines(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = linededup.dedup_lines(docs).collect()
