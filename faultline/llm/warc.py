@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.plans.runtime import fresh_path
+from faultline.plans.runtime import fresh_path, materialize
 
 CRLF = "\r\n"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+#: Revisits of this many at most, two numbers each, are broadcast to the pages; more are joined.
+BROADCAST_ROWS = 500_000
 #: Payloads under this size are never revisits.
 MIN_REVISIT = 1000
 RECORDS = "archive string, at long, kind string, page_id long, url string, refers_to long, payload binary, digest string, payload_length long, gap_end long, reason string"
@@ -37,8 +39,9 @@ def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     # the html stays out of the exchange that finds the originals
     large = rows.where(F.col("size") >= MIN_REVISIT).select("page_id", "digest")
     original = large.groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("copies")).where("copies > 1").select("digest", "original")
-    revisits = large.join(original, "digest").where("page_id <> original").select("page_id", F.col("original").alias("refers_to")).distinct()
-    return rows.join(revisits, "page_id", "left")
+    revisits = materialize(large.join(original, "digest").where("page_id <> original").select("page_id", F.col("original").alias("refers_to")).distinct(), "revisits")
+    few = revisits.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(revisits) if few else revisits, "page_id", "left")
 
 
 def _uuid(key: Column) -> Column:
