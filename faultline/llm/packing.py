@@ -8,7 +8,9 @@ own. Nothing is shuffled and no task needs another's rows.
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import accumulate
 
 import numpy as np
@@ -20,14 +22,20 @@ from pyspark.sql import functions as F
 from faultline.llm.pieces import by_chars
 from faultline.plans.runtime import materialize
 
-#: The word cache of a task starts anew beyond this many entries.
-CACHE_WORDS = 300_000
+#: The cache of a worker starts anew beyond this many entries.
+CACHE_PARTS = 700_000
+#: Texts of Latin letters, digits, ASCII signs and plain white space without an apostrophe (which may join letters).
+PLAIN = re.compile(r"[\t\n\r !-&(-~\u00c0-\u012f\u0131-\u024f]*")
+#: In lower case: runs of letters, and runs of signs and digits; no token holds something of both.
+PARTS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u024f]+|[^\t\n\r a-z\u00df-\u00f6\u00f8-\u024f]+")
 
 
 class WordCodec:
-    """Ids of whole texts from cached ids of their words.
+    """Ids of whole texts from cached ids of their parts.
 
-    For tokenizers that drop white space and never join across it; a word is what lies between spaces, tabs and line ends.
+    For tokenizers that drop white space, never join across it, fold case and keep letters apart from other signs. Plain
+    texts are taken apart into runs of letters and runs of other signs, other texts at spaces, tabs and line ends; the
+    library sees each different part once.
     """
 
     def __init__(self, path: str):
@@ -36,20 +44,32 @@ class WordCodec:
 
         self.library = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
-        self.cache: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {"": b""}
+
+    @staticmethod
+    def _split(text: str) -> list[str]:
+        if PLAIN.fullmatch(text) and "<|" not in text:
+            return PARTS.findall(text.lower())
+        return text.replace("\n", " ").replace("\t", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text."""
-        split = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        if len(self.cache) > CACHE_WORDS:
-            self.cache = {"": b""}
-        new = list(set().union(*split).difference(self.cache)) if split else []
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for word, found in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[word] = np.array(found.ids, self.kind).tobytes()
-        get = self.cache.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        split = [self._split(t) for t in texts]
+        if len(self.parts) > CACHE_PARTS:
+            self.parts = {"": b""}
+        unseen = list(set().union(*split).difference(self.parts))
+        for i in range(0, len(unseen), 10_000):
+            some = unseen[i : i + 10_000]
+            for part, found in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                self.parts[part] = np.array(found.ids, self.kind).tobytes()
+        get = self.parts.__getitem__
+        return [b"".join(map(get, parts)) for parts in split]
+
+
+@cache
+def codec_of(path: str) -> WordCodec:
+    """The codec of a worker, kept from task to task."""
+    return WordCodec(path)
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -57,7 +77,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str = "d
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, at, part_no = WordCodec(tokenizer_path), 0, TaskContext.get().partitionId()
+        codec, at, part_no = codec_of(tokenizer_path), 0, TaskContext.get().partitionId()
         end = np.array([end_id], codec.kind).tobytes()
         for batch in batches:
             for part in by_chars(batch, 1, 2_000_000):
