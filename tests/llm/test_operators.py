@@ -236,6 +236,30 @@ def test_line_dedup_leaves_no_equal_lines(spark):
     assert len(rows) == docs.count() and max(left.values()) == 1
 
 
+def planted(words, kind, seed=0):
+    """A line of ``words`` words and an edited copy at edit similarity 0.9 or more: one word changed, one in twelve, or 5 % of its signs."""
+    r = random.Random(f"{words} {kind} {seed}")
+    while True:
+        a = ["".join(r.choice("etaoinshrdlucmfwyp") for _ in range(r.randint(3, 8))) for _ in range(words)]
+        b = list(a)
+        for _ in range({"word": 1, "words": max(1, words // 12)}.get(kind, 0)):
+            b[r.randrange(words)] = "".join(r.choice("etaoinshrdlucmfwyp") for _ in range(5))
+        a, b = " ".join(a), " ".join(b)
+        if kind == "signs":
+            b = "".join(r.choice("etaoins") if c != " " and r.random() < 0.05 else c for c in a)
+        if a != b and 1 - linededup.edit_distance(a, b) / max(len(a), len(b)) >= 0.9:
+            return a, b
+
+
+def test_line_dedup_finds_planted_edits(spark):
+    pairs = [planted(n, kind, k) for n in (10, 20, 30, 50, 100) for kind in ("word", "words", "signs") for k in range(20)]
+    rows = [(2 * i + j, t, None) for i, p in enumerate(pairs) for j, t in enumerate(p)]
+    got = {r.doc_id: r.ld_removed for r in linededup.dedup_lines(table(spark, rows)).collect()}
+    found = np.array([got[2 * i + 1] for i in range(len(pairs))]).reshape(5, 3, 20)
+    assert not any(got[2 * i] for i in range(len(pairs)))
+    assert found[:, :2].mean() >= 0.99 and found[:, 2].mean() >= 0.9
+
+
 # --- quality -------------------------------------------------------------------------------------------------------------
 
 
