@@ -251,6 +251,13 @@ def planted(words, kind, seed=0):
             return a, b
 
 
+def test_line_dedup_takes_short_lines_and_lines_without_spaces(spark):
+    long = "".join(chr(0x4E00 + random.Random(7).randrange(3000) + i) for i in range(60))
+    texts = [f"Subscribe now\n{long}\n***\n\n}}", f"subscribe, now!\n\n***\n{long}\n---\n }}", f"{long[:-1]}x\nsubscribe later\n*** \n \n"]
+    got = {r.doc_id: (r.text, r.ld_removed) for r in linededup.dedup_lines(table(spark, [(i, t, None) for i, t in enumerate(texts)])).collect()}
+    assert got == {0: (texts[0], 0), 1: ("\n---", 4), 2: ("subscribe later\n \n", 2)}
+
+
 def test_line_dedup_finds_planted_edits(spark):
     pairs = [planted(n, kind, k) for n in (10, 20, 30, 50, 100) for kind in ("word", "words", "signs") for k in range(20)]
     rows = [(2 * i + j, t, None) for i, p in enumerate(pairs) for j, t in enumerate(p)]
