@@ -47,12 +47,13 @@ def _repeat_words(words: Column, n: Column) -> Column:
 
     Most texts repeat nothing and stop at the distinct count. For the others a window's number holds its hash but for the
     low bits, which hold its place: one primitive sort then brings equal windows together with their places. The place takes
-    10, 15, 20 or 31 bits by the text's length, so at least 49 hash bits tell windows apart below 32,768 words.
+    10 or 15 bits by the text's length, so at least 49 hash bits tell windows apart; from 32,768 windows on hash and place are
+    sorted side by side and all 64 bits do.
     """
     hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
 
     def covered(h: Column) -> Column:
-        by_size = F.when(F.size(h) < 1 << 10, _covered(h, 10)).when(F.size(h) < 1 << 15, _covered(h, 15)).when(F.size(h) < 1 << 20, _covered(h, 20)).otherwise(_covered(h, 31))
+        by_size = F.when(F.size(h) < 1 << 10, _covered(h, 10)).when(F.size(h) < 1 << 15, _covered(h, 15)).otherwise(_covered_long(h))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("bigint")).otherwise(by_size)
 
     return F.when(n < 4, F.lit(0).cast("bigint")).otherwise(_bind(hashes, covered))
@@ -72,8 +73,23 @@ def _covered(h: Column, bits: int) -> Column:
         equal = lambda x, y: F.when(x.bitwiseXOR(y).between(0, (1 << bits) - 1), F.array(x, y))
         return F.filter(F.zip_with(s, F.slice(s, 2, F.size(s)), equal), lambda p: p.isNotNull())
 
-    places = F.sort_array(F.transform(F.array_distinct(F.flatten(_bind(tagged, pairs))), lambda x: x.bitwiseAND(low)))
-    return _bind(places, lambda p: F.aggregate(F.zip_with(p, F.slice(p, 2, F.size(p)), lambda x, y: F.least(F.lit(3).cast("bigint"), F.coalesce(y - x, F.lit(3).cast("bigint")))), F.lit(0).cast("bigint"), lambda a, x: a + x))
+    return _union(F.transform(F.array_distinct(F.flatten(_bind(tagged, pairs))), lambda x: x.bitwiseAND(low)))
+
+
+def _covered_long(h: Column) -> Column:
+    """As :func:`_covered`, by whole hashes."""
+    tagged = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.cast("bigint").alias("i"))))
+
+    def pairs(s: Column) -> Column:
+        equal = lambda x, y: F.when(x["h"] == y["h"], F.array(x["i"], y["i"]))
+        return F.filter(F.zip_with(s, F.slice(s, 2, F.size(s)), equal), lambda p: p.isNotNull())
+
+    return _union(F.array_distinct(F.flatten(_bind(tagged, pairs))))
+
+
+def _union(places: Column) -> Column:
+    """The size of the union of [p, p + 2] over ``places``."""
+    return _bind(F.sort_array(places), lambda p: F.aggregate(F.zip_with(p, F.slice(p, 2, F.size(p)), lambda x, y: F.least(F.lit(3).cast("bigint"), F.coalesce(y - x, F.lit(3).cast("bigint")))), F.lit(0).cast("bigint"), lambda a, x: a + x))
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

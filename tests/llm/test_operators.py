@@ -53,6 +53,12 @@ def test_rules_measure_apply_and_ablate(spark):
     assert rules.ledger(table(spark, []).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n", [40_000, 1_600_000])
+def test_rules_count_repeats_of_long_texts_exactly(spark, n):
+    text = " ".join([*map(str, range(n)), "7", "8", "9"])  # one window twice
+    assert [r.n_repeat_words for r in rules.measure(table(spark, [(1, text, None)])).collect()] == [6]
+
+
 def test_rules_plan_has_no_python(spark):
     plan = queries.op6_quality_rules(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
