@@ -24,8 +24,10 @@ from faultline.plans.runtime import materialize
 
 #: The cache of a worker starts anew beyond this many entries.
 CACHE_PARTS = 700_000
+#: Latin characters beyond ASCII whose lower case is one of them too.
+LATIN = "".join(c for c in map(chr, range(0xC0, 0x250)) if len(c.lower()) == 1 and 0xC0 <= ord(c.lower()) < 0x250)
 #: Texts of Latin letters, digits, ASCII signs and plain white space without an apostrophe (which may join letters).
-PLAIN = re.compile(r"[\t\n\r !-&(-~\u00c0-\u012f\u0131-\u024f]*")
+PLAIN = re.compile(rf"[\t\n\r !-&(-~{LATIN}]*")
 #: In lower case: runs of letters, and runs of signs and digits; no token holds something of both.
 PARTS = re.compile(r"[a-z\u00df-\u00f6\u00f8-\u024f]+|[^\t\n\r a-z\u00df-\u00f6\u00f8-\u024f]+")
 

@@ -58,6 +58,13 @@ def test_character_map_takes_the_longest_prefix_and_aligns():
     assert align.tolist() == [0, 0, 0, 2, 2, 4, 4, 4, 6, 7, 7, 7, 8, 10]
 
 
+def test_word_cache_takes_every_character_of_its_fast_class():
+    codec = packing.WordCodec(model_path("word_bpe_49k.json"))
+    for c in map(chr, (*range(9, 14), *range(32, 127), *range(0xA0, 0x250))):
+        text = f"A{c}b {c} {c}{c} 1{c}x {c}"
+        assert np.frombuffer(codec.encode([text])[0], codec.kind).tolist() == codec.library.encode(text, add_special_tokens=False).ids, hex(ord(c))
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.one_of(st.text(), st.text(alphabet=[chr(c) for c in (*range(9, 14), *range(32, 127), *range(0xA0, 0x250), 0x301, 0x307)])))
 def test_word_cache_equals_the_tokenizer(text):
