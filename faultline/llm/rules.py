@@ -45,15 +45,14 @@ def mask(policy: str, policies: Mapping[str, tuple[str, ...]] = POLICIES, rules:
 def _repeat_words(words: Column, n: Column) -> Column:
     """How many words lie in a three-word window that occurs twice or more in ``words``.
 
-    Most texts repeat nothing and stop at the distinct count. For the others a window's number holds its hash but for the
-    low bits, which hold its place: one primitive sort then brings equal windows together with their places. The place takes
-    10 or 15 bits by the text's length, so at least 49 hash bits tell windows apart; from 32,768 windows on hash and place are
-    sorted side by side and all 64 bits do.
+    Most texts repeat nothing and stop at the distinct count. For the others windows are sorted by their 64-bit hashes. Up to
+    1,023 windows the low ten bits of the hash give way to the window's place, and one primitive sort brings equal windows
+    together with their places (54 bits tell so few windows apart); of longer texts whole hash and place are sorted side by side.
     """
     hashes = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
 
     def covered(h: Column) -> Column:
-        by_size = F.when(F.size(h) < 1 << 10, _covered(h, 10)).when(F.size(h) < 1 << 15, _covered(h, 15)).otherwise(_covered_long(h))
+        by_size = F.when(F.size(h) < 1 << 10, _covered(h, 10)).otherwise(_covered_long(h))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("bigint")).otherwise(by_size)
 
     return F.when(n < 4, F.lit(0).cast("bigint")).otherwise(_bind(hashes, covered))
@@ -96,7 +95,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` to one row of measurements per row: words, characters, symbols, lines, repeats, letters.
 
     A null or empty text has no words and zeros throughout. Texts of any length are measured whole. Repeated rows are
-    measured each on its own; other columns of ``docs`` take no part, whatever their names.
+    measured each on its own; other columns of ``docs`` take no part, whatever their names. An empty table gives an empty table.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
@@ -141,15 +140,17 @@ def apply_policy(rows: DataFrame, policy: str, policies: Mapping[str, tuple[str,
 def ablations(rows: DataFrame, policy: str, policies: Mapping[str, tuple[str, ...]] = POLICIES, rules: Mapping[str, str] = RULES) -> DataFrame:
     """What each rule of a policy does: texts it fails, and texts that only it fails (kept again if it were left out).
 
-    One aggregation over the ledger; ``any_bits`` and ``all_bits`` are its bitwise OR and AND over the rejected texts.
+    The ledger is counted by its pattern of the policy's bits; all else is bit arithmetic over the patterns, of which there are
+    no more than subsets of rules. ``n`` counts the ledger's rows, ``any_bits`` and ``all_bits`` are the bitwise OR and AND over the
+    rejected ones.
     """
     m = mask(policy, policies, rules)
-    own = F.col("fail_bits").bitwiseAND(F.lit(m).cast("bigint"))
+    patterns = rows.groupBy(F.col("fail_bits").bitwiseAND(F.lit(m).cast("bigint")).alias("bits")).agg(F.count("*").alias("texts"))
     names = list(rules)
     counts = []
     for r in policies[policy]:
-        bit = 1 << names.index(r)
-        counts += [F.count_if(own.bitwiseAND(F.lit(bit).cast("bigint")) != 0).alias(f"{r}__fails"), F.count_if(own == bit).alias(f"{r}__alone")]
-    one = rows.agg(F.count("*").alias("n"), F.bit_or(F.when(own != 0, own)).alias("any_bits"), F.bit_and(F.when(own != 0, own)).alias("all_bits"), *counts)
-    each = [F.struct(F.lit(r).alias("rule"), F.col(f"{r}__fails").alias("fails"), F.col(f"{r}__alone").alias("alone")) for r in policies[policy]]
-    return one.select("n", "any_bits", "all_bits", F.inline(F.array(*each)))
+        k = names.index(r)
+        counts.append(F.struct(F.lit(r).alias("rule"), F.coalesce(F.sum(F.getbit("bits", F.lit(k)) * F.col("texts")), F.lit(0)).alias("fails"), F.coalesce(F.sum(F.when(F.col("bits") == 1 << k, F.col("texts"))), F.lit(0)).alias("alone")))
+    rejected = F.when(F.col("bits") != 0, F.col("bits"))
+    one = patterns.agg(F.coalesce(F.sum("texts"), F.lit(0)).alias("n"), F.bit_or(rejected).alias("any_bits"), F.bit_and(rejected).alias("all_bits"), F.array(*counts).alias("each"))
+    return one.select("n", "any_bits", "all_bits", F.inline("each"))
