@@ -133,14 +133,13 @@ class PieceCodec:
         raw = text.encode()
         norm, align = self.normalise(raw)
         lengths = self.lengths[ids]
-        if (ids == self.unknown).any():
-            # without byte fallback an unknown piece covers a run of characters; the library says which
+        ends = np.cumsum(lengths)
+        if (ids == self.unknown).any() or (ends[-1] if len(ends) else 0) != len(norm):
+            # without byte fallback an unknown piece covers a run of characters; the library says which, and also where
+            # pieces and normalised text do not tile
             parts = self.library.encode(text, out_type="immutable_proto").pieces
             cut = np.cumsum([0, *(len(c.encode()) for c in text)])
             return np.array([cut[p.begin] for p in parts], np.int64), np.array([cut[p.end] for p in parts], np.int64)
-        ends = np.cumsum(lengths)
-        if (ends[-1] if len(ends) else 0) != len(norm):
-            raise ValueError(f"pieces cover {ends[-1] if len(ends) else 0} of {len(norm)} normalised bytes")
         return align[ends - lengths], align[ends]
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -157,7 +156,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     the two added ids); all three are little-endian unsigned 32-bit integers packed as binary. ``decoded`` is what the ids
     decode to. A null text counts as empty: two ids, no span. Texts are encoded whole whatever their length, in Arrow
     batches cut by size, so a task holds a few MB and the longest text. Repeated rows are encoded each; other columns are not
-    read. The model file must be at the same path on every worker (ship it with the tokenizer package).
+    read; an empty table gives an empty table. The model file must be at the same path on every worker (ship it with the tokenizer package).
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     id_type = source.schema["doc_id"].dataType.simpleString()
