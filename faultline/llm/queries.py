@@ -66,8 +66,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = warc.round_trip(table(spark, sf_dir, "pages"))
-    return rows.where("kind <> 'gap'").select("page_id", F.col("payload_length").alias("payload_bytes"), F.coalesce(F.sha1("payload"), "digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "url")
+    rows = warc.resolve(warc.round_trip(table(spark, sf_dir, "pages")))
+    return rows.select("page_id", F.col("payload_length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("kind").alias("record_type"), "refers_to", "url")
 
 
 def op10_lattice_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

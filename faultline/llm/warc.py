@@ -22,8 +22,6 @@ CRLF = "\r\n"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-#: Revisits of this many at most, two numbers each, are broadcast to the pages; more are joined.
-BROADCAST_ROWS = 500_000
 #: Payloads under this size are never revisits.
 MIN_REVISIT = 1000
 RECORDS = "archive string, at long, kind string, page_id long, url string, refers_to long, payload binary, digest string, payload_length long, gap_end long, reason string"
@@ -33,15 +31,17 @@ RECORDS = "archive string, at long, kind string, page_id long, url string, refer
 
 
 def plan_records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(page_id, url, html, digest, size, refers_to)``: of equal payloads of 1000 bytes or more the largest id is the original."""
+    """``(page_id, url, html, digest, size, refers_to)``: of equal payloads of 1000 bytes or more the largest id is the original.
+
+    Originals that have copies are found without the html and written; the pages then meet them by digest in a plain join.
+    """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.encode("html", "utf-8"))).withColumn("size", F.octet_length("html").cast("long"))
-    # the html stays out of the exchange that finds the originals
-    large = rows.where(F.col("size") >= MIN_REVISIT).select("page_id", "digest")
-    original = large.groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("copies")).where("copies > 1").select("digest", "original")
-    revisits = materialize(large.join(original, "digest").where("page_id <> original").select("page_id", F.col("original").alias("refers_to")).distinct(), "revisits")
-    few = revisits.count() <= BROADCAST_ROWS
-    return rows.join(F.broadcast(revisits) if few else revisits, "page_id", "left")
+    large = rows.where(F.col("size") >= MIN_REVISIT)
+    found = large.groupBy("digest").agg(F.max("page_id").alias("original"), F.count("*").alias("copies")).where("copies > 1")
+    originals = materialize(found.select(F.col("digest").alias("of"), "original"), "originals")
+    refers_to = F.when(F.col("page_id") < F.col("original"), F.col("original")).alias("refers_to")
+    return rows.join(originals, (F.col("digest") == F.col("of")) & (F.col("size") >= MIN_REVISIT), "left").select(*rows.columns, refers_to)
 
 
 def _uuid(key: Column) -> Column:
@@ -71,14 +71,15 @@ def record_text(rows: DataFrame) -> Column:
 
 
 def write(pages: DataFrame, path: str, per_file: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Writes ``pages`` as WARC archives of ``per_file`` records under ``path``, committed as Spark commits any table.
+    """Writes ``pages`` as gzipped WARC archives of ``per_file`` records under ``path``, committed as Spark commits any table.
 
-    Null html is an empty payload, a null url an empty one. Rows with a null id are left out; rows that repeat an id are
-    written each, and an id whose payload another row has under a larger id is a revisit throughout. An empty table writes
-    no record. Payloads of any length are whole; other columns are not read.
+    Null html is an empty payload, a null url an empty one. Rows with a null id are left out. Rows that repeat an id are
+    written each by its own payload: as a revisit where a row with a larger id has that payload too, else as a response (so
+    rows equal in id and payload are responses both). An empty table writes no record. Payloads of any length are whole;
+    other columns are not read. A reader takes an archive as one value, so choose ``per_file`` with the pages' size in mind.
     """
     rows = plan_records(pages.where(F.col(id_col).isNotNull()), id_col, url_col, html_col)
-    rows.select(record_text(rows).alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", per_file).text(path)
+    rows.select(record_text(rows).alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
 
 
 # --- reading -------------------------------------------------------------------------------------------------------------
@@ -135,6 +136,17 @@ def parse_member(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(out), min(k, len(data)) - len(z.unused_data)
 
 
+def inflated(data: bytes, at: int) -> bytes:
+    """What can still be inflated of a damaged gzip member."""
+    z, out = zlib.decompressobj(31), []
+    try:
+        for k in range(at, len(data), 4096):
+            out.append(z.decompress(data[k : k + 4096]))
+    except zlib.error:
+        pass
+    return b"".join(out)
+
+
 def _one(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]:
     """The valid records that begin at ``at``, one or a member's, and where they end."""
     if data[at : at + 3] != MEMBER:
@@ -149,7 +161,11 @@ def _one(data: bytes, at: int) -> tuple[list[tuple[dict[str, str], bytes]], int]
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str, dict[str, str], bytes]]:
-    """``(start, end, reason, headers, block)`` of an archive: valid records with no reason, gaps with one."""
+    """``(start, end, reason, headers, block)`` of an archive: valid records with no reason, gaps with one.
+
+    Of a damaged gzip member the responses that others follow before the damage and whose digest holds are recovered; they and
+    the gap have the same bounds.
+    """
     starts = [m.start() for m in re.finditer(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08", data)]
     at, nxt = 0, 0
     while at < len(data):
@@ -167,6 +183,15 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str, dict[str, str], bytes]
                 except Bad:
                     nxt += 1
             at = starts[nxt] if nxt < len(starts) else len(data)
+            if data[first : first + 3] == MEMBER:
+                inner, k = inflated(data, first), 0
+                try:
+                    while (record := parse_record(inner, k))[2] < len(inner):
+                        headers, block, k = record
+                        if headers["warc-type"] == "response" and headers.get("warc-payload-digest", "").startswith("sha1:"):
+                            yield first, at, "", headers, block
+                except Bad:
+                    pass
             yield first, at, reason, {}, b""
             continue
         for headers, block in found:
@@ -213,3 +238,16 @@ def round_trip(pages: DataFrame, per_file: int = 1000) -> DataFrame:
     path = fresh_path(pages.sparkSession, "warc")
     write(pages, path, per_file)
     return read(pages.sparkSession, path)
+
+
+def resolve(records: DataFrame) -> DataFrame:
+    """Of ``read``'s rows the records as ``(page_id, url, kind, refers_to, payload_length, digest)``, without payloads.
+
+    Length and digest are those of the full payload: a response's own, a revisit's from the response that it refers to (the
+    header's claim where that one was not recovered). Gaps are left out.
+    """
+    kept = records.where("kind <> 'gap'").select("page_id", "url", "kind", "refers_to", F.coalesce(F.sha1("payload"), "digest").alias("digest"), F.coalesce(F.octet_length("payload").cast("long"), "payload_length").alias("payload_length"))
+    kept = materialize(kept, "records")
+    originals = kept.where("kind = 'response' and payload_length >= %d" % MIN_REVISIT).select(F.col("page_id").alias("refers_to"), "digest", F.col("payload_length").alias("full")).distinct()
+    revisits = kept.where("kind = 'revisit'").join(originals, ["refers_to", "digest"], "left").withColumn("payload_length", F.coalesce("full", "payload_length"))
+    return kept.where("kind <> 'revisit'").unionByName(revisits.select(*kept.columns))
