@@ -1,8 +1,8 @@
 """Language-model scores from a subword lattice.
 
 Every word is the sum over all its segmentations into pieces of an existing vocabulary, by a forward recursion in log space.
-The pieces' weights start from the vocabulary's own scores and are re-estimated on the training words by expected counts. A
-whole-word arc, weighted by the word's training count, joins the lattice, so frequent words cost what they should.
+The pieces weigh what the vocabulary's own scores say. A whole-word arc, weighted by the word's training count, joins the
+lattice, so frequent words cost what they should.
 
 The work is done once for each distinct word of the corpus, not for each occurrence: a table of distinct words carries
 counts and scores; its most frequent words, a fixed number, are looked up from a broadcast and the others by a join.
@@ -78,18 +78,6 @@ class Lattice:
             alpha[:, j] = top + np.log(np.exp(terms - top[:, None]).sum(1))
         return alpha
 
-    def backward(self, x: np.ndarray, arcs: dict[int, np.ndarray]) -> np.ndarray:
-        """Log probability of every suffix."""
-        n = x.shape[1]
-        weight = {size: np.where(a >= 0, self.log_p[a], -np.inf) for size, a in arcs.items()}
-        beta = np.full((len(x), n + 1), -np.inf)
-        beta[:, n] = 0
-        for j in range(n - 1, -1, -1):
-            terms = np.stack([beta[:, j + size] + w[:, j] for size, w in weight.items() if j + size <= n], 1)
-            top = terms.max(1)
-            beta[:, j] = top + np.log(np.exp(terms - top[:, None]).sum(1))
-        return beta
-
     @staticmethod
     def groups(words: list[bytes], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Words (each with its leading space) of equal length, as places in ``words`` and a matrix of bytes."""
@@ -108,19 +96,6 @@ class Lattice:
             out[places] = self.forward(x, self.arcs(x))[:, -1]
         return out
 
-    def expected(self, words: list[bytes]) -> np.ndarray:
-        """Expected uses of each piece over the words' segmentations."""
-        out = np.zeros(len(self.pieces))
-        for _, x in self.groups(words):
-            arcs = self.arcs(x)
-            alpha, beta = self.forward(x, arcs), self.backward(x, arcs)
-            for size, a in arcs.items():
-                row, col = np.nonzero(a >= 0)
-                k = a[row, col]
-                use = np.exp(alpha[row, col] + self.log_p[k] + beta[row, col + size] - beta[row, 0])
-                out += np.bincount(k, use, len(out))
-        return out
-
 
 def existing_vocabulary(model_path: str) -> Lattice:
     """The pieces of a sentencepiece model that lower-case words can use, weighted by its scores.
@@ -169,36 +144,7 @@ def count_words(docs: DataFrame, training: Column, text_col: str = "text") -> Da
     return source.mapInArrow(run, "word binary, n long, n_train long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_train").alias("n_train"))
 
 
-def estimate(words: DataFrame, lattice: Lattice, rounds: int = 2) -> Lattice:
-    """Re-weights the pieces by their expected uses in the distinct training words.
-
-    Each word counts once, whatever its frequency: frequent words have arcs of their own, and the segmentations are there for
-    words not seen before, which are made as rare words are. What reaches the driver is a number a piece.
-    """
-    train = words.where("n_train > 0 and word <> X''").select("word")
-    sc = words.sparkSession.sparkContext
-    for _ in range(rounds):
-        held = sc.broadcast((lattice.pieces, lattice.log_p))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            own, total = Lattice(*held.value), 0
-            for batch in batches:
-                for i in range(0, batch.num_rows, 50_000):
-                    part = batch.slice(i, 50_000)
-                    total = total + own.expected(part.column(0).to_pylist())
-            if np.ndim(total):
-                used = np.flatnonzero(total)
-                yield pa.record_batch([pa.array(used, pa.int32()), pa.array(total[used])], names=["piece", "uses"])
-
-        uses = np.full(len(lattice.pieces), 1e-3)
-        for r in train.mapInArrow(run, "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).collect():
-            uses[r.piece] += r.uses
-        lattice = Lattice(lattice.pieces, np.log(uses / uses.sum()))
-        held.unpersist()
-    return lattice
-
-
-def score(docs: DataFrame, model_path: str, training: Column, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
+def score(docs: DataFrame, model_path: str, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` to ``(doc_id, n_tokens, n_known, train_tokens, base_score, score)``, one row per row.
 
     Tokens are a text's words and one end. With N training tokens, V distinct ones and c a token's count, ``base_score`` sums
@@ -214,12 +160,10 @@ def score(docs: DataFrame, model_path: str, training: Column, id_col: str = "doc
     total = words.agg(F.sum("n_train").alias("n"), F.count_if(F.expr("n_train > 0")).alias("v"), F.count_if(F.expr("n_train = 1 and word <> X''")).alias("once")).first()
     n, v = total.n or 0, total.v or 0
     new = (total.once + 1) / (n + 1) if n else 1.0
-    lattice = estimate(words, existing_vocabulary(model_path), rounds)
+    lattice = existing_vocabulary(model_path)
     held = spark.sparkContext.broadcast((lattice.pieces, lattice.log_p))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         own = Lattice(*held.value)
         for batch in batches:
             for i in range(0, batch.num_rows, 50_000):
@@ -234,16 +178,14 @@ def score(docs: DataFrame, model_path: str, training: Column, id_col: str = "doc
                     rest = np.flatnonzero((p <= 0) & ~lone)
                     long[rest] = (own.log_probs([texts[k] for k in rest]) + math.log(new)) / math.log(10)
                 base = np.log10((c + ADD) / (n + ADD * (v + 1)))
-                yield pa.record_batch([pa.array([_hash(xxhash, t) for t in texts], pa.int64()), part.column(0), part.column(1), pa.array(c > 0), pa.array(base), pa.array(long)], names=["h", "word", "n", "known", "base", "score"])
+                yield pa.record_batch([*_hashes(texts), part.column(0), part.column(1), pa.array(c > 0), pa.array(base), pa.array(long)], names=["h", "g", "word", "n", "known", "base", "score"])
 
-    weighed = materialize(words.mapInArrow(weigh, "h long, word binary, n long, known boolean, base double, score double"), "weighed")
+    weighed = materialize(words.mapInArrow(weigh, "h long, g long, word binary, n long, known boolean, base double, score double"), "weighed")
     top = _most_frequent(weighed).select("word", "known", "base", "score").toPandas()
     frequent = spark.sparkContext.broadcast((top["word"].map(bytes).tolist(), top[["known", "base", "score"]].to_numpy(np.float64)))
     id_type = source.schema["doc_id"].dataType.simpleString()
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         names, values = frequent.value
         place = {w: i for i, w in enumerate(names)}
         values = np.vstack([values, np.zeros(3)])
@@ -257,18 +199,19 @@ def score(docs: DataFrame, model_path: str, training: Column, id_col: str = "doc
                     sums.append(values[at].sum(0))
                     tokens.append(len(split))
                     missed = np.flatnonzero(at < 0).tolist()
-                    rare += [_hash(xxhash, split[k]) for k in missed]
+                    rare += [split[k] for k in missed]
                     rare_of += [row] * len(missed)
                     ids.append(row)
                     row += 1
                 sums = np.array(sums).reshape(-1, 3)
                 m, k = len(ids), len(rare)
                 none = [None] * k
+                keys = _hashes([*(i.to_bytes(8, "little") for i in ids), *rare])
                 # a text's own row takes part in the join under a key of its own, so that all come out of one exchange
                 yield pa.record_batch(
                     [
                         pa.array(ids + rare_of, pa.int64()),
-                        pa.array([_hash(xxhash, i.to_bytes(8, "little")) for i in ids] + rare, pa.int64()),
+                        *keys,
                         pa.array([False] * m + [True] * k),
                         pa.concat_arrays([part.column(0), pa.nulls(k, part.column(0).type)]),
                         pa.array(tokens + none, pa.int64()),
@@ -276,12 +219,12 @@ def score(docs: DataFrame, model_path: str, training: Column, id_col: str = "doc
                         pa.array(sums[:, 1].tolist() + none, pa.float64()),
                         pa.array(sums[:, 2].tolist() + none, pa.float64()),
                     ],
-                    names=["row", "h", "rare", "doc_id", "tokens", "known", "base", "score"],
+                    names=["row", "h", "g", "rare", "doc_id", "tokens", "known", "base", "score"],
                 )
 
-    rows = source.mapInArrow(look_up, f"row long, h long, rare boolean, doc_id {id_type}, tokens long, known long, base double, score double")
-    side = weighed.select(F.col("h").alias("wh"), F.col("known").cast("long").alias("wknown"), F.col("base").alias("wbase"), F.col("score").alias("wscore"))
-    joined = rows.join(side, (F.col("h") == F.col("wh")) & F.col("rare"), "left")
+    rows = source.mapInArrow(look_up, f"row long, h long, g long, rare boolean, doc_id {id_type}, tokens long, known long, base double, score double")
+    side = weighed.select(F.col("h").alias("wh"), F.col("g").alias("wg"), F.col("known").cast("long").alias("wknown"), F.col("base").alias("wbase"), F.col("score").alias("wscore"))
+    joined = rows.join(side, (F.col("h") == F.col("wh")) & (F.col("g") == F.col("wg")) & F.col("rare"), "left")
     own = lambda c: F.sum(F.when(F.col("rare"), F.col(f"w{c}")).otherwise(F.col(c)))
     return joined.groupBy("row").agg(F.max(F.when(~F.col("rare"), F.col("doc_id"))).alias("doc_id"), F.max("tokens").alias("n_tokens"), own("known").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), own("base").alias("base_score"), own("score").alias("score")).drop("row")
 
@@ -302,6 +245,9 @@ def _most_frequent(words: DataFrame) -> DataFrame:
     return words.where(step >= cut)
 
 
-def _hash(xxhash, data: bytes) -> int:
-    h = xxhash.xxh64_intdigest(data)
-    return h - (1 << 64) if h >> 63 else h
+def _hashes(words: list[bytes]) -> list[pa.Array]:
+    """128-bit hashes as two columns of longs."""
+    import xxhash
+
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.int64).reshape(-1, 2)
+    return [pa.array(np.ascontiguousarray(both[:, i])) for i in (0, 1)]
