@@ -282,21 +282,22 @@ def test_edit_bound_is_a_bound(x, y):
 
 def test_near_rows_equal_a_loop():
     r = np.random.default_rng(5)
-    bucket, n = np.sort(r.integers(0, 40, 300)), r.integers(50, 90, 300)
-    order = np.lexsort((n, bucket))
-    bucket, n = bucket[order], n[order]
+    bucket, n, copies = r.integers(0, 30, 300), r.integers(50, 90, 300), r.integers(1, 40, 300)
+    order = np.sort(linededup.order_keys(bucket[:, None], n, copies, 0.9)[:, 0])
     prints = r.integers(0, 1 << 20, (300, 2)).astype(np.uint64)
-    apart = lambda i, k: int(np.bitwise_count(prints[i] ^ prints[k]).sum())
+    size = order & 65535
+    length = (np.log(size) / -np.log(0.9)).astype(int)
     want = set()
     for k in range(10, 300):
-        for i in range(k - 1, -1, -1):
-            if bucket[i] != bucket[k] or n[i] < 0.9 * n[k]:
-                break
-            if apart(i, k) <= linededup.APART:
-                want.add((i, k))
-            if apart(i, k) <= linededup.CLOSE:
-                break
-    assert set(zip(*map(np.ndarray.tolist, linededup.near_rows(bucket, n, prints, 10, 0.9)))) == want
+        met = 0
+        for c in (0, 1):
+            for i in range(k):
+                if order[i] >> 27 == order[k] >> 27 and length[k] - length[i] == c and met < 6:
+                    apart = int(np.bitwise_count(prints[i] ^ prints[k]).sum())
+                    if apart <= linededup.APART and min(size[i], size[k]) >= 0.9 * max(size[i], size[k]):
+                        want.add((i, k))
+                        met += linededup.TRUST[apart]
+    assert want and set(zip(*map(np.ndarray.tolist, linededup.near_rows(order, prints, 10, 0.9)))) == want
 
 
 def brute_lines(lines, threshold=0.9):
