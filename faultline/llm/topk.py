@@ -8,6 +8,7 @@ weight times the value where that list stands. It stops once the threshold is be
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -78,9 +79,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, cells: int = 32,
     id count once, and an id that stands for several vectors counts with its best score. All vectors must have one length.
 
     Each vector goes to the nearest of ``cells`` vectors picked by hash (a fixed number, broadcast), and a cell of more than
-    ``block_rows`` is dealt out over several blocks, so equal vectors however many fill blocks of bounded size. Queries go
-    in packs of ``query_rows`` to every block; of a pack each block returns k rows a query at most. The picked vectors also
-    give every query a k-th best score to begin with, by which most blocks end at once.
+    ``block_rows`` is dealt out over several blocks, so equal vectors however many fill blocks of bounded size. Queries lie in
+    packs of ``query_rows``, and a pack and a block make a group, so what a task holds depends on neither table's size; of a
+    pack each block returns k rows a query at most. The picked vectors also give every query a k-th best score to begin with,
+    by which most blocks end at once.
     """
     vectors = vectors.where("vec_id is not null and v is not null")
     queries = queries.where("vec_id is not null and v is not null").dropDuplicates(["vec_id"])
@@ -102,28 +104,29 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, cells: int = 32,
     placed = materialize(vectors.select("vec_id", "v").mapInArrow(place, "vec_id long, v array<long>, cell int"), "cells")
     sizes = {r.cell: r.n for r in placed.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     parts = {c: -(-n // block_rows) for c, n in sizes.items()}
-    share = F.element_at(F.create_map(*[x for c, p in parts.items() for x in (F.lit(c), F.lit(p))]), F.col("cell"))
-    blocked = placed.select("vec_id", "v", F.struct("cell", F.pmod(F.xxhash64("vec_id", "v"), share).alias("part")).alias("block"))
+    first = dict(zip(parts, accumulate([0, *parts.values()]), strict=False))
+    of_cell = lambda by: F.element_at(F.create_map(*[F.lit(x) for c in parts for x in (c, by[c])]), F.col("cell"))
+    block = of_cell(first) + F.pmod(F.xxhash64("vec_id", "v"), of_cell(parts))
     packs = max(1, -(-queries.count() // query_rows))
-    sent = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(packs)).alias("pack"), "vec_id", "v").groupBy("pack").agg(F.collect_list(F.struct("vec_id", "v")).alias("queries"))
-    every = F.array(*[F.struct(F.lit(c).alias("cell"), F.lit(i).cast("long").alias("part")) for c, p in parts.items() for i in range(p)])
-    sent = sent.select(F.explode(every).alias("block"), "pack", "queries")
+    numbers = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    # each block is repeated for each pack and each query for each block; groups are one of each
+    blocked = placed.select("vec_id", "v", block.alias("block"), numbers(packs).alias("pack"))
+    sent = queries.select("vec_id", "v", numbers(sum(parts.values())).alias("q_block"), F.pmod(F.xxhash64("vec_id"), F.lit(packs)).cast("long").alias("q_pack"))
 
     def best(block: pa.Table, sent: pa.Table) -> pa.Table:
         out = []
-        if block.num_rows:
+        if block.num_rows and sent.num_rows:
             own, (pick_ids, picks) = Block(block["vec_id"].to_numpy(), _matrix(block["v"])), held.value
-            for pack in sent["queries"].to_pylist():
-                q_ids, q = np.array([r["vec_id"] for r in pack], np.int64), np.array([r["v"] for r in pack], np.int64)
-                # the k-th best among the picked vectors, itself not counted
-                scores = q @ picks.T
-                scores[q_ids[:, None] == pick_ids[None, :]] = LEAST
-                floors = np.partition(scores, -k, 1)[:, -k] if len(picks) >= k else np.full(len(q), LEAST)
-                for i in np.flatnonzero(own.thresholds(q, 0) >= floors):
-                    out += [(int(q_ids[i]), v, s) for s, v in own.top(int(q_ids[i]), q[i], k, int(floors[i]))]
+            q_ids, q = sent["vec_id"].to_numpy(), _matrix(sent["v"])
+            # the k-th best among the picked vectors, itself not counted
+            scores = q @ picks.T
+            scores[q_ids[:, None] == pick_ids[None, :]] = LEAST
+            floors = np.partition(scores, -k, 1)[:, -k] if len(picks) >= k else np.full(len(q), LEAST)
+            for i in np.flatnonzero(own.thresholds(q, 0) >= floors):
+                out += [(int(q_ids[i]), v, s) for s, v in own.top(int(q_ids[i]), q[i], k, int(floors[i]))]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), zip(*out, strict=True) if out else ([], [], []), strict=True)})
 
-    found = blocked.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(best, "query_id long, vec_id long, score long")
+    found = blocked.groupBy("block", "pack").cogroup(sent.groupBy("q_block", "q_pack")).applyInArrow(best, "query_id long, vec_id long, score long")
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
