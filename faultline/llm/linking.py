@@ -12,16 +12,15 @@ from faultline.plans.runtime import materialize
 
 
 def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, rest: Callable[[DataFrame], DataFrame], more: DataFrame | None = None) -> DataFrame:
-    """``buckets(bucket, id)``, or ``(bucket, id, low)`` with one id of each bucket and no bucket of one row, to ``groups(node, component)``, connected by links with similarity >= threshold.
+    """``buckets(bucket, id)`` to ``groups(node, component)``, connected by links with similarity >= threshold.
 
     ``verify`` takes pairs ``(a, b)``, a < b, and adds ``sim``. Each row of a bucket is first verified against the bucket's
-    smallest id (``low``). ``rest`` then gets ``(bucket, id, group, main, low)``, the buckets in which a row's group so far is not
+    smallest id, ``low``. ``rest`` then gets ``(bucket, id, group, main, low)``, the buckets in which a row's group so far is not
     that of ``low`` (``main``), and gives the links ``(src, dst)`` that these rows still have. ``more`` are links known beforehand.
     """
-    if "low" not in buckets.columns:
-        low = buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.count("*").alias("size")).where("size > 1").select("bucket", "low")
-        buckets = buckets.join(low, "bucket")
-    shared = materialize(buckets, "shared")
+    # written before it meets the buckets' rows again, so that the rows of a large bucket can be split over tasks
+    low = buckets.groupBy("bucket").agg(F.min("id").alias("low"), F.count("*").alias("size")).where("size > 1").select("bucket", "low")
+    shared = materialize(buckets.join(materialize(low, "lows"), "bucket"), "shared")
     star = shared.where("id <> low").select(F.least("low", "id").alias("a"), F.greatest("low", "id").alias("b")).distinct()
     links = verify(star).where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     if more is not None:
@@ -35,16 +34,3 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], t
     found = rest(materialize(placed.join(mixed, "bucket", "left_semi"), "mixed"))
     known = first.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
     return connected_components(known.unionByName(found))
-
-
-def pairs_between_groups(verify: Callable[[DataFrame], DataFrame], threshold: float) -> Callable[[DataFrame], DataFrame]:
-    """A ``rest`` for buckets whose rows mostly are in one group: the others are verified against every row of other groups."""
-
-    def rest(mixed: DataFrame) -> DataFrame:
-        left = mixed.where("group <> main").select("bucket", F.col("id").alias("x"), F.col("group").alias("gx"), "main", "low")
-        right = mixed.select("bucket", F.col("id").alias("y"), F.col("group").alias("gy"))
-        near = left.join(right, "bucket").where((F.col("gx") != F.col("gy")) & ((F.col("gy") == F.col("main")) | (F.col("x") < F.col("y"))) & (F.col("y") != F.col("low")))  # each was held against low before
-        pairs = near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        return verify(pairs).where(F.col("sim") >= threshold).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-
-    return rest

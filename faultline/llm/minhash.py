@@ -175,7 +175,7 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width:
     return full.mapInArrow(run, f"a {kind}, b {kind}, sim double")
 
 
-#: Rows of a family that meet in one task.
+#: Rows of a family, and rows that ask, that meet in one group.
 BLOCK_ROWS = 1024
 
 
@@ -183,7 +183,8 @@ def family_links(mixed: DataFrame, docs: DataFrame, id_col: str, text_col: str,
     """The links that rows outside their bucket's main group have, for :func:`link_buckets`.
 
     A main group and all rows that share a bucket with it are a family. Each row outside the main group is held against its
-    whole family, which lies in blocks of bounded size; inside a block signatures rule out most rows (at 4.5 standard deviations
+    whole family. The family lies in blocks and the rows that ask in packs, both of bounded size, and a block and a pack make a
+    group, so no task holds more however large a family is; inside a group signatures rule out most rows (at 4.5 standard deviations
     under the threshold), the bags decide on the others, the most similar first, and one link to each group is enough. What
     is passed on are links, not pairs.
     """
@@ -204,10 +205,15 @@ def family_links(mixed: DataFrame, docs: DataFrame, id_col: str, text_col: str,
                 yield pa.record_batch([part.column(0), pa.array([x.tobytes() for x in sig], pa.binary()), pa.array([bag(x).tobytes() for x in runs], pa.binary())], names=["id", "sig", "bag"])
 
     held = materialize(source.mapInArrow(bags, f"id {kind}, sig binary, bag binary"), "bags")
-    blocks = inner.groupBy("main").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    full = materialize(inner.join(outer.withColumn("asks", F.lit(True)), ["main", "id"], "left").join(blocks, "main").join(held, "id"), "family-rows")
-    members = full.select("main", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), "id", "group", "sig", "bag")
-    asked = full.where("asks").select(F.col("main").alias("qmain"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("qblock"), F.col("id").alias("qid"), F.col("group").alias("qgroup"), F.col("sig").alias("qsig"), F.col("bag").alias("qbag"))
+    asks = F.coalesce("asks", F.lit(False))
+    marked = inner.join(outer.withColumn("asks", F.lit(True)), ["main", "id"], "left").select("main", "id", "group", asks.alias("asks"))
+    count = lambda which: F.greatest(F.ceil(F.sum(which.cast("long")) / BLOCK_ROWS), F.lit(1)).cast("long")
+    sizes = materialize(marked.groupBy("main").agg(count(F.lit(True)).alias("blocks"), count(F.col("asks")).alias("packs")), "family-sizes")
+    full = materialize(marked.join(sizes, "main").join(held, "id"), "family-rows")
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    members = full.select("main", dealt("blocks").alias("block"), each("packs").alias("pack"), "id", "group", "sig", "bag")
+    asked = full.where("asks").select(F.col("main").alias("qmain"), each("blocks").alias("qblock"), dealt("packs").alias("qpack"), F.col("id").alias("qid"), F.col("group").alias("qgroup"), F.col("sig").alias("qsig"), F.col("bag").alias("qbag"))
 
     def meet(rows: pa.Table, queries: pa.Table) -> pa.Table:
         src, dst = [], []
@@ -228,7 +234,7 @@ def family_links(mixed: DataFrame, docs: DataFrame, id_col: str, text_col: str,
                             dst.append(ids[k])
         return pa.table({"src": pa.array(src, rows.schema.field("id").type), "dst": pa.array(dst, rows.schema.field("id").type)})
 
-    return materialize(members.groupBy("main", "block").cogroup(asked.groupBy("qmain", "qblock")).applyInArrow(meet, f"src {kind}, dst {kind}"), "family-links")
+    return materialize(members.groupBy("main", "block", "pack").cogroup(asked.groupBy("qmain", "qblock", "qpack")).applyInArrow(meet, f"src {kind}, dst {kind}"), "family-links")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8, bands: int = 25, rows: int = 5) -> DataFrame:

@@ -190,7 +190,9 @@ def near_rows():
     return rows
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("block_rows", [1024, 3])
+def test_near_duplicates_equal_brute_force(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(minhash, "BLOCK_ROWS", block_rows)
     rows = near_rows()
     docs = table(spark, [(i, t, None) for i, t in [*rows, rows[0]]])
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
