@@ -30,12 +30,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         if not mark[0]:
             break
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # written before it meets the edges again, so that a hub's edges can be split over tasks
+        low, low_path = scratch(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         nxt, nxt_path, new = _write(small, "components")
         drop(spark, path)
+        drop(spark, low_path)
         now, path, same = nxt, nxt_path, new == mark
         mark = new
         if same:
