@@ -46,7 +46,7 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rows = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rows.select("doc_id", "n_symbols", "log10_p", F.when(F.col("n_symbols") > 0, F.pow(F.lit(10.0), -F.col("log10_p") / F.col("n_symbols"))).alias("perplexity"), F.pow(F.lit(10.0), "kn_limit").alias("threshold"), F.col("kn_kept").alias("kept"))
 
 

@@ -376,20 +376,68 @@ def test_line_dedup_finds_planted_edits(spark):
 # --- quality -------------------------------------------------------------------------------------------------------------
 
 
-def test_quality_model_is_a_distribution_and_separates(spark):
+def brute_kneser_ney(texts):
+    """Modified Kneser-Ney of order ORDER in plain Python: symbol and history to probability."""
+    order = quality.ORDER
+    alphabet = {c for t in texts for c in t}
+    start, other = "\0s", "\0o"
+    top = Counter()
+    for t in texts:
+        s = [start] * (order - 1) + list(t)
+        top.update(tuple(s[i : i + order]) for i in range(len(t)))
+    counts = {order: top}
+    for k in range(order - 1, 0, -1):
+        counts[k] = Counter(g[1:] for g in counts[k + 1])
+    total, n = sum(counts[1].values()), len(alphabet) + 1
+    discounts, contexts = {}, {}
+    for k in range(2, order + 1):
+        of = Counter(counts[k].values())
+        if of[1] and of[2]:
+            y = of[1] / (of[1] + 2 * of[2])
+            discounts[k] = [min(max(i - (i + 1) * y * of[i + 1] / of[i] if of[i] else 0.5 * i, 0.05), 0.95 * i) for i in (1, 2, 3)]
+        else:
+            discounts[k] = [0.5, 0.75, 0.9]
+        for g, c in counts[k].items():
+            x = contexts.setdefault(g[:-1], [0, 0.0])
+            x[0] += c
+            x[1] += discounts[k][min(c, 3) - 1]
+
+    def p(gram):
+        if len(gram) == 1:
+            return (counts[1][gram] + 0.5) / (total + 0.5 * n)
+        below = p(gram[1:])
+        if gram[:-1] not in contexts:
+            return below
+        c, (all_, off) = counts[len(gram)][gram], contexts[gram[:-1]]
+        return (max(c - discounts[len(gram)][min(c, 3) - 1], 0) if c else 0) / all_ + off / all_ * below
+
+    def log10(text):
+        s = [start] * (order - 1) + [c if c in alphabet else other for c in text]
+        return sum(np.log10(p(tuple(s[i : i + order]))) for i in range(len(text)))
+
+    return p, log10, [*alphabet, other]
+
+
+def test_quality_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(quality, "CHUNK_CHARS", 300)
+    trusted = [prose(k, 30) for k in range(6)] + ["日本語の文章です" * 5, "éàü " * 9, "", "a"]
+    sample = spark.createDataFrame([(t,) for t in trusted], "text string").repartition(3)
+    model = quality.fit(sample)
+    p, log10, alphabet = brute_kneser_ney(trusted)
+    for history in (("a", "l", "p"), ("\0s", "\0s", "\0s"), ("語", "の", "文"), ("q", "q", "q")):
+        assert np.isclose(sum(p((*history, c)) for c in alphabet), 1)
+    texts = [prose(3, 10), prose(40, 25), "日本文", "完全に違う", "a" * 3000, "x", "", None, "beta1 beta1", "beta1 beta1"]
+    rows = quality.perplexities(table(spark, [(i // 2, t, "en") for i, t in enumerate(texts)]), model).collect()
+    got = sorted((r.doc_id, r.n_symbols, round(r.log10_p, 6)) for r in rows)
+    assert got == sorted((i // 2, len(t or ""), round(float(log10(t or "")), 6) + 0.0) for i, t in enumerate(texts))
+
+
+def test_quality_separates(spark):
     at = "/root/testdata/sf0.01"
-    docs, labels = spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/labels.parquet")
-    model = quality.fit(quality.trusted_sample(docs, labels, 1000), 128)
-    p = 10 ** model.dense().astype(float).reshape(128, 128, 128)
-    assert np.allclose(p.sum(2), 1, atol=1e-5)
-    some = docs.limit(40)
-    by_array = {r.doc_id: r.log10_p for r in quality.perplexities(some, model).collect()}
-    by_joins = {r.doc_id: r.log10_p for r in quality.perplexities(some, model, dense_bytes=0).collect()}
-    assert by_array.keys() == by_joins.keys() and all(abs(by_array[k] - by_joins[k]) <= 1e-6 * max(1, abs(by_array[k])) for k in by_array)
+    labels = spark.read.parquet(f"{at}/labels.parquet").collect()
     kept = {r.doc_id: r.kept for r in queries.op5_quality_classifier(spark, at).collect()}
-    lab = labels.collect()
-    assert np.mean([kept[r.doc_id] for r in lab if r.quality == 1 and not r.toxic]) > 0.98
-    assert np.mean([kept[r.doc_id] for r in lab if r.quality == 0]) < 0.3
+    assert np.mean([kept[r.doc_id] for r in labels if r.quality == 1 and not r.toxic]) > 0.98
+    assert np.mean([kept[r.doc_id] for r in labels if r.quality == 0]) < 0.3
 
 
 def test_quality_edge_rows(spark):
