@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.operators.rules import address_pattern
+from faultline.operators.rules import address_pattern, one_row
 
 #: Signals, signal codes and hints that point to a native fault mode.
 SIGNAL_MODES = {"SIGSEGV": "CPP-FM-02", "SIGBUS": "CPP-FM-13", "SIGABRT": "CPP-FM-08", "SIGFPE": "CPP-FM-09", "SIGILL": "CPP-FM-10"}
@@ -111,7 +111,8 @@ def classify_from_stack(rows: DataFrame) -> DataFrame:
 
 def detect_features(logs: DataFrame, dim: DataFrame) -> DataFrame:
     """``logs(log_id, content)`` against ``dim(domain, feature, pattern)``: the features each text shows."""
-    return logs.join(F.broadcast(dim), F.expr("content rlike pattern")).select("log_id", "domain", "feature").distinct()
+    rows = logs.join(one_row(dim.select("domain", "feature", "pattern"), "dims"), F.lit(True))
+    return rows.select("log_id", F.explode(F.array_distinct(F.transform(F.filter("dims", lambda d: F.rlike(F.col("content"), d["pattern"])), lambda d: F.struct(d["domain"].alias("domain"), d["feature"].alias("feature")))))).select("log_id", "col.*")
 
 
 def ingest_evidence(stages: DataFrame, relevance: dict[str, float]) -> DataFrame:

@@ -80,7 +80,10 @@ def deadlocks(edges: DataFrame, max_len: int = 8) -> DataFrame:
 
 
 def root_blocker(edges: DataFrame, starts: DataFrame, max_hops: int = 64) -> DataFrame:
-    """From ``starts(log_id, start)`` along each node's first edge (by ``ord``) until there is none or a node comes again."""
+    """From ``starts(log_id, start)`` along each node's first edge (by ``ord``) until there is none or a node comes again.
+
+    ``truncated`` marks walks that ``max_hops`` steps did not end; their ``blocker`` is only where they stand.
+    """
     first = materialize(edges.groupBy("log_id", F.col("src").alias("at")).agg(F.min_by("dst", F.struct("ord", "dst")).alias("next")), "first-edges")
     now = starts.select("log_id", "start", F.col("start").alias("at"), F.array("start").alias("path"), F.lit(False).alias("done"))
     for _ in range(max_hops):
@@ -90,7 +93,7 @@ def root_blocker(edges: DataFrame, starts: DataFrame, max_hops: int = 64) -> Dat
         nxt = now.join(first, ["log_id", "at"], "left")
         stop = F.col("done") | F.col("next").isNull() | F.array_contains("path", F.col("next"))
         now = nxt.select("log_id", "start", F.when(stop, F.col("at")).otherwise(F.col("next")).alias("at"), F.when(stop, F.col("path")).otherwise(F.concat("path", F.array("next"))).alias("path"), stop.alias("done"))
-    return now.select("log_id", "start", F.col("at").alias("blocker"), "path")
+    return now.select("log_id", "start", F.col("at").alias("blocker"), "path", (~F.col("done")).alias("truncated"))
 
 
 # --- heaps: nodes(snapshot_id, node, name, type, self_size), edges(snapshot_id, src, dst, ord) -------------------------------
@@ -112,6 +115,8 @@ def heap_distance(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000)
         nxt, nxt_path = scratch(seen.unionByName(new), "bfs")
         drop(spark, path)
         seen, path = nxt, nxt_path
+    else:
+        raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
     return seen
 
 
@@ -134,6 +139,8 @@ def heap_retained(nodes: DataFrame, edges: DataFrame, candidates: DataFrame | No
         nxt, nxt_path = scratch(every.unionByName(frontier), "closure")
         drop(spark, path)
         every, path = nxt, nxt_path
+    else:
+        raise RuntimeError(f"reachability did not settle in {max_rounds} rounds")
     sizes = nodes.select("snapshot_id", F.col("node").alias("reached"), "self_size")
     return every.join(sizes, ["snapshot_id", "reached"]).groupBy("snapshot_id", F.col("seed").alias("node")).agg(F.sum("self_size").alias("retained_size")).where("retained_size > 0")
 

@@ -25,7 +25,7 @@ def range_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str
     """Points with each span [start, end) of the same keys that holds them: inner join, all columns of both.
 
     Spans go by the pages they touch, at a page size that leaves at most PAGES + 1 of them; points by their page at each size
-    in use. The equality on keys, level and page keeps this a hash or merge join, never a nested loop.
+    that is in use among their keys' spans. The equality on keys, level and page keeps this a hash or merge join, never a nested loop.
     """
     size = F.col(end) - F.col(start)
     level = F.lit(len(LEVELS) - 1)
@@ -35,7 +35,8 @@ def range_join(points: DataFrame, spans: DataFrame, keys: Sequence[str], at: str
     cut = spans.where(F.col(end) > F.col(start)).withColumn("_level", level)
     lo, hi = page(F.col(start)), page(F.col(end) - 1)
     cut = cut.withColumn("_n", (hi - lo).cast("int")).withColumn("_page", F.explode(F.transform(F.sequence(F.lit(0), F.col("_n")), lambda k: lo + k))).withColumn("_page", F.col("_page").cast("decimal(20,0)")).drop("_n")
-    spread = points.withColumn("_p", F.explode(F.array(*[F.struct(F.lit(i).alias("_level"), _page(F.col(at), b).alias("_page")) for i, b in enumerate(LEVELS)]))).select(*points.columns, "_p._level", "_p._page")
+    used = cut.groupBy(*keys).agg(F.sort_array(F.collect_set("_level")).alias("_used"))
+    spread = points.join(used, list(keys)).withColumn("_level", F.explode("_used")).withColumn("_page", page(F.col(at))).drop("_used")
     return spread.join(cut, [*keys, "_level", "_page"]).where((F.col(at) >= F.col(start)) & (F.col(at) < F.col(end))).drop("_level", "_page")
 
 
@@ -122,7 +123,7 @@ def signal_semantics(events: DataFrame, dim: DataFrame) -> DataFrame:
     """``dim(signal, sub_code, meaning)`` by signal and code, else by signal and the empty code."""
     exact = dim.select("signal", "sub_code", F.col("meaning").alias("m1"))
     general = dim.where("sub_code = ''").select("signal", F.col("meaning").alias("m2"))
-    rows = events.join(F.broadcast(exact), ["signal", "sub_code"], "left").join(F.broadcast(general), "signal", "left")
+    rows = events.join(exact, ["signal", "sub_code"], "left").join(general, "signal", "left")
     return rows.withColumn("meaning", F.coalesce("m1", "m2")).drop("m1", "m2")
 
 

@@ -14,7 +14,7 @@ from faultline.operators.timing import lenient_number
 #: Fixed value: characters of a log that kinds are told from.
 HEAD = 12_000
 #: Words that tell a log's kind.
-CRASH_SIGNAL = r"(?i)(?:(?<![A-Za-z0-9])SIG(?:SEGV|ABRT|BUS|ILL|FPE|TRAP)(?![A-Za-z0-9])|Fatal\s+signal|EXC_BAD_ACCESS|EXC_CRASH|tombstone|Segmentation\s+fault|Abort\s+message)"
+CRASH_SIGNAL = r"(?i)(?:(?<![A-Za-z0-9])SIG(?:SEGV|ABRT|BUS|ILL|FPE|TRAP)(?![A-Za-z0-9])|Fatal\s+signal|EXC_BAD_ACCESS|EXC_CRASH|tombstone|Segmentation\s+fault|Abort\s+message|崩溃类型\s*[:：].*SIG(?:SEGV|ABRT|BUS|ILL|FPE|TRAP))"
 JAVA_FATAL = r"(?i)FATAL\s+EXCEPTION"
 APP_FREEZE = r"(?i)appfreeze"
 WATCHDOG = r"(?i)\bwatchdog\b|WatchdogEvent\s*:|Failed to terminate gracefully|RBSAssertionReliability|Namespace\s+FRONTBOARD"
@@ -126,37 +126,68 @@ def parse_build_ids(lines: DataFrame) -> DataFrame:
 
 
 def detect_os(content: Column) -> Column:
-    """Operating system by ordered signs in the text."""
-    return F.when(content.rlike(r"(?i)harmonyos|openharmony|hilog|libace|\.hap\b"), "harmony").when(content.rlike(r"(?i)\bOS Version:\s*(?:iPhone|iOS)|iPhone OS|UIKit"), "ios").when(content.rlike(r"(?i)\bOS Version:\s*macOS|Mac OS X|\bmacOS\b|AppKit"), "macos").when(content.rlike(r"(?i)Build fingerprint:|/system/lib|libart\.so|dalvik|android"), "android").when(content.rlike(r"(?i)\blinux\b|/usr/lib/|glibc"), "linux").when(content.rlike(r"(?i)\bwindows\b|\.dll\b"), "windows").otherwise("unknown")
+    """Operating system by ordered signs in the text; those of iOS come before those of Harmony, whose name is part of words."""
+    has = lambda p: content.rlike(p)
+    fatal = has(r"(?i)\bfatal signal\b") & (has(r"(?im)^\s*Cmdline:\s*com\.") | has(r"(?i)\bpid:\s*\d+,\s*tid:\s*\d+,\s*name:") | has(r"(?i)base\.apk!"))
+    mac = has(r"(?im)^\s*OS Version:\s*(?:macOS|Mac OS X)\b")
+    apple = has(r"(?m)^\s*Crashed Thread:\s*\d+\s*$") & has(r"(?m)^\s*Exception Type:\s*") & has(r"(?i)report version:") & has(r"(?i)identifier:|process:")
+    return (
+        F.when(has(r"(?i)^\s*crashdiag") & (has(r'(?i)"platform"\s*:\s*"(?:Harmony|HarmonyOS|OpenHarmony)"') | (content.contains('"attributed_stack"') & content.contains('"stack_frames"'))), "harmonyos")
+        .when(content.contains("平台: mac"), "macos")
+        .when(has(r"(?im)^\s*OS Version:\s*(?:iPhone OS|iPadOS|iOS)\b|^\s*Hardware Model:\s*(?:iPhone|iPad|iPod)"), "ios")
+        .when(has(r"(?i)harmonyos|openharmony|build info:mro|com\.ohos\.|\bohos\b"), "harmonyos")
+        .when(has(r"(?i)build fingerprint|dalvik|android") | fatal, "android")
+        .when(apple & ~mac, "ios")
+        .when(mac | has(r"(?i)apple llvm"), "macos")
+        .when(has(r"(?i)gdb|core dump|segmentation fault") & content.contains("#"), "linux")
+        .when(has(r"(?i)exception code:|faulting module:|windows") & has(r"(?i)call stack:"), "windows")
+        .otherwise("unknown")
+    )
+
+
+def android_traces(content: Column) -> Column:
+    """Whether a text without the word looks like thread traces of a stuck Android process: native and Java frames under a thread's
+    head, and no sign of a fatal signal."""
+    has = lambda p: content.rlike(p)
+    frames = has(r"(?:native:\s*)?#\d+\s+pc\s+[0-9a-fA-Fx]+") & has(r"(?m)^\s*at\s+\S")
+    head = has(r"(?m)^\s*native:\s*#") | F.regexp_extract(content, r"^([^\r\n]*)", 1).rlike(r'(?i)^\s*"[^"]+"\s+prio=\d+\s+tid=\d+\s+')
+    fatal = has(r"(?i)fatal signal") | has(r"(?im)^\s*signal\s+\d+\s+\(") | content.contains("*** *** *** *** *** *** *** *** *** *** *** *** *** *** *** ***")
+    return (detect_os(content) == "android") & frames & head & ~fatal
 
 
 def classify_log_kind(logs: DataFrame) -> DataFrame:
-    """``logs(log_id, content)`` to ``(log_id, log_kind, confidence)``; freeze before memory before Java before native."""
-    head = F.substring(F.coalesce("content", F.lit("")), 1, HEAD)
-    has = lambda p: F.col("_h").rlike(p)
+    """``logs(log_id, content)`` to ``(log_id, log_kind, confidence, reasons)``; freeze before memory before Java before native."""
+    return logs.select("log_id", log_kind(F.coalesce("content", F.lit(""))).alias("r")).select("log_id", "r.*")
+
+
+def log_kind(content: Column) -> Column:
+    """Struct of a log's kind, the confidence, and the reasons in the order in which they were found."""
+    head = F.substring(content, 1, HEAD)
+    has = lambda p: head.rlike(p)
     freeze, dog, anr, sig = has(APP_FREEZE), has(WATCHDOG), has(ANR), has(CRASH_SIGNAL)
-    traces = F.coalesce("content", F.lit("")).rlike(r"(?s)DALVIK THREADS.*\"main\"") & ~sig
+    traces = android_traces(content)
     family = freeze | dog | anr | traces
     kind = F.when(freeze, "app_freeze").when(dog, "watchdog").otherwise("anr_trace")
     conf = F.when(freeze, 0.95).when(dog, 0.9).when(anr, 0.92).otherwise(0.75)
-    out = lambda k, c: F.struct((F.lit(k) if isinstance(k, str) else k).alias("log_kind"), (F.lit(c) if isinstance(c, float) else c).alias("confidence"))
+    why = F.when(freeze, "keyword:AppFreeze").when(dog, "keyword:watchdog").when(anr, "keyword:ANR").otherwise("android_traces_heuristic")
+    as_col = lambda x: F.lit(x) if isinstance(x, (str, float)) else x
+    out = lambda k, c, *reasons: F.struct(as_col(k).alias("log_kind"), as_col(c).alias("confidence"), F.array(*map(as_col, reasons)).alias("reasons"))
     oom, pressure, java = has(OOM_KILL), has(MEMORY_PRESSURE), has(JAVA_FATAL)
-    result = (
-        F.when(F.trim("_h") == "", out("unknown", 0.0))
-        .when(family & sig & (kind == "watchdog") & ~has(FAULTING), out("watchdog", conf))
-        .when(family & sig, out("mixed_anr_crash", F.least(F.lit(0.95), conf + 0.05)))
-        .when(family, out(kind, conf))
-        .when(oom & sig & ~has("(?i)OutOfMemoryError"), out("mixed_oom_crash", 0.9))
-        .when(oom, out("oom_kill", 0.92))
-        .when(pressure & sig, out("mixed_oom_crash", 0.8))
-        .when(pressure, out("memory_pressure", 0.75))
-        .when(java & ~sig, out("java_crash", 0.88))
-        .when(java, out("native_crash", 0.7))
-        .when(sig, out("native_crash", 0.85))
-        .when(has(NATIVE_HINT), out("native_crash", 0.65))
-        .otherwise(out("unknown", 0.3))
+    return (
+        F.when(~content.rlike(r"\S"), out("unknown", 0.0, "empty_content"))
+        .when(family & sig & (kind == "watchdog") & ~has(FAULTING), out("watchdog", conf, why, "sigkill_is_watchdog_termination"))
+        .when(family & sig, out("mixed_anr_crash", F.least(F.lit(0.95), conf + 0.05), why, "crash_signal_with_anr_family"))
+        .when(family, out(kind, conf, why))
+        .when(oom & sig & ~has("(?i)OutOfMemoryError"), out("mixed_oom_crash", 0.9, "keyword:oom_kill", "crash_signal_with_oom"))
+        .when(oom, out("oom_kill", 0.92, "keyword:oom_kill"))
+        .when(pressure & sig, out("mixed_oom_crash", 0.8, "keyword:memory_pressure", "crash_signal_with_memory_pressure"))
+        .when(pressure, out("memory_pressure", 0.75, "keyword:memory_pressure"))
+        .when(java & ~sig, out("java_crash", 0.88, "keyword:FATAL_EXCEPTION"))
+        .when(java, out("native_crash", 0.7, "java_fatal_with_native_signal"))
+        .when(sig, out("native_crash", 0.85, "crash_signal_or_tombstone"))
+        .when(has(NATIVE_HINT), out("native_crash", 0.65, "native_crash_layout_hint"))
+        .otherwise(out("unknown", 0.3, "no_strong_markers"))
     )
-    return logs.withColumn("_h", head).select("log_id", result.alias("r")).select("log_id", "r.*")
 
 
 def extract_headers(lines: DataFrame, table: Sequence[tuple[str, str, int]] = (("signal", r"(?i)^(?:Reason:\s*)?signal\s*:?\s*\d*\s*\(?(SIG[A-Z]+)", 1), ("signal", r"(?i)Exception Type:.*\((SIG[A-Z]+)\)", 2), ("fault_address", r"(?i)fault addr(?:ess)?\s*:?\s*(0x[0-9a-f]+|[0-9a-f]{8,16})", 1), ("fault_address", r"(?i)\bat\s+(0x[0-9a-f]+)$", 2), ("exception_type", r"(?i)^Exception Type:\s*(\S+)", 1), ("app_version", r"(?i)^(?:App\s*)?Version:\s*(\S+)", 1), ("device", r"(?i)^(?:Hardware Model|Device(?: info)?):\s*(.+?)\s*$", 1), ("process", r"(?i)^(?:Process|Process name|Module name):\s*(\S+)", 1), ("abort_message", r"(?i)Abort message:\s*'?(.+?)'?\s*$", 1))) -> DataFrame:
@@ -248,6 +279,22 @@ def parse_queue_events(logs: DataFrame) -> DataFrame:
     return rows.join(logs.select("log_id", dump.alias("dump_ms")), "log_id").select("log_id", "line_no", F.trim(F.regexp_extract("text", p, 1)).alias("name"), (F.coalesce(end, "dump_ms") - F.regexp_extract("text", p, 2).try_cast("double")).alias("duration_ms"), end.isNull().alias("open"))
 
 
+def parse_queue_state(logs: DataFrame) -> DataFrame:
+    """Of each log's last queue dump the running task, how long it has run at the dump, and events waiting by priority:
+    ``(log_id, running_task, running_ms, pending map, pending_total)``."""
+    stamp = r"(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d+)"
+    last = lambda p, i: F.element_at(F.concat(F.array(F.lit("")), F.regexp_extract_all("content", F.lit(p), F.lit(i))), -1)
+    run = rf"(?i)Current Running:\s*start\s+at\s+{stamp}\s*,\s*Event\s*\{{([^}}]*)\}}"
+    size = r"(?i)Total\s+size\s+of\s+(\w+)\s+events\s*:\s*(\d+)"
+    micros = lambda c: F.unix_micros(c.try_cast("timestamp"))
+    name = F.coalesce(F.nullif(F.trim(F.regexp_extract(last(run, 2), r"(?i)task\s*name\s*=\s*([^,}]+)", 1)), F.lit("")), F.when(last(run, 2) != "", F.lit("unknown_event")))
+    ms = (micros(last(rf"(?i)EventHandler\s+dump\s+begin\s+curTime:\s*{stamp}", 1)) - micros(last(run, 1))) / 1000
+    entries = F.arrays_zip(F.regexp_extract_all("content", F.lit(size), F.lit(1)).alias("k"), F.transform(F.regexp_extract_all("content", F.lit(size), F.lit(2)), lambda x: x.cast("int")).alias("v"))
+    pending = F.aggregate(entries, F.create_map().cast("map<string,int>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["k"]), F.create_map(e["k"], e["v"])))
+    rows = logs.select("log_id", name.alias("running_task"), ms.alias("running_ms"), pending.alias("pending"))
+    return rows.withColumn("pending_total", F.aggregate(F.map_values("pending"), F.lit(0), lambda a, x: a + x))
+
+
 def parse_wait_edges(logs: DataFrame) -> DataFrame:
     """Binder transactions and ``waiting on`` phrases to ``(log_id, src, dst, code, wait_seconds, ipc_full, ord)``."""
     binder = r"(\d+):(\d+) to (\d+):(\d+) code (\S+) wait:([\d.]+) s"
@@ -286,10 +333,38 @@ def parse_nmd(lines: DataFrame) -> DataFrame:
 
 
 def parse_kernel_memory(lines: DataFrame) -> DataFrame:
-    """GPU totals and categories, slab caches and DMA rows to ``(log_id, kind, item, bytes)``."""
-    forms = [("gpu_total", r"^\s*Total\s+\S+\(device\)\s*:\s*(\d+)", None), ("gpu", r"^\s*C:([^:]+):\s*(\d+)", 1), ("slab", r"^(\S+)\s+\d+\s+(\d+)\s+\d+\s+\d+\s+\d+\s*:\s*tunables", 1)]
-    rows = [F.when(F.col("text").rlike(p), F.struct(F.lit(k).alias("kind"), (F.lit("total") if item is None else F.trim(F.regexp_extract("text", p, item))).alias("item"), F.regexp_extract("text", p, 1 if item is None else 2).try_cast("long").alias("bytes"))) for k, p, item in forms]
-    return lines.select("log_id", F.inline(F.filter(F.array(*rows), lambda x: x.isNotNull())))
+    """GPU totals and categories, slab caches (active objects times their size) and shared memory to ``(log_id, kind, item, bytes)``.
+
+    Slab rows follow a ``slabinfo`` head, shared memory rows the head of its process table; DMA rows are :func:`parse_dma`'s.
+    """
+    w = Window.partitionBy("log_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    table = F.when(F.col("text").rlike(r"slabinfo - version|^\s*# name"), "slab").when(F.col("text").contains("Process_name Virtual_size Physical_size"), "ashmem").when(F.col("text").rlike(r"^\s*[*=-]{3,}"), "")
+    rows = lines.withColumn("_t", table).withColumn("_in", F.last("_t", ignorenulls=True).over(w)).where("_t is null")
+    g = lambda p, i: F.regexp_extract("text", p, i)
+    total, category, slab, shared = r"(?i)^\s*Total\s+\S+\s*\(device\)\s*:\s*(\d+)", r"C:([^:]+):\s*(\d+)", r"^\s*(\S+)\s+(\d+)\s+(\d+)\s+(\d+)(?:\s|$)", r"^\s*(\S+)\s+(\d+)\s+(\d+)(?:\s|$)"
+    row = lambda kind, item, size: F.struct(F.lit(kind).alias("kind"), item.alias("item"), size.alias("bytes"))
+    found = (
+        F.when(F.col("text").rlike(total), row("gpu_total", F.lit("total"), g(total, 1).try_cast("long")))
+        .when(F.col("text").rlike(category), row("gpu", F.trim(g(category, 1)), g(category, 2).try_cast("long")))
+        .when((F.col("_in") == "slab") & F.col("text").rlike(slab), row("slab", g(slab, 1), g(slab, 2).try_cast("long") * g(slab, 4).try_cast("long")))
+        .when((F.col("_in") == "ashmem") & F.col("text").rlike(shared), row("ashmem", g(shared, 1), g(shared, 3).try_cast("long") * 1024))
+    )
+    return rows.select("log_id", found.alias("f")).where("f is not null").select("log_id", "f.*")
+
+
+def parse_dma(lines: DataFrame) -> DataFrame:
+    """Rows of a DMA buffer table to ``(log_id, line_no, process_name, pid, size_bytes, magic, buf_name, buf_type, leak_type)``, by the
+    names in its head line; rows without bytes and totals are left out, a rule of signs ends the table."""
+    names = {"process": "process_name", "process name": "process_name", "pid": "pid", "process id": "pid", "size_bytes": "size_bytes", "size": "size_bytes", "ino": "magic", "magic": "magic", "buf_name": "buf_name", "buf_type": "buf_type", "leak_type": "leak_type"}
+    wide = lambda c: F.when(F.size(F.split(c, r"\t|\s{2,}")) >= 3, F.split(c, r"\t|\s{2,}")).otherwise(F.split(c, r"\s+"))
+    w = Window.partitionBy("log_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    head = F.col("text").rlike(r"\b[Pp]rocess\b.*\bpid\b.*\b(?:size_bytes|size)\b")
+    mark = F.when(head, F.transform(wide(F.trim("text")), lambda x: F.lower(x))).when(F.col("text").rlike(r"^\s*[*=-]{5,}"), F.array().cast("array<string>"))
+    rows = lines.withColumn("_m", mark).withColumn("_h", F.last("_m", ignorenulls=True).over(w)).where("_m is null and size(_h) > 0").withColumn("_c", wide(F.trim("text")))
+    value = lambda target: F.coalesce(*[F.get("_c", F.when(F.array_position("_h", F.lit(n)) > 0, F.array_position("_h", F.lit(n)).cast("int") - 1)) for n, t in names.items() if t == target])
+    size = F.regexp_replace(value("size_bytes"), ",", "").try_cast("long")
+    out = rows.where(~F.array_contains("_c", "Total")).select("log_id", "line_no", value("process_name").alias("process_name"), value("pid").alias("pid"), size.alias("size_bytes"), *[value(c).alias(c) for c in ("magic", "buf_name", "buf_type", "leak_type")])
+    return out.where("size_bytes > 0")
 
 
 def text_flags(docs: DataFrame, words: dict[str, Sequence[str]], id_col: str, text_col: str) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.operators.rules import one_row
+
 #: Ranks of where a hit comes from.
 PROVENANCE_RANK = {"code": 4, "code_and_curated_document": 4, "code_and_crash_evidence": 4, "verified_historical_case": 3, "historical_case": 2, "curated_playbook": 2, "model_inferred": 1}
 SOURCE_RANK = {"rule": 4, "pack_document": 3, "knowledge_pack_chunk": 2, "internal_case": 1}
@@ -27,18 +29,23 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, n: int = 5, where: Colum
     """The ``n`` nearest of ``vectors(pattern_id, embedding)`` for each of ``queries(query_id, embedding)``: ``(query_id, pattern_id,
     distance, rank)``.
 
-    The queries, ``max_queries`` at most, lie in packs of ``pack_rows`` that are broadcast; each task of the vector table keeps
-    its n best a query before anything is shuffled. Ties go to the smaller id.
+    The queries lie in packs of ``pack_rows``, and ``max_queries`` of them at most are broadcast at once, so more queries take
+    more rounds over the vectors. Each task of the vector table keeps its n best a query before anything is shuffled. Ties go
+    to the smaller id.
     """
-    count = queries.limit(max_queries + 1).count()
-    if count > max_queries:
-        raise ValueError(f"more than {max_queries} queries")
-    packs = max(1, -(-count // pack_rows))
-    pack = F.broadcast(queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(packs)).alias("p")).agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("q"))).alias("pack")))
+    count = queries.count()
+    rounds = max(1, -(-count // max_queries))
+    packs = max(1, -(-count // rounds // pack_rows))
     kept = vectors.where(where) if where is not None else vectors
-    rows = kept.join(pack, F.lit(True)).select("pattern_id", "embedding", F.explode("pack").alias("p"))
-    rows = rows.select(F.col("p.query_id").alias("query_id"), "pattern_id", F.round(squared_distance(F.col("embedding"), F.col("p.q")), 6).alias("distance"))
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "pattern_id"))).where(F.col("rank") <= n)
+    found = None
+    for i in range(rounds):
+        own = queries.where(F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(rounds)) == i)
+        pack = F.broadcast(own.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(packs)).alias("p")).agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("q"))).alias("pack")))
+        rows = kept.join(pack, F.lit(True)).select("pattern_id", "embedding", F.explode("pack").alias("p"))
+        rows = rows.select(F.col("p.query_id").alias("query_id"), "pattern_id", F.round(squared_distance(F.col("embedding"), F.col("p.q")), 6).alias("distance"))
+        best = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "pattern_id"))).where(F.col("rank") <= n)
+        found = best if found is None else found.unionByName(best)
+    return found
 
 
 def retrieve_patterns(queries: DataFrame, vectors: DataFrame, metadata: DataFrame, n: int = 5) -> DataFrame:
@@ -110,7 +117,10 @@ def route_packs(queries: DataFrame, hints: DataFrame, forced: DataFrame | None =
     """``queries(query_id, text)`` and ``hints(pack_id, kind, hint)``: so_names 4, package_prefixes 3, stack_hints 5, path_hints 2 for
     each hint contained; a forced pack gets 100 more. The best pack above 0."""
     weight = _ranks({"so_names": 4, "package_prefixes": 3, "stack_hints": 5, "path_hints": 2}, F.col("kind"), 0)
-    hits = queries.join(F.broadcast(hints), F.contains(F.lower("text"), F.lower("hint"))).select("query_id", "pack_id", weight.alias("points"))
+    # stars in hints stand for nothing
+    needles = hints.select("pack_id", "kind", F.replace(F.lower(F.trim("hint")), F.lit("*"), F.lit("")).alias("needle")).where("needle <> ''")
+    rows = queries.select("query_id", F.lower("text").alias("low")).join(one_row(needles, "needles"), F.lit(True))
+    hits = rows.select("query_id", F.inline(F.filter("needles", lambda h: F.contains(F.col("low"), h["needle"])))).select("query_id", "pack_id", weight.alias("points"))
     if forced is not None:
         hits = hits.unionByName(forced.select("query_id", "pack_id", F.lit(100).alias("points")))
     by = hits.groupBy("query_id", "pack_id").agg(F.sum("points").alias("score")).where("score > 0")
@@ -200,7 +210,8 @@ def guidance_for(hits: DataFrame, blocks: DataFrame) -> DataFrame:
     """``hits(log_id, rule_id, pattern_id)`` and ``blocks(block_id, rule_id, pattern_id, priority, type)``: default blocks, then those of
     the rules, then those of the patterns, each block once."""
     logs = hits.select("log_id").distinct()
-    base = logs.join(F.broadcast(blocks.where("rule_id is null and pattern_id is null")), F.lit(True)).withColumn("tier", F.lit(0))
+    default = blocks.where("rule_id is null and pattern_id is null").select("block_id", "priority", "type")
+    base = logs.join(one_row(default, "blocks"), F.lit(True)).select("log_id", F.inline("blocks")).withColumn("tier", F.lit(0))
     by_rule = hits.select("log_id", "rule_id").distinct().join(blocks.where("rule_id is not null"), "rule_id").withColumn("tier", F.lit(1))
     by_pattern = hits.select("log_id", "pattern_id").distinct().join(blocks.where("rule_id is null and pattern_id is not null"), "pattern_id").withColumn("tier", F.lit(2))
     cols = ["log_id", "block_id", "tier", "priority", "type"]

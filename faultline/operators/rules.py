@@ -7,8 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Script error modes by name and message, in order.
-JS_ERROR_FIELDS = ("reason", "name", "message", "code")
+#: Rows of a table that users write by hand (rules, patterns, hints) at most; it goes to every task as one row.
+MOST_ROWS = 10_000
+
+
+def one_row(dim: DataFrame, name: str = "dim", most: int = MOST_ROWS) -> DataFrame:
+    """A hand-written table as one array of its rows, for broadcast; more than ``most`` rows are an error."""
+    if dim.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows in a table that is broadcast")
+    return F.broadcast(dim.agg(F.collect_list(F.struct(*[F.col(c) for c in dim.columns])).alias(name)))
 
 
 def parse_rules(rules: DataFrame) -> DataFrame:
@@ -29,28 +36,32 @@ def match_rules(features: DataFrame, rules: DataFrame, min_confidence: float = 0
 
     A missing or null feature compares as the empty string, so != holds for it. = and != ignore case, ~ and ~= look for a
     Java pattern, or for the text where the pattern is invalid. Required features must be neither empty nor false.
-    The rule tables are dimensions that users write by hand; they are broadcast.
+    All rules come to a row as one array and are folded there: features are not shuffled.
     """
-    clauses = F.broadcast(parse_rules(rules))
+    branches = parse_rules(rules).groupBy("rule_id", "or_idx").agg(F.collect_list(F.struct("key", "op", "value")).alias("clauses")).groupBy("rule_id").agg(F.collect_list("clauses").alias("branches"))
+    dims = rules.where("enabled").select("rule_id", "confidence", F.coalesce("required", F.array().cast("array<string>")).alias("required")).join(branches, "rule_id")
     names = [c for c in features.columns if c != key]
     long = features.select(key, F.map_from_arrays(F.array(*map(F.lit, names)), F.array(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in names])).alias("f"))
-    rows = long.join(clauses, F.lit(True))  # every row meets every clause of a broadcast dimension
-    actual = F.coalesce(F.try_element_at("f", F.col("key")), F.lit(""))
-    # unclosed groups and leading repeats are no patterns; they never reach the matcher
-    valid = ~F.col("value").rlike(r"^[*+?]|\\$|\([^)]*$|\[[^\]]*$")
-    pattern = F.concat(F.lit("(?i)"), F.when(valid, F.col("value")).otherwise(""))
-    like = F.when(valid, F.rlike(actual, pattern)).otherwise(F.contains(F.lower(actual), F.lower("value")))
-    holds = F.when(F.col("op") == "=", F.lower(actual) == F.lower("value")).when(F.col("op") == "!=", F.lower(actual) != F.lower("value")).when(F.col("op").isin("~", "~="), like).otherwise(F.lit(False))
-    branch = rows.groupBy(key, "rule_id", "or_idx").agg(F.bool_and(holds).alias("holds")).where("holds").select(key, "rule_id").distinct()
-    dims = F.broadcast(rules.select("rule_id", "confidence", "required"))
-    hit = branch.join(dims, "rule_id").join(long, key)
-    truthy = F.forall(F.coalesce("required", F.array().cast("array<string>")), lambda r: ~F.lower(F.coalesce(F.try_element_at(F.col("f"), r), F.lit(""))).isin("", "false", "0"))
-    return hit.where(truthy & (F.col("confidence") >= min_confidence)).select(key, "rule_id", "confidence", (F.col("confidence") >= 0.8).alias("high"))
+    text = lambda k: F.coalesce(F.try_element_at(F.col("f"), k), F.lit(""))
+
+    def holds(c: Column) -> Column:
+        actual, value = text(c["key"]), c["value"]
+        # unclosed groups and leading repeats are no patterns; they never reach the matcher
+        valid = ~value.rlike(r"^[*+?]|\\$|\([^)]*$|\[[^\]]*$")
+        like = F.when(valid, F.rlike(actual, F.concat(F.lit("(?i)"), F.when(valid, value).otherwise("")))).otherwise(F.contains(F.lower(actual), F.lower(value)))
+        return F.when(c["op"] == "=", F.lower(actual) == F.lower(value)).when(c["op"] == "!=", F.lower(actual) != F.lower(value)).when(c["op"].isin("~", "~="), like).otherwise(F.lit(False))
+
+    def fits(r: Column) -> Column:
+        truthy = F.forall(r["required"], lambda x: ~F.lower(text(x)).isin("", "false", "0"))
+        return (r["confidence"] >= min_confidence) & truthy & F.exists(r["branches"], lambda b: F.forall(b, holds))
+
+    rows = long.join(one_row(dims, "rules"), F.lit(True)).select(key, F.inline(F.filter("rules", fits)))
+    return rows.select(key, "rule_id", "confidence", (F.col("confidence") >= 0.8).alias("high"))
 
 
 def match_fault_modes(hits: DataFrame, rules: DataFrame, top: int = 3) -> DataFrame:
     """The best ``top`` fault-mode conclusions of each log among its rule hits."""
-    modes = hits.join(F.broadcast(rules.where("conclusion_type = 'fault_mode'").select("rule_id", "fault_mode")), "rule_id")
+    modes = hits.join(rules.where("conclusion_type = 'fault_mode'").select("rule_id", "fault_mode"), "rule_id")
     return modes.withColumn("rank", F.row_number().over(Window.partitionBy("log_id").orderBy(F.desc("confidence"), "rule_id"))).where(F.col("rank") <= top)
 
 
@@ -59,8 +70,8 @@ def keyword_fault_modes(texts: DataFrame, modes: DataFrame, base: float = 0.35,
 
     The score is min(1, base + 0.2 * hits). Texts are tested against each keyword where they lie; only hits are grouped.
     """
-    words = F.broadcast(modes.select("mode", "sub", F.lower("keyword").alias("keyword")).distinct())
-    hits = texts.select("log_id", F.lower("text").alias("low")).join(words, F.contains(F.col("low"), F.col("keyword"))).select("log_id", "mode", "sub", "keyword")
+    words = modes.select("mode", "sub", F.lower("keyword").alias("keyword")).distinct()
+    hits = texts.select("log_id", F.lower("text").alias("low")).join(one_row(words, "words"), F.lit(True)).select("log_id", F.inline(F.filter("words", lambda w: F.contains(F.col("low"), w["keyword"]))))
     by = hits.groupBy("log_id", "mode", "sub").agg(F.count("*").alias("hits"))
     best = by.withColumn("_r", F.row_number().over(Window.partitionBy("log_id", "mode").orderBy(F.desc("hits"), "sub"))).where("_r = 1").drop("_r")
     best = best.withColumn("score", F.least(F.lit(1.0), base + 0.2 * F.col("hits")))
@@ -92,30 +103,35 @@ def address_pattern(va: Column) -> Column:
     )
 
 
-def register_correlation(events: DataFrame, registers: DataFrame, priority: Sequence[str] = ("x0", "x1", "x2", "x3", "r0", "r1", "rdi", "rsi", "rax")) -> DataFrame:
+def register_correlation(events: DataFrame, registers: DataFrame, priority: Sequence[str] = ("x0", "r0", "rax", "rdi", "x1", "r1")) -> DataFrame:
     """``events(log_id, fault)`` and ``registers(log_id, reg, va)``: null, fill-pattern and matching registers of each log.
 
-    A register matches on all bits or on the low 48. Without a fault address null registers are no evidence.
+    A register matches on all bits, or on the low 48 where neither is 0. The source is the first matching one by ``priority``,
+    else by name. Without a fault address null registers are no evidence.
     """
     low = lambda c: c % F.lit(1 << 48).cast("decimal(20,0)")
     rank = F.array_position(F.array(*map(F.lit, priority)), F.col("reg"))
     rows = registers.join(events.select("log_id", "fault"), "log_id")
-    match = (F.col("va") == F.col("fault")) | (low(F.col("va")) == low(F.col("fault")))
-    rows = rows.withColumn("match", F.coalesce(match & (F.col("fault") != 0), F.lit(False))).withColumn("null_reg", (F.col("va") == 0) & F.col("fault").isNotNull()).withColumn("fill", address_pattern(F.col("va")) == "uaf_fill")
+    match = (F.col("va") == F.col("fault")) | ((F.col("va") != 0) & (F.col("fault") != 0) & (low(F.col("va")) == low(F.col("fault"))))
+    rows = rows.withColumn("match", F.coalesce(match, F.lit(False))).withColumn("null_reg", (F.col("va") == 0) & F.col("fault").isNotNull()).withColumn("fill", address_pattern(F.col("va")) == "uaf_fill")
     listed = lambda c: F.sort_array(F.collect_list(F.when(F.col(c), F.col("reg"))))
     return rows.groupBy("log_id").agg(listed("null_reg").alias("null_registers"), listed("fill").alias("fill_registers"), listed("match").alias("matching_registers"), F.min_by("reg", F.when(F.col("match"), F.struct(F.when(rank > 0, rank).otherwise(99), F.col("reg")))).alias("source_register"))
 
 
 def js_fault_mode(errors: DataFrame, patterns: DataFrame) -> DataFrame:
-    """``errors(log_id, name, message)`` and ``patterns(ord, mode, name_pattern, message_pattern)``: name and message 0.92, message
-    0.8, name 0.55, none 0.2; the best tier, then the first pattern."""
-    p = F.broadcast(patterns)
-    rows = errors.join(p, F.lit(True))
-    has = lambda c, pat: F.expr(f"coalesce({c}, '') rlike coalesce({pat}, '(?!)')")
-    tier = F.when(has("name", "name_pattern") & has("message", "message_pattern"), 1).when(has("message", "message_pattern"), 2).when(has("name", "name_pattern"), 3)
-    best = rows.withColumn("tier", tier).where("tier is not null").groupBy("log_id").agg(F.min_by(F.struct("mode", "tier"), F.struct("tier", "ord")).alias("m"))
-    conf = F.when(F.col("m.tier") == 1, 0.92).when(F.col("m.tier") == 2, 0.8).when(F.col("m.tier") == 3, 0.55).otherwise(0.2)
-    return errors.join(best, "log_id", "left").select("log_id", F.coalesce("m.mode", F.lit("unknown")).alias("fault_mode"), conf.alias("confidence"))
+    """``errors(log_id, name, message)`` and ``patterns(ord, mode, expected, message_pattern)``, ``expected`` being an error's name.
+
+    The first pattern whose name is contained and whose message matches gives 0.92; else the first of general errors whose
+    message matches 0.8; else the first of a name, ``Error`` aside, 0.55; else the mode is unknown at 0.2.
+    """
+    rows = errors.join(one_row(patterns.select("ord", "mode", "expected", "message_pattern"), "patterns"), F.lit(True))
+    name, message = F.lower(F.coalesce("name", F.lit(""))), F.coalesce("message", F.lit(""))
+    said = lambda p: F.rlike(message, F.concat(F.lit("(?i)"), p["message_pattern"]))
+    named = lambda p: F.contains(name, F.lower(p["expected"]))
+    first = lambda cond: F.get(F.filter(F.array_sort("patterns"), cond), F.lit(0))["mode"]
+    both, general, only = first(lambda p: named(p) & said(p)), first(lambda p: said(p) & F.lower(p["expected"]).isin("error", "typeerror", "referenceerror") & (message != "")), first(lambda p: named(p) & (p["expected"] != "Error"))
+    conf = F.when(both.isNotNull(), 0.92).when(general.isNotNull(), 0.8).when(only.isNotNull(), 0.55).otherwise(0.2)
+    return rows.select("log_id", F.coalesce(both, general, only, F.lit("JSC-FM-Unknown")).alias("fault_mode"), conf.alias("confidence"))
 
 
 def js_stack(frames: DataFrame, framework: str = r"(?i)node_modules|@ohos|ark_framework|react-native") -> DataFrame:
@@ -129,41 +145,50 @@ def js_stack(frames: DataFrame, framework: str = r"(?i)node_modules|@ohos|ark_fr
 def api_fault(errors: DataFrame, knowledge: DataFrame, top: int = 2) -> DataFrame:
     """``errors(log_id, text, code)`` and ``knowledge(module, kind 'module'|'api'|'code'|'pattern', term)``: the modules that fit.
 
-    0.35 for the module's name, 0.4 for each api, 0.55 for the code, 0.3 for each pattern, at most 0.99.
+    0.35 for the module's name, 0.4 for each api, 0.55 for the code, 0.3 for each pattern, at most 0.99. The confidence grows by
+    0.15 with each api, code and pattern.
     """
-    k = F.broadcast(knowledge.select("module", "kind", F.lower("term").alias("term")).distinct())
-    text = errors.select("log_id", F.lower("text").alias("low"), F.lower(F.col("code").cast("string")).alias("code"))
-    hits = text.join(k, F.expr("case when kind = 'code' then code = term else contains(low, term) end"))
+    terms = knowledge.select("module", "kind", F.lower("term").alias("term")).distinct()
+    text = errors.select("log_id", F.lower("text").alias("low"), F.lower(F.col("code").cast("string")).alias("code")).join(one_row(terms, "terms"), F.lit(True))
+    fits = lambda k: F.coalesce(F.when(k["kind"] == "code", F.col("code") == k["term"]).otherwise(F.contains(F.col("low"), k["term"])), F.lit(False))
+    hits = text.select("log_id", F.inline(F.filter("terms", fits)))
     weight = F.when(F.col("kind") == "module", 0.35).when(F.col("kind") == "api", 0.4).when(F.col("kind") == "code", 0.55).otherwise(0.3)
-    by = hits.groupBy("log_id", "module").agg(F.least(F.lit(0.99), F.sum(weight)).alias("score"), F.countDistinct("term").alias("evidence"))
+    by = hits.groupBy("log_id", "module").agg(F.least(F.lit(0.99), F.sum(weight)).alias("score"), F.count_if(F.col("kind") != "module").alias("evidence"))
     by = by.withColumn("confidence", F.least(F.lit(0.98), 0.5 + 0.15 * F.col("evidence")))
     return by.withColumn("rank", F.row_number().over(Window.partitionBy("log_id").orderBy(F.desc("score"), "module"))).where(F.col("rank") <= top)
 
 
 def route_modules(features: DataFrame, domains: DataFrame) -> DataFrame:
     """``features(log_id, modules array)`` and ``domains(domain, pattern)``: the knowledge domains of each log's modules."""
-    rows = features.select("log_id", F.explode("modules").alias("module")).join(F.broadcast(domains), F.expr("module rlike pattern"))
+    rows = features.select("log_id", F.explode("modules").alias("module")).join(one_row(domains.select("domain", "pattern"), "domains"), F.lit(True))
+    rows = rows.select("log_id", F.inline(F.filter("domains", lambda d: F.rlike(F.col("module"), d["pattern"]))))
     return rows.groupBy("log_id").agg(F.sort_array(F.collect_set("domain")).alias("domains"))
 
 
 def classify_crash(events: DataFrame) -> DataFrame:
-    """``events(log_id, signal, pattern, has_abort, recursion)``: the best class and up to three others above 0.5."""
+    """``events(log_id, stack_overflow_risk, sp_aligned, fp_in_stack, fp_above_sp, fill_registers int, pc_in_code, pc_in_jit, fault_pattern,
+    heap_abort, signal, reason)``: the class of most confidence, the first on ties, and up to three others above 0.5."""
+    #: Conditions, classes and confidences, in order.
     cand = [
-        ("pattern = 'null'", "null_pointer", 0.92),
-        ("pattern in ('null_offset', 'low')", "null_pointer_offset", 0.85),
-        ("pattern = 'uaf_fill'", "use_after_free", 0.9),
-        ("pattern in ('uaf_partial', 'debug_poison')", "use_after_free", 0.75),
-        ("recursion", "stack_overflow", 0.88),
-        ("pattern = 'stack_like' and signal = 'SIGSEGV'", "stack_overflow", 0.6),
-        ("signal = 'SIGABRT' and has_abort", "abort", 0.8),
-        ("signal = 'SIGFPE'", "arithmetic", 0.9),
-        ("signal = 'SIGBUS'", "misaligned_access", 0.7),
-        ("signal = 'SIGILL'", "illegal_instruction", 0.7),
-        ("signal = 'SIGSEGV'", "invalid_access", 0.45),
+        ("stack_overflow_risk = 'overflow'", "stack_overflow", "0.95"),
+        ("stack_overflow_risk = 'high'", "stack_overflow", "0.85"),
+        ("not sp_aligned", "stack_corruption", "0.8"),
+        ("not fp_in_stack", "stack_corruption", "0.85"),
+        ("not fp_above_sp", "stack_corruption", "0.8"),
+        ("fill_registers > 0", "use_after_free", "least(0.9, round(0.7 + 0.1 * fill_registers, 2))"),
+        ("not pc_in_code and not coalesce(pc_in_jit, false)", "code_corruption", "0.85"),
+        ("pc_in_jit", "jit_failure", "0.7"),
+        ("fault_pattern = 'null_deref'", "null_pointer_dereference", "0.98"),
+        ("fault_pattern = 'null_base_plus_offset'", "null_pointer_member_access", "0.95"),
+        ("fault_pattern = 'base_plus_offset'", "invalid_object_access", "0.7"),
+        ("fault_pattern = 'unmapped_access'", "wild_pointer", "0.6"),
+        ("heap_abort", "heap_corruption", "0.97"),
+        ("not coalesce(heap_abort, false) and (upper(signal) like '%SIGABRT%' or lower(reason) like '%abort%')", "explicit_abort", "0.85"),
     ]
-    rows = F.filter(F.array(*[F.when(F.expr(c), F.struct((-F.lit(p)).alias("neg"), F.lit(i).alias("ord"), F.lit(n).alias("class"))) for i, (c, n, p) in enumerate(cand)]), lambda x: x.isNotNull())
-    best = F.array_sort(rows)
-    return events.select("log_id", best.alias("c")).select("log_id", F.coalesce(F.get("c", F.lit(0))["class"], F.lit("unknown")).alias("crash_class"), F.coalesce(-F.get("c", F.lit(0))["neg"], F.lit(0.2)).alias("confidence"), F.slice(F.transform(F.filter(F.slice("c", 2, 20), lambda x: x.neg < -0.5), lambda x: x["class"]), 1, 3).alias("secondary"))
+    rows = F.filter(F.array(*[F.when(F.expr(c), F.struct((-F.expr(p)).cast("double").alias("neg"), F.lit(i).alias("ord"), F.lit(n).alias("class"))) for i, (c, n, p) in enumerate(cand)]), lambda x: x.isNotNull())
+    best = events.select("log_id", F.array_sort(rows).alias("c"))
+    others = F.transform(F.filter(F.slice("c", 2, 3), lambda x: x["neg"] < -0.5), lambda x: x["class"])
+    return best.select("log_id", F.coalesce(F.get("c", F.lit(0))["class"], F.lit("unknown")).alias("crash_class"), F.coalesce(-F.get("c", F.lit(0))["neg"], F.lit(0.0)).alias("confidence"), others.alias("secondary"))
 
 
 def grade_evidence(features: DataFrame) -> DataFrame:
@@ -180,9 +205,12 @@ def resolve_conflicts(modes: DataFrame, evidence: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("log_id").orderBy("tier", F.desc("confidence"), "fault_mode")))
 
 
-def diagnosis_status(modes: DataFrame) -> DataFrame:
-    """Confirmed from 0.85, probable with any mode; the best mode is the root cause."""
+def diagnosis_status(modes: DataFrame, logs: DataFrame | None = None) -> DataFrame:
+    """Confirmed from 0.85, probable with any mode; the best mode is the root cause. Of ``logs(log_id)`` those without a mode are
+    preliminary."""
     by = modes.groupBy("log_id").agg(F.max("confidence").alias("confidence"), F.max_by("fault_mode", F.struct("confidence", "fault_mode")).alias("root_cause"))
+    if logs is not None:
+        by = logs.select("log_id").distinct().join(by, "log_id", "left")
     return by.withColumn("status", F.when(F.col("confidence") >= 0.85, "confirmed").when(F.col("root_cause").isNotNull(), "probable").otherwise("preliminary"))
 
 

@@ -102,11 +102,19 @@ def completion_latency(events: DataFrame, starts: Sequence[str] = ("touch", "inp
     return events.groupBy("log_id").agg(first(starts).alias("start_ts"), first(ends).alias("end_ts")).where("start_ts is not null and end_ts is not null").withColumn("latency", F.col("end_ts") - F.col("start_ts"))
 
 
-def queue_summary(queue: DataFrame, long_ms: float = 3000) -> DataFrame:
-    """``queue(log_id, name, duration_ms, pending)``: longest long event per task name, depth and a verdict."""
-    by = queue.groupBy("log_id").agg(F.count("*").alias("events"), F.sum("pending").alias("pending"), F.count_if(F.col("duration_ms") > long_ms).alias("long_events"), F.max_by("name", F.struct("duration_ms", "name")).alias("longest_task"), F.max("duration_ms").alias("longest_ms"))
-    by = by.withColumn("queue_depth", F.coalesce(F.nullif("pending", F.lit(0)), "events"))
-    return by.withColumn("verdict", F.when(F.col("long_events") > 0, "blocked").when(F.col("queue_depth") > F.col("events"), "backlog").otherwise("normal"))
+def queue_summary(queue: DataFrame, state: DataFrame, long_ms: float = 3000, waiting: int = 5) -> DataFrame:
+    """``queue(log_id, name, duration_ms)`` and ``state(log_id, running_task, running_ms, pending_total)`` to depth and verdict.
+
+    A log is blocked where its running task takes longer than ``long_ms``, else where an event did (``long_events`` counts such
+    tasks by name), else where a task runs while ``waiting`` events or more are pending; ``cause`` says which.
+    """
+    late = F.col("duration_ms") > long_ms
+    by = queue.groupBy("log_id").agg(F.count("*").alias("events"), F.countDistinct(F.when(late, F.col("name"))).alias("long_events"), F.max_by("name", F.struct("duration_ms", "name")).alias("longest_task"), F.max("duration_ms").alias("longest_ms"))
+    rows = by.join(state.select("log_id", "running_task", "running_ms", "pending_total"), "log_id", "full").fillna(0, ["events", "long_events", "pending_total"])
+    rows = rows.withColumn("queue_depth", F.when(F.col("pending_total") > 0, F.col("pending_total")).otherwise(F.col("events")).cast("long"))
+    running = F.col("running_task").isNotNull()
+    cause = F.when(running & (F.col("running_ms") > long_ms), "running_task").when(F.col("long_events") > 0, "long_events").when(running & (F.col("pending_total") >= waiting), "pending")
+    return rows.withColumn("cause", cause).withColumn("verdict", F.when(F.col("cause").isNotNull(), "blocked").otherwise("normal"))
 
 
 def long_queue_events(queue: DataFrame, long_ms: float = 3000) -> DataFrame:
@@ -136,7 +144,11 @@ def system_load(text: Column) -> Column:
 
 def freeze_fault_modes(signals: DataFrame) -> DataFrame:
     """``signals`` with one row a log of flags (stressed, has_cycle, binder_cycle, ipc_full, running_task, queue_depth, has_locks,
-    verdict, busy, gc) to candidate modes, the best confidence for each id."""
+    verdict, busy, gc, and deep_dominant where known) to candidate modes, the best confidence for each id.
+
+    A function that dominates the deep samples lifts FREEZE-FM-03, where it is found at all, to 0.85.
+    """
+    #: Ids, owners and confidences.
     modes = [
         ("stressed", "FREEZE-FM-11", "System", 0.85),
         ("has_cycle", "FREEZE-FM-06", "Application", 0.9),
@@ -151,7 +163,9 @@ def freeze_fault_modes(signals: DataFrame) -> DataFrame:
         ("gc", "FREEZE-FM-08", "Runtime", 0.65),
     ]
     rows = F.filter(F.array(*[F.when(F.expr(cond), F.struct(F.lit(i).alias("fault_mode"), F.lit(o).alias("owner"), F.lit(c).alias("confidence"))) for cond, i, o, c in modes]), lambda x: x.isNotNull())
-    return signals.select("log_id", F.inline(rows)).groupBy("log_id", "fault_mode").agg(F.max("confidence").alias("confidence"), F.max_by("owner", "confidence").alias("owner"))
+    deep = F.col("deep_dominant").isNotNull() if "deep_dominant" in signals.columns else F.lit(False)
+    by = signals.select("log_id", deep.alias("_deep"), F.inline(rows)).groupBy("log_id", "fault_mode").agg(F.max("confidence").alias("confidence"), F.max_by("owner", "confidence").alias("owner"), F.bool_or("_deep").alias("_deep"))
+    return by.withColumn("confidence", F.when(F.col("_deep") & (F.col("fault_mode") == "FREEZE-FM-03"), F.greatest("confidence", F.lit(0.85))).otherwise(F.col("confidence"))).drop("_deep")
 
 
 def business_path(ops: DataFrame, last: int = 6) -> DataFrame:

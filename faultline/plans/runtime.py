@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    Read from ``spark.checkpoint.dir``. Only where that is unset (unit tests, one machine) a temporary folder is made.
+    Read from ``spark.checkpoint.dir``. Only where that is unset and all tasks run on this machine (tests) a temporary folder is
+    made; on a cluster, where no machine's own folder would do, the setting is asked for.
     """
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not found:
+        if not sc.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         sc.setCheckpointDir(found)
     return found

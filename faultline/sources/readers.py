@@ -28,7 +28,7 @@ def directory_hash(logs: DataFrame) -> DataFrame:
 
 
 def discover_bundles(files: DataFrame) -> DataFrame:
-    """``files(path)`` to leak bundles per process and pid, those with most kinds of files first."""
+    """``files(path)`` to leak bundles per process and pid; within a process ``rank`` puts those with most kinds of files first."""
     kind, process, pid = None, None, None
     for name, p in BUNDLE_FILES:
         hit = F.col("path").rlike(p)
@@ -41,15 +41,18 @@ def discover_bundles(files: DataFrame) -> DataFrame:
     kernel = rows.where("kind = 'kernel'").groupBy("process").agg(listed("kernel"))
     full = own.join(kernel, "process", "left").withColumn("kernel", F.coalesce("kernel", F.array().cast("array<string>")))
     kinds = sum(((F.size(k) > 0).cast("int") for k in ("sample", "smaps", "profile", "kernel")), F.lit(0))
-    return full.withColumn("kinds", kinds).withColumn("rank", F.dense_rank().over(Window.orderBy(F.desc("kinds"), F.desc(F.size("profile")), "process", "pid")))
+    return full.withColumn("kinds", kinds).withColumn("rank", F.row_number().over(Window.partitionBy("process").orderBy(F.desc("kinds"), F.desc(F.size("profile")), "pid")))
 
 
 def classify_artifacts(files: DataFrame) -> DataFrame:
-    """``files(path)``: the kind of artifact of each directory by the suffixes in it."""
+    """``files(path)`` to each directory's counts by suffix and what it is: for traces, ``trace_kind`` (traces before reports), and for
+    heaps, ``heap_kind`` (JSON files count as snapshots)."""
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
     n = lambda *s: F.count_if(suffix.isin(*s))
-    by = files.groupBy(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("directory")).agg(n("json", "csv").alias("reports"), n("htrace", "ftrace", "trace", "pftrace").alias("traces"), n("heapsnapshot").alias("snapshots"), n("rawheap").alias("rawheaps"))
-    return by.withColumn("kind", F.when(F.col("snapshots") > 1, "heap_series").when(F.col("snapshots") == 1, "heapsnapshot").when(F.col("rawheaps") > 0, "rawheap").when(F.col("reports") > 0, "report").when(F.col("traces") > 0, "trace").otherwise("unknown"))
+    by = files.groupBy(F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("directory")).agg(n("htrace", "trace", "ftrace", "pb").alias("traces"), n("json", "csv").alias("reports"), n("heapsnapshot", "json").alias("snapshots"), n("rawheap").alias("rawheaps"))
+    trace = F.when(F.col("traces") > 0, "trace").when(F.col("reports") > 0, "analysis_report").otherwise("directory")
+    heap = F.when(F.col("snapshots") > 1, "heap_snapshot_series").when(F.col("snapshots") == 1, "heapsnapshot").when(F.col("rawheaps") > 0, "rawheap").otherwise("directory")
+    return by.withColumn("trace_kind", trace).withColumn("heap_kind", heap)
 
 
 def read_perf_rows(spark: SparkSession, path: str) -> DataFrame:

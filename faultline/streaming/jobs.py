@@ -8,15 +8,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from faultline.operators.logs import classify_log_kind, detect_os
+from faultline.operators.logs import detect_os, log_kind
 from faultline.operators.retrieval import upsert
 
 
 def triage(spark: SparkSession, path: str) -> DataFrame:
     """A stream of ``(log_id, os, log_kind, confidence)`` for the files that arrive in a directory."""
     raw = spark.readStream.text(path, wholetext=True)
-    logs = raw.select(F.sha2("value", 256).alias("log_id"), F.col("value").alias("content"))
-    return classify_log_kind(logs.withColumn("os", detect_os(F.col("content"))).select("log_id", "content"))
+    return raw.select(F.sha2("value", 256).alias("log_id"), detect_os(F.col("value")).alias("os"), log_kind(F.col("value")).alias("kind")).select("log_id", "os", "kind.log_kind", "kind.confidence")
 
 
 def first_seen(incidents: DataFrame, identity: list[str], time: str = "ts", late: str = "1 hour") -> DataFrame:
