@@ -21,30 +21,47 @@ def _as(rows: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that read unlike trusted text of their language go."""
+    """Documents that read unlike trusted text of their language go.
+
+    Null and empty texts have no perplexity and go; rows that repeat an id are judged each by its text; texts of any length are
+    scored whole. Without labels every text with a character stays. An empty table gives an empty table.
+    """
     return _as(quality.classify(docs, table(spark, sf_dir, "labels")).where("kn_kept"), docs)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a clear language go; the others carry the predicted one."""
+    """Documents without a clear language go; the others carry the predicted one.
+
+    Dictionaries are cut from the stage's own labelled documents. Null texts, texts without a letter and narrow margins go;
+    without labelled documents all go. Repeated rows are judged each; texts of any length are read whole. An empty table
+    gives an empty table.
+    """
     rows = langid.label(docs, langid.fit(docs)).where(~F.col("rejected"))
     return _as(rows.withColumn("lang", F.col("lang_pred")) if "lang" in docs.columns else rows, docs)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines said before go, and documents of which nothing is left; ``n_chars`` follows the text."""
+    """Lines said before go, and documents of which nothing is left; ``n_chars`` follows the text.
+
+    Null and empty texts stay as they are. Of rows equal in id and text all keep the same lines. An empty table gives an empty
+    table.
+    """
     rows = linededup.dedup_lines(docs).where(F.col("text").isNull() | (F.col("ld_removed") == 0) | F.col("text").rlike(r"\S"))
     return _as(rows.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else rows, docs)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest id stays; rows without an id stay."""
+    """Of each class of near duplicates the document with the smallest id stays; rows without an id stay.
+
+    Null, empty and wordless texts are like nothing and stay; rows that repeat an id stay or go together. An empty table gives
+    an empty table.
+    """
     gone = minhash.near_duplicates(docs).where("class_id <> doc_id").select("doc_id")
     return _as(docs.join(gone, "doc_id", "left_anti"), docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of fixed windows of 2048 tokens."""
+    """Pieces of fixed windows of 2048 tokens. A null or empty text is its end token; an empty table gives no piece."""
     rows = packing.pack(docs, model_path("word_bpe_49k.json"))
     return rows.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "boundary")
 
@@ -57,7 +74,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: The stages train models and hash; SQL cannot express them. tests/llm/test_pipeline.py holds them against brute force.
+#: The stages train models and hash; SQL cannot express them. tests/llm/test_pipeline.py holds them against plain Python.
 ORACLE_SQL = None
 
 
