@@ -245,11 +245,11 @@ def _samples(spark, d):
 @query(f"""
     with {_STACK}, a as (select o, list(f order by pos) as fs from s group by 1), t as (select o % 10 as log_id, count(*) as samples from a group by 1),
     g as (select o % 10 as log_id, array_to_string(fs[1:2], '|') as prefix, count(*) as n from a group by all)
-    select log_id, prefix, n, samples, (row_number() over (partition by log_id order by n desc, prefix))::int as rank from g join t using (log_id)
+    select log_id, prefix, n, samples, (row_number() over (partition by log_id order by n desc, prefix))::int as rank, round(n / samples, 3) as ratio, round(least(0.99, 0.55 + n / samples * 0.44), 3) as confidence from g join t using (log_id)
 """)
 def stack_clusters(spark: SparkSession, d: str) -> DataFrame:
     rows = stacks.cluster_stacks(_samples(spark, d), 2).withColumn("prefix", F.array_join("prefix", "|"))
-    return rows.select("log_id", "prefix", "n", "samples", F.row_number().over(Window.partitionBy("log_id").orderBy(F.desc("n"), "prefix")).alias("rank"))
+    return rows.select("log_id", "prefix", "n", "samples", F.row_number().over(Window.partitionBy("log_id").orderBy(F.desc("n"), "prefix")).alias("rank"), "ratio", "confidence")
 
 
 @query(f"""
@@ -388,10 +388,11 @@ def _tree(spark, d):
     with c as (select c_nationkey, c_custkey, (select count(*) from orders where o_custkey = c_custkey) as k from customer),
     n as (select n_nationkey, n_regionkey, 1 + (select coalesce(sum(1 + 10 * k), 0) from c where c_nationkey = n_nationkey) as size from nation)
     select 'n' || n_nationkey as node, size::bigint as retained_size from n union all select 'r' || r_regionkey, (1 + (select coalesce(sum(size), 0) from n where n_regionkey = r_regionkey))::bigint from region
+    union all select 'c' || c_custkey, (1 + 10 * k)::bigint from c union all select 'o' || o_orderkey, 10 from orders
 """)
 def subtree_size(spark: SparkSession, d: str) -> DataFrame:
     nodes, edges = _tree(spark, d)
-    return graphs.heap_retained(nodes, edges, nodes.where("node rlike '^[rn]'")).select("node", "retained_size")
+    return graphs.heap_retained(nodes, edges).select("node", "retained_size")
 
 
 @query("""
@@ -495,9 +496,17 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.vector_topk(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("pattern_id"), "embedding"))
 
 
-@query()
+@query("""
+    with recursive q as (select vec_id as query_id, embedding as e from embeddings where vec_id % 20 = 0),
+    s as (select query_id, vec_id as hit_id, label, round(list_sum(list_transform(list_zip(e, embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double))), 6) as distance from embeddings, q),
+    k as (select *, row_number() over (partition by query_id order by distance, hit_id) as no from s qualify no <= 12),
+    h as (select query_id, no, hit_id, ['code', 'crash', 'concept'][label % 3 + 1] as layer, label as fp, hit_id % 2000 as chars from k),
+    f as (select distinct query_id, 0::bigint as no, 0 as n, 0::bigint as used, []::int[] as seen, []::varchar[] as layers, null::bigint as hit_id, null::varchar as reason, 0::bigint as chars from h
+        union all select query_id, no, n + (reason = 'selected')::int, used + c, case when reason = 'selected' then list_append(seen, fp) else seen end, case when reason = 'selected' then list_append(layers, layer) else layers end, hit_id, reason, c
+        from (select *, case when reason <> 'selected' then 0 when chars > 4500 - used then 4501 - used else chars end as c from (select h.query_id, h.no, f.n, f.used, f.seen, f.layers, h.hit_id, h.layer, h.fp, h.chars, case when f.n >= 6 then 'hit_budget' when list_contains(f.seen, h.fp) then 'duplicate' when len(list_filter(f.layers, lambda x: x = h.layer)) >= 2 then 'layer_budget' when f.used >= 4500 then 'character_budget' else 'selected' end as reason from f join h on h.query_id = f.query_id and h.no = f.no + 1)))
+    select query_id, hit_id, no::int as hit_no, reason, chars::int as used_chars from f where no > 0
+""")
 def fuse_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Vector hits with labels fused under budgets; the fold has no counterpart in SQL, tests hold it against a loop."""
     e = _t(spark, d, "embeddings")
     near = retrieval.vector_topk(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("pattern_id"), "embedding"), 12)
     rows = near.join(e.select(F.col("vec_id").alias("pattern_id"), "label"), "pattern_id")

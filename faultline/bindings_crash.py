@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from faultline.bindings import _t, query, r
 from faultline.operators import diagnosis, evaluation, graphs, joins, leak, logs, retrieval, rules, stacks, timing
+from faultline.sources import readers
 
 S = SparkSession
 
@@ -727,11 +728,11 @@ def text_excerpts(spark: S, d: str) -> DataFrame:
 
 
 @query("""
-    with e as (select user_id as log_id, event_type, round(value) as v, max(value) as relevance from events group by all), k as (select *, row_number() over (partition by log_id order by relevance desc, event_type, v) as rank from e)
+    with e as (select user_id as log_id, event_type, floor(value) as v, max(value) as relevance from events group by all), k as (select *, row_number() over (partition by log_id order by relevance desc, event_type, v) as rank from e)
     select log_id, event_type, v::bigint as v, round(relevance, 4) as relevance from k where rank <= 3
 """)
 def evidence_once(spark: S, d: str) -> DataFrame:
-    rows = _t(spark, d, "events").select(F.col("user_id").alias("log_id"), "event_type", F.round("value").cast("long").alias("v"), F.col("value").alias("relevance"), F.lit(0.5).alias("confidence"))
+    rows = _t(spark, d, "events").select(F.col("user_id").alias("log_id"), "event_type", F.floor("value").cast("long").alias("v"), F.col("value").alias("relevance"), F.lit(0.5).alias("confidence"))
     return retrieval.dedup_evidence(rows, ["event_type", "v"], 3).select("log_id", "event_type", "v", r("relevance", 4).alias("relevance"))
 
 
@@ -793,3 +794,164 @@ def evidence_edges(spark: S, d: str) -> DataFrame:
 def elapsed(spark: S, d: str) -> DataFrame:
     first = _t(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("t0"))
     return _t(spark, d, "events").join(first, "user_id").select("event_id", F.round((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))) / 1e6, 3).alias("seconds"))
+
+
+# --- sources -----------------------------------------------------------------------------------------------------------------
+
+
+def _paths(spark: S, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    name = F.when(k % 6 == 0, text("memleak-native-app-", k % 40, "-sample.txt")).when(k % 6 == 1, text("memleak-native-app-", k % 40, "-", k, ".db")).when(k % 6 == 2, text("memleak-kernel-app-0-", k, ".txt")).when(k % 6 == 3, text("t", k, ".HTRACE")).when(k % 6 == 4, text("r", k, ".json")).otherwise(text("h", k, ".rawheap"))
+    return _t(spark, d, "part").select(text("/data/", F.col("p_size"), "/", name).alias("path"), "p_size")
+
+
+@query("""
+    with f as (select '/data/' || p_size as directory, count(*) filter (where p_partkey % 6 = 3) as t, count(*) filter (where p_partkey % 6 = 4) as j, count(*) filter (where p_partkey % 6 = 5) as w from part group by 1)
+    select directory, case when t > 0 then 'trace' when j > 0 then 'analysis_report' else 'directory' end as trace_kind, case when j > 1 then 'heap_snapshot_series' when j = 1 then 'heapsnapshot' when w > 0 then 'rawheap' else 'directory' end as heap_kind from f
+""")
+def artifact_kinds(spark: S, d: str) -> DataFrame:
+    return readers.classify_artifacts(_paths(spark, d)).select("directory", "trace_kind", "heap_kind")
+
+
+@query("""
+    with f as (select 'app' as process, (p_partkey % 40)::varchar as pid, count(*) filter (where p_partkey % 6 = 0) as s, count(*) filter (where p_partkey % 6 = 1) as p from part where p_partkey % 6 < 2 group by 1, 2)
+    select process, pid, s::int as samples, p::int as profiles, (row_number() over (order by (s > 0)::int + (p > 0)::int desc, p desc, pid))::int as rank from f
+""")
+def leak_bundles(spark: S, d: str) -> DataFrame:
+    return readers.discover_bundles(_paths(spark, d)).select("process", "pid", F.size("sample").alias("samples"), F.size("profile").alias("profiles"), "rank")
+
+
+@query("""
+    select lang as directory, count(*)::int as n_files, sha256(string_agg(sha256(text), chr(10) order by '/x/' || lang || '/' || lpad(doc_id::varchar, 8, '0'))) as sha256 from documents where text is not null and lang is not null group by 1
+""")
+def directory_hashes(spark: S, d: str) -> DataFrame:
+    rows = _t(spark, d, "documents").where("text is not null and lang is not null").select(text("/x/", F.col("lang"), "/", F.lpad(F.col("doc_id").cast("string"), 8, "0")).alias("path"), F.sha2("text", 256).alias("sha256"))
+    return readers.directory_hash(rows).select(F.regexp_replace("directory", "^/x/", "").alias("directory"), "n_files", "sha256")
+
+
+@query(f"""
+    with {_LINES}, n as (select l_orderkey, count(*) as n from li group by 1)
+    select li.l_orderkey as log_id, case li.l_orderkey % 2 when 0 then 'sentry' else 'generic' end as vendor, (case li.l_orderkey % 2 when 0 then n - 1 - pos else pos end)::int as pos, 'fn' || l_partkey as function, 'lib' || l_suppkey as module, l_linenumber::bigint as line from li join n using (l_orderkey)
+""")
+def vendor_frames(spark: S, d: str) -> DataFrame:
+    frame = text('{"function": "fn', F.col("l_partkey"), '", "module": "lib', F.col("l_suppkey"), '", "lineno": ', F.col("l_linenumber"), "}")
+    rows = _lines(spark, d).groupBy(F.col("l_orderkey").alias("log_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", frame.alias("t")))), lambda x: x["t"]), ", ").alias("fs"))
+    content = F.when(F.col("log_id") % 2 == 0, text('{"exception": {"values": [{"type": "X", "stacktrace": {"frames": [', F.col("fs"), "]}}]}}")).otherwise(text('{"frames": [', F.col("fs"), "]}"))
+    return readers.vendor_json_to_frames(rows.select("log_id", content.alias("content"))).select("log_id", "vendor", "pos", "function", "module", "line")
+
+
+# --- crash diagnosis ---------------------------------------------------------------------------------------------------------
+
+
+@query("""
+    with e as (select o_orderkey as log_id, case o_orderstatus when 'F' then 'SIGSEGV' when 'O' then 'SIGABRT' else 'SIGKILL' end as signal, o_custkey % 4 as k from orders),
+    c as (select log_id, case signal when 'SIGSEGV' then 'CPP-FM-02' when 'SIGABRT' then 'CPP-FM-08' end as m, 0.65 as c from e union all select log_id, 'CPP-FM-03', 0.72 from e where k = 1 union all select log_id, 'CPP-FM-01', 0.9 from e where k = 2 union all select log_id, 'CPP-FM-16', 0.9 from e where signal = 'SIGKILL' and k = 3 union all select log_id, 'CPP-FM-08', 0.88 from e where k = 3 union all select log_id, 'CPP-FM-14', 0.7 from e where k = 0)
+    select log_id, m as fault_mode, max(c) as confidence from c where m is not null group by all
+""")
+def native_modes(spark: S, d: str) -> DataFrame:
+    k = F.col("o_custkey") % 4
+    signal = F.when(F.col("o_orderstatus") == "F", "SIGSEGV").when(F.col("o_orderstatus") == "O", "SIGABRT").otherwise("SIGKILL")
+    events = _t(spark, d, "orders").select(F.col("o_orderkey").alias("log_id"), signal.alias("signal"), F.when(k == 1, "segv_accerr").alias("signal_code"), F.when(k == 2, F.lit(16)).otherwise(1 << 40).cast("decimal(20,0)").alias("fault"), F.when(k == 3, "my_assert_fail").alias("frames_text"), F.when(k == 3, "Watchdog").alias("fatal_message"), F.lit(None).cast("string").alias("content"), F.when(k == 0, F.array(F.lit("js_oom"))).alias("hints"))
+    return diagnosis.cpp_fault_modes(events).select("log_id", "fault_mode", "confidence")
+
+
+@query("""
+    select c_custkey as log_id, case c_custkey % 5 when 0 then 'null_deref' when 1 then 'null_base_plus_offset' when 2 then 'base_plus_offset' when 3 then 'unmapped_access' else 'no_address' end as pattern, case c_custkey % 5 when 0 then 'x5' when 1 then 'x5' when 2 then 'x1' end as register, case c_custkey % 5 when 1 then c_nationkey + 1 when 2 then c_nationkey * 8 + 8 end::bigint as member_offset from customer
+""")
+def fault_registers(spark: S, d: str) -> DataFrame:
+    dec = lambda c: c.cast("decimal(20,0)")
+    k, n, base = F.col("c_custkey") % 5, F.col("c_nationkey"), F.lit(1 << 33)
+    fault = F.when(k == 0, F.lit(0)).when(k == 1, n + 1).when(k == 2, base + n * 8 + 8).when(k == 3, F.lit(1 << 45))
+    c = _t(spark, d, "customer")
+    events = c.select(F.col("c_custkey").alias("log_id"), dec(fault).alias("fault"))
+    regs = c.select(F.col("c_custkey").alias("log_id"), F.explode(F.array(F.struct(F.lit("x5").alias("reg"), dec(F.lit(0)).alias("va")), F.struct(F.lit("x1").alias("reg"), dec(base).alias("va")), F.struct(F.lit("x3").alias("reg"), dec(base).alias("va")))).alias("r")).select("log_id", "r.*")
+    return diagnosis.fault_register(events, regs)
+
+
+@query("""
+    select c_custkey as log_id, c_custkey % 3 > 0 as sp_aligned, case when c_nationkey % 4 = 0 then 'outside' when c_nationkey % 4 = 1 then 'high' when c_nationkey % 4 = 2 then 'low' else 'none' end as stack_overflow_risk, c_custkey % 2 = 0 as fp_above_sp, c_nationkey % 2 = 0 as pc_in_code from customer
+""")
+def pointer_states(spark: S, d: str) -> DataFrame:
+    dec = lambda c: c.cast("decimal(20,0)").alias
+    k, n = F.col("c_custkey"), F.col("c_nationkey") % 4
+    start, size = F.lit(1 << 30), F.lit(1 << 20)
+    sp = start + F.when(n == 1, F.lit(1024)).when(n == 2, F.lit(8192)).otherwise(F.lit(1 << 19)) + F.when(k % 3 == 0, 8).otherwise(0)
+    row = lambda reg, va, path, code: F.struct(F.lit(reg).alias("reg"), dec(va)("va"), dec(start)("start"), dec(start + size)("end"), path.alias("path"), code.alias("executable"))
+    rows = F.array(row("sp", sp, F.when(n == 0, "/lib/x.so").otherwise("[stack]"), F.lit(False)), row("fp", F.when(k % 2 == 0, sp + 16).otherwise(sp - 16), F.lit("[stack]"), F.lit(False)), row("pc", F.lit(77), F.lit("/lib/y.so"), n % 2 == 0))
+    pointers = _t(spark, d, "customer").select(k.alias("log_id"), F.explode(rows).alias("r")).select("log_id", "r.*")
+    return diagnosis.pointer_checks(pointers).select("log_id", "sp_aligned", "stack_overflow_risk", "fp_above_sp", "pc_in_code")
+
+
+@query("""
+    with e as (select o_orderkey as log_id, o_custkey % 6 as k, o_orderstatus as s from orders)
+    select log_id, 'null_pointer' as fact, case when s = 'F' then 0.95 else 0.8 end as confidence from e where s = 'F' or k = 0
+    union all select log_id, 'stack_overflow', 0.9 from e where k = 1 union all select log_id, 'assertion', 0.9 from e where k = 2 and s = 'O' union all select log_id, 'heap_corruption', 0.95 from e where k = 3 union all select log_id, 'divide_by_zero', 0.9 from e where k = 4 union all select log_id, 'uncaught_exception', 0.85 from e where k = 5
+""")
+def crash_facts(spark: S, d: str) -> DataFrame:
+    k = F.col("o_custkey") % 6
+    events = _t(spark, d, "orders").select(F.col("o_orderkey").alias("log_id"), F.when(F.col("o_orderstatus") == "O", "SIGABRT").otherwise("SIGSEGV").alias("signal"), F.when(F.col("o_orderstatus") == "F", F.lit(8)).cast("decimal(20,0)").alias("fault"), pick(F.col("o_custkey"), ["read_nullptr", "f", "Assert(x)", "double free", "divide_by_zero", "terminate called"]).alias("frames_text"), F.lit(None).cast("string").alias("fatal_message"), (k == 1).alias("recursion"))
+    return diagnosis.deterministic_facts(events)
+
+
+@query("""
+    select p_partkey as log_id, case p_partkey % 5 when 0 then 'abort' when 1 then 'null_pointer_dereference' when 2 then 'segmentation_fault' when 3 then 'stack_symbol_hint' else 'unknown' end as new_class, case p_partkey % 5 when 0 then 0.9 when 1 then 0.72 when 2 then 0.55 when 3 then 0.45 else 0.3 end as new_confidence from part
+""")
+def stack_classes(spark: S, d: str) -> DataFrame:
+    k = F.col("p_partkey") % 5
+    rows = _t(spark, d, "part").select(F.col("p_partkey").alias("log_id"), F.when(k == 0, "abort").otherwise("unknown").alias("crash_class"), F.when(k == 0, 0.9).otherwise(0.3).alias("confidence"), F.when(k.isin(1, 2), "SIGSEGV").alias("signal"), F.lit(None).cast("string").alias("reason"), F.when(k == 1, "null_deref()").otherwise("f").alias("functions"), F.when(k == 3, "f").alias("crash_function"))
+    return diagnosis.classify_from_stack(rows).select("log_id", "new_class", "new_confidence")
+
+
+@query("""
+    select event_id as frame_id, m as fault_mode from events join (values ('click', 'JANK-FM-01'), ('click', 'JANK-FM-08'), ('view', 'JANK-FM-03'), ('purchase', 'JANK-FM-04'), ('error', 'JANK-FM-06')) v(e, m) on e = event_type
+""")
+def jank_modes(spark: S, d: str) -> DataFrame:
+    stage = F.create_map(*[F.lit(x) for kv in {"click": "main CPU", "view": "Layout", "purchase": "repaint", "error": "GC", "signup": "none"}.items() for x in kv])[F.col("event_type")]
+    frames = _t(spark, d, "events").select(F.col("user_id").alias("log_id"), F.col("event_id").alias("frame_id"), stage.alias("stage"))
+    return timing.jank_fault_modes(frames).select("frame_id", "fault_mode")
+
+
+@query("""
+    with o as (select distinct user_id, event_type, floor(value / 10)::int as v, case when event_type in ('click', 'view') then 'runtime_event' when event_type = 'error' then 'tool_error' else 'tool_result' end as kind from events)
+    select kind, count(*) as n from (select distinct kind, user_id, v from o) group by 1
+""")
+def observations_once(spark: S, d: str) -> DataFrame:
+    t = F.col("event_type")
+    rows = _t(spark, d, "events").select(F.when(t == "click", "odd").when(t == "view", "runtime_event").when(t == "error", "tool_error").otherwise("tool_result").alias("kind"), F.lit("s").alias("source"), F.lit("ok").alias("status"), text("  user ", F.col("user_id"), " ").alias("summary"), F.lit(-1).alias("round"), F.floor(F.col("value") / 10).cast("int").alias("details"))
+    return diagnosis.dedup_observations(rows).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+# --- documents and symbols ---------------------------------------------------------------------------------------------------
+
+
+@query("""
+    with t as (select item_id as query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-zA-Z0-9_:.]{4,}'))) as term from benchmark),
+    b as (select doc_id, lower(text) as body from documents where doc_id in (select doc_id from labels) and text is not null)
+    select query_id, doc_id, sum(case when starts_with(term, 'lib') or contains(term, '::') then 1.5 else 0.5 end) as score from t join b on contains(body, term) group by all
+""")
+def document_scores(spark: S, d: str) -> DataFrame:
+    docs = _t(spark, d, "documents").where("text is not null").join(_t(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.array().cast("array<string>").alias("symbols"), F.col("text").alias("body"))
+    queries = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return retrieval.score_docs(queries, docs)
+
+
+@query(f"""
+    with {_LINES}, w as (select distinct l_orderkey as log_id, l_partkey % 500 as s from li), dc as (select distinct s_suppkey as doc, s_suppkey * 5 + g as s from supplier, generate_series(0, 2) x(g)),
+    h as (select distinct log_id, doc from w join dc using (s)), e as (select distinct log_id, 'Sym' || s as symbol from h join dc using (doc))
+    select log_id, symbol, (row_number() over (partition by log_id order by symbol))::int as rank from e qualify rank <= 5
+""")
+def seeded_symbols(spark: S, d: str) -> DataFrame:
+    stacks_ = _lines(spark, d).groupBy(F.col("l_orderkey").alias("log_id")).agg(F.concat_ws(" at ", F.collect_list(text("Sym", F.col("l_partkey") % 500))).alias("text"))
+    docs = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("doc_id"), F.transform(F.sequence(F.lit(0), F.lit(2)), lambda g: text("Sym", F.col("s_suppkey") * 5 + g)).alias("symbols"))
+    return retrieval.seed_symbols(stacks_, docs, 5)
+
+
+@query("""
+    select p_brand as file, count(*) filter (where p_size % 2 = 0) as functions, count(*) filter (where p_size % 2 = 1) as types from (select distinct p_brand, p_size, p_partkey from part) group by 1
+""")
+def source_symbols(spark: S, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    line = F.when(F.col("p_size") % 2 == 0, text("int fn_", k, "(int a) {\n}")).otherwise(text("class Type", k, " {\n};"))
+    files = _t(spark, d, "part").groupBy(F.col("p_brand").alias("file")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
+    symbols, _ = diagnosis.extract_source_symbols(files)
+    return symbols.groupBy("file").agg(F.count_if(F.col("kind") == "function").alias("functions"), F.count_if(F.col("kind") == "type").alias("types"))

@@ -127,17 +127,36 @@ def route_packs(queries: DataFrame, hints: DataFrame, forced: DataFrame | None =
     return by.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "pack_id"))).where("_r = 1").drop("_r")
 
 
+RUN = r"'[\\w:.]{4,}'"
+
+
+def _runs(df: DataFrame, key: str, column: str) -> DataFrame:
+    """``(key, run)``: the different runs of word characters, colons and dots of a text, in lower case."""
+    return df.select(key, F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower({column}), {RUN}, 0)"))).alias("run"))
+
+
+def _within(needles: DataFrame, runs: DataFrame) -> DataFrame:
+    """``(needle, run)`` for each of ``needles(needle)``, of four characters or more, that stands in one of ``runs(run)``.
+
+    Both meet by the needle's first four characters, so this is an equality join over different words.
+    """
+    pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 3), lambda i: F.substr(F.col("run"), i, F.lit(4))))
+    spread = runs.select("run").distinct().select("run", F.explode(pieces).alias("_g"))
+    own = needles.select("needle").distinct().where(F.length("needle") >= 4).withColumn("_g", F.substring("needle", 1, 4))
+    return own.join(spread, "_g").where(F.contains(F.col("run"), F.col("needle"))).select("needle", "run").distinct()
+
+
 def score_docs(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """``queries(query_id, text)`` against ``docs(doc_id, symbols array, body)``: 8 for each symbol in the query, and for each query
-    term of four characters or more in the body 1.5 if it is qualified (``::`` or ``lib``), else 0.5. Terms meet documents by
-    the words they share."""
-    term = F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '[\\w:.]{4,}', 0)")))
-    terms = queries.select("query_id", term.alias("term"))
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(body), '[\\w:.]{4,}', 0)"))).alias("term"))
-    points = F.when(F.contains(F.col("term"), F.lit("::")) | F.col("term").startswith("lib"), 1.5).otherwise(0.5)
-    a = terms.join(words, "term").select("query_id", "doc_id", points.alias("points"))
-    symbols = docs.select("doc_id", F.explode("symbols").alias("symbol")).select("doc_id", F.lower("symbol").alias("term"))
-    b = terms.join(symbols, "term").select("query_id", "doc_id", F.lit(8.0).alias("points"))
+    """``queries(query_id, text)`` against ``docs(doc_id, symbols array, body)``: 8 for each symbol that the query contains, and for each
+    query term of four characters or more that the body contains 1.5 if it is qualified (``::`` or ``lib``), else 0.5."""
+    terms = _runs(queries, "query_id", "text")
+    words = _runs(docs, "doc_id", "body")
+    points = F.when(F.contains(F.col("needle"), F.lit("::")) | F.col("needle").startswith("lib"), 1.5).otherwise(0.5)
+    in_body = _within(terms.select(F.col("run").alias("needle")), words).join(words, "run").select("doc_id", "needle").distinct()
+    a = terms.select("query_id", F.col("run").alias("needle")).join(in_body, "needle").select("query_id", "doc_id", points.alias("points"))
+    symbols = docs.select("doc_id", F.explode(F.array_distinct(F.transform("symbols", lambda x: F.lower(F.trim(x))))).alias("needle"))
+    in_query = _within(symbols, terms).join(terms, "run").select("query_id", "needle").distinct()
+    b = in_query.join(symbols, "needle").select("query_id", "doc_id", F.lit(8.0).alias("points"))
     return a.unionByName(b).groupBy("query_id", "doc_id").agg(F.sum("points").alias("score"))
 
 

@@ -58,6 +58,8 @@ def test_cycles_and_blockers(spark):
     chain = spark.createDataFrame([(1, "a", "b", 0), (1, "a", "z", 1), (1, "b", "c", 0), (2, "a", "b", 0), (2, "b", "a", 0)], "log_id int, src string, dst string, ord int")
     starts = spark.createDataFrame([(1, "a"), (2, "a"), (3, "q")], "log_id int, start string")
     assert {(r.log_id, r.blocker) for r in graphs.root_blocker(chain, starts).collect()} == {(1, "c"), (2, "b"), (3, "q")}
+    short = {(r.log_id, r.truncated) for r in graphs.root_blocker(chain, starts, max_hops=1).collect()}
+    assert (1, True) in short
 
 
 def test_heap_graph_equals_brute_force(spark):

@@ -158,6 +158,7 @@ def test_export_counts_and_streams(spark, tmp_path):
     q = jobs.triage(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("triage").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
     q.awaitTermination(120)
     assert spark.table("triage").first().log_kind == "native_crash"
+    assert set(spark.table("triage").columns) == {"log_id", "os", "log_kind", "confidence"} and spark.table("triage").first().os is not None
     samples = spark.createDataFrame([(1, i, float(3 * i)) for i in range(10)], "pid long, pos long, value double")
     samples.write.parquet(str(tmp_path / "samples"))
     live = jobs.live_trend(spark.readStream.schema(samples.schema).parquet(str(tmp_path / "samples")))
