@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.plans.components import connected_components
-from faultline.plans.runtime import drop, materialize, scratch
+from faultline.plans.runtime import Growing, drop, materialize, scratch
 
 #: What holds an object, by the first hint contained in its holder's name and type.
 ROOT_HINTS = [
@@ -101,23 +101,20 @@ def root_blocker(edges: DataFrame, starts: DataFrame, max_hops: int = 64) -> Dat
 
 def heap_distance(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """Breadth-first distance of each node that a root reaches; roots have no incoming edge, else node 0 is one."""
-    spark = nodes.sparkSession
     step = edges.select("snapshot_id", F.col("src").alias("node"), F.col("dst").alias("to")).distinct()
     roots = nodes.select("snapshot_id", "node").join(edges.select("snapshot_id", F.col("dst").alias("node")), ["snapshot_id", "node"], "left_anti")
     rootless = nodes.select("snapshot_id").distinct().join(roots.select("snapshot_id"), "snapshot_id", "left_anti").withColumn("node", F.lit(0).cast(nodes.schema["node"].dataType))
-    seen, path = scratch(roots.unionByName(rootless).distinct().withColumn("distance", F.lit(0)), "bfs")
+    frontier = roots.unionByName(rootless).distinct().withColumn("distance", F.lit(0))
+    seen = Growing(frontier, "bfs")
+    frontier = seen.rows()
     for d in range(1, max_rounds):
-        frontier = seen.where(F.col("distance") == d - 1)
-        new = frontier.join(step, ["snapshot_id", "node"]).select("snapshot_id", F.col("to").alias("node")).distinct().join(seen.select("snapshot_id", "node"), ["snapshot_id", "node"], "left_anti")
-        new = materialize(new.withColumn("distance", F.lit(d)), "frontier")
-        if not new.head(1):
+        new = frontier.join(step, ["snapshot_id", "node"]).select("snapshot_id", F.col("to").alias("node")).distinct().join(seen.rows().select("snapshot_id", "node"), ["snapshot_id", "node"], "left_anti")
+        frontier = seen.add(new.withColumn("distance", F.lit(d)))
+        if not frontier.head(1):
             break
-        nxt, nxt_path = scratch(seen.unionByName(new), "bfs")
-        drop(spark, path)
-        seen, path = nxt, nxt_path
     else:
         raise RuntimeError(f"distances did not settle in {max_rounds} rounds")
-    return seen
+    return seen.rows()
 
 
 def heap_retained(nodes: DataFrame, edges: DataFrame, candidates: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
@@ -126,23 +123,19 @@ def heap_retained(nodes: DataFrame, edges: DataFrame, candidates: DataFrame | No
     This is reachability, not dominance. Pairs (seed, reached) grow by a join a round, so pass ``candidates(snapshot_id,
     node)`` where only some nodes matter; a full closure can reach the square of the nodes.
     """
-    spark = nodes.sparkSession
     step = edges.select("snapshot_id", F.col("src").alias("reached"), F.col("dst").alias("to")).distinct()
     seeds = (candidates if candidates is not None else nodes).select("snapshot_id", F.col("node").alias("seed")).distinct().withColumn("reached", F.col("seed"))
-    every, path = scratch(seeds, "closure")
-    frontier = every
+    every = Growing(seeds, "closure")
+    frontier = every.rows()
     for _ in range(max_rounds):
-        new = frontier.join(step, ["snapshot_id", "reached"]).select("snapshot_id", "seed", F.col("to").alias("reached")).distinct().join(every, ["snapshot_id", "seed", "reached"], "left_anti")
-        frontier = materialize(new, "closure-new")
+        new = frontier.join(step, ["snapshot_id", "reached"]).select("snapshot_id", "seed", F.col("to").alias("reached")).distinct().join(every.rows(), ["snapshot_id", "seed", "reached"], "left_anti")
+        frontier = every.add(new)
         if not frontier.head(1):
             break
-        nxt, nxt_path = scratch(every.unionByName(frontier), "closure")
-        drop(spark, path)
-        every, path = nxt, nxt_path
     else:
         raise RuntimeError(f"reachability did not settle in {max_rounds} rounds")
     sizes = nodes.select("snapshot_id", F.col("node").alias("reached"), "self_size")
-    return every.join(sizes, ["snapshot_id", "reached"]).groupBy("snapshot_id", F.col("seed").alias("node")).agg(F.sum("self_size").alias("retained_size")).where("retained_size > 0")
+    return every.rows().join(sizes, ["snapshot_id", "reached"]).groupBy("snapshot_id", F.col("seed").alias("node")).agg(F.sum("self_size").alias("retained_size")).where("retained_size > 0")
 
 
 def heap_chain(nodes: DataFrame, edges: DataFrame, max_depth: int = 10) -> DataFrame:
@@ -204,12 +197,19 @@ def merge_chains(clusters: DataFrame, threshold: float = 0.7) -> DataFrame:
     """``clusters(cluster_id, name, type, retained_size, chain)`` merged where chains are alike: one row a group.
 
     Alike means that one chain stands within the other, or that the common subsequence makes ``threshold`` of the longer
-    one. Equal chains are merged first, so pairs are of different chains that share an element.
+    one. Equal chains are merged first. Chains meet by rare names only: of names common to two alike chains the rarest is among
+    the first few, by rarity, of both (a share 1 - threshold of a chain can be missing in the other), and where one stands within
+    the other its own rarest name is in both. Names that all chains have, as the root's, make no pairs.
     """
     distinct = clusters.groupBy("chain").agg(F.min("cluster_id").alias("rep")).where(F.size("chain") > 0)
     distinct = materialize(distinct, "chains")
-    words = distinct.select("rep", F.explode(F.array_distinct("chain")).alias("word"))
-    pairs = words.alias("a").join(words.alias("b"), F.expr("a.word = b.word and a.rep < b.rep")).groupBy(F.col("a.rep").alias("x"), F.col("b.rep").alias("y")).agg(F.count("*").alias("shared"))
+    words = distinct.select("rep", F.size("chain").alias("n"), F.explode(F.array_distinct("chain")).alias("word"))
+    words = words.join(words.groupBy("word").agg(F.count("*").alias("chains")), "word")
+    words = materialize(words.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("chains", "word"))), "words")
+    few = words.where(F.col("place") <= F.floor((1 - threshold) * F.col("n") + 1e-9) + 1).select("rep", "word")
+    rarest = words.where("place = 1").select("rep", "word")
+    meet = lambda a, b: a.alias("a").join(b.alias("b"), F.expr("a.word = b.word and a.rep <> b.rep")).select(F.least("a.rep", "b.rep").alias("x"), F.greatest("a.rep", "b.rep").alias("y"))
+    pairs = meet(few, few).unionByName(meet(rarest, words.select("rep", "word"))).distinct()
     full = pairs.join(distinct.select(F.col("rep").alias("x"), F.col("chain").alias("cx")), "x").join(distinct.select(F.col("rep").alias("y"), F.col("chain").alias("cy")), "y")
     within = _contains_run(F.col("cx"), F.col("cy")) | _contains_run(F.col("cy"), F.col("cx"))
     # the common subsequence cannot exceed the shorter chain

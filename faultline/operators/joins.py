@@ -64,18 +64,41 @@ def fill_from_frame0(registers: DataFrame, frames: DataFrame) -> DataFrame:
     return rows.withColumn("offset", F.when(fill & (offset >= 0), offset).otherwise(F.col("offset"))).withColumn("module", F.when(fill & (offset >= 0), F.col("m0")).otherwise(F.col("module"))).drop("m0", "o0", "pc")
 
 
+#: Ranges of places that a key is cut into by :func:`asof_join`.
+RANGES = 32
+
+
 def asof_join(points: DataFrame, marks: DataFrame, keys: Sequence[str], at: str, mark: str, values: Sequence[str], tolerance: Column | int | None = None, nearest: bool = False) -> DataFrame:
     """Each point with the last mark at or before it (ties: the mark last in order of its values), or with the ``nearest``.
 
-    Both sides are one stream in a window per key: one shuffle, no comparison of pairs. Marks beyond ``tolerance`` give nulls.
+    Both sides are one stream in a window per key and range of places, so a key that holds most rows is many tasks' work; the
+    ranges part all places evenly. What a range needs from those before (or after) it is one mark for each key and range,
+    carried over. Marks beyond ``tolerance`` give nulls, and so do null keys.
     """
     own = [c for c in points.columns if c not in (*keys, at)]
     kind = points.schema[at].dataType
     held = F.struct(F.col(mark).cast(kind).alias(mark), *values)
     left = points.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*own, F.col(at)).alias("_own"), F.lit(None).cast(marks.select(held.alias("h")).schema["h"].dataType).alias("_mark"))
-    right = marks.select(*keys, F.col(mark).cast(kind).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_own"].dataType).alias("_own"), held.alias("_mark"))
+    right = marks.dropna(subset=list(keys)).select(*keys, F.col(mark).cast(kind).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_own"].dataType).alias("_own"), held.alias("_mark"))
+    number = F.col("_at").cast("double")
+    cuts = sorted(set(left.select(number.alias("x")).approxQuantile("x", [i / RANGES for i in range(1, RANGES)], 0.01)))
+    part = sum((F.coalesce((number >= c).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
+    left, right = left.withColumn("_range", part), right.withColumn("_range", part)
+    # one row a key and range: its last mark, and of the marks at its first place the last
+    ends = right.groupBy(*keys, "_range").agg(F.max(F.struct("_at", "_mark"))["_mark"].alias("_last"), F.min("_at").alias("_low"))
+    if nearest:
+        low = [F.col(f"m.{k}").eqNullSafe(F.col(f"e.{k}")) for k in (*keys, "_range")]
+        first = right.alias("m").join(ends.alias("e"), [*low, F.expr("m._at = e._low")]).groupBy(*[F.col(f"e.{k}") for k in (*keys, "_range")], "e._last").agg(F.max("m._mark").alias("_first"))
+    else:
+        first = ends.withColumn("_first", F.col("_last"))
+    used = left.select(*keys, "_range").distinct().join(first.select(*keys, "_range", "_last", "_first"), [*keys, "_range"], "full")
     w = Window.partitionBy(*keys)
-    rows = left.unionByName(right)
+    carried = used.select(*keys, "_range", F.last("_last", ignorenulls=True).over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.first("_first", ignorenulls=True).over(w.orderBy("_range").rowsBetween(1, Window.unboundedFollowing)).alias("_after"))
+    over = lambda c: carried.where(f"{c} is not null").select(*keys, F.col(f"{c}.{mark}").alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(left.schema["_own"].dataType).alias("_own"), F.col(c).alias("_mark"), "_range")
+    rows = left.unionByName(right).unionByName(over("_before"))
+    if nearest:
+        rows = rows.unionByName(over("_after"))
+    w = Window.partitionBy(*keys, "_range")
     found = F.last("_mark", ignorenulls=True).over(w.orderBy("_at", "_side", "_mark").rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.withColumn("_before", found)
     pick = F.col("_before")

@@ -46,6 +46,25 @@ def scratch(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+class Growing:
+    """A table that only grows: each part is written to a folder of its own under one path and none is written twice."""
+
+    def __init__(self, df: DataFrame, label: str):
+        self.spark, self.schema, self.path, self.parts = df.sparkSession, df.schema, fresh_path(df.sparkSession, label), 0
+        self.add(df)
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Writes a part; what was written."""
+        at = f"{self.path}/part{self.parts}"
+        self.parts += 1
+        df.select(*self.schema.names).write.parquet(at)
+        return self.spark.read.schema(self.schema).parquet(at)
+
+    def rows(self) -> DataFrame:
+        """All parts."""
+        return self.spark.read.schema(self.schema).option("recursiveFileLookup", True).parquet(self.path)
+
+
 def drop(spark: SparkSession, path: str) -> None:
     """Delete a table made by :func:`scratch`."""
     jvm = spark.sparkContext._jvm
