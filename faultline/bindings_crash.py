@@ -448,13 +448,14 @@ def frame_layers(spark: S, d: str) -> DataFrame:
 
 
 @query(f"""
-    with {_FRAMES}, o as (select *, case when module in ('libc.so', 'libart.so') then 'system' when module = 'com.google.x' then 'third_party' else 'app' end as owner from fr where thread = 1),
-    g as (select log_id, arg_min(owner, pos) as crash_owner, bool_or(owner = 'app' and pos > 0) as app from o group by 1)
-    select log_id, crash_owner, case when crash_owner <> 'system' then crash_owner when app then 'app' else 'system' end as verdict from g
+    with {_FRAMES}, o as (select *, case when module in ('libc.so', 'libart.so') then 'system' when pos % 3 = 1 then 'vendor' when module = 'com.google.x' then 'undetermined' when pos % 3 = 2 then 'application' else 'undetermined' end as owner from fr where thread = 1),
+    g as (select log_id, arg_min(owner, pos) as crash_owner, bool_or(owner = 'application' and pos > 0) as app from o group by 1)
+    select log_id, crash_owner, case crash_owner when 'system' then 0.95 when 'vendor' then 0.8 when 'application' then 0.8 else 0.0 end as confidence, case when app then 'application' else crash_owner end as verdict from g
 """)
 def responsibility(spark: S, d: str) -> DataFrame:
-    rows = stacks.attribute_responsibility(_frames(spark, d).where("thread = 1").withColumn("path", F.lit("/data/app")), ["libc.so", "libart.so"])
-    return rows.select("log_id", "crash_owner", "verdict")
+    path = F.when(F.col("pos") % 3 == 1, "/vendor/lib64/x").when((F.col("pos") % 3 == 2) & (F.col("module") != "com.google.x"), "/data/app/y/").otherwise("/elsewhere")
+    rows = stacks.attribute_responsibility(_frames(spark, d).where("thread = 1").withColumn("path", path).withColumn("platform", F.lit("android")), ["libc.so", "libart.so"])
+    return rows.select("log_id", "crash_owner", "confidence", "verdict")
 
 
 _WAITS = ["pthread_mutex_lock", "epoll_wait", "Monitor::Wait", "work", "nanosleep"]
@@ -661,12 +662,17 @@ def content_features(spark: S, d: str) -> DataFrame:
     return diagnosis.detect_features(_t(spark, d, "documents").select(F.col("doc_id").alias("log_id"), F.col("text").alias("content")), dim)
 
 
-@query("""
-    select o_orderkey as run_id, case when o_orderstatus = 'P' or o_custkey % 5 = 0 then 'reject' when o_custkey % 5 = 1 then 'pending' when o_custkey % 5 = 2 and o_orderstatus = 'F' then 'accept' when o_custkey % 5 = 2 then 'partial' else 'pending' end as decision from orders
+_VERIFIED = [None, "passed", "issue_verified", "failed", "unavailable", "pending", "verified"]
+
+
+@query(f"""
+    with r as (select o_orderkey as run_id, o_custkey % 3 > 0 as patch, {sql_pick('o_orderkey', _VERIFIED)} as v, o_orderstatus as s, o_custkey % 11 = 5 as skipped, o_custkey % 13 = 4 as regressed, o_custkey % 7 = 2 as exact from orders),
+    k as (select *, patch and coalesce(v, '') in ('', 'unavailable') as idle from r)
+    select run_id, case when not patch and v is null and not skipped and s <> 'P' then 'accept' when skipped then 'partial' when v = 'pending' then 'pending' when s = 'P' or not patch or regressed or (idle and not exact) or v = 'failed' or (not idle and v = 'unavailable') then 'reject' when v = 'issue_verified' then 'partial' else 'accept' end as decision from k
 """)
 def run_decisions(spark: S, d: str) -> DataFrame:
-    k = F.col("o_custkey") % 5
-    runs = _t(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), (F.col("o_orderstatus") != "P").alias("patch_applied"), F.when(k == 0, "failed").when(k == 2, "passed").alias("verification"), (k == 1).alias("approval_required"), (F.col("o_orderstatus") == "F").alias("diagnosis_confirmed"))
+    k, patch = F.col("o_custkey"), F.col("o_custkey") % 3 > 0
+    runs = _t(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.when(F.col("o_orderstatus") == "P", "failed").otherwise("done").alias("run_status"), (k % 11 == 5).alias("pipeline_skipped"), patch.alias("has_patch"), patch.alias("patch_success"), F.lit(1).alias("applied_count"), F.lit(False).alias("schema_violation"), (k % 7 == 2).alias("exact_only"), F.lit("passed").alias("diff_status"), pick(F.col("o_orderkey"), _VERIFIED).alias("verification"), (k % 13 == 4).alias("regression"), F.lit("").alias("post_fix_status"))
     return evaluation.score_decisions(runs).select("run_id", "decision")
 
 
@@ -955,3 +961,19 @@ def source_symbols(spark: S, d: str) -> DataFrame:
     files = _t(spark, d, "part").groupBy(F.col("p_brand").alias("file")).agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("text"))
     symbols, _ = diagnosis.extract_source_symbols(files)
     return symbols.groupBy("file").agg(F.count_if(F.col("kind") == "function").alias("functions"), F.count_if(F.col("kind") == "type").alias("types"))
+
+
+@query("select doc_id, lang, source, sha256(coalesce(text, '')) as body_hash from documents where lang is not null")
+def document_heads(spark: S, d: str) -> DataFrame:
+    whole = text("---\nlang: ", F.col("lang"), "\n# note: x\nsource: old\nsource: '", F.col("source"), "'\n---\n", F.coalesce("text", F.lit("")))
+    rows = retrieval.front_matter(_t(spark, d, "documents").where("lang is not null").select("doc_id", whole.alias("text")))
+    return rows.select("doc_id", F.col("metadata")["lang"].alias("lang"), F.col("metadata")["source"].alias("source"), F.sha2("body", 256).alias("body_hash"))
+
+
+@query("select p_size as log_id, p_partkey as line_no, '/lib/' || p_brand as name, (p_partkey * 1000)::double as size_kb, p_size::double as pss_kb, 3.0 as swap_pss_kb from part where p_partkey > 0")
+def smaps_tables(spark: S, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    part = _t(spark, d, "part").where("p_partkey > 0")
+    rows = part.select(F.col("p_size").alias("log_id"), k.alias("line_no"), text(F.format_number(k * 1000, 0), "   7   ", F.col("p_size"), "   3   /lib/", F.col("p_brand")).alias("text"))
+    heads = part.select(F.col("p_size").alias("log_id")).distinct().select("log_id", F.lit(0).cast("long").alias("line_no"), F.lit("Size  Rss  Pss  SwapPss  Name").alias("text"))
+    return logs.parse_smaps_table(rows.unionByName(heads))

@@ -80,9 +80,35 @@ def compare_runs(before: DataFrame, after: DataFrame, key: str = "case_id") -> D
 
 
 def score_decisions(runs: DataFrame) -> DataFrame:
-    """accept, reject, pending or partial from patch, diff, verification and diagnosis signals."""
-    decision = F.when(~F.coalesce("patch_applied", F.lit(False)), "reject").when(F.col("verification") == "failed", "reject").when(F.col("approval_required"), "pending").when((F.col("verification") == "passed") & F.col("diagnosis_confirmed"), "accept").when(F.col("verification") == "passed", "partial").otherwise("pending")
-    return runs.withColumn("decision", decision)
+    """``runs(run_status, pipeline_skipped, has_patch, patch_success, applied_count, schema_violation, exact_only, diff_status,
+    verification, regression, post_fix_status)`` with ``patch_valid``, ``diff_review_passed``, ``verification_passed``,
+    ``diagnosis_stable`` and ``decision`` (accept, reject, pending or partial) added.
+
+    A repair needs terminal feedback: where verification did not run it holds only for patches that replace text exactly.
+    Without patch and verification a finished run is accepted as an analysis.
+    """
+    text = lambda c: F.coalesce(c, F.lit(""))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    status, verification, post = text("run_status"), text("verification"), text("post_fix_status")
+    patch = flag("has_patch")
+    patch_ok = patch & flag("patch_success") & (F.coalesce("applied_count", F.lit(0)) > 0) & ~flag("schema_violation")
+    diff_ok = text("diff_status") != "failed"
+    # no verification at all counts as skipped, which suffices for an analysis only
+    not_run = patch & verification.isin("", "skipped", "unavailable", "not_configured", "configured_but_unavailable", "not_triggered", "unknown")
+    passed = verification.isin("passed", "repair_applied", "issue_verified", "regression_verified", "verified", "inconclusive", "skipped", "")
+    verify_ok = F.when(not_run, flag("exact_only")).otherwise(passed)
+    stable = ~flag("regression") & post.isin("passed", "skipped", "")
+    partial = ~not_run & verification.isin("repair_applied", "issue_verified", "regression_verified", "inconclusive")
+    analysis = ~patch & F.col("verification").isNull() & ~flag("pipeline_skipped") & status.isin("success", "done", "")
+    decision = (
+        F.when(analysis, "accept")
+        .when(flag("pipeline_skipped"), "partial")
+        .when(status.isin("verification_pending", "approval_required") | (verification == "pending"), "pending")
+        .when(status.isin("error", "failed") | ~(patch_ok & diff_ok & verify_ok & stable), "reject")
+        .when(status.isin("success", "done", ""), F.when(partial, "partial").otherwise("accept"))
+        .otherwise("reject")
+    )
+    return runs.withColumns({"patch_valid": analysis | patch_ok, "diff_review_passed": analysis | diff_ok, "verification_passed": analysis | verify_ok, "diagnosis_stable": analysis | stable, "decision": decision})
 
 
 def judge_runs(runs: DataFrame, gates: Sequence[str] = ("evidence_gate", "patch_gate", "build_gate", "verification_gate", "safety_gate")) -> DataFrame:

@@ -324,6 +324,19 @@ def parse_smaps(lines: DataFrame) -> DataFrame:
     return rows.groupBy("log_id", "block").agg(F.max("_n").alias("name"), value("Size").alias("size_kb"), value("Rss").alias("rss_kb"), value("Pss").alias("pss_kb"), F.coalesce(value("SwapPss"), F.lit(0.0)).alias("swap_pss_kb"))
 
 
+def parse_smaps_table(lines: DataFrame) -> DataFrame:
+    """A vendor's table of mappings to ``(log_id, line_no, name, size_kb, pss_kb, swap_pss_kb)``: columns by the head line with ``Size
+    Rss Pss`` and ``Name``, cells two spaces apart, rows that begin with a number."""
+    w = Window.partitionBy("log_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
+    cells = F.split(F.trim("text"), r"\s{2,}")
+    head = F.col("text").rlike(r"\bSize\s+Rss\s+Pss\b") & F.col("text").contains("Name")
+    rows = lines.withColumn("_h", F.when(head, F.transform(cells, lambda x: F.lower(x)))).withColumn("_names", F.first("_h", ignorenulls=True).over(w)).where("_names is not null and _h is null")
+    rows = rows.withColumn("_c", cells).where((F.size("_c") >= 3) & F.get("_c", F.lit(0)).rlike(r"^[\d,]+$"))
+    at = lambda n: F.when(F.array_position("_names", F.lit(n)) > 0, F.get("_c", F.array_position("_names", F.lit(n)).cast("int") - 1))
+    number = lambda *names: F.coalesce(*[F.regexp_replace(at(n), ",", "").try_cast("double") for n in names], F.lit(0.0))
+    return rows.select("log_id", "line_no", F.coalesce(at("name"), F.element_at("_c", -1)).alias("name"), number("size").alias("size_kb"), number("pss").alias("pss_kb"), number("swappss", "swap pss").alias("swap_pss_kb"))
+
+
 def parse_nmd(lines: DataFrame) -> DataFrame:
     """Allocator snapshots to ``(log_id, snapshot_no, size_bytes, allocated_bytes)``; a ``snapshot`` line starts each."""
     w = Window.partitionBy("log_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)

@@ -183,6 +183,18 @@ def seed_symbols(stacks: DataFrame, docs: DataFrame, most: int = 40) -> DataFram
     return every.withColumn("rank", F.row_number().over(Window.partitionBy("log_id").orderBy("symbol"))).where(F.col("rank") <= most)
 
 
+def front_matter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, metadata map, body)``: the ``key: value`` lines between a text's first lines of dashes, the last of a key, and what
+    follows; a text without such a head is all body."""
+    head = r"(?s)\A---\s*\n(.*?)\n---\s*\n"
+    text = F.coalesce(text_col, F.lit(""))
+    lines = F.filter(F.split(F.regexp_extract(text, head, 1), r"\r?\n"), lambda x: x.contains(":") & ~F.ltrim(x).startswith("#"))
+    value = lambda x: F.regexp_replace(F.trim(F.regexp_extract(x, r"^[^:]*:(.*)$", 1)), r"^(['\"])(.*)\1$", "$2")
+    entries = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^:]*):", 1)).alias("k"), value(x).alias("v")))
+    meta = F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["k"]), F.create_map(e["k"], e["v"])))
+    return docs.select(F.col(id_col).alias("doc_id"), meta.alias("metadata"), F.regexp_replace(text, head, "").alias("body"))
+
+
 def chunk_docs(docs: DataFrame, size: int = 1800, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Sections under headings of levels 1 to 4 (the whole text without any), in windows of ``size`` characters with a stable id."""
     heading = r"(?m)^#{1,4}[ \t]+(.+?)[ \t]*$"

@@ -146,13 +146,41 @@ def layer_summary(frames: DataFrame) -> DataFrame:
     return stack_layers(frames).groupBy("log_id").agg(F.min_by(frame, F.when((F.col("pos") > 0) & (F.col("layer") != "runtime"), F.col("pos"))).alias("first_non_runtime"), F.min_by(frame, F.when(F.col("layer") == "app", F.col("pos"))).alias("first_app"))
 
 
-def attribute_responsibility(frames: DataFrame, system_modules: Sequence[str], third_party: str = r"(?i)^(com\.google|com\.facebook|okhttp|libglog|libcurl|libssl|libcrypto)", platform_path: str = r"^/(system|vendor|apex|usr/lib)/") -> DataFrame:
-    """Owner of the crash frame, the first app frame after it, and a verdict: app, third_party or system."""
+#: Who owns what lies where, by platform, in order.
+OWNER_PATHS = [
+    ("android", r"/data/app/[^/]+/|/data/data/[^/]+/", "application"),
+    ("android", r"/system/lib|/system/framework|/apex/", "system"),
+    ("android", r"/vendor/lib|/odm/lib|/product/lib", "vendor"),
+    ("harmonyos", r"/data/storage/el\d/bundle/|/data/app/", "application"),
+    ("harmonyos", r"/system/lib|/system/app", "system"),
+    ("harmonyos", r"/chipset/lib|/vendor/", "vendor"),
+    ("ios", r"/var/containers/Bundle/Application/|/private/var/containers/", "application"),
+    ("ios", r"/System/Library/Frameworks/|/System/Library/PrivateFrameworks/|/usr/lib/", "system"),
+    ("macos", r"/Applications/|/Users/[^/]+/", "application"),
+    ("macos", r"/System/Library/|/usr/lib/", "system"),
+    ("macos", r"/Library/Frameworks/", "third_party"),
+    ("linux", r"/usr/lib/|/lib/x86_64-linux-gnu/|/lib/aarch64-linux-gnu/", "system"),
+    ("linux", r"/opt/", "third_party"),
+    ("linux", r"/home/", "application"),
+]
+
+
+def attribute_responsibility(frames: DataFrame, system_modules: Sequence[str], third_party: str = r"(?i)libReact|libhermes|libfb|libfolly|libsentry|libbugly|libunity|libUE4|Firebase|Sentry") -> DataFrame:
+    """``frames(log_id, pos, function, module, path, platform)``: who owns the crash frame, how sure that is, the first application
+    frame after it, and a verdict.
+
+    A known system module comes first (0.95), then patterns of third parties (0.85), the path by platform (0.8), and a
+    library named like an application's (0.5). The verdict is the application's where a later frame is, else the crash frame's.
+    """
     module, path = F.coalesce("module", F.lit("")), F.coalesce("path", F.lit(""))
-    owner = F.when(module.isin(*system_modules), "system").when(module.rlike(third_party), "third_party").when(path.rlike(platform_path) | module.rlike("^lib[A-Z]"), "system").otherwise("app")
-    rows = frames.withColumn("owner", owner)
-    one = rows.groupBy("log_id").agg(F.min_by("owner", "pos").alias("crash_owner"), F.min_by(F.struct("pos", "function", "module"), F.when((F.col("owner") == "app") & (F.col("pos") > 0), F.col("pos"))).alias("first_app_frame"))
-    return one.withColumn("verdict", F.when(F.col("crash_owner") != "system", F.col("crash_owner")).when(F.col("first_app_frame").isNotNull(), "app").otherwise("system"))
+    by_path = F.lit(None).cast("string")
+    for platform, pattern, owner in reversed(OWNER_PATHS):
+        by_path = F.when((F.col("platform") == platform) & path.rlike("(?i)" + pattern), owner).otherwise(by_path)
+    said = lambda who, sure: F.struct((F.lit(who) if isinstance(who, str) else who).alias("owner"), F.lit(sure).alias("confidence"))
+    owner = F.when(module.isin(*system_modules), said("system", 0.95)).when(module.rlike(third_party), said("third_party", 0.85)).when(by_path.isNotNull(), said(by_path, 0.8)).when(module.rlike("^lib[A-Z]"), said("application", 0.5)).otherwise(said("undetermined", 0.0))
+    rows = frames.withColumn("_o", owner)
+    one = rows.groupBy("log_id").agg(F.min_by("_o", "pos").alias("_c"), F.min_by(F.struct("pos", "function", "module"), F.when((F.col("_o.owner") == "application") & (F.col("pos") > 0), F.col("pos"))).alias("first_app_frame"))
+    return one.select("log_id", F.col("_c.owner").alias("crash_owner"), F.col("_c.confidence").alias("confidence"), "first_app_frame", F.when(F.col("first_app_frame").isNotNull(), "application").otherwise(F.col("_c.owner")).alias("verdict"))
 
 
 def extract_features(frames: DataFrame, events: DataFrame, first: int = 10) -> DataFrame:
