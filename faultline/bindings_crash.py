@@ -796,10 +796,93 @@ def evidence_edges(spark: S, d: str) -> DataFrame:
     return nodes.where("kind = 'n'").agg(F.count("*").alias("n")).select(F.lit("node").alias("kind"), "n").unionByName(edges.agg(F.count("*").alias("n")).select(F.lit("edge").alias("kind"), "n"))
 
 
-@query("select event_id, round((epoch_us(ts) - min(epoch_us(ts)) over (partition by user_id)) / 1e6, 3) as seconds from events")
+@query("select event_id, case when event_id % 7 = 0 then event_id::double else round((epoch_us(ts) - epoch_us(first_value(ts) over (partition by user_id order by ts, event_id))) / 1e6, 3) end as seconds from events")
 def elapsed(spark: S, d: str) -> DataFrame:
-    first = _t(spark, d, "events").groupBy("user_id").agg(F.min("ts").alias("t0"))
-    return _t(spark, d, "events").join(first, "user_id").select("event_id", F.round((F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))) / 1e6, 3).alias("seconds"))
+    rows = _t(spark, d, "events").withColumn("running", F.when(F.col("event_id") % 7 == 0, F.col("event_id")))
+    return leak.elapsed_seconds(rows, ["user_id"], ["ts", "event_id"], "running", "ts").select("event_id", F.round("elapsed_s", 3).alias("seconds"))
+
+
+@query("""
+    with m as (select user_id, coalesce(arg_max({'e': event_id, 'v': value}, event_id) filter (where event_type = 'error'), arg_max({'e': event_id, 'v': value}, event_id)) as m from events group by 1),
+    k as (select user_id, 'pss' as kind, m.v as growth from m union all select user_id, 'gpu', (m.e % 60)::double from m union all select user_id, 'ion', (m.e % 50 - 25)::double from m),
+    s as (select *, growth / sum(growth) over (partition by user_id) as share, row_number() over (partition by user_id order by growth desc, kind) as rank from k where growth > 0)
+    select user_id, kind, round(share, 6) as share, rank::int as rank from s where share >= 0.2 or rank = 1
+""")
+def trigger_shares(spark: S, d: str) -> DataFrame:
+    k = F.col("event_id")
+    rows = _t(spark, d, "events").select("user_id", k, (F.col("event_type") == "error").alias("is_trigger"), F.col("value").alias("pss"), (k % 60).alias("gpu"), (k % 50 - 25).alias("ion"))
+    return leak.leak_types_at_trigger(rows, ["user_id"], "event_id", "is_trigger", ["pss", "gpu", "ion"]).select("user_id", "kind", r("share").alias("share"), "rank")
+
+
+@query("""
+    select c_custkey as log_id, ['native_heap_leak', 'dma_buffer_leak', 'gpu_memory_leak', 'unknown_leak'][c_custkey % 4 + 1] as fault_mode, case when c_acctbal > 0 and c_nationkey % 2 = 0 then 'high' when c_acctbal > 0 or c_nationkey % 2 = 0 then 'medium' else 'low' end as confidence from customer
+""")
+def leak_modes(spark: S, d: str) -> DataFrame:
+    rows = _t(spark, d, "customer").select(F.col("c_custkey").alias("log_id"), pick(F.col("c_custkey"), ["pss", "dma", "gpu", "x"]).alias("kind"), F.lit(0.5).alias("share"), F.col("c_acctbal").alias("growth"), (F.col("c_nationkey") % 2 == 0).alias("has_trace"))
+    return leak.leak_fault_modes(rows).select("log_id", "fault_mode", "confidence")
+
+
+# --- evidence and cases ------------------------------------------------------------------------------------------------------
+
+
+@query("""
+    with e as (select p_type as pattern_id, p_partkey as evidence_id, row_number() over (partition by p_type order by p_retailprice desc, p_partkey) as rank from part), h as (select distinct l_orderkey as log_id, p_type as pattern_id from lineitem join part on l_partkey = p_partkey)
+    select log_id, pattern_id, evidence_id, rank::int as rank from h join e using (pattern_id) where rank <= 2
+""")
+def hit_evidence(spark: S, d: str) -> DataFrame:
+    part = _t(spark, d, "part")
+    evidence = part.select(F.col("p_type").alias("pattern_id"), F.col("p_partkey").alias("evidence_id"), F.col("p_retailprice").alias("reliability_score"))
+    hits = _t(spark, d, "lineitem").join(part, F.expr("l_partkey = p_partkey")).select(F.col("l_orderkey").alias("log_id"), F.col("p_type").alias("pattern_id")).distinct()
+    return diagnosis.attach_evidence(hits, evidence, 2).select("log_id", "pattern_id", "evidence_id", "rank")
+
+
+@query("select event_id, case event_type when 'error' then 0.9 when 'click' then 0.4 else 0.5 end as relevance from events")
+def stage_evidence(spark: S, d: str) -> DataFrame:
+    rows = _t(spark, d, "events").select("event_id", F.col("event_type").alias("kind"), F.col("props").alias("content"))
+    return diagnosis.ingest_evidence(rows, {"error": 0.9, "click": 0.4}).select("event_id", "relevance")
+
+
+@query("select p_brand, p_type, count(distinct p_size) as cases from part group by all")
+def knowledge_cases(spark: S, d: str) -> DataFrame:
+    cases = diagnosis.build_cases(_t(spark, d, "part").select("p_brand", "p_type", "p_size"), ["p_brand", "p_type", "p_size"])
+    return cases.groupBy("p_brand", "p_type").agg(F.count("*").alias("cases"))
+
+
+@query("""
+    with q as (select vec_id as query_id, embedding as e from embeddings where vec_id % 20 = 0),
+    s as (select query_id, vec_id as pattern_id, label, round(list_sum(list_transform(list_zip(e, embedding), lambda z: (z[1]::double - z[2]::double) * (z[1]::double - z[2]::double))), 6) as distance from embeddings, q),
+    k as (select *, row_number() over (partition by query_id order by distance, pattern_id) as rank from s qualify rank <= 5), m as (select *, case when distance <= 1 then 1 - distance else 1 / (1 + distance) end as sim from k where label % 3 > 0)
+    select query_id, pattern_id, round(sim, 6) as similarity, round(sim + 0.5 + least(0.2, 0.02 * (pattern_id % 30)), 6) as score from m
+""")
+def pattern_hits(spark: S, d: str) -> DataFrame:
+    e = _t(spark, d, "embeddings")
+    meta = e.select(F.col("vec_id").alias("pattern_id"), F.lit(0.5).alias("confidence"), (F.col("vec_id") % 30).alias("adopted"), (F.col("label") % 3 == 0).alias("deprecated"))
+    rows = retrieval.retrieve_patterns(e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("pattern_id"), "embedding"), meta)
+    return rows.select("query_id", "pattern_id", r("similarity").alias("similarity"), r("score").alias("score"))
+
+
+@query("""
+    select 'o' || o_orderkey as node, 'region' || '>' || 'nation' || n_nationkey || '>' || 'customer' || '>' || 'order' as chain from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
+""")
+def reference_chains(spark: S, d: str) -> DataFrame:
+    region, nation, customer, orders = (_t(spark, d, t) for t in ("region", "nation", "customer", "orders"))
+    node = lambda k, c, name: [F.lit(0).alias("snapshot_id"), text(k, F.col(c)).alias("node"), name.alias("name"), F.lit("t").alias("type")]
+    nodes = region.select(*node("r", "r_regionkey", F.lit("region"))).unionByName(nation.select(*node("n", "n_nationkey", text("nation", F.col("n_nationkey"))))).unionByName(customer.select(*node("c", "c_custkey", F.lit("customer")))).unionByName(orders.select(*node("o", "o_orderkey", F.lit("order"))))
+    edge = lambda a, x, b, y: [F.lit(0).alias("snapshot_id"), text(a, F.col(x)).alias("src"), text(b, F.col(y)).alias("dst"), F.lit(0).alias("ord")]
+    edges = nation.select(*edge("r", "n_regionkey", "n", "n_nationkey")).unionByName(customer.select(*edge("n", "c_nationkey", "c", "c_custkey"))).unionByName(orders.select(*edge("c", "o_custkey", "o", "o_orderkey")))
+    return graphs.heap_chain(nodes, edges).where("node like 'o%'").select("node", F.array_join("chain", ">").alias("chain"))
+
+
+@query("""
+    with m as (select o_orderkey as log_id, o_orderstatus as s, o_custkey % 3 as k from orders) select log_id, case when s = 'F' then 'detector' when k = 0 then 'register' when k = 1 then 'address' when s = 'O' then 'pattern' else 'insufficient' end as grade from m
+""")
+def native_grades(spark: S, d: str) -> DataFrame:
+    k = F.col("o_custkey") % 3
+    o = _t(spark, d, "orders").withColumnRenamed("o_orderkey", "log_id")
+    events = o.select("log_id", F.when(k == 0, F.lit(16)).cast("decimal(20,0)").alias("fault"))
+    level = F.array_compact(F.array(F.when(F.col("o_orderstatus") == "F", "detector"), F.when(k == 1, "address"), F.when(F.col("o_orderstatus") == "O", "hint")))
+    modes = o.select("log_id", F.explode(level).alias("level"))
+    return diagnosis.cpp_evidence_grade(events, modes, o.where(k != 2).select("log_id"))
 
 
 # --- sources -----------------------------------------------------------------------------------------------------------------
