@@ -370,10 +370,10 @@ def _next_customer(spark, d):
 @query("""
     with recursive e as (select c_custkey as s, (c_custkey * 7 + 3) % (select count(*) from customer) as t from customer),
     p as (select s as start, t as node, [s] as path from e where t >= s union all select start, e.t, list_append(path, node) from p join e on e.s = p.node where node > start and not list_contains(path, node) and len(path) < 20 and e.t >= start)
-    select array_to_string(list_append(path, start), '>') as cycle from p where node = start
+    select array_to_string(list_append(path, start), '>') as cycle, (select coalesce(bool_or(len(path) = 20 and node > start and not list_contains(path, node)), false) from p) as truncated from p where node = start
 """)
 def wait_cycles(spark: SparkSession, d: str) -> DataFrame:
-    return graphs.dependency_cycles(_next_customer(spark, d), 20).select(F.array_join("cycle", ">").alias("cycle"))
+    return graphs.dependency_cycles(_next_customer(spark, d), 20).select(F.array_join("cycle", ">").alias("cycle"), "truncated")
 
 
 def _tree(spark, d):

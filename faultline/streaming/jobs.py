@@ -51,11 +51,21 @@ def signature_counts(events: DataFrame, time: str = "ts", signature: str = "sign
 
 
 def upsert_counts(spark: SparkSession, path: str):
-    """A ``foreachBatch`` function that merges window counts into a versioned Parquet table: each batch writes the next version."""
+    """A ``foreachBatch`` function that merges window counts ``(window_start, signature, n)`` into a Parquet table by day.
+
+    A batch carries the whole counts of the windows that changed (update mode), so merging it again changes nothing. Only the
+    days that it touches, few by the watermark, are read and written anew.
+    """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        if batch_id > 0:
-            batch = upsert(spark.read.parquet(f"{path}/v{batch_id - 1}"), batch, ["window_start", "signature"], keep=())
-        batch.write.mode("overwrite").parquet(f"{path}/v{batch_id}")
+        new = batch.select("window_start", "signature", "n", F.to_date("window_start").alias("day")).persist()
+        days = [row.day for row in new.select("day").distinct().collect()]
+        if days:
+            rows = new
+            if spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
+                old = spark.read.schema(new.schema).parquet(path).where(F.col("day").isin(days))
+                rows = upsert(old, new, ["window_start", "signature"], keep=())
+            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+        new.unpersist()
 
     return merge
