@@ -30,7 +30,7 @@ def link_buckets(buckets: DataFrame, verify: Callable[[DataFrame], DataFrame], t
     mains = first.select(F.col("node").alias("low"), F.col("component").alias("main"))
     placed = shared.join(groups, "id", "left").join(mains, "low", "left").select("bucket", "id", F.coalesce("group", "id").alias("group"), F.coalesce("main", "low").alias("main"), "low")
     placed = materialize(placed, "placed")
-    mixed = placed.where("group <> main").select("bucket").distinct()
+    mixed = materialize(placed.where("group <> main").select("bucket").distinct(), "mixed-buckets")
     found = rest(materialize(placed.join(mixed, "bucket", "left_semi"), "mixed"))
     known = first.where("node <> component").select(F.col("node").alias("src"), F.col("component").alias("dst"))
     return connected_components(known.unionByName(found))
