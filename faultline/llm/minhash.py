@@ -176,7 +176,7 @@ def verify(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width:
 
 
 #: Rows of a family, and rows that ask, that meet in one group.
-BLOCK_ROWS = 1024
+BLOCK_ROWS = 256
 
 
 def family_links(mixed: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, threshold: float, size: int) -> DataFrame:

@@ -190,7 +190,7 @@ def near_rows():
     return rows
 
 
-@pytest.mark.parametrize("block_rows", [1024, 3])
+@pytest.mark.parametrize("block_rows", [256, 3])
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, block_rows):
     monkeypatch.setattr(minhash, "BLOCK_ROWS", block_rows)
     rows = near_rows()
