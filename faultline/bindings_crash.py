@@ -64,7 +64,7 @@ def log_lines(spark: S, d: str) -> DataFrame:
 
 @query(f"""
     with {_LINES}, n as (select l_orderkey, count(*) as frames from li group by 1)
-    select o_orderkey as log_id, 'backtrace' as section, 1 as block, 1 + frames as n_lines from orders join n on l_orderkey = o_orderkey
+    select o_orderkey as log_id, 'backtrace' as section, 1::bigint as block, 1 + frames as n_lines from orders join n on l_orderkey = o_orderkey
     union all select o_orderkey, 'maps', 2, 1 from orders join n on l_orderkey = o_orderkey where o_orderpriority = '1-URGENT'
 """)
 def log_sections(spark: S, d: str) -> DataFrame:
@@ -155,7 +155,7 @@ def abort_messages(spark: S, d: str) -> DataFrame:
 
 
 @query("""
-    select s_suppkey as log_id, p_partkey * 65536 as start, p_partkey * 65536 + p_size * 4096 as "end", p_partkey % 2 = 0 as executable, p_size * 4096 as file_offset, '/lib/p' || p_partkey || '.so' as path from supplier join part on p_partkey % 100 = s_suppkey
+    select s_suppkey as log_id, p_partkey * 65536 as start, p_partkey * 65536 + p_size * 4096 as "end", p_partkey % 2 = 0 as executable, (p_size * 4096)::bigint as file_offset, '/lib/p' || p_partkey || '.so' as path from supplier join part on p_partkey % 100 = s_suppkey
 """)
 def log_maps(spark: S, d: str) -> DataFrame:
     k, n = F.col("p_partkey") * 65536, F.col("p_size") * 4096
@@ -244,7 +244,7 @@ def timeline_worth(spark: S, d: str) -> DataFrame:
 _MEMORY = [("OutOfMemoryError\nJava heap: 900\nnative heap: 10", "java_heap_oom"), ("out of memory\nnative heap: 5000\nJava heap: 10", "native_heap_oom"), ("lowmemorykiller", "low_memory_kill"), ("jetsam", "jetsam"), ("fd count: 4000", "fd_leak"), ("memory pressure\nPSS: 77", "memory_pressure"), ("all well\nRSS: 5", "unknown"), ("a leak", "leak_suspected"), ("OutOfMemoryError", "oom")]
 
 
-@query(f"select p_partkey as log_id, {sql_pick('p_partkey', [k for _, k in _MEMORY])} as memory_subtype, case p_partkey % 9 when 5 then 77.0 end as pss_kb, case p_partkey % 9 when 6 then 5.0 end as rss_kb from part")
+@query(f"select p_partkey as log_id, {sql_pick('p_partkey', [k for _, k in _MEMORY])} as memory_subtype, case p_partkey % 9 when 5 then 77.0::double end as pss_kb, case p_partkey % 9 when 6 then 5.0::double end as rss_kb from part")
 def memory_kinds(spark: S, d: str) -> DataFrame:
     rows = _t(spark, d, "part").select(F.col("p_partkey").alias("log_id"), pick(F.col("p_partkey"), [t for t, _ in _MEMORY]).alias("content"))
     return logs.memory_subtype(logs.memory_indicators(rows)).select("log_id", "memory_subtype", "pss_kb", "rss_kb")
@@ -275,7 +275,7 @@ def _queue_dumps(spark: S, d: str) -> DataFrame:
     return _t(spark, d, "events").select(F.col("user_id").alias("log_id")).distinct().select("log_id", text("EventHandler dump begin curTime: ", stamp((k % 50) * 100), "\n", running, pending).alias("content"))
 
 
-@query(f"with {_QUEUE} select log_id, running_task, running_ms, pending_total, ((log_id % 7) // 2)::int as high from st")
+@query(f"with {_QUEUE} select log_id, running_task, running_ms::double as running_ms, pending_total, ((log_id % 7) // 2)::int as high from st")
 def queue_state(spark: S, d: str) -> DataFrame:
     return logs.parse_queue_state(_queue_dumps(spark, d)).select("log_id", "running_task", r("running_ms").alias("running_ms"), "pending_total", F.col("pending")["High"].alias("high"))
 
@@ -388,7 +388,7 @@ def script_errors(spark: S, d: str) -> DataFrame:
 @query("""
     with k as (select doc_id as log_id, lower(text) as t from documents where text is not null),
     s as (select log_id, 'net' as module, 0.35 * contains(t, 'th')::int + 0.3 * contains(t, 'ing')::int as score, contains(t, 'ing')::int as e from k union all select log_id, 'disk', 0.4 * contains(t, 'der')::int + 0.3 * contains(t, 'and')::int, contains(t, 'der')::int + contains(t, 'and')::int from k)
-    select log_id, module, round(score, 6) as score, round(0.5 + 0.15 * e, 6) as confidence, (row_number() over (partition by log_id order by score desc, module))::int as rank from s where score > 0
+    select log_id, module, round(score, 6)::double as score, round(0.5 + 0.15 * e, 6)::double as confidence, (row_number() over (partition by log_id order by score desc, module))::int as rank from s where score > 0
 """)
 def api_faults(spark: S, d: str) -> DataFrame:
     dim = spark.createDataFrame([("net", "module", "TH"), ("net", "pattern", "ing"), ("disk", "api", "der"), ("disk", "pattern", "and"), ("disk", "code", "9")], "module string, kind string, term string")
@@ -405,7 +405,7 @@ def api_states(spark: S, d: str) -> DataFrame:
 @query(f"""
     with {_LINES}, f as (select l_orderkey as log_id, pos, 'fn' || l_partkey as function, case l_suppkey % 3 when 0 then 'a.ets' when 1 then 'node_modules/b.js' else 'c.cpp' end as file from li),
     g as (select log_id, min(pos) filter (where file = 'a.ets') as p, bool_or(file <> 'c.cpp') as js, bool_or(file = 'c.cpp') as native from f group by 1)
-    select g.log_id, f.function as app_function, js and native as hybrid, case when js then 1.0 else 0.75 end as factor from g left join f on f.log_id = g.log_id and f.pos = g.p
+    select g.log_id, f.function as app_function, js and native as hybrid, case when js then 1.0 else 0.75 end::double as factor from g left join f on f.log_id = g.log_id and f.pos = g.p
 """)
 def script_stacks(spark: S, d: str) -> DataFrame:
     frames = _lines(spark, d).select(F.col("l_orderkey").alias("log_id"), "pos", text("fn", F.col("l_partkey")).alias("function"), pick(F.col("l_suppkey"), ["a.ets", "node_modules/b.js", "c.cpp"]).alias("file"), F.col("l_linenumber").alias("line"))
@@ -450,7 +450,7 @@ def frame_layers(spark: S, d: str) -> DataFrame:
 @query(f"""
     with {_FRAMES}, o as (select *, case when module in ('libc.so', 'libart.so') then 'system' when pos % 3 = 1 then 'vendor' when module = 'com.google.x' then 'undetermined' when pos % 3 = 2 then 'application' else 'undetermined' end as owner from fr where thread = 1),
     g as (select log_id, arg_min(owner, pos) as crash_owner, bool_or(owner = 'application' and pos > 0) as app from o group by 1)
-    select log_id, crash_owner, case crash_owner when 'system' then 0.95 when 'vendor' then 0.8 when 'application' then 0.8 else 0.0 end as confidence, case when app then 'application' else crash_owner end as verdict from g
+    select log_id, crash_owner, case crash_owner when 'system' then 0.95 when 'vendor' then 0.8 when 'application' then 0.8 else 0.0 end::double as confidence, case when app then 'application' else crash_owner end as verdict from g
 """)
 def responsibility(spark: S, d: str) -> DataFrame:
     path = F.when(F.col("pos") % 3 == 1, "/vendor/lib64/x").when((F.col("pos") % 3 == 2) & (F.col("module") != "com.google.x"), "/data/app/y/").otherwise("/elsewhere")
@@ -627,7 +627,7 @@ def preliminary_status(spark: S, d: str) -> DataFrame:
 @query("""
     with f as (select user_id as log_id, max(value) as top, count(*) as n, bool_or(event_type = 'error') as err from events group by 1),
     m as (select log_id, 'FREEZE-FM-11' as fault_mode, 0.85 as confidence from f where top > 100 union all select log_id, 'FREEZE-FM-06', 0.9 from f where n % 5 = 0 union all select log_id, 'FREEZE-FM-07', 0.7 from f where n > 2 union all select log_id, 'FREEZE-FM-03', case when n % 2 = 0 then 0.85 else 0.78 end from f where err)
-    select * from m
+    select log_id, fault_mode, confidence::double as confidence from m
 """)
 def freeze_modes(spark: S, d: str) -> DataFrame:
     f = _t(spark, d, "events").groupBy(F.col("user_id").alias("log_id")).agg(F.max("value").alias("top"), F.count("*").alias("n"), F.bool_or(F.col("event_type") == "error").alias("err"))
@@ -836,7 +836,7 @@ def hit_evidence(spark: S, d: str) -> DataFrame:
     return diagnosis.attach_evidence(hits, evidence, 2).select("log_id", "pattern_id", "evidence_id", "rank")
 
 
-@query("select event_id, case event_type when 'error' then 0.9 when 'click' then 0.4 else 0.5 end as relevance from events")
+@query("select event_id, case event_type when 'error' then 0.9 when 'click' then 0.4 else 0.5 end::double as relevance from events")
 def stage_evidence(spark: S, d: str) -> DataFrame:
     rows = _t(spark, d, "events").select("event_id", F.col("event_type").alias("kind"), F.col("props").alias("content"))
     return diagnosis.ingest_evidence(rows, {"error": 0.9, "click": 0.4}).select("event_id", "relevance")
@@ -935,7 +935,7 @@ def vendor_frames(spark: S, d: str) -> DataFrame:
 @query("""
     with e as (select o_orderkey as log_id, case o_orderstatus when 'F' then 'SIGSEGV' when 'O' then 'SIGABRT' else 'SIGKILL' end as signal, o_custkey % 4 as k from orders),
     c as (select log_id, case signal when 'SIGSEGV' then 'CPP-FM-02' when 'SIGABRT' then 'CPP-FM-08' end as m, 0.65 as c from e union all select log_id, 'CPP-FM-03', 0.72 from e where k = 1 union all select log_id, 'CPP-FM-01', 0.9 from e where k = 2 union all select log_id, 'CPP-FM-16', 0.9 from e where signal = 'SIGKILL' and k = 3 union all select log_id, 'CPP-FM-08', 0.88 from e where k = 3 union all select log_id, 'CPP-FM-14', 0.7 from e where k = 0)
-    select log_id, m as fault_mode, max(c) as confidence from c where m is not null group by all
+    select log_id, m as fault_mode, max(c)::double as confidence from c where m is not null group by all
 """)
 def native_modes(spark: S, d: str) -> DataFrame:
     k = F.col("o_custkey") % 4
@@ -973,7 +973,7 @@ def pointer_states(spark: S, d: str) -> DataFrame:
 
 @query("""
     with e as (select o_orderkey as log_id, o_custkey % 6 as k, o_orderstatus as s from orders)
-    select log_id, 'null_pointer' as fact, case when s = 'F' then 0.95 else 0.8 end as confidence from e where s = 'F' or k = 0
+    select log_id, 'null_pointer' as fact, case when s = 'F' then 0.95 else 0.8 end::double as confidence from e where s = 'F' or k = 0
     union all select log_id, 'stack_overflow', 0.9 from e where k = 1 union all select log_id, 'assertion', 0.9 from e where k = 2 and s = 'O' union all select log_id, 'heap_corruption', 0.95 from e where k = 3 union all select log_id, 'divide_by_zero', 0.9 from e where k = 4 union all select log_id, 'uncaught_exception', 0.85 from e where k = 5
 """)
 def crash_facts(spark: S, d: str) -> DataFrame:
@@ -983,7 +983,7 @@ def crash_facts(spark: S, d: str) -> DataFrame:
 
 
 @query("""
-    select p_partkey as log_id, case p_partkey % 5 when 0 then 'abort' when 1 then 'null_pointer_dereference' when 2 then 'segmentation_fault' when 3 then 'stack_symbol_hint' else 'unknown' end as new_class, case p_partkey % 5 when 0 then 0.9 when 1 then 0.72 when 2 then 0.55 when 3 then 0.45 else 0.3 end as new_confidence from part
+    select p_partkey as log_id, case p_partkey % 5 when 0 then 'abort' when 1 then 'null_pointer_dereference' when 2 then 'segmentation_fault' when 3 then 'stack_symbol_hint' else 'unknown' end as new_class, case p_partkey % 5 when 0 then 0.9 when 1 then 0.72 when 2 then 0.55 when 3 then 0.45 else 0.3 end::double as new_confidence from part
 """)
 def stack_classes(spark: S, d: str) -> DataFrame:
     k = F.col("p_partkey") % 5
@@ -1016,7 +1016,7 @@ def observations_once(spark: S, d: str) -> DataFrame:
 @query("""
     with t as (select item_id as query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-zA-Z0-9_:.]{4,}'))) as term from benchmark),
     b as (select doc_id, lower(text) as body from documents where doc_id in (select doc_id from labels) and text is not null)
-    select query_id, doc_id, sum(case when starts_with(term, 'lib') or contains(term, '::') then 1.5 else 0.5 end) as score from t join b on contains(body, term) group by all
+    select query_id, doc_id, sum(case when starts_with(term, 'lib') or contains(term, '::') then 1.5 else 0.5 end)::double as score from t join b on contains(body, term) group by all
 """)
 def document_scores(spark: S, d: str) -> DataFrame:
     docs = _t(spark, d, "documents").where("text is not null").join(_t(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.array().cast("array<string>").alias("symbols"), F.col("text").alias("body"))
@@ -1053,7 +1053,7 @@ def document_heads(spark: S, d: str) -> DataFrame:
     return rows.select("doc_id", F.col("metadata")["lang"].alias("lang"), F.col("metadata")["source"].alias("source"), F.sha2("body", 256).alias("body_hash"))
 
 
-@query("select p_size as log_id, p_partkey as line_no, '/lib/' || p_brand as name, (p_partkey * 1000)::double as size_kb, p_size::double as pss_kb, 3.0 as swap_pss_kb from part where p_partkey > 0")
+@query("select p_size as log_id, p_partkey as line_no, '/lib/' || p_brand as name, (p_partkey * 1000)::double as size_kb, p_size::double as pss_kb, 3.0::double as swap_pss_kb from part where p_partkey > 0")
 def smaps_tables(spark: S, d: str) -> DataFrame:
     k = F.col("p_partkey")
     part = _t(spark, d, "part").where("p_partkey > 0")
