@@ -254,7 +254,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     marks = materialize(sketch(texts, id_col, text_col, width, bands, rows), "sketch")
     some = marks.where("n > 0").select("doc_id", "same")
     # copies to their representative: the least id of each key first, then a join, for a third of all rows may share one key
-    members = materialize(some.join(some.groupBy("same").agg(F.min("doc_id").alias("rep")), "same").select("doc_id", "rep"), "members")
+    reps = materialize(some.groupBy("same").agg(F.min("doc_id").alias("rep")), "representatives")
+    members = materialize(some.join(reps, "same").select("doc_id", "rep"), "members")
     keyed = marks.where("n > 0").join(members.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi")
     band = F.transform("band_keys", lambda k, i: F.xxhash64(i, k))
     buckets = materialize(keyed.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(band)).alias("bucket")), "buckets")
