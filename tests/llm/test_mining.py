@@ -54,8 +54,9 @@ def phrase_rows(seed, n):
     return [(i, " ".join(r.choice(words) + r.choice(["", "", "", ",", ".", "\n", "\t", " ;", "\r\n"]) for _ in range(r.randrange(60))), r.choice(["en", "de", None, "und"])) for i in range(n)]
 
 
-@pytest.mark.parametrize(("words", "budget"), [(3, 1 << 17), (3, 40), (3, 2), (4, 7), (2, 3)])
-def test_phrases_equal_brute_force_at_any_budget(spark, words, budget):
+@pytest.mark.parametrize(("words", "budget", "slots"), [(3, 1 << 17, 4096), (3, 40, 64), (3, 2, 16), (4, 7, 4), (2, 3, 4096)])
+def test_phrases_equal_brute_force_at_any_budget(spark, monkeypatch, words, budget, slots):
+    monkeypatch.setattr(collocations, "SLOTS", slots)
     rows = phrase_rows(1, 120) + [(900, None, "en"), (901, "", None), (902, " \t", "de"), (903, "New York. " * 400, "en"), (903, "New York. " * 400, "en"), (904, "the the the the", "fr"), (905, "x" * 200_000 + " y", "de")]
     got = collocations.collocations(table(spark, rows), words=words, least=10, top=50, budget=budget)
     assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -71,11 +72,13 @@ def test_phrases_of_a_hot_word_and_of_nothing(spark):
 
 def test_slots_are_packed_within_the_budget():
     r = random.Random(3)
-    totals = [(s, r.randrange(1, 50)) for s in range(500)]
-    groups = defaultdict(int)
-    for slot, group in collocations.packed(totals, 100):
-        groups[group] += dict(totals)[slot]
-    assert sum(groups.values()) == sum(n for _, n in totals) and max(groups.values()) <= 100
+    loads = {s: r.randrange(1, 50) for s in range(500)} | {600: 1000, 601: 3}
+    groups, sums = collocations.packed(loads, 100), defaultdict(float)
+    for slot, n in loads.items():
+        first, parts = groups[slot]
+        for g in range(first, first + parts):
+            sums[g] += n / parts
+    assert round(sum(sums.values())) == sum(loads.values()) and max(sums.values()) <= 100 and groups[600, 1] == 20
 
 
 def test_scores_pass_64_bits(spark):
