@@ -1,12 +1,14 @@
 """WARC archives: a writer on Spark's text sink, and a reader that salvages damaged files.
 
-The writer makes one response record for each distinct large payload and revisit records for its repeats. The reader walks an
+The writer makes one response record for each distinct large payload and revisit records for its repeats, each in a gzip member
+of its own, so that damage costs one record. The reader walks an
 archive's records, plain or in gzip members. Where a record fails its checks it searches for the next version line or member
 that holds a valid record, goes on from there, and logs the bytes between as a quarantined gap.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import zlib
@@ -50,7 +52,7 @@ def _uuid(key: Column) -> Column:
 
 
 def record_text(rows: DataFrame) -> Column:
-    """The record of a planned row as text, all but its last line end."""
+    """The record of a planned row as text."""
     revisit = F.col("refers_to").isNotNull()
     block = F.when(revisit, F.lit("")).otherwise(F.concat(F.lit(HTTP_HEAD), F.col("html")))
     # a line end in a url would end the header
@@ -67,19 +69,48 @@ def record_text(rows: DataFrame) -> Column:
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:uuid:"), _uuid(F.col("refers_to")), F.lit(">"), F.lit(CRLF + "WARC-Refers-To-Page-ID: "), F.col("refers_to").cast("string"), F.lit(CRLF + "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
-    return F.concat(F.concat_ws(CRLF, *head), F.lit(CRLF * 2), block, F.lit("\r\n\r"))
+    return F.concat(F.concat_ws(CRLF, *head), F.lit(CRLF * 2), block, F.lit(CRLF * 2))
 
 
-def write(pages: DataFrame, path: str, per_file: int = 1000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
-    """Writes ``pages`` as gzipped WARC archives of ``per_file`` records under ``path``, committed as Spark commits any table.
+def members(records: list[bytes]) -> bytes:
+    """A gzip member for each record, all but the last byte, which is 0.
 
-    Null html is an empty payload, a null url an empty one. Rows with a null id are left out. Rows that repeat an id are
-    written each by its own payload: as a revisit where a row with a larger id has that payload too, else as a response (so
-    rows equal in id and payload are responses both). An empty table writes no record. Payloads of any length are whole;
-    other columns are not read. A reader takes an archive as one value, so choose ``per_file`` with the pages' size in mind.
+    The last byte is the highest of the member's length. Where that is not 0, after a record of 16 MB or more, an empty member
+    follows, whose length is.
     """
+    out = b"".join(gzip.compress(r, 6, mtime=0) for r in records)
+    if out[-1]:
+        out += gzip.compress(b"", mtime=0)
+    return out[:-1]
+
+
+def write(pages: DataFrame, path: str, per_file: int = 1000, file_bytes: int = 32_000_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+    """Writes ``pages`` as gzipped WARC archives under ``path``, a member a record, committed as Spark commits any table.
+
+    An archive ends at ``per_file`` records or where ``file_bytes`` of records are passed, so that a reader can take it as one
+    value; a larger record stands alone. Null html is an empty payload, a null url an empty one. Rows with a null id are left out.
+    Rows that repeat an id are written each by its own payload: as a revisit where a row with a larger id has that payload too,
+    else as a response (so rows equal in id and payload are responses both). An empty table writes no record. Payloads of any
+    length are whole; other columns are not read.
+    """
+
+    def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for record in batch.column(0):
+                data = record.as_py().encode()
+                if held and (size + len(data) > file_bytes or len(held) >= per_file):
+                    yield pa.record_batch([pa.array([members(held)], pa.binary())], names=["value"])
+                    held, size = [], 0
+                held.append(data)
+                size += len(data)
+        if held:
+            yield pa.record_batch([pa.array([members(held)], pa.binary())], names=["value"])
+
     rows = plan_records(pages.where(F.col(id_col).isNotNull()), id_col, url_col, html_col)
-    rows.select(record_text(rows).alias("value")).write.option("lineSep", "\n").option("maxRecordsPerFile", per_file).option("compression", "gzip").text(path)
+    made = rows.select(record_text(rows).alias("value")).mapInArrow(archives, "value binary")
+    # the text sink writes bytes as they are, and the line end is an archive's last byte
+    made.select(F.col("value").cast("string")).write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(path)
 
 
 # --- reading -------------------------------------------------------------------------------------------------------------
@@ -205,7 +236,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """All archives under ``path``: a row for each record recovered, and one of kind ``gap`` for each quarantined stretch.
 
     ``archive`` and ``at`` say where; ``gap_end`` and ``reason`` describe a gap. ``payload`` is null for revisits. An archive
-    must fit in a task's memory, which the writer's ``per_file`` sees to; empty files give no row.
+    must fit in a task's memory, which the writer's ``file_bytes`` sees to; empty files give no row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
