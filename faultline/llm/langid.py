@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from faultline.llm.pieces import map_texts
@@ -31,24 +31,26 @@ def lowered(text: str) -> bytes:
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dict_bytes: int = 1 << 16, sample_docs: int = 512, snippet: int = 512) -> dict[str, bytes]:
     """A dictionary for each non-null language of ``labelled``, the language with most texts first.
 
-    A bounded sample: ``sample_docs`` texts a language by hash of id and text, ``snippet`` characters from a hashed place of
-    each, ``dict_bytes`` bytes in all. What reaches the driver is languages x 2 x sample_docs x snippet characters at most.
-    Rows without text, letters or language teach nothing; an empty table gives no dictionary.
+    A bounded sample: of each language the ``sample_docs`` different texts with the smallest hashes of id and text, ``snippet``
+    characters from a hashed place of each, ``dict_bytes`` bytes in all. However many rows there are and however often they
+    repeat, languages x sample_docs x snippet characters reach the driver at most. Rows without text, letters or language teach
+    nothing; an empty table gives no dictionary.
     """
     rows = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h")).where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("different")).collect()}
     if not counts:
         return {}
-    share = F.create_map([x for lang, n in counts.items() for x in (F.lit(lang), F.lit(2.0 * sample_docs / n))])
-    # a hash below the share: no sort, no window, and the same rows whatever the partitions
-    some = rows.where(F.pmod(F.col("h"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    share = F.create_map([x for lang, r in counts.items() for x in (F.lit(lang), F.lit(8.0 * sample_docs / r.different))])
+    # the smallest hashes lie below several times their share; that few rows are left to sort
+    part_of = F.shiftrightunsigned("h", 1).cast("double") / 2.0**63
     room = F.greatest(F.length("text") - snippet, F.lit(0)) + 1
-    cut = some.select("lang", "h", F.substring("text", (F.pmod(F.xxhash64("h"), room) + 1).cast("int"), F.lit(snippet)).alias("part"))
+    some = rows.where(part_of < F.element_at(share, F.col("lang"))).select("lang", "h", F.substring("text", (F.pmod(F.xxhash64("h"), room) + 1).cast("int"), F.lit(snippet)).alias("part")).dropDuplicates(["lang", "h"])
+    first = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample_docs)
     by_lang: dict[str, list[tuple[int, str]]] = {}
-    for r in cut.collect():
+    for r in first.select("lang", "h", "part").collect():
         by_lang.setdefault(r.lang, []).append((r.h, r.part))
     out = {}
-    for lang in sorted(by_lang, key=lambda x: (-counts[x], x)):
+    for lang in sorted(by_lang, key=lambda x: (-counts[x].n, x)):
         content = b"\n".join(filter(None, (lowered(p) for _, p in sorted(by_lang[lang])[:sample_docs])))
         if len(content) >= 8:
             out[lang] = content[:dict_bytes]
