@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from faultline.plans.components import connected_components
+from faultline.plans.doubling import cycle_places, descendants, listed, on_cycles, to_ends
 from faultline.plans.runtime import Growing, drop, materialize, scratch
+from faultline.plans.strong import strong_components
 
 #: What holds an object, by the first hint contained in its holder's name and type.
 ROOT_HINTS = [
@@ -29,32 +31,26 @@ ROOT_HINTS = [
 ]
 
 
-def cyclic_core(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """``edges(log_id, src, dst)`` without those whose ends lie on no cycle's way: nodes without in- or out-edges go, again and
-    again. What is left is usually tiny, and only that is searched for cycles."""
-    spark = edges.sparkSession
-    now, path = scratch(edges.select("log_id", "src", "dst").where("src is not null and dst is not null").distinct(), "core")
-    size = now.count()
-    for _ in range(max_rounds):
-        out, into = now.select("log_id", F.col("src").alias("dst")).distinct(), now.select("log_id", F.col("dst").alias("src")).distinct()
-        nxt, nxt_path = scratch(now.join(out, ["log_id", "dst"], "left_semi").join(into, ["log_id", "src"], "left_semi").select("log_id", "src", "dst"), "core")
-        drop(spark, path)
-        now, path, before, size = nxt, nxt_path, size, nxt.count()
-        if size in (0, before):
-            break
-    return now
-
-
 def dependency_cycles(edges: DataFrame, max_len: int = 8) -> DataFrame:
-    """All simple cycles of ``edges(log_id, src, dst)`` with ``max_len`` nodes at most: ``(log_id, cycle, truncated)``.
+    """The simple cycles of ``edges(log_id, src, dst)``: ``(log_id, cycle, truncated)``.
 
-    A cycle is given once, from its smallest node and closed with it. ``truncated`` tells that the log has longer paths that
-    might close; the number of cycles can grow exponentially, hence the length bound.
+    A cycle is given once, from its smallest node and closed with it. Only strongly connected components are looked at. One in
+    which every node has one successor is a single cycle and is given whole, however long. In others, whose cycles can be
+    exponentially many, those of ``max_len`` nodes at most are given; ``truncated`` tells that the log has longer paths there
+    that might close. Null ends are ignored and repeated edges count once.
     """
-    core = cyclic_core(edges)
+    whole = edges.select("log_id", "src", "dst").where("src is not null and dst is not null").distinct()
+    inside = strong_components(whole, ["log_id"])
+    end = lambda c: inside.select("log_id", F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    core = materialize(whole.join(end("src"), ["log_id", "src"]).join(end("dst"), ["log_id", "dst"]).where("src_in = dst_in").select("log_id", F.col("src_in").alias("component"), "src", "dst"), "core")
+    # every node of a component has a successor in it, so where none has two there are as many edges as nodes
+    branching = materialize(core.groupBy("log_id", "component", "src").count().where("count > 1").select("log_id", "component").distinct(), "branching")
+    rings = core.join(branching, ["log_id", "component"], "left_anti").select("log_id", F.col("src").alias("node"), F.col("dst").alias("to"))
+    found = listed(cycle_places(rings, ["log_id"]), ["log_id"])
+    core = materialize(core.join(branching, ["log_id", "component"], "left_semi"), "core")
     step = core.select("log_id", F.col("src").alias("at"), F.col("dst").alias("to"))
     paths = core.where("src <= dst").select("log_id", F.array("src", "dst").alias("path"))
-    found = paths.where(F.get("path", F.lit(0)) == F.get("path", F.lit(1))).select("log_id", F.col("path").alias("cycle"))
+    found = found.unionByName(paths.where(F.get("path", F.lit(0)) == F.get("path", F.lit(1))).select("log_id", F.col("path").alias("cycle")))
     paths = paths.where(F.get("path", F.lit(0)) < F.get("path", F.lit(1)))
     longer = None
     for n in range(2, max_len + 1):
@@ -75,25 +71,37 @@ def dependency_cycles(edges: DataFrame, max_len: int = 8) -> DataFrame:
 
 
 def deadlocks(edges: DataFrame, max_len: int = 8) -> DataFrame:
-    """The smallest cycle of each log."""
+    """The smallest cycle of each log, of those that :func:`dependency_cycles` gives."""
     return dependency_cycles(edges, max_len).groupBy("log_id").agg(F.min("cycle").alias("cycle"))
 
 
-def root_blocker(edges: DataFrame, starts: DataFrame, max_hops: int = 64) -> DataFrame:
+def mutual_waits(edges: DataFrame) -> DataFrame:
+    """``(log_id, node, component)`` of the nodes that wait for themselves over any number of others: their strongly connected
+    component, named by its smallest node."""
+    parts = materialize(strong_components(edges, ["log_id"]), "components")
+    return parts.join(parts.groupBy("log_id", "component").agg(F.min("node").alias("least")), ["log_id", "component"]).select("log_id", "node", F.col("least").alias("component"))
+
+
+def root_blocker(edges: DataFrame, starts: DataFrame) -> DataFrame:
     """From ``starts(log_id, start)`` along each node's first edge (by ``ord``) until there is none or a node comes again.
 
-    ``truncated`` marks walks that ``max_hops`` steps did not end; their ``blocker`` is only where they stand.
+    ``(log_id, start, blocker, last_node, steps, deadlocked)``: ``blocker`` is the node without an edge, or the one that comes again;
+    ``last_node`` is the last that is new, ``steps`` after the start. Walks of any length are followed, in rounds that grow with
+    the logarithm of the longest. A start that no edge leaves blocks itself; a null start is ignored.
     """
-    first = materialize(edges.groupBy("log_id", F.col("src").alias("at")).agg(F.min_by("dst", F.struct("ord", "dst")).alias("next")), "first-edges")
-    now = starts.select("log_id", "start", F.col("start").alias("at"), F.array("start").alias("path"), F.lit(False).alias("done"))
-    for _ in range(max_hops):
-        now = materialize(now, "blockers")
-        if not now.where(~F.col("done")).head(1):
-            break
-        nxt = now.join(first, ["log_id", "at"], "left")
-        stop = F.col("done") | F.col("next").isNull() | F.array_contains("path", F.col("next"))
-        now = nxt.select("log_id", "start", F.when(stop, F.col("at")).otherwise(F.col("next")).alias("at"), F.when(stop, F.col("path")).otherwise(F.concat("path", F.array("next"))).alias("path"), stop.alias("done"))
-    return now.select("log_id", "start", F.col("at").alias("blocker"), "path", (~F.col("done")).alias("truncated"))
+    keys = ["log_id"]
+    first = edges.where("src is not null and dst is not null").groupBy("log_id", F.col("src").alias("node")).agg(F.min_by("dst", F.struct("ord", "dst")).alias("to"))
+    ends, looping = to_ends(first, keys)
+    looping = materialize(looping, "looping")
+    rings = materialize(cycle_places(on_cycles(looping, keys), keys).select("log_id", "node", "to", "size"), "rings")
+    # the way into a cycle ends where the cycle begins
+    ways, _ = to_ends(looping.join(rings.select("log_id", "node"), ["log_id", "node"], "left_anti"), keys)
+    before = rings.select("log_id", F.col("to").alias("end"), F.col("node").alias("last_node"), "size")
+    ways = ways.select("log_id", "node", "end", "steps").unionByName(rings.select("log_id", "node", F.col("node").alias("end"), F.lit(0).cast("long").alias("steps")))
+    closed = ways.join(before, ["log_id", "end"]).select("log_id", "node", F.col("end").alias("blocker"), "last_node", (F.col("steps") + F.col("size") - 1).alias("steps"), F.lit(True).alias("deadlocked"))
+    known = ends.select("log_id", "node", F.col("end").alias("blocker"), F.col("end").alias("last_node"), "steps", F.lit(False).alias("deadlocked")).unionByName(closed)
+    rows = starts.where("start is not null").join(known.withColumnRenamed("node", "start"), ["log_id", "start"], "left")
+    return rows.select("log_id", "start", F.coalesce("blocker", "start").alias("blocker"), F.coalesce("last_node", "start").alias("last_node"), F.coalesce("steps", F.lit(0).cast("long")).alias("steps"), F.coalesce("deadlocked", F.lit(False)).alias("deadlocked"))
 
 
 # --- heaps: nodes(snapshot_id, node, name, type, self_size), edges(snapshot_id, src, dst, ord) -------------------------------
@@ -117,25 +125,45 @@ def heap_distance(nodes: DataFrame, edges: DataFrame, max_rounds: int = 10_000)
     return seen.rows()
 
 
-def heap_retained(nodes: DataFrame, edges: DataFrame, candidates: DataFrame | None = None, max_rounds: int = 10_000) -> DataFrame:
+def heap_retained(nodes: DataFrame, edges: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """``(snapshot_id, node, retained_size)``: the sizes of all that a node reaches, itself too; sizes of 0 and less are dropped.
 
-    This is reachability, not dominance. Pairs (seed, reached) grow by a join a round, so pass ``candidates(snapshot_id,
-    node)`` where only some nodes matter; a full closure can reach the square of the nodes.
+    This is reachability, not dominance. Nodes that reach each other are one part and retain the same. A part with one holder
+    adds its sum to that holder's; parts with more holders are passed up as sets, so that each counts once however it is reached,
+    and only what lies above such parts carries a set. Trees carry none. Rounds grow with the logarithm of the depth.
+    ``candidates(snapshot_id, node)`` restricts the rows that are returned; a node that repeats counts with all its sizes.
     """
-    step = edges.select("snapshot_id", F.col("src").alias("reached"), F.col("dst").alias("to")).distinct()
-    seeds = (candidates if candidates is not None else nodes).select("snapshot_id", F.col("node").alias("seed")).distinct().withColumn("reached", F.col("seed"))
-    every = Growing(seeds, "closure")
-    frontier = every.rows()
-    for _ in range(max_rounds):
-        new = frontier.join(step, ["snapshot_id", "reached"]).select("snapshot_id", "seed", F.col("to").alias("reached")).distinct().join(every.rows(), ["snapshot_id", "seed", "reached"], "left_anti")
-        frontier = every.add(new)
-        if not frontier.head(1):
-            break
-    else:
-        raise RuntimeError(f"reachability did not settle in {max_rounds} rounds")
-    sizes = nodes.select("snapshot_id", F.col("node").alias("reached"), "self_size")
-    return every.rows().join(sizes, ["snapshot_id", "reached"]).groupBy("snapshot_id", F.col("seed").alias("node")).agg(F.sum("self_size").alias("retained_size")).where("retained_size > 0")
+    keys = ["snapshot_id"]
+    links = edges.where("src is not null and dst is not null").select("snapshot_id", "src", "dst").distinct()
+    parts = strong_components(links, keys)
+    ends = links.select("snapshot_id", F.col("src").alias("node")).unionByName(links.select("snapshot_id", F.col("dst").alias("node"))).distinct().withColumn("self_size", F.lit(0))
+    sized = nodes.select("snapshot_id", "node", "self_size").unionByName(ends).groupBy("snapshot_id", "node").agg(F.sum("self_size").alias("size"))
+    of = materialize(sized.join(parts, [*keys, "node"], "left").select("snapshot_id", "node", F.coalesce("component", "node").alias("part"), "size"), "parts")
+    end = lambda c: of.select("snapshot_id", F.col("node").alias(c), F.col("part").alias(f"{c}_part"))
+    held = materialize(links.join(end("src"), [*keys, "src"]).join(end("dst"), [*keys, "dst"]).where("src_part <> dst_part").select("snapshot_id", F.col("src_part").alias("src"), F.col("dst_part").alias("dst")).distinct(), "held")
+    holders = materialize(held.groupBy("snapshot_id", "dst").agg(F.count(F.lit(1)).alias("n"), F.first("src").alias("parent")), "holders")
+    shared = holders.where("n > 1").select("snapshot_id", "dst")
+    sets = held.join(shared, [*keys, "dst"], "left_semi").select("snapshot_id", F.col("src").alias("node"), F.col("dst").alias("item"))
+    values = of.groupBy("snapshot_id", F.col("part").alias("node")).agg(F.sum("size").alias("value"))
+    total, items = descendants(holders.where("n = 1").select("snapshot_id", F.col("dst").alias("node"), "parent"), keys, values, sets)
+    if items.head(1):
+        # what shared parts reach over others, by squaring
+        reach, path = scratch(items.join(shared.withColumnRenamed("dst", "node"), [*keys, "node"], "left_semi").select("snapshot_id", "node", "item"), "reach")
+        size = reach.count()
+        while size:
+            further = reach.select("snapshot_id", F.col("node").alias("item"), F.col("item").alias("next"))
+            nxt, nxt_path = scratch(reach.unionByName(reach.join(further, [*keys, "item"]).select("snapshot_id", "node", F.col("next").alias("item"))).distinct(), "reach")
+            drop(edges.sparkSession, path)
+            reach, path, before, size = nxt, nxt_path, size, nxt.count()
+            if size == before:
+                break
+        further = reach.select("snapshot_id", F.col("node").alias("item"), F.col("item").alias("next"))
+        every = items.unionByName(items.join(further, [*keys, "item"]).select("snapshot_id", "node", F.col("next").alias("item"))).distinct()
+        beside = every.join(total.select("snapshot_id", F.col("node").alias("item"), F.col("total").alias("own")), [*keys, "item"]).groupBy("snapshot_id", "node").agg(F.sum("own").alias("beside"))
+        total = total.join(beside, [*keys, "node"], "left").select("snapshot_id", "node", (F.col("total") + F.coalesce("beside", F.lit(0))).alias("total"))
+    rows = of.select("snapshot_id", "node", "part").join(total.withColumnRenamed("node", "part"), [*keys, "part"])
+    asked = (candidates if candidates is not None else nodes).select("snapshot_id", "node").distinct()
+    return rows.join(asked, [*keys, "node"], "left_semi").where("total > 0").select("snapshot_id", "node", F.col("total").alias("retained_size"))
 
 
 def heap_chain(nodes: DataFrame, edges: DataFrame, max_depth: int = 10) -> DataFrame:

@@ -3,9 +3,11 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from faultline.operators import graphs, joins
+from faultline.operators import graphs, joins, retrieval, vectors
 from faultline.plans.components import connected_components
 from faultline.sources import readers
 
@@ -54,12 +56,72 @@ def test_cycles_and_blockers(spark):
     three = spark.createDataFrame([(1, "A", "B"), (1, "B", "C"), (1, "C", "A")], "log_id int, src string, dst string")
     assert [c.cycle for c in graphs.dependency_cycles(three).collect()] == [["A", "B", "C", "A"]]
     assert graphs.deadlocks(three).first().cycle == ["A", "B", "C", "A"]
-    assert {c.truncated for c in graphs.dependency_cycles(spark.createDataFrame([(1, i, (i + 1) % 6) for i in range(6)] + [(1, 0, 0)], "log_id int, src int, dst int"), 3).collect()} == {True}
+    six = [(1, i, (i + 1) % 6) for i in range(6)]
+    assert {c.truncated for c in graphs.dependency_cycles(spark.createDataFrame([*six, (1, 0, 0)], "log_id int, src int, dst int"), 3).collect()} == {True}
+    assert [(len(c.cycle), c.truncated) for c in graphs.dependency_cycles(spark.createDataFrame(six, "log_id int, src int, dst int"), 3).collect()] == [(7, False)]
     chain = spark.createDataFrame([(1, "a", "b", 0), (1, "a", "z", 1), (1, "b", "c", 0), (2, "a", "b", 0), (2, "b", "a", 0)], "log_id int, src string, dst string, ord int")
-    starts = spark.createDataFrame([(1, "a"), (2, "a"), (3, "q")], "log_id int, start string")
-    assert {(r.log_id, r.blocker) for r in graphs.root_blocker(chain, starts).collect()} == {(1, "c"), (2, "b"), (3, "q")}
-    short = {(r.log_id, r.truncated) for r in graphs.root_blocker(chain, starts, max_hops=1).collect()}
-    assert (1, True) in short
+    starts = spark.createDataFrame([(1, "a"), (2, "a"), (3, "q"), (1, None)], "log_id int, start string")
+    got = {(r.log_id, r.blocker, r.last_node, r.steps, r.deadlocked) for r in graphs.root_blocker(chain, starts).collect()}
+    assert got == {(1, "c", "c", 2, False), (2, "a", "b", 1, True), (3, "q", "q", 0, False)}
+
+
+@pytest.mark.parametrize("seed", [1])
+def test_blockers_equal_walks(spark, seed):
+    r = random.Random(seed)
+    to = {i: r.randrange(60) for i in range(60) if r.random() < 0.9}
+    want = {}
+    for s in range(60):
+        seen, at = [], s
+        while at not in seen and at in to:
+            seen.append(at)
+            at = to[at]
+        want[s] = (at, seen[-1], len(seen) - 1, True) if at in seen else (at, at, len(seen), False)
+    edges = spark.createDataFrame([(1, a, b, 0) for a, b in to.items()], "log_id int, src int, dst int, ord int")
+    starts = spark.createDataFrame([(1, s) for s in range(60)], "log_id int, start int")
+    assert {x.start: (x.blocker, x.last_node, x.steps, x.deadlocked) for x in graphs.root_blocker(edges, starts).collect()} == want
+
+
+def strong(edges):
+    out = defaultdict(set)
+    for a, b in edges:
+        out[a].add(b)
+
+    def reach(n):
+        seen, todo = set(), [n]
+        while todo:
+            for m in out[todo.pop()] - seen:
+                seen.add(m)
+                todo.append(m)
+        return seen
+
+    sets = {n: reach(n) for n in {x for e in edges for x in e}}
+    return {n: min(m for m in s if n in sets[m]) for n, s in sets.items() if n in s}
+
+
+@pytest.mark.parametrize("seed", [1, 3])
+def test_strong_components_equal_brute_force(spark, seed):
+    r = random.Random(seed)
+    n = [12, 30, 60, 90][seed]
+    edges = {(r.randrange(n), r.randrange(n)) for _ in range(int(n * [1.2, 1.5, 1.0, 1.1][seed]))}
+    edges |= {(i, i + 1) for i in range(200, 240)} | {(240, 220), (5, 200), (300, 300)}  # a chain into a ring, a self loop
+    rows = [(1, a, b) for a, b in edges] + [(1, None, 3), (1, 3, None)] + [(1, *next(iter(edges)))]
+    got = {x.node: x.component for x in graphs.mutual_waits(spark.createDataFrame(rows, "log_id int, src int, dst int")).collect()}
+    assert got == strong(edges)
+    assert graphs.mutual_waits(spark.createDataFrame([], "log_id int, src int, dst int")).count() == 0
+
+
+def test_one_cycle_of_many_nodes_is_whole(spark):
+    n = 100_000
+    order = list(range(n))
+    random.Random(1).shuffle(order)
+    rows = spark.range(n).selectExpr("1 as log_id", "id as i")
+    place = spark.createDataFrame(list(enumerate(order)), "i long, node long")
+    nxt = place.selectExpr(f"(i + {n} - 1) % {n} as i", "node as dst")
+    edges = rows.join(place, "i").join(nxt, "i").select("log_id", F.col("node").alias("src"), "dst").unionByName(spark.range(1, 5000).selectExpr("1 as log_id", "-id as src", "-id + 1 as dst"))
+    found = graphs.dependency_cycles(edges).collect()
+    assert len(found) == 1 and not found[0].truncated and len(found[0].cycle) == n + 1
+    at = order.index(0)
+    assert found[0].cycle == order[at:] + order[:at] + [0]
 
 
 def test_heap_graph_equals_brute_force(spark):
@@ -147,3 +209,37 @@ def test_asof_equals_brute_force(spark, nearest):
         best = min(ok, key=lambda m: (abs(o - m), m > o), default=None)
         want[i] = None if best is None else f"s{best}"
     assert {x.i: x.symbol for x in joins.symbolize(f, s, 9, nearest).collect()} == want
+
+
+def test_retained_sizes_of_chains_and_of_shared_parts(spark):
+    n = 3000
+    chain = graphs.heap_retained(spark.range(n).selectExpr("0 as snapshot_id", "id as node", "1L as self_size"), spark.range(n - 1).selectExpr("0 as snapshot_id", "id as src", "id + 1 as dst"))
+    assert chain.where(f"retained_size <> {n} - node").count() == 0 and chain.count() == n
+    # one part that all others hold, and a cycle above it
+    edges = [(0, i, 1000) for i in range(500)] + [(0, 1000, 1001), (0, 0, 1), (0, 1, 2), (0, 2, 0)]
+    nodes = [(0, i, 1) for i in range(500)] + [(0, 1000, 5), (0, 1001, 7), (0, 2000, 0)]
+    got = {x.node: x.retained_size for x in graphs.heap_retained(spark.createDataFrame(nodes, "snapshot_id int, node int, self_size long"), spark.createDataFrame(edges, "snapshot_id int, src int, dst int")).collect()}
+    assert got == {**{i: 13 for i in range(3, 500)}, 0: 15, 1: 15, 2: 15, 1000: 12, 1001: 7}
+
+
+@pytest.mark.parametrize("spread", [0.02, 3.0])
+def test_nearest_vectors_equal_all_pairs(spark, spread):
+    r = np.random.default_rng(4)
+    centres = r.normal(0, 4, (20, 6))
+    x = [(i, (centres[i % 20] + r.normal(0, spread, 6)).round(3).tolist()) for i in range(900)]
+    x += [(900 + i, x[0][1]) for i in range(60)] + [(2000, None), (2001, [1.0]), (2002, [float("nan")] * 6)]  # a hot vector
+    table = spark.createDataFrame(x, "pattern_id long, embedding array<double>")
+    asked = table.where("pattern_id % 9 = 0").withColumnRenamed("pattern_id", "query_id")
+    good = {i: v for i, v in x if v and len(v) == 6 and v == v and not np.isnan(v).any()}
+    for n in (1, 7):
+        want = {}
+        for q in [i for i in good if i % 9 == 0]:
+            best = sorted((round(float(((np.array(v) - good[q]) ** 2).sum()), 6), i) for i, v in good.items())[:n]
+            want |= {(q, k): p for k, (_, p) in enumerate(best, 1)}
+        got = retrieval.vector_topk(asked, table, n, pivots=40, block_rows=50, pack_rows=30)
+        assert {(y.query_id, y.rank): y.pattern_id for y in got.collect()} == want
+        assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    work = vectors.search_work(vectors.ball_search(asked, table, 5, pivots=40)).agg(F.sum("computed")).first()[0]
+    pairs = len(good) * len([i for i in good if i % 9 == 0])
+    assert spread > 1 or work < pairs / 5
+    assert retrieval.vector_topk(asked, table.limit(0)).count() == 0 and retrieval.vector_topk(asked.limit(0), table).count() == 0
