@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from faultline.operators.rules import one_row
+from faultline.operators.terms import contained_terms
+from faultline.operators.vectors import nearest
 
 #: Ranks of where a hit comes from.
 PROVENANCE_RANK = {"code": 4, "code_and_curated_document": 4, "code_and_crash_evidence": 4, "verified_historical_case": 3, "historical_case": 2, "curated_playbook": 2, "model_inferred": 1}
@@ -20,32 +21,9 @@ def _ranks(values: dict, key: Column, default) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), key), F.lit(default))
 
 
-def squared_distance(a: Column, b: Column) -> Column:
-    """Squared Euclidean distance of two arrays, in double."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
-
-
-def vector_topk(queries: DataFrame, vectors: DataFrame, n: int = 5, where: Column | None = None, max_queries: int = 100_000, pack_rows: int = 500) -> DataFrame:
-    """The ``n`` nearest of ``vectors(pattern_id, embedding)`` for each of ``queries(query_id, embedding)``: ``(query_id, pattern_id,
-    distance, rank)``.
-
-    The queries lie in packs of ``pack_rows``, and ``max_queries`` of them at most are broadcast at once, so more queries take
-    more rounds over the vectors. Each task of the vector table keeps its n best a query before anything is shuffled. Ties go
-    to the smaller id.
-    """
-    count = queries.count()
-    rounds = max(1, -(-count // max_queries))
-    packs = max(1, -(-count // rounds // pack_rows))
-    kept = vectors.where(where) if where is not None else vectors
-    found = None
-    for i in range(rounds):
-        own = queries.where(F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(rounds)) == i)
-        pack = F.broadcast(own.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(packs)).alias("p")).agg(F.collect_list(F.struct("query_id", F.col("embedding").alias("q"))).alias("pack")))
-        rows = kept.join(pack, F.lit(True)).select("pattern_id", "embedding", F.explode("pack").alias("p"))
-        rows = rows.select(F.col("p.query_id").alias("query_id"), "pattern_id", F.round(squared_distance(F.col("embedding"), F.col("p.q")), 6).alias("distance"))
-        best = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "pattern_id"))).where(F.col("rank") <= n)
-        found = best if found is None else found.unionByName(best)
-    return found
+def vector_topk(queries: DataFrame, vectors: DataFrame, n: int = 5, where: Column | None = None, **settings) -> DataFrame:
+    """The ``n`` nearest of those ``vectors(pattern_id, embedding)`` that fulfil ``where``: see :func:`vectors.nearest`."""
+    return nearest(queries, vectors.where(where) if where is not None else vectors, n, **settings)
 
 
 def retrieve_patterns(queries: DataFrame, vectors: DataFrame, metadata: DataFrame, n: int = 5) -> DataFrame:
@@ -118,9 +96,8 @@ def route_packs(queries: DataFrame, hints: DataFrame, forced: DataFrame | None =
     each hint contained; a forced pack gets 100 more. The best pack above 0."""
     weight = _ranks({"so_names": 4, "package_prefixes": 3, "stack_hints": 5, "path_hints": 2}, F.col("kind"), 0)
     # stars in hints stand for nothing
-    needles = hints.select("pack_id", "kind", F.replace(F.lower(F.trim("hint")), F.lit("*"), F.lit("")).alias("needle")).where("needle <> ''")
-    rows = queries.select("query_id", F.lower("text").alias("low")).join(one_row(needles, "needles"), F.lit(True))
-    hits = rows.select("query_id", F.inline(F.filter("needles", lambda h: F.contains(F.col("low"), h["needle"])))).select("query_id", "pack_id", weight.alias("points"))
+    needles = hints.select("pack_id", "kind", F.replace(F.lower(F.trim("hint")), F.lit("*"), F.lit("")).alias("term")).where("term <> ''")
+    hits = contained_terms(queries.select("query_id", F.lower("text").alias("text")), needles, "query_id").join(needles, "term").select("query_id", "pack_id", weight.alias("points"))
     if forced is not None:
         hits = hits.unionByName(forced.select("query_id", "pack_id", F.lit(100).alias("points")))
     by = hits.groupBy("query_id", "pack_id").agg(F.sum("points").alias("score")).where("score > 0")

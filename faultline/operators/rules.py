@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.operators.terms import contained_terms
+
 #: Rows of a table that users write by hand (rules, patterns, hints) at most; it goes to every task as one row.
 MOST_ROWS = 10_000
 
@@ -68,10 +70,11 @@ def match_fault_modes(hits: DataFrame, rules: DataFrame, top: int = 3) -> DataFr
 def keyword_fault_modes(texts: DataFrame, modes: DataFrame, base: float = 0.35, top: int = 5) -> DataFrame:
     """``texts(log_id, text)`` and ``modes(mode, sub, keyword)``: per mode its best sub-cause by keywords contained.
 
-    The score is min(1, base + 0.2 * hits). Texts are tested against each keyword where they lie; only hits are grouped.
+    The score is min(1, base + 0.2 * hits). One automaton of all keywords, however many, reads each text once; only hits are
+    shuffled.
     """
-    words = modes.select("mode", "sub", F.lower("keyword").alias("keyword")).distinct()
-    hits = texts.select("log_id", F.lower("text").alias("low")).join(one_row(words, "words"), F.lit(True)).select("log_id", F.inline(F.filter("words", lambda w: F.contains(F.col("low"), w["keyword"]))))
+    words = modes.select("mode", "sub", F.lower("keyword").alias("term")).distinct()
+    hits = contained_terms(texts.select("log_id", F.lower("text").alias("text")), words, "log_id").join(words, "term")
     by = hits.groupBy("log_id", "mode", "sub").agg(F.count("*").alias("hits"))
     best = by.withColumn("_r", F.row_number().over(Window.partitionBy("log_id", "mode").orderBy(F.desc("hits"), "sub"))).where("_r = 1").drop("_r")
     best = best.withColumn("score", F.least(F.lit(1.0), base + 0.2 * F.col("hits")))
@@ -149,9 +152,10 @@ def api_fault(errors: DataFrame, knowledge: DataFrame, top: int = 2) -> DataFram
     0.15 with each api, code and pattern.
     """
     terms = knowledge.select("module", "kind", F.lower("term").alias("term")).distinct()
-    text = errors.select("log_id", F.lower("text").alias("low"), F.lower(F.col("code").cast("string")).alias("code")).join(one_row(terms, "terms"), F.lit(True))
-    fits = lambda k: F.coalesce(F.when(k["kind"] == "code", F.col("code") == k["term"]).otherwise(F.contains(F.col("low"), k["term"])), F.lit(False))
-    hits = text.select("log_id", F.inline(F.filter("terms", fits)))
+    said, codes = terms.where("kind <> 'code'"), terms.where("kind = 'code'")
+    in_text = contained_terms(errors.select("log_id", F.lower("text").alias("text")), said, "log_id").join(said, "term")
+    by_code = errors.select("log_id", F.lower(F.col("code").cast("string")).alias("term")).join(codes, "term")
+    hits = in_text.select("log_id", "module", "kind").unionByName(by_code.select("log_id", "module", "kind"))
     weight = F.when(F.col("kind") == "module", 0.35).when(F.col("kind") == "api", 0.4).when(F.col("kind") == "code", 0.55).otherwise(0.3)
     by = hits.groupBy("log_id", "module").agg(F.least(F.lit(0.99), F.sum(weight)).alias("score"), F.count_if(F.col("kind") != "module").alias("evidence"))
     by = by.withColumn("confidence", F.least(F.lit(0.98), 0.5 + 0.15 * F.col("evidence")))
