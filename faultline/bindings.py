@@ -351,15 +351,15 @@ def replay_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""
     with recursive c as (select c_custkey as n, (c_custkey * 7 + 3) % (select count(*) from customer) as m from customer where c_mktsegment <> 'BUILDING'),
-    walk as (select n as start, n, [n] as path, false as done from c union all select start, coalesce(case when not list_contains(path, m) then m end, walk.n), case when m is null or list_contains(path, m) then path else list_append(path, m) end, m is null or list_contains(path, m) from walk left join c using (n) where not done and len(path) <= 64)
-    select start, max(len(path)) - 1 as steps, arg_max(n, len(path)) as last_node, not bool_or(done) as truncated from walk group by 1
+    walk as (select n as start, n, [n] as path, false as done from c union all select start, coalesce(case when not list_contains(path, m) then m end, walk.n), case when m is null or list_contains(path, m) then path else list_append(path, m) end, m is null or list_contains(path, m) from walk left join c using (n) where not done),
+    w as (select start, max(len(path)) - 1 as steps, arg_max(n, len(path)) as last_node from walk group by 1)
+    select start, steps, last_node, coalesce(m, last_node) as blocker, m is not null as deadlocked from w left join c on c.n = last_node
 """)
 def root_blocker(spark: SparkSession, d: str) -> DataFrame:
     c = _t(spark, d, "customer")
     n = c.count()
     edges = c.where("c_mktsegment <> 'BUILDING'").select(F.lit(0).alias("log_id"), F.col("c_custkey").alias("src"), F.expr(f"(c_custkey * 7 + 3) % {n}").alias("dst"), F.lit(0).alias("ord"))
-    rows = graphs.root_blocker(edges, edges.select("log_id", F.col("src").alias("start")))
-    return rows.select("start", (F.size("path") - 1).cast("long").alias("steps"), F.col("blocker").alias("last_node"), "truncated")
+    return graphs.root_blocker(edges, edges.select("log_id", F.col("src").alias("start"))).select("start", "steps", "last_node", "blocker", "deadlocked")
 
 
 def _next_customer(spark, d):
@@ -369,13 +369,26 @@ def _next_customer(spark, d):
 
 @query("""
     with recursive e as (select c_custkey as s, (c_custkey * 7 + 3) % (select count(*) from customer) as t from customer),
-    p as (select s as start, t as node, [s] as path from e where t >= s union all select start, e.t, list_append(path, node) from p join e on e.s = p.node where node > start and not list_contains(path, node) and len(path) < 20 and e.t >= start)
-    select array_to_string(list_append(path, start), '>') as cycle, (select coalesce(bool_or(len(path) = 20 and node > start and not list_contains(path, node)), false) from p) as truncated from p where node = start
+    p as (select s as start, t as node, [s] as path from e where t >= s union all select start, e.t, list_append(path, node) from p join e on e.s = p.node where node > start and not list_contains(path, node) and e.t >= start)
+    select array_to_string(list_append(path, start), '>') as cycle, false as truncated from p where node = start
 """)
 def wait_cycles(spark: SparkSession, d: str) -> DataFrame:
     return graphs.dependency_cycles(_next_customer(spark, d), 20).select(F.array_join("cycle", ">").alias("cycle"), "truncated")
 
 
+@query("""
+    with recursive n as (select count(*) as n from supplier), e as (select s_suppkey as a, (s_suppkey * 3 + 1) % n as b from supplier, n union select s_suppkey, (s_suppkey * 2) % n from supplier, n where s_nationkey % 3 = 0),
+    w as (select a, b from e union select w.a, e.b from w join e on e.a = w.b)
+    select a as node, min(b) as component from w where exists (select 1 from w v where v.a = w.b and v.b = w.a) group by a
+""")
+def mutual_waits(spark: SparkSession, d: str) -> DataFrame:
+    s = _t(spark, d, "supplier")
+    n = s.count()
+    edge = lambda to: F.struct(F.col("s_suppkey").alias("src"), F.expr(to).alias("dst"))
+    edges = s.select(F.explode(F.array(edge(f"(s_suppkey * 3 + 1) % {n}"), edge(f"if(s_nationkey % 3 = 0, (s_suppkey * 2) % {n}, null)"))).alias("e")).select(F.lit(0).alias("log_id"), "e.src", "e.dst")
+    return graphs.mutual_waits(edges).select("node", "component")
+
+
 def _tree(spark, d):
     region, nation, customer, orders = (_t(spark, d, t) for t in ("region", "nation", "customer", "orders"))
     node = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
@@ -395,6 +408,22 @@ def subtree_size(spark: SparkSession, d: str) -> DataFrame:
     return graphs.heap_retained(nodes, edges).select("node", "retained_size")
 
 
+@query("""
+    with o as (select o_orderkey as k, o_custkey as c from orders), h as (select distinct k, c, l_partkey as p from o join lineitem on l_orderkey = k),
+    s as (select p_partkey as p, p_size + 0 as size from part), ps as (select k, sum(coalesce(size, 0)) as size from h left join s using (p) group by k),
+    cs as (select c, sum(coalesce(size, 0)) as size from (select distinct c, p from h) left join s using (p) group by c), n as (select c, count(*) as n from o group by c)
+    select 'p' || p as node, size::bigint as retained_size from s where size > 0 union all select 'o' || k, (10 + coalesce(size, 0))::bigint from o left join ps using (k)
+    union all select 'c' || c_custkey, (1 + 10 * coalesce(n, 0) + coalesce(size, 0))::bigint from customer left join n on n.c = c_custkey left join cs on cs.c = c_custkey
+""")
+def shared_retained(spark: SparkSession, d: str) -> DataFrame:
+    orders, lineitem, customer, part = (_t(spark, d, t) for t in ("orders", "lineitem", "customer", "part"))
+    node = lambda k, c: F.concat(F.lit(k), F.col(c).cast("string"))
+    sized = lambda k, c, n: (node(k, c).alias("node"), n.cast("long").alias("self_size"))
+    nodes = customer.select(*sized("c", "c_custkey", F.lit(1))).unionByName(orders.select(*sized("o", "o_orderkey", F.lit(10)))).unionByName(part.select(*sized("p", "p_partkey", F.col("p_size"))))
+    edges = orders.select(node("c", "o_custkey").alias("src"), node("o", "o_orderkey").alias("dst")).unionByName(lineitem.select(node("o", "l_orderkey").alias("src"), node("p", "l_partkey").alias("dst")))
+    return graphs.heap_retained(nodes.withColumn("snapshot_id", F.lit(0)), edges.withColumn("snapshot_id", F.lit(0))).select("node", "retained_size")
+
+
 @query("""
     with r as (select distinct 'r' || r_regionkey as node, 0 as distance from region union all select 'n' || n_nationkey, 1 from nation union all select 'c' || c_custkey, 2 from customer union all select 'o' || o_orderkey, 3 from orders where o_custkey in (select c_custkey from customer)) select * from r
     union all select 'o' || o_orderkey, 0 from orders where false

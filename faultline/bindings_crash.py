@@ -87,6 +87,48 @@ def log_frames(spark: S, d: str) -> DataFrame:
     return rows.select("log_id", "frame_number", joins.address(F.col("address")).cast("long").alias("address"), "module", "function", "offset")
 
 
+def _frame_forms(pos: Column, hex_of, name: Column, n: Column, k: Column) -> list[Column]:
+    """A line of each form with the same number, address, names and offset."""
+    pad, a = F.lpad(pos.cast("string"), 2, "0"), lambda digits: hex_of(digits)
+    build = text("ab12cd34", a(8))
+    return [
+        text("#", pad, " pc ", a(16), "  /system/lib64/lib", name, ".so (fn<", name, ">(int, (x))+", n, ") (BuildId: ", build, ")"),
+        text("native: #", pad, " pc ", a(16), "  /data/app/base.apk!lib", name, ".so (offset 0x1000) (fn", name, ")"),
+        text("08-10 10:00:00.000  1  2 F DEBUG   :     #", pad, " pc ", a(16), "  /data/lib", name, ".so[", build, "]"),
+        text("#", pad, " pc ", a(16), " lib", name, ".so [arm64-v8a::", build, "]"),
+        text("#", pad, " pc ", a(16), " /memfd:jit-cache", name, " (deleted) (fn", name, "+", n, ")"),
+        text("#", pos, " at run", name, " (entry|@pkg/m", name, "|1.0|src/main/a", name, ".ets:", n, ":", k, ")"),
+        text("    at app.Main", name, ".run(Main", name, ".java:", n, ")"),
+        text("    at app.Main", name, ".run(Native Method)"),
+        text("    at work", name, " (src/a", name, ".js:", n, ":", k, ")"),
+        text(pos, "   Core", name, "   0x", a(16), " -[View", name, " draw:] + ", n),
+        text(pos, "   Core", name, "   0x", a(16), " 0x10000000 + ", n),
+        text(pos, " ", pos, " Core", name, " 0x", a(16), " Draw::line", name, "(int) + ", n, " *(inlined)"),
+        text("map_plugin", name, "  0x", a(16), "  Route::size", name),
+        text("demo", name, ".dll!Crash::run", name, "+0x", a(2)),
+        text("    #", pos, " 0x", a(12), " (/lib/lib", name, ".so+0x", a(4), ") (BuildId: ", build, ")"),
+        text("    #", pos, " 0x", a(12), " in fn", name, " /src/a", name, ".cc:", n, ":", k),
+    ]
+
+
+@query("""
+    with e as (select *, row_number() over (partition by user_id order by event_id) - 1 as pos, event_id % 1000 as nm, event_id % 50 + 1 as n, event_id % 7 as k, (event_id % 200 + 16) as ad, event_id % 16 as form from events)
+    select user_id as log_id, pos + 1 as line_no, case when form in (6, 7, 8, 12, 13) then null else pos end::int as frame_number, case when form in (5, 6, 7, 8, 13) then null else ad end as address,
+      ([ '/system/lib64/lib' || nm || '.so', '/data/app/base.apk!lib' || nm || '.so', '/data/lib' || nm || '.so', 'lib' || nm || '.so', '/memfd:jit-cache' || nm || ' (deleted)', '@pkg/m' || nm, null, null, 'a' || nm || '.js', 'Core' || nm, 'Core' || nm, 'Core' || nm, 'map_plugin' || nm, 'demo' || nm || '.dll', '/lib/lib' || nm || '.so', null])[form + 1] as module,
+      (['fn<' || nm || '>(int, (x))', 'fn' || nm, null, null, 'fn' || nm, 'run' || nm, 'app.Main' || nm || '.run', 'app.Main' || nm || '.run', 'work' || nm, '-[View' || nm || ' draw:]', null, 'Draw::line' || nm || '(int)', 'Route::size' || nm, 'Crash::run' || nm, null, 'fn' || nm])[form + 1] as function,
+      ([null, null, null, null, null, 'entry|@pkg/m' || nm || '|1.0|src/main/a' || nm || '.ets', 'Main' || nm || '.java', null, 'src/a' || nm || '.js', null, null, null, null, null, null, '/src/a' || nm || '.cc'])[form + 1] as file,
+      case when form in (5, 6, 8, 15) then n end::int as line, case when form in (0, 4, 9, 10, 11) then n when form in (13, 14) then ad end::bigint as "offset", case when form in (0, 2, 3, 14) then 'ab12cd34' || lpad(lower(hex(ad)), 8, '0') end as build_id from e
+""")
+def frame_forms(spark: S, d: str) -> DataFrame:
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
+    ev = _t(spark, d, "events").withColumn("pos", at).withColumn("ad", F.col("event_id") % 200 + 16)
+    forms = _frame_forms(F.col("pos"), lambda digits: hexa(F.col("ad"), digits), F.col("event_id") % 1000, F.col("event_id") % 50 + 1, F.col("event_id") % 7)
+    line = F.element_at(F.array(*forms), (F.col("event_id") % 16 + 1).cast("int"))
+    content = ev.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("t")))), lambda x: x["t"]), "\n").alias("content"))
+    rows = logs.parse_frames(logs.explode_lines(content.select(F.col("user_id").alias("log_id"), "content")))
+    return rows.select("log_id", F.col("line_no").cast("long").alias("line_no"), "frame_number", joins.address(F.col("address")).cast("long").alias("address"), "module", "function", "file", "line", "offset", "build_id")
+
+
 @query("""
     select o_orderkey as log_id, case when o_orderstatus = 'P' then 'partial_log' else 'ok' end as status from orders where o_orderkey in (select l_orderkey from lineitem)
     union all select -1, 'error'
@@ -241,13 +283,19 @@ def timeline_worth(spark: S, d: str) -> DataFrame:
     return logs.timeline_gate(rows).select("log_id")
 
 
-_MEMORY = [("OutOfMemoryError\nJava heap: 900\nnative heap: 10", "java_heap_oom"), ("out of memory\nnative heap: 5000\nJava heap: 10", "native_heap_oom"), ("lowmemorykiller", "low_memory_kill"), ("jetsam", "jetsam"), ("fd count: 4000", "fd_leak"), ("memory pressure\nPSS: 77", "memory_pressure"), ("all well\nRSS: 5", "unknown"), ("a leak", "leak_suspected"), ("OutOfMemoryError", "oom")]
-
-
-@query(f"select p_partkey as log_id, {sql_pick('p_partkey', [k for _, k in _MEMORY])} as memory_subtype, case p_partkey % 9 when 5 then 77.0::double end as pss_kb, case p_partkey % 9 when 6 then 5.0::double end as rss_kb from part")
+@query("""
+    with p as (select p_partkey as k, p_size as s, p_partkey % 11 as f from part)
+    select k as log_id, case when f = 9 then 'mixed_oom_with_crash' when f = 0 then 'java_oom' when f in (1, 2, 3) then 'system_oom_kill' when f = 4 then 'native_alloc_failure' when f = 8 then 'oom_kill' when f in (5, 6) then 'memory_pressure' when f = 10 then 'oom_category' else 'memory_related' end as memory_subtype,
+      s::double as pss, (['M', null, 'K', 'G'])[s % 4 + 1] as pss_unit, (s::bigint * ([1048576, 1024, 1024, 1073741824])[s % 4 + 1])::bigint as pss_bytes, case when f % 2 = 0 then (k % 97)::double end as native_heap, s * 10 as fd_count, k as thread_count from p
+""")
 def memory_kinds(spark: S, d: str) -> DataFrame:
-    rows = _t(spark, d, "part").select(F.col("p_partkey").alias("log_id"), pick(F.col("p_partkey"), [t for t, _ in _MEMORY]).alias("content"))
-    return logs.memory_subtype(logs.memory_indicators(rows)).select("log_id", "memory_subtype", "pss_kb", "rss_kb")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    said = pick(key % 11, ["java.lang.OutOfMemoryError: Java", "killed by jetsam", "lowmemorykiller: kill", "EXC_RESOURCE RESOURCE_TYPE_MEMORY", "mmap: Cannot allocate memory", "a memory warning", "onTrimMemory 15", "all well", "all well", "OutOfMemoryError", "all well"])
+    heap = F.when(key % 11 % 2 == 0, text("\nNative Heap: ", key % 97)).otherwise("")
+    content = text(said, "\nPSS: ", size, pick(size % 4, [" MB", "", " K", " G"]), heap, "\nFDs: ", size * 10, "\nThreads: ", key)
+    rows = _t(spark, d, "part").select(key.alias("log_id"), content.alias("content"), pick(key % 11, [*[None] * 8, "oom_kill", "mixed_oom_crash", None]).alias("log_kind"), pick(key % 11, [*[None] * 10, "OOM"]).alias("category"))
+    found = logs.memory_subtype(logs.memory_indicators(rows), rows)
+    return found.select("log_id", "memory_subtype", "pss", "pss_unit", "pss_bytes", "native_heap", F.col("fd_count").cast("int").alias("fd_count"), "thread_count")
 
 
 _FREEZES = [("input_block here", "INPUT_BLOCK", 5000), ("Lifecycle timeout", "LIFECYCLE_TIMEOUT", 5000), ("render_service", "RENDER_SERVICE_TIMEOUT", 6000), ("thread_block_6s", "THREAD_BLOCK_6S", 6000), ("blocked 20s", "THREAD_BLOCK_20S", 20000), ("app freeze", "APPFREEZE", 6000), ("calm", "UNKNOWN", None)]

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from faultline.operators.frames import parse_frames  # noqa: F401
 from faultline.operators.joins import address
 from faultline.operators.leak import any_of
 from faultline.operators.timing import lenient_number
@@ -58,8 +59,23 @@ LOGCAT = r"^(\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d{3})\s+\d+\s+\d+\s+([VDIWEF])\s+
 SYSLOG = r"^(\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+\S+\s+(\S+)\[?\d*\]?\s*:\s*(.*)$"
 HILOG = r"^(\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d{3})\s+\d+\s+\d+\s+([VDIWEF])\s+(\S+)/(\S+)\s*:\s*(.*)$"
 GENERIC = r"^[\[\(]?(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}|\d{2}:\d{2}:\d{2}(?:\.\d+)?)"
-#: Memory words.
-MEMORY_FLAGS = {"oom": r"(?i)OutOfMemoryError|out of memory", "lmk": r"(?i)lowmemorykiller|low memory killer", "jetsam": r"(?i)jetsam", "gc": r"(?i)\bGC\b|garbage collection", "pressure": r"(?i)memory pressure", "leak": r"(?i)\bleak", "fd": r"(?i)too many open files|EMFILE"}
+#: Memory words, values with their units, and counts.
+MEMORY_FLAGS = {
+    "oom": r"(?i)OutOfMemoryError",
+    "jetsam": r"(?i)\bjetsam\b",
+    "lmk": r"(?i)lowmemorykiller|Low\s+Memory\s+Killer",
+    "resource": r"(?i)EXC_RESOURCE[^\n]*MEMORY",
+    "enomem": r"(?i)\bENOMEM\b|Cannot\s+allocate\s+memory",
+    "pressure": r"(?i)memory\s+pressure|low[_ ]?memory|memory\s+warning",
+    "trim": r"(?i)onTrimMemory|didReceiveMemoryWarning",
+}
+MEMORY_VALUES = {
+    "pss": r"(?i)PSS\s*[:=]?\s*([\d.]+)\s*(K|KB|M|MB|G|GB)?",
+    "rss": r"(?i)(?:RSS|VmRSS)\s*[:=]?\s*([\d.]+)\s*(K|KB|M|MB|G|GB)?",
+    "java_heap": r"(?i)(?:Java\s+heap|Dalvik\s+Heap|Heap:\s*size)\s*[:=]?\s*([\d.]+)\s*(K|KB|M|MB|G|GB)?",
+    "native_heap": r"(?i)Native\s+Heap\s*[:=]?\s*([\d.]+)\s*(K|KB|M|MB|G|GB)?",
+}
+MEMORY_COUNTS = {"fd_count": r"(?i)(?:FDs?|file\s+descriptors?)\s*[:=]?\s*(\d+)", "thread_count": r"(?i)(?:Threads?|thread\s+count)\s*[:=]?\s*(\d+)"}
 
 
 def explode_lines(logs: DataFrame) -> DataFrame:
@@ -84,20 +100,6 @@ def detect_sections(logs: DataFrame) -> DataFrame:
     return logs.select("log_id", F.filter(found, lambda x: x.isNotNull()).alias("sections"))
 
 
-def parse_frames(lines: DataFrame) -> DataFrame:
-    """Stack lines to ``(log_id, line_no, frame_number, address, module, function, file, line, offset)``, formats in order:
-    ``#NN pc``, numbered with address and symbol, ``at class.method(file:line)``."""
-    t = F.col("text")
-    android = r"^\s*#(\d+)\s+pc\s+([0-9a-fA-F]+)\s+(\S+)(?:\s+\(offset [^)]*\))?(?:\s+\((.+?)(?:\+(\d+))?\)\s*)?$"
-    apple = r"^\s*(?:#)?(\d+)\s+(?:0x([0-9a-fA-F]+)\s+\d+\s+)?(\S+)\s+0x([0-9a-fA-F]+)\s+(.+?)(?:\s\+\s(\d+))?$"
-    java = r"^\s*at\s+([\w.$<>]+)\(([^:)]+)(?::(\d+))?\)"
-    g = lambda p, i: F.nullif(F.regexp_extract(t, p, i), F.lit(""))
-    shape = lambda number, addr, module, function, file, line, offset: F.struct(number.cast("int").alias("frame_number"), addr.alias("address"), module.alias("module"), function.alias("function"), file.alias("file"), line.cast("int").alias("line"), offset.cast("long").alias("offset"))
-    none = F.lit(None).cast("string")
-    frame = F.when(t.rlike(android), shape(g(android, 1), g(android, 2), g(android, 3), g(android, 4), none, none, g(android, 5))).when(t.rlike(apple), shape(g(apple, 1), g(apple, 4), g(apple, 3), g(apple, 5), none, none, g(apple, 6))).when(t.rlike(java), shape(none, none, none, g(java, 1), g(java, 2), g(java, 3), none))
-    return lines.select("log_id", "line_no", frame.alias("f")).where("f is not null").select("log_id", "line_no", "f.*")
-
-
 def parse_maps(lines: DataFrame) -> DataFrame:
     """Linux mappings and Apple binary images (whose end is inclusive) to ``(log_id, ord, start, end, executable, file_offset,
     path)``; placeholders and images over all addresses are left out."""
@@ -239,18 +241,36 @@ def timeline_gate(logs: DataFrame, strong: int = 3) -> DataFrame:
 
 
 def memory_indicators(logs: DataFrame, head: int = 20_000) -> DataFrame:
-    """Flags and values of memory evidence in the first characters of each log."""
+    """Flags and values of memory evidence in the first characters of each log: ``has_<flag>``, and of each metric its number, its
+    unit's first letter in capitals (null where none is said) and the bytes that both make, a number without a unit being kilobytes."""
     t = F.substring("content", 1, head)
-    number = lambda p: F.nullif(F.regexp_extract(t, p, 1), F.lit("")).try_cast("double")
-    values = {"pss_kb": r"(?i)\bPSS\s*[:=]\s*(\d+)", "rss_kb": r"(?i)\bRSS\s*[:=]\s*(\d+)", "java_heap_kb": r"(?i)Java\s+heap\s*[:=]\s*(\d+)", "native_heap_kb": r"(?i)native\s+heap\s*[:=]\s*(\d+)", "fd_count": r"(?i)\bfd(?:\s*count)?\s*[:=]\s*(\d+)", "thread_count": r"(?i)\bthreads?\s*[:=]\s*(\d+)"}
-    return logs.select("log_id", *[t.rlike(p).alias(f"has_{k}") for k, p in MEMORY_FLAGS.items()], *[number(p).alias(k) for k, p in values.items()])
-
-
-def memory_subtype(ind: DataFrame) -> DataFrame:
-    """An 8-way subtype of ``memory_indicators``."""
-    c = F.col
-    kind = F.when(c("has_fd") | (c("fd_count") > 1000), "fd_leak").when(c("has_oom") & (c("java_heap_kb") > F.coalesce("native_heap_kb", F.lit(0.0))), "java_heap_oom").when(c("has_oom") & c("native_heap_kb").isNotNull(), "native_heap_oom").when(c("has_oom"), "oom").when(c("has_lmk"), "low_memory_kill").when(c("has_jetsam"), "jetsam").when(c("has_leak"), "leak_suspected").when(c("has_pressure") | c("has_gc"), "memory_pressure").otherwise("unknown")
-    return ind.withColumn("memory_subtype", kind)
+    part = lambda p, i: F.nullif(F.regexp_extract(t, p, i), F.lit(""))
+    scale = lambda u: F.when(u.startswith("G"), 1 << 30).when(u.startswith("M"), 1 << 20).otherwise(1 << 10)
+    values = []
+    for name, pattern in MEMORY_VALUES.items():
+        number, unit = part(pattern, 1).try_cast("double"), F.upper(part(pattern, 2))
+        values += [number.alias(name), unit.alias(f"{name}_unit"), F.when(number.isNotNull(), number * scale(F.coalesce(unit, F.lit("K")))).cast("long").alias(f"{name}_bytes")]
+    counts = [part(p, 1).try_cast("long").alias(n) for n, p in MEMORY_COUNTS.items()]
+    return logs.select("log_id", *[F.coalesce(t.rlike(p), F.lit(False)).alias(f"has_{k}") for k, p in MEMORY_FLAGS.items()], *values, *counts)
+
+
+def memory_subtype(indicators: DataFrame, facts: DataFrame | None = None) -> DataFrame:
+    """Adds ``memory_subtype`` to :func:`memory_indicators` from the flags and, where ``facts(log_id, log_kind, category)`` are known, from
+    the log's kind and the crash's category; eight classes in order, the last where nothing else is said."""
+    rows = indicators.join(facts.select("log_id", "log_kind", F.lower("category").alias("category")), "log_id", "left") if facts is not None else indicators.withColumns({"log_kind": F.lit(None).cast("string"), "category": F.lit(None).cast("string")})
+    c, said = F.col, lambda *flags: F.greatest(*[F.col(f"has_{f}") for f in flags], F.lit(False))
+    kind = lambda k: F.coalesce(c("log_kind") == k, F.lit(False))
+    subtype = (
+        F.when(kind("mixed_oom_crash"), "mixed_oom_with_crash")
+        .when(said("oom"), "java_oom")
+        .when(said("jetsam", "lmk", "resource"), "system_oom_kill")
+        .when(said("enomem"), "native_alloc_failure")
+        .when(kind("oom_kill"), "oom_kill")
+        .when(kind("memory_pressure") | said("pressure", "trim"), "memory_pressure")
+        .when(c("category") == "oom", "oom_category")
+        .otherwise("memory_related")
+    )
+    return rows.withColumn("memory_subtype", subtype).drop("log_kind", "category")
 
 
 def api_state_counts(content: Column) -> Column:
