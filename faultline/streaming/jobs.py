@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultline.operators.logs import detect_os, log_kind
-from faultline.operators.retrieval import upsert
+from faultline.streaming.versions import VersionedTable
 
 
 def triage(spark: SparkSession, path: str) -> DataFrame:
@@ -51,21 +51,20 @@ def signature_counts(events: DataFrame, time: str = "ts", signature: str = "sign
 
 
 def upsert_counts(spark: SparkSession, path: str):
-    """A ``foreachBatch`` function that merges window counts ``(window_start, signature, n)`` into a Parquet table by day.
+    """A ``foreachBatch`` function that merges window counts ``(window_start, signature, n)`` into a versioned table by day.
 
-    A batch carries the whole counts of the windows that changed (update mode), so merging it again changes nothing. Only the
-    days that it touches, few by the watermark, are read and written anew.
+    A batch carries the whole counts of the windows that changed (update mode). It is committed whole under its number or not at
+    all: one that stops half way leaves the table as it was, one that comes again changes nothing. Only the days that it
+    touches, few by the watermark, are read and written anew. ``counts_table`` reads it.
     """
+    table = counts_table(spark, path)
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        new = batch.select("window_start", "signature", "n", F.to_date("window_start").alias("day")).persist()
-        days = [row.day for row in new.select("day").distinct().collect()]
-        if days:
-            rows = new
-            if spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path)):
-                old = spark.read.schema(new.schema).parquet(path).where(F.col("day").isin(days))
-                rows = upsert(old, new, ["window_start", "signature"], keep=())
-            rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
-        new.unpersist()
+        table.merge(batch.select("window_start", "signature", "n", F.to_date("window_start").alias("day")), batch_id)
 
     return merge
+
+
+def counts_table(spark: SparkSession, path: str) -> VersionedTable:
+    """The table that :func:`upsert_counts` fills."""
+    return VersionedTable(spark, path, ["window_start", "signature"], "day")

@@ -272,6 +272,13 @@ def test_long_words_are_cut_and_told_apart():
     assert (pieces[0] != pieces[1]).any()
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(max_size=40), st.text(max_size=40))
+def test_letters_bound_the_edit_distance(a, b):
+    kinds = [np.frombuffer(linededup.letters(x), np.uint8)[None] for x in (a, b)]
+    assert linededup.apart_at_least(*kinds)[0] <= linededup.edit_distance(a, b)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["a", "bb", "abc", "bca", "d"]), min_size=1, max_size=12), st.lists(st.sampled_from(["a", "bb", "abc", "bca", "d"]), min_size=1, max_size=12))
 def test_edit_bound_is_a_bound(x, y):

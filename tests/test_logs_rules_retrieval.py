@@ -168,21 +168,6 @@ def test_export_counts_and_streams(spark, tmp_path):
     assert (r.n, r.first_value, r.last_value, r.max_step) == (10, 0, 27, 3) and r.slope == pytest.approx(3) and r.r2 == pytest.approx(1)
 
 
-def test_window_counts_are_merged_by_day(spark, tmp_path):
-    from datetime import datetime
-
-    merge, at = jobs.upsert_counts(spark, str(tmp_path / "counts")), lambda day, hour: datetime(2024, 5, day, hour)
-    rows = lambda *x: spark.createDataFrame(list(x), "window_start timestamp, signature string, n long")
-    merge(rows((at(1, 1), "a", 2), (at(2, 1), "b", 1)), 0)
-    before = {p for p in (tmp_path / "counts" / "day=2024-05-01").iterdir()}
-    for _ in range(2):  # a batch that comes again changes nothing
-        merge(rows((at(2, 1), "b", 5), (at(2, 3), "a", 1), (at(3, 1), "c", 4)), 1)
-    merge(rows(), 2)
-    got = {(r.window_start, r.signature, r.n) for r in spark.read.parquet(str(tmp_path / "counts")).collect()}
-    assert got == {(at(1, 1), "a", 2), (at(2, 1), "b", 5), (at(2, 3), "a", 1), (at(3, 1), "c", 4)}
-    assert {p for p in (tmp_path / "counts" / "day=2024-05-01").iterdir()} == before
-
-
 def test_first_seen_incidents_come_once(spark, tmp_path):
     from datetime import datetime
 
