@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.bindings import _t, query, r
-from faultline.operators import diagnosis, evaluation, graphs, joins, leak, logs, retrieval, rules, stacks, timing
+from faultline.operators import diagnosis, evaluation, graphs, joins, leak, logs, retrieval, rules, search, stacks, timing
 from faultline.sources import readers
 
 S = SparkSession
@@ -277,9 +277,18 @@ def operation_classes(spark: S, d: str) -> DataFrame:
     return logs.classify_ops(logs.extract_timeline(_user_lines(spark, d))).groupBy("log_id", "category").agg(F.count("*").alias("n"))
 
 
-@query("select user_id as log_id from events where event_type = 'error' group by 1 having count(*) >= 3")
+@query("""
+    with u as (select user_id as k, count(*) filter (event_type = 'error') as errors, count(*) as n from events group by 1)
+    select k as log_id from u where n >= 5 and (errors >= 3 or k % 5 = 0 or k % 7 = 0)
+""")
 def timeline_worth(spark: S, d: str) -> DataFrame:
-    rows = _user_lines(spark, d).where("text like '%: sqlite commit'").groupBy("log_id").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("content"))
+    k = F.col("user_id")
+    stamp = F.when(F.col("event_type") == "error", text("05-01 10:00:00.000  1  2 I Tag", k % 10, ": sqlite commit")).otherwise(text("note of event ", F.col("event_id")))
+    by = _t(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(stamp)), "\n").alias("lines"), F.count(F.lit(1)).alias("n"))
+    head = F.when(k % 5 == 0, "Console Log: kept\n").otherwise("")
+    # texts of fewer than five lines stay short of what a timeline needs
+    content = F.when(F.col("n") >= 5, text(head, F.col("lines"), F.repeat(F.lit("\nplain words"), 8))).otherwise(F.substring("lines", 1, 60))
+    rows = by.select(k.alias("log_id"), content.alias("content"), F.when(k % 7 == 0, F.array(F.lit("maps"), F.lit("HiLog"))).otherwise(F.array(F.lit("maps"))).alias("sections"))
     return logs.timeline_gate(rows).select("log_id")
 
 
@@ -444,10 +453,15 @@ def api_faults(spark: S, d: str) -> DataFrame:
     return rules.api_fault(errors, dim).select("log_id", "module", r("score").alias("score"), r("confidence").alias("confidence"), "rank")
 
 
-@query("select c_custkey as log_id, (c_custkey % 4)::int as play, (c_nationkey % 3)::int as stop, 0 as reset from customer")
+@query("""
+    with c as (select c_custkey as log_id, (c_custkey % 4)::int as play, (c_nationkey % 3)::int as stop, (c_custkey % 6)::int as reset, (c_nationkey % 8)::int as prepare from customer)
+    select *, reset >= 3 as repeated_reset, play > 0 and prepare > 2 * play as prepared_in_vain, reset >= 3 or (play > 0 and prepare > 2 * play) as escalate_to_app from c
+""")
 def api_states(spark: S, d: str) -> DataFrame:
-    content = text(F.repeat(F.lit("x.play( ) "), (F.col("c_custkey") % 4).cast("int")), F.repeat(F.lit("stop() "), (F.col("c_nationkey") % 3).cast("int")), F.lit("display()"))
-    return _t(spark, d, "customer").select(F.col("c_custkey").alias("log_id"), logs.api_state_counts(content).alias("s")).select("log_id", "s.play", "s.stop", "s.reset")
+    said = lambda word, n: F.repeat(F.lit(word), n.cast("int"))
+    key, nation = F.col("c_custkey"), F.col("c_nationkey")
+    content = text(said("x.play( ) ", key % 4), said("stop() ", nation % 3), said("Reset; ", key % 6), said("prepare ", nation % 8), F.lit("display() resetting"))
+    return _t(spark, d, "customer").select(key.alias("log_id"), logs.api_state_counts(content).alias("s")).select("log_id", "s.play", "s.stop", "s.reset", "s.prepare", "s.repeated_reset", "s.prepared_in_vain", "s.escalate_to_app")
 
 
 @query(f"""
@@ -640,6 +654,60 @@ def evidence_tiers(spark: S, d: str) -> DataFrame:
     return rules.grade_evidence(rows).select("log_id", "tier", "tier_label")
 
 
+@query("""
+    with r as (select l_partkey as k, count(*) as rules, count(distinct l_returnflag) as patterns from lineitem where l_linenumber = 1 group by 1), h as (select distinct l_partkey as k from lineitem where l_linenumber = 2),
+    f as (select p_partkey as k, p_size % 13 = 0 as detector, p_size % 2 = 0 as segv, p_size % 3 = 0 as regs, p_partkey < 256 as low, p_size % 5 = 0 as conc, p_size % 7 = 0 as mem, coalesce(rules, 0) as rules, coalesce(rules >= 2 and patterns = 1, false) as agree, h.k is not null as hit from part left join r on r.k = p_partkey left join h on h.k = p_partkey),
+    g as (select *, segv::int + regs::int + low::int as n2, agree::int + conc::int + mem::int as n3 from f),
+    t as (select *, case when detector then 1 when n2 >= 2 then 2 when n3 >= 2 then 3 when rules > 0 or hit then 4 else 5 end as tier from g)
+    select k as log_id, tier, case when tier <= 2 then 'high' when tier = 3 then 'medium' else 'low' end as confidence_label,
+      case when tier = 1 then 'ASan' else concat_ws(' ', case when segv then 'signal' end, case when regs then 'registers' end, case when low then 'near_null' end, case when tier > 2 and agree then 'rules_agree' end, case when tier > 2 and conc then 'concurrency_symbols' end, case when tier > 2 and mem then 'memory_symbols' end, case when tier = 4 then 'single_feature' end) end as evidence from t
+""")
+def raw_evidence_tiers(spark: S, d: str) -> DataFrame:
+    s, k, li = F.col("p_size"), F.col("p_partkey"), _t(spark, d, "lineitem")
+    functions = text(F.when(s % 5 == 0, "pthread_mutex_lock ").otherwise("draw "), F.when(s % 7 == 0, "malloc free").otherwise("paint"))
+    content = text(F.repeat(F.lit("prose "), 100), F.when(s % 3 == 0, "\nRegisters: none").otherwise(""))
+    rows = _t(spark, d, "part").select(k.alias("log_id"), content.alias("content"), F.when(s % 2 == 0, "SIGSEGV (11)").otherwise("SIGABRT").alias("signal"), F.when(k % 2 == 0, text("0x", F.lower(F.hex(k * 16)))).otherwise((k * 16).cast("string")).alias("crash_address"), F.when(s % 13 == 0, "found by hwasan").otherwise("none").alias("crash_reason"), functions.alias("stack_functions"))
+    hits = lambda n, *more: li.where(F.col("l_linenumber") == n).select(F.col("l_partkey").alias("log_id"), *more)
+    found = rules.grade_raw_evidence(rows, hits(1, F.col("l_returnflag").alias("pattern")), hits(2))
+    return found.select("log_id", "tier", "confidence_label", F.array_join("evidence", " ").alias("evidence"))
+
+
+@query(r"""
+    with l as (select doc_id as file, unnest(string_split_regex(text, '\r?\n')) as t, unnest(range(1, len(string_split_regex(text, '\r?\n')) + 1)) as line from documents where text is not null),
+    p(pattern_id, pattern) as (values ('secret', 'token\s*=\s*"[0-9a-f]+"'), ('pair', '(the|and) that\b.*\bthat the'), ('start', '^Th[ae]'), ('license', 'License|licence'), ('rare', 'zz9')),
+    h as (select pattern_id, file, line, t, row_number() over (partition by pattern_id order by file, line) as r from l join p on regexp_matches(t, pattern))
+    select pattern_id, file, line::int as line, t as text, max(r) over (partition by pattern_id) >= 50 as truncated from h where r <= 50
+""")
+def source_search(spark: S, d: str) -> DataFrame:
+    files = _t(spark, d, "documents").select(F.col("doc_id").alias("file"), "text")
+    patterns = {"secret": r'token\s*=\s*"[0-9a-f]+"', "pair": r"(the|and) that\b.*\bthat the", "start": "^Th[ae]", "license": "License|licence", "rare": "zz9"}
+    return search.search_source(files, patterns)
+
+
+@query("""
+    with t as (select user_id as k, event_type as name, floor(value)::bigint * 20 as ms, event_id % 4 = 0 as open from events), d as (select k, 100000 + k % 7 as dump from (select distinct k from t))
+    select t.k as log_id, name, max(ms)::double as duration_ms, count(*) as n from t where ms > 3000 group by all
+""")
+def long_queue_events(spark: S, d: str) -> DataFrame:
+    k, ms, dump = F.col("user_id"), (F.col("value").cast("long") * 20), 100_000 + F.col("user_id") % 7
+    line = text("task name = ", F.col("event_type"), ", trigger time = ", dump - ms, F.when(F.col("event_id") % 4 == 0, "").otherwise(text(", complete time = ", dump)))
+    dumps = _t(spark, d, "events").groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("lines"))
+    rows = logs.parse_queue_events(dumps.select(k.alias("log_id"), text("curTime: ", dump, "\n", F.col("lines")).alias("content")))
+    n = rows.where("duration_ms > 3000").groupBy("log_id", "name").agg(F.count(F.lit(1)).alias("n"))
+    return timing.long_queue_events(rows).join(n, ["log_id", "name"]).select("log_id", "name", "duration_ms", "n")
+
+
+@query("""
+    with v as (select vec_id as query_id, 'case' || vec_id as pattern_id, label, vec_id % 3 as k from embeddings), p as (select distinct l_suppkey as query_id from lineitem where l_linenumber = 1)
+    select v.query_id, pattern_id from v left join p using (query_id) where p.query_id is null or not (label % 2 = 0 or k = 0)
+""")
+def related_hits(spark: S, d: str) -> DataFrame:
+    e = _t(spark, d, "embeddings")
+    hits = e.select(F.col("vec_id").alias("query_id"), text("case", F.col("vec_id")).alias("pattern_id"), F.when(F.col("label") % 2 == 0, "Arithmetic").otherwise("memory").alias("crash_category"), F.when(F.col("vec_id") % 3 == 0, "a SIGFPE b").otherwise("none").alias("crash_signature"))
+    packs = _t(spark, d, "lineitem").where("l_linenumber = 1").select(F.col("l_suppkey").alias("query_id"))
+    return retrieval.drop_unrelated(hits, packs).select("query_id", "pattern_id")
+
+
 @query("""
     with m as (select user_id as log_id, event_type as fault_mode, round(max(value) / 1000, 6) as confidence from events group by all), e as (select user_id as log_id, event_type as fault_mode, min(event_id % 4 + 1) as tier from events where event_type <> 'view' group by all)
     select log_id, fault_mode, confidence, coalesce(tier, 5)::bigint as tier, (row_number() over (partition by log_id order by coalesce(tier, 5), confidence desc, fault_mode))::int as rank from m left join e using (log_id, fault_mode)
@@ -1063,11 +1131,11 @@ def observations_once(spark: S, d: str) -> DataFrame:
 
 @query("""
     with t as (select item_id as query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-zA-Z0-9_:.]{4,}'))) as term from benchmark),
-    b as (select doc_id, lower(text) as body from documents where doc_id in (select doc_id from labels) and text is not null)
+    b as (select doc_id, lower(text) as body from documents where text is not null)
     select query_id, doc_id, sum(case when starts_with(term, 'lib') or contains(term, '::') then 1.5 else 0.5 end)::double as score from t join b on contains(body, term) group by all
 """)
 def document_scores(spark: S, d: str) -> DataFrame:
-    docs = _t(spark, d, "documents").where("text is not null").join(_t(spark, d, "labels").select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.array().cast("array<string>").alias("symbols"), F.col("text").alias("body"))
+    docs = _t(spark, d, "documents").where("text is not null").select("doc_id", F.array().cast("array<string>").alias("symbols"), F.col("text").alias("body"))
     queries = _t(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return retrieval.score_docs(queries, docs)
 

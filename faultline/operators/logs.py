@@ -59,6 +59,12 @@ LOGCAT = r"^(\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d{3})\s+\d+\s+\d+\s+([VDIWEF])\s+
 SYSLOG = r"^(\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+\S+\s+(\S+)\[?\d*\]?\s*:\s*(.*)$"
 HILOG = r"^(\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d{3})\s+\d+\s+\d+\s+([VDIWEF])\s+(\S+)/(\S+)\s*:\s*(.*)$"
 GENERIC = r"^[\[\(]?(\d{4}-\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}|\d{2}:\d{2}:\d{2}(?:\.\d+)?)"
+#: What makes a timeline worth while.
+TIMELINE_SECTIONS = ("hilog", "logcat", "application_specific", "asi", "syslog", "console", "console_log", "app_log")
+TIMELINE_BANNERS = "hilog:|logcat|application specific information|console log|standard error:"
+TIMELINE_LOGCAT = r"(?m)^\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d{3}\s+\d+\s+\d+\s+[VDIWEF]\s+\S+"
+TIMELINE_HILOG = r"(?m)^\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d{3}\s+\d+\s+\d+\s+[VDIWEF]\s+\S+/\S+\s*:"
+TIMELINE_IOS = r"(?m)^(?:Application Specific Information:|Console Log:|Standard Error:)"
 #: Memory words, values with their units, and counts.
 MEMORY_FLAGS = {
     "oom": r"(?i)OutOfMemoryError",
@@ -233,11 +239,17 @@ def classify_ops(timeline: DataFrame) -> DataFrame:
     return timeline.withColumn("category", category).where("category is not null")
 
 
-def timeline_gate(logs: DataFrame, strong: int = 3) -> DataFrame:
-    """Logs worth a timeline: 80 characters, and a marked section, a banner, or ``strong`` lines of a strong format."""
-    lines = F.size(F.expr(r"regexp_extract_all(content, '(?m)^\\d{2}-\\d{2}\\s+\\d{2}:\\d{2}:\\d{2}\\.\\d{3}\\s', 0)"))
-    banner = F.substring("content", 1, 200_000).rlike(r"(?i)logcat|hilog|syslog|timeline|breadcrumb")
-    return logs.where((F.length("content") >= 80) & (banner | (lines >= strong)))
+def timeline_gate(logs: DataFrame, strong: int = 3, preview: int = 200_000, force: bool = False) -> DataFrame:
+    """Logs worth a timeline: of 80 characters without outer spaces, and with a log section (where ``logs`` has an array ``sections``),
+    a banner in the first ``preview`` characters, ``strong`` lines of one strong format, or an iOS heading; all with ``force``."""
+    if force:
+        return logs
+    head = F.substring(F.trim("content"), 1, preview)
+    lines = lambda p: F.regexp_count(head, F.lit(p))
+    worth = F.lower(head).rlike(TIMELINE_BANNERS) | (lines(TIMELINE_LOGCAT) >= strong) | (lines(TIMELINE_HILOG) >= strong) | head.rlike(TIMELINE_IOS)
+    if "sections" in logs.columns:
+        worth = worth | F.exists(F.coalesce("sections", F.array().cast("array<string>")), lambda x: F.lower(F.trim(x)).isin(*TIMELINE_SECTIONS) | F.lower(x).contains("log"))
+    return logs.where((F.length(F.trim("content")) >= 80) & F.coalesce(worth, F.lit(False)))
 
 
 def memory_indicators(logs: DataFrame, head: int = 20_000) -> DataFrame:
@@ -274,8 +286,12 @@ def memory_subtype(indicators: DataFrame, facts: DataFrame | None = None) -> Dat
 
 
 def api_state_counts(content: Column) -> Column:
-    """How often player state calls occur."""
-    return F.struct(*[F.regexp_count(content, F.lit(rf"(?i)\b{c}\s*\(")).alias(c) for c in ("reset", "stop", "prepare", "play", "release")])
+    """How often player state calls are named, whether resets repeat, whether it is prepared far more often than played, and whether
+    either sends the case on to the application."""
+    count = {c: F.regexp_count(F.coalesce(content, F.lit("")), F.lit(rf"(?i)\b{c}\b")) for c in ("reset", "stop", "prepare", "play", "release")}
+    resets = count["reset"] >= 3
+    unready = (count["play"] > 0) & (count["prepare"] > 2 * count["play"])
+    return F.struct(*[n.alias(c) for c, n in count.items()], resets.alias("repeated_reset"), unready.alias("prepared_in_vain"), (resets | unready).alias("escalate_to_app"))
 
 
 def normalize_api_errors(rows: DataFrame) -> DataFrame:

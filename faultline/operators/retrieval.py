@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,12 +39,18 @@ def retrieve_patterns(queries: DataFrame, vectors: DataFrame, metadata: DataFram
 
 
 def hash_embed(df: DataFrame, text_col: str, dim: int = 384) -> DataFrame:
-    """Adds ``embedding``: hashed word counts of unit length, the same in every process."""
+    """Adds ``embedding``: hashed word counts of unit length, the same in every process; zeros for a text without a word.
+
+    Words are hashed by Spark's ``xxhash64``; each text's hashes are counted once, in Arrow batches.
+    """
     words = F.filter(F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"\W+"), lambda w: w != "")
-    slots = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(F.col("_s"), lambda s: s == i)).cast("double"))
-    norm = F.sqrt(F.aggregate("_c", F.lit(0.0), lambda a, x: a + x * x))
-    return df.withColumn("_s", slots).withColumn("_c", counts).withColumn("_n", norm).withColumn("embedding", F.transform("_c", lambda x: F.when(F.col("_n") > 0, x / F.col("_n")).otherwise(0.0).cast("float"))).drop("_s", "_c", "_n")
+
+    @F.pandas_udf("array<float>")
+    def counted(slots: pd.Series) -> pd.Series:
+        rows = [np.bincount(np.asarray(x, np.int64), minlength=dim) if len(x) else np.zeros(dim) for x in slots]
+        return pd.Series([(x / n).astype(np.float32) if (n := np.sqrt((x * x).sum())) else x.astype(np.float32) for x in rows])
+
+    return df.withColumn("embedding", counted(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))))
 
 
 def order_hits(hits: DataFrame) -> DataFrame:

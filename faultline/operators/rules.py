@@ -202,6 +202,42 @@ def grade_evidence(features: DataFrame) -> DataFrame:
     return features.withColumn("tier", tier).withColumn("tier_label", label)
 
 
+#: Names of detectors, signs of registers, and symbols of two families.
+DETECTORS = ("AddressSanitizer", "ASan", "ThreadSanitizer", "TSan", "MemorySanitizer", "MSan", "UBSan", "LeakSanitizer", "GWP-ASan", "Valgrind", "MallocStackLogging", "guard_malloc", "scudo", "HWASan")
+REGISTER_SIGNS = ("fault_addr", "fault address", "registers:", "pc=", "lr=", "sp=", "x0=", "x1=", "r0=", "r1=", "rip=", "rbp=")
+SYMBOL_FAMILIES = {"concurrency": ("mutex", "lock", "thread", "pthread", "dispatch", "async"), "memory": ("malloc", "free", "delete", "new", "alloc", "dealloc", "release")}
+
+
+def grade_raw_evidence(logs: DataFrame, rule_hits: DataFrame, pattern_hits: DataFrame) -> DataFrame:
+    """``logs(log_id, content, signal, crash_address, crash_reason, stack_functions)`` with ``rule_hits(log_id, pattern)`` and
+    ``pattern_hits(log_id)`` to ``(log_id, tier, confidence_label, evidence)``.
+
+    Tier 1: a detector is named in the reason, the functions or the first 5000 characters. 2: two of a segmentation fault, signs of
+    registers in the first 10000 characters, an address under 0x1000. 3: two of rules that agree (two or more of one pattern),
+    two symbols of concurrency, two of memory management. 4: any rule or pattern. 5: nothing. ``evidence`` names what was found up
+    to the tier. Addresses are hexadecimal with 0x, else decimal.
+    """
+    words = lambda text, names: F.array_compact(F.array(*[F.when(text.contains(n.lower()), F.lit(n)) for n in names]))
+    low = lambda c: F.lower(F.coalesce(c, F.lit("")))
+    by_rule = rule_hits.groupBy("log_id").agg(F.count(F.lit(1)).alias("rules"), F.count_distinct(F.nullif("pattern", F.lit(""))).alias("patterns"))
+    by_pattern = pattern_hits.groupBy("log_id").agg(F.count(F.lit(1)).alias("hits"))
+    rows = logs.join(by_rule, "log_id", "left").join(by_pattern, "log_id", "left")
+    said = F.concat_ws(" ", low(F.col("crash_reason")), low(F.col("stack_functions")), low(F.substring("content", 1, 5000)))
+    detector = F.get(words(said, DETECTORS), F.lit(0))
+    text = F.col("crash_address")
+    address = F.when(text.rlike("^0x[0-9a-fA-F]{1,15}$"), F.conv(F.substring(text, 3, 16), 16, 10).try_cast("long")).otherwise(text.try_cast("long"))
+    found = lambda name, cond: F.when(F.coalesce(cond, F.lit(False)), F.lit(name))
+    registers = F.array_compact(F.array(found("signal", F.upper("signal").contains("SIGSEGV")), found("registers", F.size(words(low(F.substring("content", 1, 10_000)), REGISTER_SIGNS)) > 0), found("near_null", address < 0x1000)))
+    functions = low(F.col("stack_functions"))
+    stack = F.array_compact(F.array(found("rules_agree", (F.col("rules") >= 2) & (F.col("patterns") == 1)), *[found(f"{k}_symbols", F.size(words(functions, names)) >= 2) for k, names in SYMBOL_FAMILIES.items()]))
+    rows = rows.withColumn("_d", detector).withColumn("_r", registers).withColumn("_s", stack)
+    any_hit = (F.coalesce("rules", F.lit(0)) > 0) | (F.coalesce("hits", F.lit(0)) > 0)
+    tier = F.when(F.col("_d").isNotNull(), 1).when(F.size("_r") >= 2, 2).when(F.size("_s") >= 2, 3).when(any_hit, 4).otherwise(5)
+    chain = F.when(F.col("_d").isNotNull(), F.array("_d")).when(F.size("_r") >= 2, F.col("_r")).when(F.size("_s") >= 2, F.concat("_r", "_s")).when(any_hit, F.concat("_r", "_s", F.array(F.lit("single_feature")))).otherwise(F.concat("_r", "_s"))
+    label = F.when(tier <= 2, "high").when(tier == 3, "medium").otherwise("low")
+    return rows.select("log_id", tier.alias("tier"), label.alias("confidence_label"), chain.alias("evidence"))
+
+
 def resolve_conflicts(modes: DataFrame, evidence: DataFrame) -> DataFrame:
     """``modes(log_id, fault_mode, confidence)`` ordered by their evidence's best tier, then confidence."""
     best = evidence.groupBy("log_id", "fault_mode").agg(F.min("tier").alias("tier"))

@@ -110,3 +110,36 @@ def test_memory_subtypes(spark):
     assert [got[i].memory_subtype for i in range(10)] == ["oom_kill", "mixed_oom_with_crash", "system_oom_kill", "oom_category", "system_oom_kill", "native_alloc_failure", "memory_pressure", "memory_pressure", "memory_pressure", "memory_pressure"]
     assert (got[6].pss, got[6].pss_unit, got[6].pss_bytes, got[6].thread_count) == (1.5, "M", 1572864, 7) and (got[8].java_heap_bytes, got[8].fd_count) == (20480, 12)
     assert logs.memory_subtype(ind).where("log_id = 0").first().memory_subtype == "memory_related"
+
+
+def test_hash_embedding_equals_counts(spark):
+    import numpy as np
+    import xxhash
+
+    from faultline.operators import retrieval
+
+    texts = ["Alpha beta alpha", "", None, "...", "é été " * 4000, "beta Alpha alpha"]
+    rows = retrieval.hash_embed(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), "text", 32).orderBy("i").collect()
+    for x, t in zip(rows, texts):
+        want = np.zeros(32)
+        for w in re.split(r"[^a-zA-Z0-9_]+", (t or "").lower()):
+            if w:
+                h = xxhash.xxh64_intdigest(w.encode(), seed=42)
+                want[(h - (1 << 64) if h >> 63 else h) % 32] += 1
+        assert np.allclose(x.embedding, want / (np.linalg.norm(want) or 1), atol=1e-6)
+    assert rows[0].embedding == rows[5].embedding
+
+
+def test_suites_and_traces(spark, tmp_path):
+    import json
+
+    from faultline.sources import readers
+
+    (tmp_path / "m.json").write_text(json.dumps({"cases": [{"id": "a", "expected": 1}, {"id": "b", "expected": 2}]}))
+    (tmp_path / "reports" / "a").mkdir(parents=True)
+    (tmp_path / "reports" / "a" / "00_run_summary.json").write_text(json.dumps({"status": "done"}))
+    got = {x.case_id: x for x in readers.read_suite(spark, str(tmp_path / "m.json"), str(tmp_path / "reports")).collect()}
+    assert (got["a"].status, got["a"].summary.status, got["b"].status) == ("ok", "done", "missing_report")
+    spark.createDataFrame([(1, 5)], "callchain_id long, heap_size long").write.parquet(str(tmp_path / "native_hook.parquet"))
+    hook = readers.read_trace(spark, str(tmp_path), ("native_hook",))["native_hook"].first()
+    assert (hook.ipid, hook.itid, hook.end_ts, hook.heap_size) == (0, 0, None, 5)
