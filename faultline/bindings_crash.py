@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from faultline.bindings import _t, query, r
 from faultline.operators import diagnosis, evaluation, graphs, joins, leak, logs, retrieval, rules, search, stacks, timing
-from faultline.sources import readers
+from faultline.sources import jsonframes, readers
 
 S = SparkSession
 
@@ -1045,6 +1045,19 @@ def vendor_frames(spark: S, d: str) -> DataFrame:
     return readers.vendor_json_to_frames(rows.select("log_id", content.alias("content"))).select("log_id", "vendor", "pos", "function", "module", "line")
 
 
+_NESTS = [("", "", 0, ""), ('{"stack_frames": ', "}", 1, "/stack_frames"), ('{"data": {"id": 7, "report": ', "}}", 2, "/data/report"), ('{"events": [{"meta": 1, "thread": {"frames": ', "}}]}", 4, "/events/0/thread/frames"), ('{"a": {"b": {"c": {"d": {"e": {"f": ', "}}}}}}", 6, "/a/b/c/d/e/f"), ('{"list": [1, 2, {"zzz": 1}], "z": {"list": [{"id": 5}], "stack": ', "}}", 2, "/z/stack"), ('{"deep": {"more": {"frames": [{"file": "x"}]}}, "near": ', "}", 1, "/near")]
+
+
+@query(f"""
+    with {_LINES} select l_orderkey as log_id, {sql_pick('l_orderkey', [str(n[2]) for n in _NESTS])}::int as depth, {sql_pick('l_orderkey', [n[3] for n in _NESTS])} as path, pos::int as pos, 'fn' || l_partkey as function, 'lib' || l_suppkey || '.so' as library, l_linenumber::int as line, l_linenumber % 2 = 0 as in_app from li
+""")
+def nested_frames(spark: S, d: str) -> DataFrame:
+    frame = text('{"symbol": "fn', F.col("l_partkey"), '", "image": "/data/lib', F.col("l_suppkey"), '.so", "lineNumber": ', F.col("l_linenumber"), ', "inApp": ', F.when(F.col("l_linenumber") % 2 == 0, "true").otherwise("false"), "}")
+    rows = _lines(spark, d).groupBy(F.col("l_orderkey").alias("log_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", frame.alias("t")))), lambda x: x["t"]), ", ").alias("fs"))
+    content = text(pick(F.col("log_id"), [n[0] for n in _NESTS]), "[", F.col("fs"), "]", pick(F.col("log_id"), [n[1] for n in _NESTS]))
+    return jsonframes.json_frames(rows.select("log_id", content.alias("content"))).select("log_id", "depth", "path", "pos", "function", "library", "line", "in_app")
+
+
 # --- crash diagnosis ---------------------------------------------------------------------------------------------------------
 
 

@@ -143,3 +143,13 @@ def test_suites_and_traces(spark, tmp_path):
     spark.createDataFrame([(1, 5)], "callchain_id long, heap_size long").write.parquet(str(tmp_path / "native_hook.parquet"))
     hook = readers.read_trace(spark, str(tmp_path), ("native_hook",))["native_hook"].first()
     assert (hook.ipid, hook.itid, hook.end_ts, hook.heap_size) == (0, 0, None, 5)
+
+
+def test_frames_in_unknown_json(spark):
+    from faultline.sources import jsonframes
+
+    f = '{"func": "a", "path": "/x/liba.so", "line_number": "7"}'
+    texts = ["no json", "{}", "[]", "5", "[1, 2]", f"[{f}]", f'[{f}, {{"id": 1}}]', f'{{"b": {{"k": [{f}]}}, "a": {{"k": [{f}, 3, {f}]}}}}', '{"x": ' * 8 + f"[{f}]" + "}" * 8, '{"x": ' * 9 + f"[{f}]" + "}" * 9, None, '{"a": [{"function": null}]}']
+    got = [(x.log_id, x.depth, x.path, x.pos, x.function, x.library, x.line) for x in jsonframes.json_frames(spark.createDataFrame(list(enumerate(texts)), "log_id int, content string")).collect()]
+    assert sorted(got, key=lambda g: (g[0], g[3])) == [(5, 0, "", 0, "a", "liba.so", 7), (7, 2, "/a/k", 0, "a", "liba.so", 7), (7, 2, "/a/k", 1, "a", "liba.so", 7), (8, 8, "/x" * 8, 0, "a", "liba.so", 7), (11, 1, "/a", 0, None, None, None)]
+    assert {g[0] for g in got} == {5, 7, 8, 11}
