@@ -51,10 +51,9 @@ def _uuid(key: Column) -> Column:
     return F.concat(F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12))
 
 
-def record_text(rows: DataFrame) -> Column:
-    """The record of a planned row as text."""
+def record_head(rows: DataFrame) -> Column:
+    """The headers of a planned row's record, with the empty line that ends them."""
     revisit = F.col("refers_to").isNotNull()
-    block = F.when(revisit, F.lit("")).otherwise(F.concat(F.lit(HTTP_HEAD), F.col("html")))
     # a line end in a url would end the header
     url = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "%0A")
     head = [
@@ -67,9 +66,9 @@ def record_text(rows: DataFrame) -> Column:
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("digest")),
         F.concat(F.lit("WARC-Payload-Length: "), F.col("size").cast("string")),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: <urn:uuid:"), _uuid(F.col("refers_to")), F.lit(">"), F.lit(CRLF + "WARC-Refers-To-Page-ID: "), F.col("refers_to").cast("string"), F.lit(CRLF + "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-        F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
+        F.concat(F.lit("Content-Length: "), F.when(revisit, F.lit(0)).otherwise(F.col("size") + len(HTTP_HEAD)).cast("string")),
     ]
-    return F.concat(F.concat_ws(CRLF, *head), F.lit(CRLF * 2), block, F.lit(CRLF * 2))
+    return F.concat(F.concat_ws(CRLF, *head), F.lit(CRLF * 2))
 
 
 def members(records: list[bytes]) -> bytes:
@@ -84,7 +83,7 @@ def members(records: list[bytes]) -> bytes:
     return out[:-1]
 
 
-def write(pages: DataFrame, path: str, per_file: int = 1000, file_bytes: int = 32_000_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
+def write(pages: DataFrame, path: str, per_file: int = 1000, file_bytes: int = 16_000_000, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> None:
     """Writes ``pages`` as gzipped WARC archives under ``path``, a member a record, committed as Spark commits any table.
 
     An archive ends at ``per_file`` records or where ``file_bytes`` of records are passed, so that a reader can take it as one
@@ -97,8 +96,9 @@ def write(pages: DataFrame, path: str, per_file: int = 1000, file_bytes: int = 3
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for record in batch.column(0):
-                data = record.as_py().encode()
+            for head, html in zip(batch.column(0), batch.column(1), strict=True):
+                block = b"" if html.as_py() is None else HTTP_HEAD.encode() + html.as_py().encode()
+                data = head.as_py().encode() + block + CRLF.encode() * 2
                 if held and (size + len(data) > file_bytes or len(held) >= per_file):
                     yield pa.record_batch([pa.array([members(held)], pa.binary())], names=["value"])
                     held, size = [], 0
@@ -108,7 +108,8 @@ def write(pages: DataFrame, path: str, per_file: int = 1000, file_bytes: int = 3
             yield pa.record_batch([pa.array([members(held)], pa.binary())], names=["value"])
 
     rows = plan_records(pages.where(F.col(id_col).isNotNull()), id_col, url_col, html_col)
-    made = rows.select(record_text(rows).alias("value")).mapInArrow(archives, "value binary")
+    # payloads of revisits stay where they are
+    made = rows.select(record_head(rows).alias("head"), F.when(F.col("refers_to").isNull(), F.col("html")).alias("html")).mapInArrow(archives, "value binary")
     # the text sink writes bytes as they are, and the line end is an archive's last byte
     made.select(F.col("value").cast("string")).write.option("lineSep", "\x00").option("maxRecordsPerFile", 1).text(path)
 
