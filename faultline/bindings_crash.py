@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from faultline.bindings import _t, query, r
 from faultline.operators import diagnosis, evaluation, graphs, joins, leak, logs, retrieval, rules, search, stacks, timing
-from faultline.sources import jsonframes, readers
+from faultline.sources import harmony, jsonframes, readers
 
 S = SparkSession
 
@@ -1058,6 +1058,44 @@ def nested_frames(spark: S, d: str) -> DataFrame:
     return jsonframes.json_frames(rows.select("log_id", content.alias("content"))).select("log_id", "depth", "path", "pos", "function", "library", "line", "in_app")
 
 
+def _harmony_documents(spark: S, d: str) -> DataFrame:
+    """A document for each order: its lines as the crash thread's objects and, of application libraries, as a listed stack; odd orders
+    have a second stack with a frame of its own."""
+    n, a, lib, fn = F.lpad(F.col("pos").cast("string"), 2, "0"), hexa(F.col("l_partkey") * 16, 16), F.col("l_suppkey"), F.col("l_partkey")
+    entry = text('{"image": "/system/lib64/lib', lib, '.so", "frame_addr": "', a, '", "local_symbol": "fn', fn, '", "type": "', F.when(F.col("l_linenumber") % 2 == 0, "ets").otherwise("native"), '", "arch": "aarch64"}')
+    line = text("#", n, " pc ", a, " /data/storage/el1/bundle/libs/arm64/libapp_", lib, ".so (fn", fn, "+", F.col("l_linenumber"), ") [::ab12]")
+    joined = lambda c, by: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", c.alias("t")))), lambda x: x["t"]), by)
+    rows = _lines(spark, d).groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(joined(entry, ", ").alias("entries"), joined(line, "\\n").alias("text"))
+    second = F.when(F.col("o_orderkey") % 2 == 1, text(', {"thread_id": "pool", "thread_name": "', F.col("o_custkey"), '", "call_stack": "#00 pc ', hexa(F.col("o_orderkey"), 8), ' /data/storage/el1/bundle/libs/arm64/libapp_pool.so (work)"}')).otherwise("")
+    signal = F.when(F.col("o_orderstatus") == "F", "SIGSEGV(11)").when(F.col("o_orderstatus") == "O", "SIGABRT").otherwise("JsError")
+    content = text('crashDiagnosis: {"platform": "harmony", "app_version": "', F.col("o_orderpriority"), '", "bundle_id": "app', F.col("o_custkey"), '", "attributes": {"exp_info": {"name": "', signal, '", "message": "m', F.col("o_custkey"), '"}}, "body": {"attributed_stack": {"thread_id": ', F.col("o_custkey"), ', "thread_name": "main", "stack_frames": [', F.col("entries"), ']}, "stacks": [{"thread_id": 1, "thread_name": "fault", "call_stack": "', F.col("text"), '"}', second, "]}}")
+    return _t(spark, d, "orders").join(rows, "o_orderkey").select(F.col("o_orderkey").alias("log_id"), content.alias("content"))
+
+
+@query("""
+    select o_orderkey as log_id, 'ok' as status, case o_orderstatus when 'F' then '11 (SIGSEGV)' when 'O' then 'SIGABRT' end as signal, case o_orderstatus when 'F' then 'segmentation fault' when 'O' then 'abort' else 'JsError' end as crash_reason,
+      case when o_orderstatus = 'P' then 'JsError: ' else '' end || 'm' || o_custkey as exception_type, 'harmonyos' as os_type, o_orderpriority as app_version, 'app' || o_custkey as process_name, o_custkey::varchar as crash_tid, 'aarch64' as arch, 1 + (o_orderkey % 2)::int as threads_total, 1 + (o_orderkey % 2)::int as distinct_stacks
+    from orders where o_orderkey in (select l_orderkey from lineitem)
+""")
+def harmony_events(spark: S, d: str) -> DataFrame:
+    rows = harmony.crash_events(_harmony_documents(spark, d))
+    return rows.select("log_id", "status", "signal", "crash_reason", "exception_type", "os_type", "app_version", "process_name", "crash_tid", "arch", "threads_total", "distinct_stacks")
+
+
+@query(f"""
+    with {_LINES}, o as (select o_orderkey, o_custkey::varchar as cust from orders), f as (select l_orderkey as log_id, cust, pos, '0x' || lpad(lower(hex(l_partkey * 16)), 16, '0') as address, l_suppkey as lib, 'fn' || l_partkey as function, l_linenumber % 2 = 0 as ets from li join o on o_orderkey = l_orderkey),
+    x as (select distinct log_id, cust, '0x' || lpad(lower(hex(log_id)), 8, '0') as address from f where log_id % 2 = 1),
+    u as (select log_id, address, lib::varchar as lib, function, min(pos) as pos from f where log_id % 2 = 1 group by all union all select log_id, address, 'pool', 'work', 1000 from x)
+    select log_id, 'crash' as thread, null::int as thread_index, cust as tid, 'main' as name, pos::int as frame_number, address, 'lib' || lib || '.so' as library, function, 'system' as library_type, case when ets then 'arkts' else 'cpp' end as language from f
+    union all select log_id, 'primary', 0, '1', 'fault', pos::int, address, 'libapp_' || lib || '.so', function, 'app', 'cpp' from f
+    union all select log_id, 'background', 1, cust, 'pool', 0, address, 'libapp_pool.so', 'work', 'app', 'cpp' from x
+    union all select log_id, 'aggregated', 10000, null, 'aggregated_app_libs', (row_number() over (partition by log_id order by pos) - 1)::int, address, 'libapp_' || lib || '.so', function, 'app', 'cpp' from u
+""")
+def harmony_threads(spark: S, d: str) -> DataFrame:
+    rows = harmony.crash_threads(_harmony_documents(spark, d))
+    return rows.select("log_id", "thread", "thread_index", "tid", "name", "frame_number", "address", "library", "function", "library_type", "language")
+
+
 # --- crash diagnosis ---------------------------------------------------------------------------------------------------------
 
 
