@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultline.bindings import _t, query, r
-from faultline.operators import diagnosis, evaluation, graphs, joins, leak, logs, retrieval, rules, search, stacks, timing
+from faultline.operators import diagnosis, evaluation, graphs, joins, knowledge, leak, logs, retrieval, rules, search, stacks, timing
 from faultline.sources import harmony, jsonframes, readers
 
 S = SparkSession
@@ -938,6 +938,75 @@ def leak_modes(spark: S, d: str) -> DataFrame:
     return leak.leak_fault_modes(rows).select("log_id", "fault_mode", "confidence")
 
 
+_MODULES = ["libace.z.so", "libwebview.so", "libPthread.so", "libscudo.so", "libsqlite3.so", "app.so", "libssl.so", "libcurl.so", "libmediacodec.so", "libskia.so", "hermes.so", ""]
+_DOMAINS = ["ui_framework", "webview", "concurrency", "memory_allocator", "database", None, "crypto_security", "networking", "media", "graphics", "js_runtime", None]
+
+
+@query(f"""
+    with {_LINES}, m as (select distinct l_orderkey as log_id, l_suppkey % 12 as k from li), x as (select log_id, {sql_pick('k', _MODULES)} as module, {sql_pick('k', _DOMAINS)} as domain from m),
+    c as (select *, case domain when 'concurrency' then 'concurrency' when 'ui_framework' then 'logic' when 'webview' then 'logic' when 'database' then 'logic' when 'networking' then 'logic' else case when domain is not null then 'memory' end end as category from x)
+    select log_id, coalesce(string_agg(distinct domain, ' ' order by domain), '') as domains, coalesce(string_agg(distinct category, ' ' order by category), '') as categories, count(distinct domain) * 3 - (count(distinct domain) filter (domain in ('ui_framework', 'webview')) = 2)::int - greatest((count(distinct domain) filter (domain in ('crypto_security', 'networking', 'media'))) - 1, 0) - (count(distinct domain) filter (domain in ('concurrency', 'media')) = 2)::int as tags,
+      coalesce(string_agg(case when domain is not null then module || '=' || domain end, ' ' order by module), '') as matched from c group by 1
+""")
+def knowledge_routes(spark: S, d: str) -> DataFrame:
+    rows = _lines(spark, d).groupBy(F.col("l_orderkey").alias("log_id")).agg(F.collect_list(pick(F.col("l_suppkey"), _MODULES)).alias("modules"))
+    got = knowledge.route_knowledge(rows)
+    matched = F.array_join(F.array_sort(F.transform(F.map_entries("matched"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), " ")
+    return got.select("log_id", F.array_join("domains", " ").alias("domains"), F.array_join("categories", " ").alias("categories"), F.size("tags").cast("long").alias("tags"), matched.alias("matched"))
+
+
+_SHELF = [("lang", "english", 0, "common.yaml"), ("lang", "english", 1, "en.yaml"), ("lang", "german", 0, "de.yaml"), ("lang", "german", 1, "common.yaml")]
+
+
+@query("""
+    with f as (select doc_id as log_id, regexp_matches(text, '\\bthe\\b') as en, regexp_matches(text, '\\bder\\b') as de from documents),
+    x as (select log_id, unnest(case when en and de then ['common.yaml', 'en.yaml', 'de.yaml'] when en then ['common.yaml', 'en.yaml'] when de then ['de.yaml', 'common.yaml'] else []::varchar[] end) as file, unnest(case when en and de then [1, 2, 3] when en or de then [1, 2] else []::int[] end) as file_rank from f)
+    select log_id, file_rank, file, n_name as mode_id from x join nation on n_regionkey = case file when 'common.yaml' then 0 when 'en.yaml' then 1 else 2 end
+""")
+def knowledge_selected(spark: S, d: str) -> DataFrame:
+    shelf = spark.createDataFrame(_SHELF, "domain string, feature string, pos int, file string")
+    modes = _t(spark, d, "nation").where("n_regionkey < 3").select(pick(F.col("n_regionkey"), ["common.yaml", "en.yaml", "de.yaml"]).alias("file"), F.col("n_name").alias("mode_id"), F.col("n_nationkey").alias("ord"))
+    return knowledge.select_knowledge(content_features(spark, d), shelf, modes).select("log_id", "file_rank", "file", "mode_id")
+
+
+def _case_runs(spark: S, d: str) -> DataFrame:
+    """A run for each order: its lines are the frames, its customer's number decides what was verified and fixed."""
+    name = lambda c, n: F.when(F.col("l_linenumber") % 2 == n, text("fn", F.col(c))).alias
+    frame = F.struct(name("l_partkey", 0)("function"), name("l_partkey", 1)("resolved_function"), text("lib", F.col("l_suppkey"), ".so").alias("module"))
+    frames = _lines(spark, d).groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", frame.alias("f")))), lambda x: x["f"]).alias("frames"))
+    k, none = F.col("o_custkey"), F.lit(None).cast("string")
+    fix = lambda file, done: F.struct(file.alias("file"), done.alias("status"))
+    return _t(spark, d, "orders").join(frames, F.expr("o_orderkey = l_orderkey"), "left").select(
+        F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("ts"), (k % 7 != 0).alias("fixed"), text("sig", k % 500).alias("signature"), F.when(k % 3 == 0, text("crash of ", k)).otherwise("").alias("summary"), F.when(k % 4 == 0, "AI分析失败: none").when(k % 4 == 1, text("  first ", k, "\nsecond")).alias("analysis"), text("q", k).alias("query_text"),
+        F.when(F.col("o_orderstatus") == "F", "11 (SIGSEGV)").alias("signal"), F.when(F.col("o_orderstatus") == "O", "Deadlock found").alias("crash_reason"), F.lit("android").alias("os_type"), none.alias("platform"), (k % 2 == 0).alias("has_code"), F.lit(True).alias("has_log"),
+        F.array(fix(text("b", k % 2, ".c"), F.lit("applied")), fix(F.lit("a.c"), F.when(k % 5 == 0, "failed").otherwise("applied"))).alias("fixes"), "frames", text("cause ", k).alias("root_cause"), F.when(k % 3 == 1, 0.9).alias("confidence"),
+        pick(k, ["passed", "compile_verified", "PASSED ", "native_verified", "failed"]).alias("status"), pick(k, ["", "L2", None, "L3", "L4", "L1"]).alias("level"), pick(k, ["p", None]).alias("provenance"), none.alias("command"), none.alias("checks"), F.lit("plan").alias("plan_fingerprint"), pick(k, ["x", "x", "x", ""]).alias("changed_files"), (k % 2 == 0).alias("applied"), pick(k, [None, "passed", "passed", "rejected", "failed"]).alias("diff_status"), pick(k, ["", "L3", None]).alias("claim_level"), none.alias("session_level"))
+
+
+_RUNS = f"""{_LINES}, r as (select o_orderkey as run_id, o_custkey as k, o_orderdate as ts, o_orderstatus as s, lower(trim({sql_pick('o_custkey', ['passed', 'compile_verified', 'PASSED ', 'native_verified', 'failed'])})) as status, coalesce({sql_pick('o_custkey', ['', 'L2', None, 'L3', 'L4', 'L1'])}, '') as lv, coalesce({sql_pick('o_custkey', [None, 'passed', 'passed', 'rejected', 'failed'])}, 'passed') as diff from orders),
+    g as (select *, (status = 'passed' and lv = '' or status in ('passed', 'compile_verified', 'native_verified') and lv in ('L2', 'L3', 'L4') and lv >= case when k % 3 = 1 then 'L3' else 'L1' end and k % 2 = 0 and k % 4 <> 3) and (k % 2 = 1 or diff = 'passed') as ok from r),
+    c as (select *, 'pattern_' || md5('{{"codebase":"default","fix_files":[' || case when k % 5 = 0 then '' else '"a.c",' end || '"b' || k % 2 || '.c"],"signature":"sig' || k % 500 || '"}}') as pattern_id from g where ok and k % 7 <> 0 and run_id in (select l_orderkey from lineitem) qualify row_number() over (partition by pattern_id order by ts desc, run_id desc) = 1)"""
+
+
+@query(f"""
+    with {_RUNS}
+    select pattern_id, run_id, case when k % 3 = 0 then 'crash of ' || k when k % 4 = 1 then 'first ' || k else 'sig' || k % 500 end as pattern_summary, case s when 'F' then 'memory' when 'O' then 'concurrency' else 'unknown' end as crash_category, case when k % 2 = 0 then 4 else 3 end::int as needs, case when k % 3 = 1 then 0.9 else 0.6 end::double as root_cause_confidence,
+      (select string_agg(distinct 'fn' || l_partkey, ' ' order by 'fn' || l_partkey) from li where l_orderkey = run_id) as symbols from c
+""")
+def case_patterns(spark: S, d: str) -> DataFrame:
+    rows = knowledge.commit_cases(_case_runs(spark, d))[0]
+    return rows.select("pattern_id", "run_id", "pattern_summary", "crash_category", F.size("evidence_requirements").alias("needs"), "root_cause_confidence", F.array_join("symbols", " ").alias("symbols"))
+
+
+@query(f"""
+    with {_RUNS}, f as (select distinct pattern_id, '{{' || case when l_linenumber % 2 = 0 then '"function"' else '"resolved_function"' end || ':"fn' || l_partkey || '","module":"lib' || l_suppkey || '.so"}}' as ident from c join li on l_orderkey = run_id where pos < 5)
+    select 'evidence_' || md5(pattern_id || ident) as evidence_id, pattern_id, 'stack_trace' as evidence_type, 0.7::double as reliability_score from f
+    union all select 'evidence_' || md5(pattern_id || 'apply_fix'), pattern_id, 'fix_applied', 0.8 from c union all select 'evidence_' || md5(pattern_id || 'analysis_summary'), pattern_id, 'analysis_summary', case when k % 3 = 1 then 0.9 else 0.6 end from c
+""")
+def case_evidence(spark: S, d: str) -> DataFrame:
+    return knowledge.commit_cases(_case_runs(spark, d))[1].select("evidence_id", "pattern_id", "evidence_type", "reliability_score")
+
+
 # --- evidence and cases ------------------------------------------------------------------------------------------------------
 
 
