@@ -104,6 +104,15 @@ def metric_trend(samples: DataFrame, key: Sequence[str], order: Sequence[str], e
     return ends.join(near, list(key)).select(*key, "n", "start_value", "end_value", "peak_value", "growth", F.when(F.col("start_value") != 0, F.col("growth") / F.col("start_value") * 100).otherwise(0.0).alias("growth_percent"), F.when(F.col("seconds") > 0, F.col("growth") / F.col("seconds") * 60).otherwise(0.0).alias("rate_per_min"), "fastest_pos", "r2", shape.alias("shape"))
 
 
+def sample_time(text: Column) -> Column:
+    """A sample's time of day in one of four forms: ``2024-01-31 10:20:30``, with slashes, ``2024-01-31_10-20-30``, or ``01-31
+    10:20:30.5`` (in 1900, as no year is said). Stars and outer spaces count for nothing; other texts and impossible dates are null."""
+    t = F.trim(F.regexp_replace(text, r"\*", ""))
+    clock = F.regexp_replace(F.regexp_replace(t, r"^(\d{4})/(\d{1,2})/(\d{1,2}) ", "$1-$2-$3 "), r"^(\d{4}-\d{1,2}-\d{1,2})_(\d{1,2})-(\d{1,2})-(\d{1,2})$", "$1 $2:$3:$4")
+    whole = F.when(clock.rlike(r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"), clock).when(t.rlike(r"^\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}\.\d{1,6}$"), F.concat(F.lit("1900-"), t))
+    return whole.try_cast("timestamp_ntz")
+
+
 def elapsed_seconds(samples: DataFrame, key: Sequence[str], order: Sequence[str], running: str, realtime: str) -> DataFrame:
     """Adds ``elapsed_s``: the running time, else the real time since the key's first row."""
     first = F.first(realtime, ignorenulls=True).over(Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

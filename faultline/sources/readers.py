@@ -12,6 +12,9 @@ BUNDLE_FILES = [
     ("profile", r"memleak-native-([0-9A-Za-z_.-]+)-(\d+)-\d+\.(?:txt|db)$"),
     ("kernel", r"memleak-kernel-([0-9A-Za-z_.-]+)-(0)-\d+\.txt$"),
 ]
+#: A record of a CSV file (line breaks only within quotes), and a cell with the comma before it.
+CSV_RECORD = r'(?:[^"\r\n]++|"(?:[^"]++|"")*+"|")++'
+CSV_CELL = r',([ \t]*+"(?:[^"]++|"")*+"[ \t]*+(?=,|$)|[^,]*)'
 VENDOR_FRAME = "array<struct<function: string, method: string, symbol: string, filename: string, file: string, module: string, package: string, lineno: long, lineNumber: long, line: long, instruction_addr: string>>"
 
 
@@ -56,14 +59,23 @@ def classify_artifacts(files: DataFrame) -> DataFrame:
 
 
 def read_perf_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Frame reports: CSV with a header, or JSON as a list or under frames, jank_events, events, rows or data (the first list)."""
+    """Frame reports: CSV with a header, or JSON as a list or under frames, jank_events, events, rows or data (the first list).
+
+    CSV cells in quotes may hold commas, line breaks and doubled quotes; a quote that none closes stands for itself. Short rows are
+    filled with empty cells, cells beyond the header are left out, and of columns with one name the last counts.
+    """
     files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.regexp_replace("value", "^﻿", "").alias("content"))
     v = F.try_parse_json("content")
     lists = [F.try_variant_get(v, p, "array<map<string,string>>") for p in ("$", "$.frames", "$.jank_events", "$.events", "$.rows", "$.data")]
     json = files.where("path like '%.json'").select("path", F.posexplode(F.coalesce(*lists)).alias("ord", "row"))
-    lines = files.where("path like '%.csv'").select("path", F.filter(F.split("content", r"\r?\n"), lambda x: F.trim(x) != "").alias("l"))
-    head = F.transform(F.split(F.get("l", F.lit(0)), ","), lambda x: F.trim(x))
-    csv = lines.select("path", head.alias("head"), F.posexplode(F.slice("l", 2, 1 << 30)).alias("ord", "line")).select("path", "ord", F.map_from_arrays("head", F.slice(F.concat(F.split("line", ","), F.array_repeat(F.lit(""), F.size("head"))), F.lit(1), F.size("head"))).alias("row"))
+    records = F.filter(F.regexp_extract_all("content", F.lit(CSV_RECORD), F.lit(0)), lambda x: F.trim(x) != "")
+    cells = lambda record: F.transform(F.regexp_extract_all(F.concat(F.lit(","), record), F.lit(CSV_CELL), F.lit(1)), lambda c: F.when(c.startswith('"') & c.endswith('"') & (F.length(c) > 1), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    lines = files.where("path like '%.csv'").select("path", records.alias("l"))
+    head = F.transform(cells(F.get("l", F.lit(0))), lambda x: F.trim(x))
+    csv = lines.select("path", head.alias("head"), F.posexplode(F.slice("l", 2, 1 << 30)).alias("ord", "line"))
+    # of columns with one name the last counts
+    named = F.filter(F.arrays_zip(F.col("head").alias("k"), F.slice(F.concat(cells(F.col("line")), F.array_repeat(F.lit(""), F.size("head"))), F.lit(1), F.size("head")).alias("v"), F.sequence(F.lit(1), F.size("head")).alias("i")), lambda z: z["i"] == F.size("head") + 1 - F.array_position(F.reverse("head"), z["k"]))
+    csv = csv.select("path", "ord", F.map_from_entries(F.transform(named, lambda z: F.struct(z["k"], z["v"]))).alias("row"))
     return json.unionByName(csv)
 
 
