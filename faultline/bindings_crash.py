@@ -146,7 +146,30 @@ def log_status(spark: S, d: str) -> DataFrame:
     union all select o_orderkey, 'fault_address', '0x10' from orders where o_orderstatus = 'F' and o_orderkey in (select l_orderkey from lineitem)
 """)
 def log_headers(spark: S, d: str) -> DataFrame:
-    return logs.extract_headers(logs.explode_lines(_crash_logs(spark, d)))
+    return logs.extract_headers(logs.explode_lines(_crash_logs(spark, d)), [h for h in logs.HEADERS if h[0] in ("process", "signal", "fault_address")])
+
+
+_HEADER_LINES = [
+    ("signal_code", "signal 11 (SIGSEGV), code 1 (SEGV_{}), fault addr 0x10", "SEGV_{}"), ("app_version", "Package: com.a v12 (1.{})", "1.{}"), ("device", "设备型号：phone {}", "phone {}"), ("device", "Hardware Model: m{}", "m{}"), ("process", "Cmdline: app{} --x", "app{}"),
+    ("process_id", "pid: {}, tid: 7, name: main >>> app <<<", "{}"), ("process_id", "进程ID: {}", "{}"), ("thread_name", "pid: 1, tid: 2, name: t{} >>> app <<<", "t{}"), ("platform", "平台: p{}", "p{}"), ("timestamp", "Date/Time: 2024 {}", "2024 {}"),
+    ("compiler", "clang version {}.1", "clang version {}.1"), ("os_version", "OS Version: iPhone OS 1{} (x)", "1{}"), ("os_version", "running linux 5.{} now", "5.{}"), ("arch", "Code Type: ARM-64 (Native {})", "arm64"), ("arch", "at /data/lib64/aarch64/l{}.so", "arm64"),
+    ("symbol_path", "dSYM path: /s/{}", "/s/{}"), ("error_message", "Error message: e {}", "e {}"), ("fault_address", "Exception Codes: KERN_X at 0x{} for it", "0x{}"), ("exception_code", "Exception Code: c{}", "c{}"), ("main_base", "主程序基址: 0x{}", "0x{}"),
+]
+
+
+def _header_sql(key: str, form: int) -> str:
+    parts = [f"when {i} then '" + line[form].replace("'", "''").replace("{}", f"' || {key} || '") + "'" for i, line in enumerate(_HEADER_LINES)]
+    return f"case {key} % {len(_HEADER_LINES)} {' '.join(parts)} end"
+
+
+@query(f"select c_custkey as log_id, {sql_pick('c_custkey', [h[0] for h in _HEADER_LINES])} as field, {_header_sql('c_custkey', 2)} as value from customer")
+def header_fields(spark: S, d: str) -> DataFrame:
+    """A log for each customer, its header in one of twenty forms; fields that a line tells besides are left out."""
+    key = F.col("c_custkey")
+    forms = [text(*[p for piece in zip(line.split("{}"), [key] * line.count("{}") + [""]) for p in piece]) for _, line, _ in _HEADER_LINES]
+    line = F.element_at(F.array(*forms), (key % len(forms) + 1).cast("int"))
+    rows = logs.extract_headers(logs.explode_lines(_t(spark, d, "customer").select(key.alias("log_id"), text("Header\n", line, "\nend").alias("content"))))
+    return rows.where(F.col("field") == pick(F.col("log_id"), [h[0] for h in _HEADER_LINES]))
 
 
 _OS_TEXTS = [("OS Version: iPhone OS 17.1 on ohos", "ios"), ("built for OpenHarmony", "harmonyos"), ("Build fingerprint: x", "android"), ("OS Version: macOS 14", "macos"), ("core dump of #0 main", "linux"), ("Windows, call stack: main", "windows"), ("connectToHost failed", "unknown"), ('crashdiag {"platform": "Harmony"}', "harmonyos"), ("Fatal signal 11, pid: 4, tid: 5, name: a", "android"), ("Report version: 1\nProcess: a\nException Type:  X\nCrashed Thread:  3", "ios"), ("Report version: 1\nProcess: a\nException Type:  X\nCrashed Thread:  3\nOS Version: Mac OS X 10", "macos")]

@@ -54,6 +54,63 @@ OPERATIONS = [
     (r"play|pause|stop|record|camera|video|audio|media|codec", "media"),
     (r"service|broadcast|receiver|provider|intent|notification|alarm", "service"),
 ]
+#: Header fields, the patterns of their lines and the order in which these count.
+HEADERS = [
+    ("signal", r"(?i)^(?:Reason:\s*)?signal\s*:?\s*\d*\s*\(?(SIG[A-Z]+)", 1),
+    ("signal", r"(?i)Exception Type:.*\((SIG[A-Z]+)\)", 2),
+    ("signal", r"(?i)\bsignal\s+\d+\s*\((SIG[A-Z0-9]+)\)", 3),
+    ("signal", r"(?i)^\*\s*(SIG[A-Z0-9_]+):\s*0x[0-9a-f]+", 4),
+    ("signal_number", r"(?i)\bsignal\s+(\d+)", 1),
+    ("signal_code", r"(?i)\bcode\s+-?\d+\s*\((\w+)\)", 1),
+    ("reason", r"(?i)^Reason:\s*(.+)$", 1),
+    ("fault_address", r"(?i)fault addr(?:ess)?\s*:?\s*(0x[0-9a-f]+|[0-9a-f]{8,16})", 1),
+    ("fault_address", r"(?i)\bat\s+(0x[0-9a-f]+)$", 2),
+    ("fault_address", r"(?i)KERN_[A-Z_]+\s+at\s+(0x[0-9a-f]{1,16})\b", 3),
+    ("fault_address", r"(?i)(?:garbage\s+pointer|dereference[^0x]*)\s+(0x[0-9a-f]{1,16})\b", 4),
+    ("fault_address", r"(?i)^Reason:.*@(0x[0-9a-f]+)", 5),
+    ("fault_address", r"(?i)^\*\s*SIG[A-Z0-9_]+:\s*(0x[0-9a-f]+)", 6),
+    ("exception_type", r"(?i)^Exception Type:\s*(\S+)", 1),
+    ("exception_code", r"(?i)^Exception Codes?:\s*(\S+)", 1),
+    ("error_name", r"(?i)^Error name:\s*(.+)$", 1),
+    ("error_message", r"(?i)^Error message:\s*(.+)$", 1),
+    ("app_version", r"(?i)^Version:\s*([0-9]+(?:\.[0-9]+)*(?:\s*\([^)]+\))?)\s*$", 1),
+    ("app_version", r"(?i)^(?:App\s*)?Version:\s*(\S+)", 2),
+    ("app_version", r"(?i)^ver[:\s]+([0-9.]+)$", 3),
+    ("app_version", r"(?i)^build[:\s]+([0-9.]+)$", 4),
+    ("app_version", r"(?i)^app[:\s]+([0-9.]+)$", 5),
+    ("app_version", r"(?i)^\s*Package:\s+\S+\s+v\d+\s+\(([^)]+)\)", 6),
+    ("device", r"(?i)^Device info:\s*(.+)$", 1),
+    ("device", r"(?i)^Device:\s*(.+)$", 2),
+    ("device", r"^设备(?:信息|型号)?[:：]\s*(.+)$", 3),
+    ("device", r"(?i)^Model:\s*(.+)$", 4),
+    ("device", r"(?i)^Hardware:\s*(.+)$", 5),
+    ("device", r"(?i)^Hardware Model:\s*(.+)$", 6),
+    ("process", r"(?i)^(?:Process|Process name|Module name):\s*(\S+)", 1),
+    ("process", r"(?i)Cmdline:\s*(\S+)", 2),
+    ("process_id", r"(?i)^(?:进程ID|Pid):\s*(\d+)$", 1),
+    ("process_id", r"(?i)\bpid:\s*(\d+),\s*tid:\s*\d+", 2),
+    ("process_id", r"(?i)^Process:\s*[^\[]+\[(\d+)\]", 3),
+    ("thread_id", r"(?i)\bpid:\s*\d+,\s*tid:\s*(\d+)", 1),
+    ("thread_name", r"(?i)\btid:\s*\d+,\s*name:\s*([^\s>]+)\s*>>>", 1),
+    ("platform", r"^平台:\s*(.+)$", 1),
+    ("timestamp", r"(?i)^(?:时间|Timestamp|Date/Time):\s*(.+)$", 1),
+    ("compiler", r"(?i)^(?:编译器|Compiler):\s*(.+)$", 1),
+    ("compiler", r"(?i)^(Apple LLVM version.+)$", 2),
+    ("compiler", r"(?i)^((?:clang|gcc|g\+\+) version.+)$", 3),
+    ("os_version", r"(?i)^\s*OS Version:\s*[A-Za-z ]*?\s+([0-9.]+)", 1),
+    ("os_version", r"(?i)\b(?:android|iPhone\s+OS|iPadOS|ios|linux|kernel|ubuntu|macos|os\s+x|darwin|windows)\s+([0-9.]+)", 2),
+    ("os_version", r"(?i)\b(?:API\s+level|SDK)\s+([0-9.]+)", 3),
+    ("arch", r"(?i)^(?:architecture|arch|架构)[:：]\s*([A-Za-z0-9._-]+)$", 1),
+    ("arch", r"(?i)\b(arm64-v8a|armeabi-v7a|armeabi)\b", 2),
+    ("arch", r"(?i)^\s*ABI:\s*['\"]?([a-z0-9_-]+)['\"]?\s*$", 3),
+    ("arch", r"(?i)^Code Type:\s*([a-z0-9._-]+)", 4),
+    ("arch", r"(?i)/libs?(?:64)?/(arm64|aarch64|x86_64|armv7|armv8|i386|i686|x86)", 5),
+    ("symbol_path", r"(?i)(?:symbol|dsym)[_\s]?(?:path|file)[:\s]+(.+)$", 1),
+    ("ability", r"(EntryAbility)", 1),
+    ("main_base", r"主程序基址:\s*([0-9a-fA-Fx]+)", 1),
+    ("abort_message", r"(?i)Abort message:\s*'?(.+?)'?\s*$", 1),
+]
+ARCH_NAMES = {"arm-64": "arm64", "arm64": "arm64", "aarch64": "arm64", "x86-64": "x86_64", "x86_64": "x86_64", "amd64": "x86_64", "armeabi-v7a": "armv7", "armv7": "armv7"}
 #: Timeline line formats in the order in which they are tried.
 LOGCAT = r"^(\d{2}-\d{2}\s+\d{2}:\d{2}:\d{2}\.\d{3})\s+\d+\s+\d+\s+([VDIWEF])\s+(\S+)\s*:\s*(.*)$"
 SYSLOG = r"^(\w{3}\s+\d+\s+\d{2}:\d{2}:\d{2})\s+\S+\s+(\S+)\[?\d*\]?\s*:\s*(.*)$"
@@ -198,11 +255,17 @@ def log_kind(content: Column) -> Column:
     )
 
 
-def extract_headers(lines: DataFrame, table: Sequence[tuple[str, str, int]] = (("signal", r"(?i)^(?:Reason:\s*)?signal\s*:?\s*\d*\s*\(?(SIG[A-Z]+)", 1), ("signal", r"(?i)Exception Type:.*\((SIG[A-Z]+)\)", 2), ("fault_address", r"(?i)fault addr(?:ess)?\s*:?\s*(0x[0-9a-f]+|[0-9a-f]{8,16})", 1), ("fault_address", r"(?i)\bat\s+(0x[0-9a-f]+)$", 2), ("exception_type", r"(?i)^Exception Type:\s*(\S+)", 1), ("app_version", r"(?i)^(?:App\s*)?Version:\s*(\S+)", 1), ("device", r"(?i)^(?:Hardware Model|Device(?: info)?):\s*(.+?)\s*$", 1), ("process", r"(?i)^(?:Process|Process name|Module name):\s*(\S+)", 1), ("abort_message", r"(?i)Abort message:\s*'?(.+?)'?\s*$", 1))) -> DataFrame:
-    """Header fields by a table of (field, pattern, priority): the best priority, then the first line, wins."""
-    found = [F.when(F.col("text").rlike(p), F.struct(F.lit(f).alias("field"), F.lit(pr).alias("priority"), F.regexp_extract("text", p, 1).alias("value"))) for f, p, pr in table]
-    rows = lines.select("log_id", "line_no", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("h")).select("log_id", "line_no", "h.*")
-    return rows.groupBy("log_id", "field").agg(F.min_by("value", F.struct("priority", "line_no")).alias("value"))
+def extract_headers(lines: DataFrame, table: Sequence[tuple[str, str, int]] = HEADERS) -> DataFrame:
+    """Header fields ``(log_id, field, value)`` by a table of (field, pattern, priority): the best priority, then the first line, wins.
+
+    A value is its pattern's first group without outer spaces; empty values say nothing. ``arch`` comes in one spelling a machine.
+    Lines are matched each by itself and fields are aggregated per log; a null line has none.
+    """
+    found = [F.when(F.col("text").rlike(p), F.struct(F.lit(f).alias("field"), F.lit(pr).alias("priority"), F.trim(F.regexp_extract("text", p, 1)).alias("value"))) for f, p, pr in table]
+    rows = lines.select("log_id", "line_no", F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("h")).select("log_id", "line_no", "h.*").where("value <> ''")
+    best = rows.groupBy("log_id", "field").agg(F.min_by("value", F.struct("priority", "line_no")).alias("value"))
+    spelt = F.try_element_at(F.create_map(*[F.lit(x) for kv in ARCH_NAMES.items() for x in kv]), F.lower("value"))
+    return best.withColumn("value", F.when(F.col("field") == "arch", F.coalesce(spelt, F.col("value"))).otherwise(F.col("value")))
 
 
 def parse_status(logs: DataFrame, frames: DataFrame) -> DataFrame:

@@ -26,3 +26,12 @@ def test_sample_times(spark):
     got = [r.t for r in spark.createDataFrame(list(enumerate(texts)), "i int, s string").select("i", leak.sample_time(F.col("s")).alias("t")).orderBy("i").collect()]
     day = datetime.datetime(2024, 1, 31, 10, 20, 30)
     assert got == [day, day, day, datetime.datetime(1900, 1, 31, 10, 20, 30, 250000), None, None, None, None, None]
+
+
+def test_headers_by_priority_then_line(spark):
+    text = "Cmdline: later\nProcess: Edge [12]\nProcess: other [13]\nVersion: 5.5.2 (123)\nver 9\nsignal 11 (SIGSEGV), code 1 (SEGV_MAPERR), fault addr 0xa0\nCode Type: ARM-64 (Native)\npid: 3, tid: 4, name: worker >>> app <<<\nPlatform: \nCompiler:  \nAbort message: 'bad'\nDate/Time: 2024-01-01\nKERN_INVALID_ADDRESS at 0x10"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "nothing here")], "log_id int, content string")
+    got = logs.extract_headers(logs.explode_lines(rows)).collect()
+    assert {r.log_id for r in got} == {1}
+    want = {"process": "Edge", "process_id": "3", "thread_id": "4", "thread_name": "worker", "app_version": "5.5.2 (123)", "signal": "SIGSEGV", "signal_number": "11", "signal_code": "SEGV_MAPERR", "fault_address": "0xa0", "arch": "arm64", "abort_message": "bad", "timestamp": "2024-01-01"}
+    assert {r.field: r.value for r in got} == want
