@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from faultline.bindings import _t, query, r
 from faultline.operators import diagnosis, evaluation, graphs, joins, knowledge, leak, logs, retrieval, rules, search, stacks, timing
-from faultline.sources import harmony, jsonframes, readers
+from faultline.plans.runtime import fresh_path
+from faultline.sources import harmony, jsonframes, readers, snapshots
 
 S = SparkSession
 
@@ -1188,6 +1189,29 @@ def harmony_threads(spark: S, d: str) -> DataFrame:
     return rows.select("log_id", "thread", "thread_index", "tid", "name", "frame_number", "address", "library", "function", "library_type", "language")
 
 
+@query("""
+    with c as (select *, row_number() over (partition by c_nationkey order by c_custkey) - 1 as node, count(*) over (partition by c_nationkey) as n from customer), e as (select *, unnest(range(c_custkey % 3)) as j from c),
+    o as (select *, row_number() over (partition by c_nationkey order by node, j) - 1 as ord, (node + j + 1) % n as dst from e)
+    select o.c_nationkey as nation, ord::bigint as ord, o.c_name || ', "' || o.c_custkey || '"' as src_name, d.c_name || ', "' || d.c_custkey || '"' as dst_name, o.c_custkey % 97 as self_size from o join c d on d.c_nationkey = o.c_nationkey and d.node = o.dst
+""")
+def snapshot_edges(spark: S, d: str) -> DataFrame:
+    """A snapshot file for each nation: its customers are the nodes, each holds up to two of those after it."""
+    key = Window.partitionBy("c_nationkey")
+    c = _t(spark, d, "customer").withColumn("node", F.row_number().over(key.orderBy("c_custkey")) - 1).withColumn("n", F.count(F.lit(1)).over(key)).withColumn("held", (F.col("c_custkey") % 3).cast("int"))
+    numbers = text("1,", F.col("node"), ",", F.col("c_custkey"), ",", F.col("c_custkey") % 97, ",", F.col("held"))
+    links = F.when(F.col("held") > 0, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest("held", F.lit(1))), lambda j: F.concat(F.lit("0,0,"), ((F.col("node") + j) % F.col("n") * 5).cast("string"))), ","))
+    string = text('"', F.col("c_name"), ', \\"', F.col("c_custkey"), '\\""')
+    joined = lambda x: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node", x.alias("t")))), lambda r: r["t"]), ",")
+    head = '{"snapshot": {"meta": {"node_fields": ["type", "name", "id", "self_size", "edge_count"], "node_types": [["hidden", "object"], "string"], "edge_fields": ["type", "name_or_index", "to_node"]}}, "nodes": ['
+    made = c.groupBy("c_nationkey").agg(text(head, joined(numbers), '], "edges": [', joined(links), '], "strings": [', joined(string), "]}").alias("value"))
+    path = fresh_path(spark, "snapshot-files")
+    made.write.partitionBy("c_nationkey").text(path)
+    nodes, edges = snapshots.read_graph(spark, path)
+    src, dst = nodes.select("snapshot_id", F.col("node").alias("src"), F.col("name").alias("src_name"), "self_size"), nodes.select("snapshot_id", F.col("node").alias("dst"), F.col("name").alias("dst_name"))
+    rows = edges.join(src, ["snapshot_id", "src"]).join(dst, ["snapshot_id", "dst"])
+    return rows.select(F.regexp_extract("snapshot_id", r"c_nationkey=(\d+)", 1).cast(_t(spark, d, "customer").schema["c_nationkey"].dataType).alias("nation"), F.col("ord").cast("long").alias("ord"), "src_name", "dst_name", "self_size")
+
+
 # --- crash diagnosis ---------------------------------------------------------------------------------------------------------
 
 
