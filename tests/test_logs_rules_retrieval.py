@@ -176,3 +176,11 @@ def test_first_seen_incidents_come_once(spark, tmp_path):
     stream = jobs.first_seen(spark.readStream.schema("ts timestamp, ident string").parquet(str(src)), ["ident"])
     stream.writeStream.format("memory").queryName("seen").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start().awaitTermination(60)
     assert sorted(r.ident for r in spark.table("seen").collect()) == ["a", "b"]
+
+
+def test_guidance_without_default_blocks(spark):
+    hits = spark.createDataFrame([(1, "r", "p"), (1, "r", "q"), (2, "s", None)], "log_id long, rule_id string, pattern_id string")
+    blocks = spark.createDataFrame([("b", None, None, 2, "t"), ("c", None, None, 1, "t"), ("d", "r", None, 1, "t"), ("d", None, "p", 1, "t"), ("e", None, "q", 0, "t")], "block_id string, rule_id string, pattern_id string, priority int, type string")
+    got = lambda b: sorted((r.log_id, r.position, r.block_id) for r in retrieval.guidance_for(hits, b).collect())
+    assert got(blocks) == [(1, 1, "c"), (1, 2, "b"), (1, 3, "d"), (1, 4, "e"), (2, 1, "c"), (2, 2, "b")]
+    assert got(blocks.where("rule_id is not null or pattern_id is not null")) == [(1, 1, "d"), (1, 2, "e")]
