@@ -35,3 +35,10 @@ def test_headers_by_priority_then_line(spark):
     assert {r.log_id for r in got} == {1}
     want = {"process": "Edge", "process_id": "3", "thread_id": "4", "thread_name": "worker", "app_version": "5.5.2 (123)", "signal": "SIGSEGV", "signal_number": "11", "signal_code": "SEGV_MAPERR", "fault_address": "0xa0", "arch": "arm64", "abort_message": "bad", "timestamp": "2024-01-01"}
     assert {r.field: r.value for r in got} == want
+
+
+def test_hex_codes_of_large_keys_stay_whole(spark, tmp_path):
+    from faultline import bindings
+
+    spark.createDataFrame([(k,) for k in (3, 65535, 65538, 1048575 * 3)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    assert {r.log_id: r.code_norm for r in bindings.QUERIES["api_codes"](spark, str(tmp_path)).collect()} == {k: str(k) for k in (3, 65535, 65538, 1048575 * 3)}
