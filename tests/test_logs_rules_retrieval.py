@@ -184,3 +184,9 @@ def test_guidance_without_default_blocks(spark):
     got = lambda b: sorted((r.log_id, r.position, r.block_id) for r in retrieval.guidance_for(hits, b).collect())
     assert got(blocks) == [(1, 1, "c"), (1, 2, "b"), (1, 3, "d"), (1, 4, "e"), (2, 1, "c"), (2, 2, "b")]
     assert got(blocks.where("rule_id is not null or pattern_id is not null")) == [(1, 1, "d"), (1, 2, "e")]
+
+
+def test_evidence_on_ties_by_its_fields(spark):
+    items = spark.createDataFrame([(1, t, v, 0.5, 0.5) for t, v in (("b", 10), ("b", 9), (None, 1), ("a", 3), ("c", 1), ("a", 20), ("a", 3))], "log_id int, event_type string, v long, relevance double, confidence double")
+    got = retrieval.dedup_evidence(items, ["event_type", "v"], 4).orderBy("rank").collect()
+    assert [(r.event_type, r.v) for r in got] == [("a", 3), ("a", 20), ("b", 9), ("b", 10)]
