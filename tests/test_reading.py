@@ -42,3 +42,11 @@ def test_hex_codes_of_large_keys_stay_whole(spark, tmp_path):
 
     spark.createDataFrame([(k,) for k in (3, 65535, 65538, 1048575 * 3)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
     assert {r.log_id: r.code_norm for r in bindings.QUERIES["api_codes"](spark, str(tmp_path)).collect()} == {k: str(k) for k in (3, 65535, 65538, 1048575 * 3)}
+
+
+def test_frames_beyond_the_hundredth_keep_their_numbers(spark, tmp_path):
+    from faultline import bindings
+
+    spark.range(0, 260).selectExpr("id as event_id", "7L as user_id").write.parquet(f"{tmp_path}/events.parquet")
+    got = bindings.QUERIES["frame_forms"](spark, str(tmp_path)).collect()
+    assert len(got) == 260 and all(r.frame_number in (None, r.line_no - 1) for r in got) and max(r.frame_number or 0 for r in got) == 259
