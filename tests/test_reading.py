@@ -50,3 +50,13 @@ def test_frames_beyond_the_hundredth_keep_their_numbers(spark, tmp_path):
     spark.range(0, 260).selectExpr("id as event_id", "7L as user_id").write.parquet(f"{tmp_path}/events.parquet")
     got = bindings.QUERIES["frame_forms"](spark, str(tmp_path)).collect()
     assert len(got) == 260 and all(r.frame_number in (None, r.line_no - 1) for r in got) and max(r.frame_number or 0 for r in got) == 259
+
+
+def test_a_line_is_tried_once_by_all_forms(spark):
+    from faultline.operators.frames import parse_frames
+
+    lines = spark.createDataFrame([(1, 1, "#00 pc 00aa /lib/a.so (f+1)"), (1, 2, "no frame"), (1, 3, None), (1, 4, "#01 pc 0x1 a ()")], "log_id int, line_no int, text string")
+    got = {r.line_no: (r.address, r.module, r.function, r.offset) for r in parse_frames(lines).collect()}
+    assert got == {1: ("00aa", "/lib/a.so", "f", 1), 4: ("1", "a", None, None)}
+    # once in the plan: a filter and a column each over the forms would repeat the first form's pattern
+    assert parse_frames(lines)._jdf.queryExecution().optimizedPlan().toString().count("RLIKE(lambda") <= 15
