@@ -662,3 +662,9 @@ def test_query_equals_sql(spark, name):
     got = queries.QUERIES[name](spark, at)
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted(map(str, ([r[c] for c in want.columns] for r in got.collect()))) == sorted(map(str, map(list, want.fetchall())))
+
+
+def test_quality_learns_from_every_trusted_document(spark):
+    docs = spark.range(50_400).selectExpr("id as doc_id", "concat('text ', id) as text", "'en' as lang")
+    labels = docs.selectExpr("doc_id", "1 as quality", "0 as toxic")
+    assert quality.trusted(docs, labels).count() == 50_400
