@@ -243,3 +243,14 @@ def test_nearest_vectors_equal_all_pairs(spark, spread):
     pairs = len(good) * len([i for i in good if i % 9 == 0])
     assert spread > 1 or work < pairs / 5
     assert retrieval.vector_topk(asked, table.limit(0)).count() == 0 and retrieval.vector_topk(asked.limit(0), table).count() == 0
+
+
+def test_flat_trees_are_raked_and_not_compressed(spark, monkeypatch):
+    from faultline.plans import strong
+
+    def never(*_):
+        raise AssertionError("compressed")
+
+    monkeypatch.setattr(strong, "to_ends", never)
+    edges = spark.createDataFrame([(0, f"c{i}", f"o{i}") for i in range(6)] + [(0, f"o{i}", f"p{i % 2}") for i in range(6)], "k int, src string, dst string")
+    assert strong.strong_components(edges, ["k"]).count() == 0
