@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from faultline.operators import graphs, joins, retrieval, vectors
+from faultline.plans import doubling
 from faultline.plans.components import connected_components
 from faultline.sources import readers
 
@@ -254,3 +255,18 @@ def test_flat_trees_are_raked_and_not_compressed(spark, monkeypatch):
     monkeypatch.setattr(strong, "to_ends", never)
     edges = spark.createDataFrame([(0, f"c{i}", f"o{i}") for i in range(6)] + [(0, f"o{i}", f"p{i % 2}") for i in range(6)], "k int, src string, dst string")
     assert strong.strong_components(edges, ["k"]).count() == 0
+
+
+def test_pointer_rounds_broadcast_no_table(spark, monkeypatch, capsys):
+    """A broadcast goes through the driver; rounds of a loop would send their whole tables there."""
+    write = doubling.scratch
+
+    def shown(df, label):
+        df.explain()
+        return write(df, label)
+
+    monkeypatch.setattr(doubling, "scratch", shown)
+    ring = spark.createDataFrame([(0, i, (i + 1) % 5) for i in range(5)], "log_id int, node long, to long")
+    assert doubling.cycle_places(ring, ["log_id"]).count() == 5
+    plans = capsys.readouterr().out
+    assert "SortMergeJoin" in plans and "BroadcastHashJoin" not in plans
