@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultline.operators.frames import module_name
@@ -23,12 +23,29 @@ FIELDS = {
 }
 
 
-def _field(v: Column, names: tuple[str, ...]) -> Column:
-    return F.coalesce(*[F.nullif(F.trim(F.try_variant_get(v, f"$.{n}", "string")), F.lit("")) for n in names])
+def _fields(v: Column) -> Column:
+    """The objects of a list as frames: of each field's names the first with a value that is not blank."""
+    named = "struct<" + ", ".join(f"`{n}`: string" for names in FIELDS.values() for n in names) + ">"
+    said = lambda o, names: F.trim(F.get(F.filter(F.array(*[o[n] for n in names]), lambda x: F.trim(x) != ""), F.lit(0)))
+    objects = F.filter(F.try_variant_get(v, "$", f"array<{named}>"), lambda o: o.isNotNull())
+    return F.transform(objects, lambda o: F.struct(*[said(o, names).alias(f) for f, names in FIELDS.items()]))
 
 
-def _looks_like_frame(v: Column) -> Column:
-    return reduce(lambda a, b: a | b, [F.try_variant_get(v, f"$.{k}", "variant").isNotNull() for k in FRAME_KEYS])
+def _of_frames(v: Column) -> Column:
+    """Whether a list looks like frames; only keys are looked at."""
+    keys = F.array(*map(F.lit, FRAME_KEYS))
+    objects = F.filter(F.try_variant_get(v, "$", "array<map<string,struct<>>>"), lambda o: o.isNotNull())
+    hits = lambda os: F.size(F.filter(F.slice(os, 1, 5), lambda o: F.arrays_overlap(F.map_keys(o), keys)))
+    return F.exists(F.array(objects), lambda os: (F.size(os) > 0) & (hits(os) >= F.least(F.lit(2), F.size(os))))
+
+
+def _inner(x: Column) -> Column:
+    """The lists and objects within one, by the order of keys and places."""
+    below = lambda step, v: F.struct(F.concat(x["path"], F.lit("/"), step).alias("path"), v.alias("v"))
+    items = F.transform(F.try_variant_get(x["v"], "$", "array<variant>"), lambda v, i: below(i.cast("string"), v))
+    values = F.transform(F.map_entries(F.try_variant_get(x["v"], "$", "map<string,variant>")), lambda e: below(e["key"], e["value"]))
+    whole = lambda y, t: F.try_variant_get(y["v"], "$", t).isNotNull()
+    return F.filter(F.coalesce(items, values, F.array().cast("array<struct<path:string,v:variant>>")), lambda y: whole(y, "struct<>") | whole(y, "array<struct<>>"))
 
 
 def json_frames(logs: DataFrame, max_depth: int = 8) -> DataFrame:
@@ -36,26 +53,22 @@ def json_frames(logs: DataFrame, max_depth: int = 8) -> DataFrame:
 
     A list is taken for frames where of its first five objects two, or all if there are fewer, have a key that frames have. The
     list nearest the root wins, of equally deep ones the first by the order of keys and places, up to ``max_depth`` steps down.
-    Elements that are no objects are left out. Texts that are no JSON, and JSON without such a list, give no row. Each step is
-    one lateral explode over what is still searched; a log ends where it is found.
+    Elements that are no objects are left out. Texts that are no JSON, and JSON without such a list, give no row. Each step goes over
+    the lists and objects of one depth, which stay in their log's row, so nothing is shuffled; a log ends where it is found.
     """
-    kind = lambda v: F.schema_of_variant(v)
-    spark = logs.sparkSession
-    front = logs.select("log_id", F.lit("").alias("place"), F.lit("").alias("path"), F.try_parse_json("content").alias("v")).where("v is not null")
+    # generators give a value to several uses; a filter or field over its expression would take it anew
+    front = F.array(F.struct(F.lit("").alias("path"), F.col("v")))
+    now = logs.select("log_id", F.explode(F.array(F.try_parse_json("content"))).alias("v")).where("v is not null").select("log_id", front.alias("front"))
     out = []
     for depth in range(max_depth + 1):
-        inner = front.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("log_id", F.col("place").alias("list"), F.col("path").alias("list_path"), "pos", "key", "value")
-        step = F.coalesce("key", F.col("pos").cast("string"))
-        inner = inner.withColumn("kind", F.when(kind(F.col("value")).startswith("OBJECT"), "object").when(kind(F.col("value")).startswith("ARRAY"), "array"))
-        children = materialize(inner.withColumn("place", F.concat("list", F.lit("/"), F.lpad(F.col("pos").cast("string"), 9, "0"))).withColumn("path", F.concat("list_path", F.lit("/"), step)), "json")
-        objects = children.where("key is null and kind = 'object'").withColumn("n", F.row_number().over(Window.partitionBy("log_id", "list").orderBy("pos")))
-        lists = objects.groupBy("log_id", "list").agg(F.count(F.lit(1)).alias("objects"), F.count_if((F.col("n") <= 5) & _looks_like_frame(F.col("value"))).alias("hits")).where(F.col("hits") >= F.least(F.lit(2), "objects"))
-        found = materialize(lists.groupBy("log_id").agg(F.min("list").alias("list")), "json-lists")
-        rows = objects.join(found, ["log_id", "list"])
-        out.append(rows.select("log_id", F.lit(depth).alias("depth"), F.col("list_path").alias("path"), (F.col("n") - 1).alias("pos"), *[_field(F.col("value"), names).alias(f) for f, names in FIELDS.items()]))
-        front = children.where("kind is not null").join(found.select("log_id"), "log_id", "left_anti").select("log_id", "place", "path", F.col("value").alias("v"))
-        if depth < max_depth and not front.head(1):
+        first = F.get(F.filter("front", lambda x: _of_frames(x["v"])), F.lit(0))
+        tried = now.select("log_id", F.inline(F.array(F.struct(first.alias("found"), F.col("front").alias("front")))))
+        tried = materialize(tried.select("log_id", "found.path", _fields(F.col("found.v")).alias("frames"), F.when(F.col("found").isNull(), F.col("front")).alias("front")), "json")
+        out.append(tried.where("path is not null").select("log_id", F.lit(depth).alias("depth"), "path", F.posexplode("frames").alias("pos", "o")).select("log_id", "depth", "path", "pos", "o.*"))
+        left = tried.where("path is null")
+        if depth < max_depth and not left.head(1):
             break
+        now = left.select("log_id", F.flatten(F.transform("front", _inner)).alias("front"))
     rows = reduce(DataFrame.unionAll, out)
     in_app = F.when(F.lower("in_app").isin("1", "true", "yes"), True).when(F.col("in_app").isNotNull(), False)
     return rows.select("log_id", "depth", "path", "pos", "function", "file", "module", module_name(F.coalesce("module", "file")).alias("library"), F.col("line").try_cast("int").alias("line"), "address", "offset", in_app.alias("in_app"))

@@ -162,3 +162,19 @@ def test_a_single_search_looks_up_only_what_is_asked(spark):
     found = search.search_source(df, {"t": "token", "any": "."})
     assert sorted(x.file for x in found.where("pattern_id = 't'").collect()) == ["a", "d"]
     assert search.asked_trigrams(df, {"any": "."}).count() == 0
+
+
+def test_json_lists_stay_in_their_row(spark, monkeypatch, capsys):
+    from faultline.sources import jsonframes
+
+    write = jsonframes.materialize
+
+    def shown(df, label):
+        df.explain()
+        return write(df, label)
+
+    monkeypatch.setattr(jsonframes, "materialize", shown)
+    texts = ['[1, {"func": null, "name": " f "}, {"FUNC": 1}, {"line": "7", "func": ""}]', '{"b": [{"file": "x"}], "a": {"c": 1}}', '{"a": [[], [{"pc": 1}], [{"pc": 2, "image": {"k": 1}}, 5]]}', "[]", "3", "{", None]
+    got = jsonframes.json_frames(spark.createDataFrame(list(enumerate(texts)), "log_id int, content string")).collect()
+    assert sorted((r.log_id, r.depth, r.path, r.pos, r.function, r.file, r.module, r.line, r.address) for r in got) == [(0, 0, "", 0, "f", None, None, None, None), (0, 0, "", 1, None, None, None, None, None), (0, 0, "", 2, None, None, None, 7, None), (1, 1, "/b", 0, None, "x", None, None, None), (2, 2, "/a/2", 0, None, None, '{"k":1}', None, "2")]
+    assert "Exchange" not in capsys.readouterr().out
