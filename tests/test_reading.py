@@ -60,3 +60,10 @@ def test_a_line_is_tried_once_by_all_forms(spark):
     assert got == {1: ("00aa", "/lib/a.so", "f", 1), 4: ("1", "a", None, None)}
     # once in the plan: a filter and a column each over the forms would repeat the first form's pattern
     assert parse_frames(lines)._jdf.queryExecution().optimizedPlan().toString().count("RLIKE(lambda") <= 15
+
+
+def test_tables_are_dealt_out_by_their_rows(spark):
+    from faultline.plans.runtime import by_size
+
+    small, large = by_size(spark.range(40), "id", task_rows=10), by_size(spark.range(90), "id", task_rows=10)
+    assert small.rdd.getNumPartitions() != 9 and large.rdd.getNumPartitions() == 9 and large.distinct().count() == 90
