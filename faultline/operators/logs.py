@@ -396,13 +396,16 @@ def parse_queue_state(logs: DataFrame) -> DataFrame:
 
 def parse_wait_edges(logs: DataFrame) -> DataFrame:
     """Binder transactions and ``waiting on`` phrases to ``(log_id, src, dst, code, wait_seconds, ipc_full, ord)``."""
-    binder = r"(\d+):(\d+) to (\d+):(\d+) code (\S+) wait:([\d.]+) s"
+    binder = r"(\d+:\d+) to (\d+:\d+) code (\S+) wait:([\d.]+) s"
     generic = r"(?i)(\S+)\s+(?:waiting on|waiting for|blocked on|held by)\s+(\S+)"
     g = lambda p, i: F.regexp_extract("text", p, i)
-    rows = explode_lines(logs).select("log_id", F.col("line_no").alias("ord"), "text")
-    a = rows.where(F.col("text").rlike(binder)).select("log_id", "ord", F.concat(g(binder, 1), F.lit(":"), g(binder, 2)).alias("src"), F.concat(g(binder, 3), F.lit(":"), g(binder, 4)).alias("dst"), g(binder, 5).alias("code"), g(binder, 6).try_cast("double").alias("wait_seconds"), (g(binder, 4) == "0").alias("ipc_full"))
-    b = rows.where(F.col("text").rlike(generic) & ~F.col("text").rlike(binder)).select("log_id", "ord", g(generic, 1).alias("src"), g(generic, 2).alias("dst"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("double").alias("wait_seconds"), F.lit(False).alias("ipc_full"))
-    return a.unionByName(b)
+    edge = lambda src, dst, code, wait, full: F.struct(src.alias("src"), dst.alias("dst"), code.cast("string").alias("code"), wait.cast("double").alias("wait_seconds"), full.alias("ipc_full"))
+    a = edge(g(binder, 1), g(binder, 2), g(binder, 3), g(binder, 4).try_cast("double"), g(binder, 2).endswith(":0"))
+    b = edge(g(generic, 1), g(generic, 2), F.lit(None), F.lit(None), F.lit(False))
+    found = F.when(F.col("text").rlike(binder), a).when(F.col("text").rlike(generic), b)
+    # a generator tries each line once
+    rows = explode_lines(logs).select("log_id", F.col("line_no").alias("ord"), F.inline(F.filter(F.array(found), lambda e: e.isNotNull())))
+    return rows.select("log_id", "src", "dst", "code", "wait_seconds", "ipc_full", "ord")
 
 
 def parse_mem_samples(lines: DataFrame) -> DataFrame:
