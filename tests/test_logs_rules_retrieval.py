@@ -190,3 +190,19 @@ def test_evidence_on_ties_by_its_fields(spark):
     items = spark.createDataFrame([(1, t, v, 0.5, 0.5) for t, v in (("b", 10), ("b", 9), (None, 1), ("a", 3), ("c", 1), ("a", 20), ("a", 3))], "log_id int, event_type string, v long, relevance double, confidence double")
     got = retrieval.dedup_evidence(items, ["event_type", "v"], 4).orderBy("rank").collect()
     assert [(r.event_type, r.v) for r in got] == [("a", 3), ("a", 20), ("b", 9), ("b", 10)]
+
+
+def test_wait_lines_are_read_in_one_pass(spark, capsys):
+    edges = logs.parse_wait_edges(log(spark, "1:2 to 3:0 code 5 wait:6.5 s\n3:4 to 1:00 code x wait:1 s a waiting on b\nmain Blocked on worker\nnothing"))
+    assert sorted((r.src, r.dst, r.code, r.wait_seconds, r.ipc_full, r.ord) for r in edges.collect()) == [("1:2", "3:0", "5", 6.5, True, 1), ("3:4", "1:00", "x", 1.0, False, 2), ("main", "worker", None, None, False, 3)]
+    edges.explain()
+    assert "Union" not in capsys.readouterr().out
+
+
+def test_seeded_symbols_are_written_once_and_dealt_out(spark, monkeypatch):
+    kept, write = [], retrieval.materialize
+    monkeypatch.setattr(retrieval, "materialize", lambda df, label: kept.append(write(df, label)) or kept[-1])
+    stacks = spark.createDataFrame([(1, "A at B"), (2, "Z"), (3, "C C")], "log_id int, text string")
+    docs = spark.createDataFrame([(1, ["A", "C"]), (2, ["B", "A"]), (3, ["Q"])], "doc_id int, symbols array<string>")
+    got = sorted((r.log_id, r.symbol, r["rank"]) for r in retrieval.seed_symbols(stacks, docs, 2).collect())
+    assert got == [(1, "A", 1), (1, "B", 2), (3, "A", 1), (3, "C", 2)] and len(kept) == 1
