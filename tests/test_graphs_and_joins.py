@@ -246,6 +246,33 @@ def test_nearest_vectors_equal_all_pairs(spark, spread):
     assert retrieval.vector_topk(asked, table.limit(0)).count() == 0 and retrieval.vector_topk(asked.limit(0), table).count() == 0
 
 
+def test_vectors_alike_in_distance_are_sent_once(spark, monkeypatch):
+    """Where nothing can be left out, a query was written once for each ball, and a task held all of these."""
+    r = np.random.default_rng(3)
+    x = [(i, r.normal(0, 1, 40).tolist()) for i in range(400)]
+    table = spark.createDataFrame(x, "pattern_id long, embedding array<double>")
+    asked = table.where("pattern_id % 20 = 0").withColumnRenamed("pattern_id", "query_id")
+    write, rows = vectors.materialize, []
+
+    def counted(df, label):
+        out = write(df, label)
+        if label == "visits":
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(vectors, "materialize", counted)
+    got = retrieval.vector_topk(asked, table, 3, pivots=30, block_rows=60, pack_rows=8)
+    want = {(q, k): p for q, v in x[::20] for k, (_, p) in enumerate(sorted((round(float(((np.array(v) - w) ** 2).sum()), 6), i) for i, w in x)[:3], 1)}
+    assert {(y.query_id, y.rank): y.pattern_id for y in got.collect()} == want
+    assert rows and max(rows) <= 20
+
+
+def test_vectors_that_round_to_one_distance_tie_by_id(spark):
+    table = spark.createDataFrame([(1, [5.0, 5.0]), (3, [1.0, 1.00001]), (10, [1.0, 1.0])], "pattern_id long, embedding array<double>")
+    got = retrieval.vector_topk(table.where("pattern_id = 10").withColumnRenamed("pattern_id", "query_id"), table, 1)
+    assert [(x.pattern_id, x.distance) for x in got.collect()] == [(3, 0.0)]
+
+
 def test_flat_trees_are_raked_and_not_compressed(spark, monkeypatch):
     from faultline.plans import strong
 
