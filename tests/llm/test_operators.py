@@ -289,6 +289,26 @@ def test_edit_bound_is_a_bound(x, y):
         assert 1 - linededup.edit_distance(a, b) / max(len(a), len(b)) >= 0.7 - 1e-9
 
 
+def test_many_pairs_of_lines_are_compared_as_single_ones(monkeypatch):
+    r = np.random.default_rng(6)
+    line = lambda n: "".join(r.choice(list("abc dß漢😀"), n))
+    a = [line(int(n)) for n in r.integers(1, 900, 300)] + [line(157) for _ in range(40)]
+    # edits all over a line, and at one of its ends as many as the threshold allows, one more and one less
+    b = ["".join(c for c in x if r.random() > 0.09) or "a" for x in a[:150]] + [x + line(max(0, len(x) // 9 + i % 3 - 1)) for i, x in enumerate(a[150:300])] + [x + line(17) for x in a[300:]]
+    want = np.array([linededup.edit_distance(x, y) for x, y in zip(a, b)])
+    for most in (60, 64, 100):
+        some = [i for i in range(len(a)) if abs(len(a[i]) - len(b[i])) <= most]
+        got = linededup.edit_distances([a[i] for i in some], [b[i] for i in some], most)
+        assert ((got == want[some]) | ((got > most) & (want[some] > most))).all()
+    a, b, want = [*a, "", "ab"], [*b, "", ""], [*want, 0, 2]
+    # what is compared at once is not compared alone
+    alone = []
+    monkeypatch.setattr(linededup, "similar", lambda x, y, t, f=linededup.similar: alone.append(x) or f(x, y, t))
+    got = linededup.similar_pairs(a, b, 0.9)
+    assert got.tolist() == [d <= int(0.1 * max(len(x), len(y)) + 1e-9) for x, y, d in zip(a, b, want)] and 0 < got.sum() < len(got)
+    assert len(alone) < len(a)
+
+
 @pytest.mark.parametrize("first_only", [True, False])
 def test_near_rows_equal_a_loop(first_only):
     r = np.random.default_rng(5)
