@@ -428,6 +428,53 @@ def test_line_dedup_takes_short_lines_and_lines_without_spaces(spark):
     assert got == {0: (texts[0], 0), 1: ("\n---", 4), 2: ("subscribe later\n \n", 2)}
 
 
+def test_short_lines_are_all_found(spark):
+    # a line of 9 characters and one of 10; words that one edit makes wholly different; edits all over a line of up to 68 characters
+    r, texts = random.Random(5), ["abcdefghi", "abcdefghij", "internationalisation", "internationalizations"]
+    some = lambda n: "".join(r.choice("etaoinshrdlu ") for _ in range(n))
+    for n in [*range(9, 63)] * 3:
+        a = linededup.normalise("x" + some(n - 2) + "y")
+        edited = list(a)
+        for _ in range(max(1, int(0.1 * len(a)))):
+            i, change = r.randrange(1, len(edited) - 1), r.randrange(3)
+            edited[i : i + (change > 0)] = [] if change == 2 else [r.choice("etaoinshrdlu")]
+        texts += [a, linededup.normalise("".join(edited))]
+    lines = sorted(set(texts), key=lambda x: (len(x), x))
+    pairs = list(brute_lines([x for x in lines if len(x) >= 9]))
+    assert len(pairs) > 100
+    rows = table(spark, [(i, t, None) for i, t in enumerate(texts)]).select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("th"), "text")
+    group = {texts[x["first"]["doc"]]: x["group"] for x in linededup.line_groups(rows)[1].collect()}
+    names = [x for x in lines if len(x) >= 9]
+    assert [(names[i], names[k]) for i, k in pairs if names[i] not in group or group[names[i]] != group.get(names[k])] == []
+    # of a pair the longer line has the least length
+    group = {texts[x["first"]["doc"]]: x["group"] for x in linededup.line_groups(rows, min_chars=21)[1].collect()}
+    assert group["internationalisation"] == group["internationalizations"] and "abcdefghij" not in group
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.9, 0.95])
+def test_similar_lines_share_a_segment(threshold):
+    classes, r = linededup.short_classes(threshold), random.Random(11)
+    assert all(b[0] == a[1] + 1 for a, b in zip(classes, classes[1:]) if threshold == 0.9) and max(c[2] for c in classes) == linededup.EDITS
+    seen = 0
+    for _ in range(1500):
+        n = r.choice([x for c in classes for x in range(c[0], c[1] + 1)])
+        a = "".join(r.choice("abcdefgh") for _ in range(n))
+        b = list(a)
+        for _ in range(r.randint(1, linededup.EDITS)):
+            i, change = r.randrange(len(b)), r.randrange(3)
+            b[i : i + (change > 0)] = [] if change == 2 else [r.choice("abcdefgh")]
+        x, y = sorted((a, "".join(b)), key=len)
+        most = int((1 - threshold) * len(y) + 1e-9)
+        if len(x) != n or linededup.edit_distance(x, y) > most:
+            continue
+        seen += 1
+        at, key, own = linededup.segments([x, y], classes, threshold)
+        assert set(key[(at == 0) & own].tolist()) & set(key[(at == 1) & ~own].tolist())
+        u, v = linededup._steps(np.stack([np.frombuffer(linededup.letters(z), np.uint8) for z in (x, y)])).view(np.uint64)
+        assert max(np.bitwise_count(u & ~v).sum(), np.bitwise_count(v & ~u).sum()) <= most
+    assert seen > 100
+
+
 def test_line_dedup_finds_planted_edits(spark):
     pairs = [planted(n, kind, k) for n in (20, 30, 50, 100) for kind in ("word", "words") for k in range(40)]
     rows = [(2 * i + j, t, None) for i, p in enumerate(pairs) for j, t in enumerate(p)]
