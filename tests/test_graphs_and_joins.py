@@ -297,3 +297,16 @@ def test_pointer_rounds_broadcast_no_table(spark, monkeypatch, capsys):
     assert doubling.cycle_places(ring, ["log_id"]).count() == 5
     plans = capsys.readouterr().out
     assert "SortMergeJoin" in plans and "BroadcastHashJoin" not in plans
+
+
+def test_retained_sizes_without_cycles_join_no_parts(spark, monkeypatch):
+    # shared leaves under chains, an end that is no node, an edge that repeats; the table of parts is left out where no cycle is
+    joined = []
+    monkeypatch.setattr(graphs, "dealt", lambda x, f=graphs.dealt: joined.append(x.columns) or f(x))
+    nodes = spark.createDataFrame([(0, n, s) for n, s in [("a", 1), ("b", 2), ("b", 2), ("c", 3), ("x", 10), ("y", 0), ("z", 5)]], "snapshot_id int, node string, self_size long")
+    edges = spark.createDataFrame([(0, *e) for e in [("a", "b"), ("b", "x"), ("b", "x"), ("c", "x"), ("c", "y"), ("a", "y"), ("c", "w"), (None, "x"), ("z", None)]], "snapshot_id int, src string, dst string")
+    got = {r.node: r.retained_size for r in graphs.heap_retained(nodes, edges).collect()}
+    assert got == {"a": 15, "b": 14, "c": 13, "x": 10, "z": 5}
+    assert len(joined) <= 5
+    some = graphs.heap_retained(nodes, edges, nodes.where("node in ('a', 'y')")).collect()
+    assert [(r.node, r.retained_size) for r in some] == [("a", 15)]
